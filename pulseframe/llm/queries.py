@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm.common import documents
 from pulseframe.llm.exact import exact_dedup
+from pulseframe.llm.pii import digest, find_pii
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_pii(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
     "op6_exact_dedup": op6_exact_dedup,
 }
 

@@ -1,0 +1,79 @@
+import hashlib
+import re
+
+import pytest
+
+from pulseframe.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        s += v - 9 * (v > 9)
+    return s % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, rx in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE)):
+        for m in rx.finditer(text):
+            g = m.group(0)
+            d = re.sub("[^0-9]", "", g)
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in g.split(".")) if kind == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+TEXTS = [
+    None,
+    "",
+    "plain words only",
+    "\U0001f600 a.b@c.d_e@f.g.h. x@y z%@q-1.de..com @a.b",
+    "a@b.c@d.e@f a+b@c--.d",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.255 1.2.3",
+    "card 4111 1111 1111 1111, 4785380592391139$ 4111-1111-1111-1112 4111  1111 1111 1111",
+    "+1 (743) 555-3824 x +12 +1 2 +123456789012345678 +1-(2)-3 4.5 6 78- +49 170 1234567",
+    "account GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33 DE89370400440532013000",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff12345678',
+    "9" * 60000 + " " + "a" * 60000 + "@",
+    "ä 4785380592391139 " * 700,
+    "1.1.1.1 " * 3000 + "7@7.7",
+]
+
+
+def test_against_brute_force(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], "x"), (None, TEXTS[6], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = pii.digest(pii.find_pii(df)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i, t in enumerate(TEXTS):
+        want = brute(t or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert by[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), (i, by[i].spans[:200], joined[:200])
+        assert [x for x in by[i].spans.split(",") if x.split(":")[0] in pii.BASE] == [x for x in joined.split(",") if x] or not want
+        assert by[i].n_card == sum(k == "card" for k, _, _ in want)
+
+
+def test_added_kinds(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    spans = {r.doc_id: [s.asDict() for s in r.spans if not s.base] for r in pii.find_pii(df).collect()}
+    assert [s["kind"] for s in spans[8]] == ["iban", "iban"]
+    assert [s["kind"] for s in spans[9]] == ["secret"]
+    assert spans[2] == [] and spans[0] == []
+
+
+def test_empty_table(spark):
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("number, ok", [("4111111111111111", True), ("4111111111111112", False)])
+def test_luhn(spark, number, ok):
+    assert spark.range(1).select(pii._luhn(pii.F.lit(number)).alias("x")).first().x is ok
