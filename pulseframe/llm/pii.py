@@ -135,7 +135,7 @@ def _of_kind(kind: str, text: Column) -> Column:
 
                 return F.filter(F.transform(hits, span), lambda s: s["ok"])
 
-            return _let(_before(steps), with_starts)
+            return _let(steps, lambda lengths: _let(_before(lengths), with_starts))
 
         return F.when(F.size(hits) > 0, _let(F.split(text, PATTERNS[kind], -1), with_pieces)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,ok:boolean>>"))
 
