@@ -78,3 +78,10 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: str,
         on = on & c
     out = inner.join(offsets, on, "inner")
     return out.withColumn(into, F.col("_in") + F.col("_before")).drop("_slice", "_s", "_in", "_before", *[f"_g{i}" for i in range(len(group))])
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

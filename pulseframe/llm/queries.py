@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm.common import documents
+from pulseframe.llm.common import documents, tokenizer
 from pulseframe.llm.exact import exact_dedup
+from pulseframe.llm.packing import pack
 from pulseframe.llm.pii import digest, find_pii
 
 
@@ -20,9 +21,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {
