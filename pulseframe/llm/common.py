@@ -68,8 +68,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: str,
     # one row a (group, slice): 16**bits rows a group at most
     sums = s.groupBy(*group, "_slice").agg(F.sum(amount).alias("_sum"))
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    offsets = offsets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"), "_before")
+    offsets = sums.withColumn("_off", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    offsets = offsets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"), "_off")
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_slice") == F.col("_s")]
     inside = W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inner = s.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
@@ -77,7 +77,7 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: str,
     for c in same[1:]:
         on = on & c
     out = inner.join(offsets, on, "inner")
-    return out.withColumn(into, F.col("_in") + F.col("_before")).drop("_slice", "_s", "_in", "_before", *[f"_g{i}" for i in range(len(group))])
+    return out.withColumn(into, F.col("_in") + F.col("_off")).drop("_slice", "_s", "_in", "_off", *[f"_g{i}" for i in range(len(group))])
 
 
 def tokenizer(name: str) -> str:

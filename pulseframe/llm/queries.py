@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm.common import documents, tokenizer
 from pulseframe.llm.exact import exact_dedup
+from pulseframe.llm.mixing import mix
 from pulseframe.llm.packing import pack
 from pulseframe.llm.pii import digest, find_pii
 
@@ -25,10 +26,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
@@ -42,4 +48,28 @@ SQL: dict[str, str] = {
                    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id
             FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op10_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, 1 + len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+                   md5(concat_ws('|', coalesce(doc_id::VARCHAR, '-'), coalesce(source, '-'), sha256(coalesce(text, '')))) AS row_id
+            FROM documents),
+        s AS (SELECT source, sum(tokens)::BIGINT AS n FROM d GROUP BY source),
+        t AS (SELECT sum(n)::DOUBLE AS total, count(*) AS k FROM s),
+        p AS (SELECT g.k, n, ln(n / total) * (g.k / 65536.0::DOUBLE) AS lp, total FROM s, t, generate_series(0, 65536) AS g(k)),
+        e AS (SELECT k, sum(exp(lp)) AS z, ln(sum(exp(lp))) - sum(exp(lp) * lp) / sum(exp(lp)) AS h,
+                     max(exp(lp) / n) / sum(exp(lp)) * any_value(total) AS r FROM p GROUP BY k),
+        k0 AS (SELECT coalesce(max(e.k), 0) AS k FROM e, t WHERE h >= 0.9 * ln(t.k) - 1e-12),
+        k1 AS (SELECT CASE WHEN (SELECT r FROM e WHERE e.k = k0.k) <= 4 + 1e-9 THEN k0.k
+                      ELSE coalesce((SELECT min(e.k) FROM e WHERE e.k > k0.k AND r <= 4 + 1e-9), 65536) END AS k FROM k0),
+        w AS (SELECT source, n, least(round(exp(ln(n / total) * (k1.k / 65536.0::DOUBLE)) / z * total)::BIGINT, 4 * n) AS quota
+              FROM s, t, k1, e WHERE e.k = k1.k),
+        u AS (SELECT d.*, n, quota, unnest(generate_series(0, (quota - 1) // n)) AS pass
+              FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source WHERE quota > 0),
+        o AS (SELECT *, md5('mix|' || pass || '|' || row_id) AS key FROM u),
+        a AS (SELECT *, pass * n + coalesce(sum(tokens) OVER (PARTITION BY source, pass ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM o),
+        b AS (SELECT *, least(floor(place::DOUBLE / quota * nb), nb - 1)::BIGINT AS block
+              FROM a, (SELECT greatest(1, ceil(total / 65536)) AS nb FROM t) WHERE place < quota)
+        SELECT doc_id, source, pass, tokens, block,
+               row_number() OVER (PARTITION BY block ORDER BY md5(key || '|' || block), key) - 1 AS block_pos
+        FROM b""",
 }
