@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulseframe.llm.common import documents, tokenizer
 from pulseframe.llm.exact import exact_dedup
+from pulseframe.llm import langid, toxicity
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.packing import pack
 from pulseframe.llm.pii import digest, find_pii
@@ -30,9 +32,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    places = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "held_out", "score", "predicted", places.alias("offending"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
