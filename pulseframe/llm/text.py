@@ -49,11 +49,12 @@ def powers(n: int) -> np.ndarray:
     return p[:n]
 
 
-def word_hashes(units: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words are the runs where `inside` is true, and end where a text starts. Gives each word's first place and 64-bit hash."""
+def word_hashes(units: np.ndarray, inside: np.ndarray, starts: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Words are the runs where `inside` is true, and end where a text starts. Gives each word's first place and 64-bit hash; for
+    each entry of prefixes, also the hash of the word's first so many units, or of all if it has no more."""
     n = len(units)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(len(prefixes) + 1)))
     fresh = np.zeros(n + 1, bool)
     fresh[starts] = True
     before = np.empty(n, bool)
@@ -74,4 +75,5 @@ def word_hashes(units: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> tu
     np.cumsum(value, out=sums[1:])
     at = np.zeros(len(first) + 1, np.int64)
     np.cumsum(length, out=at[1:])
-    return first, mix(sums[at[1:]] - sums[at[:-1]] + length.astype(np.uint64))
+    short = [np.minimum(length, k) for k in prefixes]
+    return first, mix(sums[at[1:]] - sums[at[:-1]] + length.astype(np.uint64)), *(mix(sums[at[:-1] + k] - sums[at[:-1]] + k.astype(np.uint64)) for k in short)

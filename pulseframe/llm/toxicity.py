@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulseframe.llm.common import held_out, small_batches
-from pulseframe.llm.text import codes, letters, word_hashes
+from pulseframe.llm.text import codes, letters, mix, word_hashes
 
-#: A sentence's features are its words, hashed to 2**BITS weights.
-BITS = 18
+#: A sentence's features are its words and their beginnings of these lengths, hashed to 2**BITS weights.
+PREFIXES, BITS = (4, 5, 6), 18
 #: The bounded sample that weights are fitted on (rows a class), passes over it, step, and the pull of weights to zero.
-ROWS, PASSES, STEP, PULL, BATCH = 2500, 12, 0.5, 2e-5, 250
+ROWS, PASSES, STEP, PULL, BATCH = 2500, 25, 0.5, 1e-4, 50
 #: A document is toxic from this score; a sentence is named as offending from SENTENCE.
 TOXIC, SENTENCE = 0.7, 0.5
 
 
 def sentences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as feature numbers; for each word its sentence; for each sentence its text, and its place (start, end) in the lower-cased text.
+    """Features as numbers; for each feature its sentence; for each sentence its text, and its place (start, end) in the lower-cased text.
 
     Words are runs of letters. A sentence ends with a full stop, exclamation or question mark, or line end; those without words don't count."""
     cp, at = codes([(t or "").lower() for t in texts])
-    first, h = word_hashes(cp, letters()[cp], at)
+    first, *h = word_hashes(cp, letters()[cp], at, PREFIXES)
     stop = (cp == 46) | (cp == 33) | (cp == 63) | (cp == 10)
     fresh = np.zeros(len(cp) + 1, bool)
     fresh[at] = True
@@ -37,7 +37,9 @@ def sentences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     used, own = np.unique(number, return_inverse=True)
     text = np.searchsorted(at, starts[used], "right") - 1
     ends = np.append(starts[1:], len(cp))[used] if len(starts) else starts[used]
-    return (h >> np.uint64(64 - BITS)).astype(np.int32), own, text, np.stack([starts[used] - at[text], ends - at[text]], 1)
+    # a beginning counts as another feature than a word that is spelt so
+    h = np.stack([mix(x + np.uint64(i)) for i, x in enumerate(h)], 1).ravel() >> np.uint64(64 - BITS)
+    return h.astype(np.int32), np.repeat(own, 1 + len(PREFIXES)), text, np.stack([starts[used] - at[text], ends - at[text]], 1)
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
