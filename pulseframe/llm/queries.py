@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.llm.common import documents, tokenizer
 from pulseframe.llm.exact import exact_dedup
 from pulseframe.llm import langid, toxicity
+from pulseframe.llm.fingerprints import fingerprint_with_next
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.packing import pack
 from pulseframe.llm.pii import digest, find_pii
@@ -42,11 +43,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", places.alias("offending"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
