@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.common import documents, tokenizer
 from pulseframe.llm.exact import exact_dedup
-from pulseframe.llm import langid, toxicity
+from pulseframe.llm import langid, lmscore, substrings, toxicity
 from pulseframe.llm.fingerprints import fingerprint_with_next
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.packing import pack
@@ -47,9 +47,19 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(documents(spark, sf_dir).select("doc_id", "text"), lmscore.good(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
+    "op4_lm_scores": op4_lm_scores,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
