@@ -12,6 +12,7 @@ from pulseframe.llm.exact import exact_dedup
 from pulseframe.llm import langid, lmscore, substrings, toxicity
 from pulseframe.llm.fingerprints import fingerprint_with_next
 from pulseframe.llm.mixing import mix
+from pulseframe.llm.njoin import near_groups
 from pulseframe.llm.packing import pack
 from pulseframe.llm.pii import digest, find_pii
 
@@ -33,6 +34,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=90)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
@@ -56,6 +61,7 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_lm_scores": op4_lm_scores,
