@@ -13,7 +13,7 @@ RUNS, FAN_IN = 256, 16
 
 
 def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256, and copy_no.
+    """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256, copy_no and n_chars.
 
     Texts are equal when they are identical after every white-space character is deleted; a null text counts as empty,
     and all empty texts are one group. The row with the most characters stays, of those the smallest doc_id (a null
@@ -57,14 +57,16 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
         (same & (F.col("copy_no") == 0)).alias("kept"),
         "text_sha256",
         F.col("copy_no").cast("long").alias("copy_no"),
+        "n_chars",
     )
 
 
 def drop_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df without the rows that exact_dedup drops. Rows that repeat a kept row in doc_id and length go too."""
-    kept = exact_dedup(df, text, doc_id).filter("kept").select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "").cast("binary"), 256)
-    out = df.withColumn("_row_sha", sha)
-    out = out.join(kept, F.col(doc_id).eqNullSafe(F.col("_keep")) & (F.col("_row_sha") == F.col("_sha")), "left_semi")
-    w = W.partitionBy("_row_sha", doc_id).orderBy(F.length(F.coalesce(F.col(text), F.lit(""))).desc())
-    return out.withColumn("_no", F.row_number().over(w)).filter("_no = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    key = lambda doc_id, sha, n: F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), sha, n)
+    kept = exact_dedup(df, text, doc_id).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("_key"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    sha = F.sha2(F.translate(t, SPACES, "").cast("binary"), 256)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key(F.col(doc_id), sha, F.length(t)).alias("_key"))
+    out = rows.join(kept, "_key", "left_semi").withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
+    return out.filter("_no = 1").select("row.*")

@@ -80,17 +80,12 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int
     return w.astype(np.float32), float(bias)
 
 
-def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS) -> DataFrame:
-    """One row for each row of df: doc_id, held_out, score, predicted, and offending, an array of (start, end, score) of sentences.
-
-    labels has doc_id and toxic; a document with several labels is toxic if one says so, rows with a null are left out. The model learns
-    from a bounded sample: of the labelled documents that are not held out, the `rows` of each class with the smallest digest of doc_id.
-    A text that is null or has no words has score 0, and so has every text if a class has no rows. Whole texts are read. Repeated rows each give a row; an
-    empty table gives none. Places of sentences count code points of the lower-cased text. Other columns are not read.
-    """
+def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS):
+    """Weights (broadcast) and bias, learned from a bounded sample: of the labelled documents that are not held out, the `rows` of each class
+    with the smallest digest of doc_id. If a class has none, every score is 0."""
     spark = df.sparkSession
     small_batches(spark)
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
+    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     by = W.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     known = known.withColumn("_no", F.row_number().over(by)).filter(F.col("_no") <= rows).drop("_no")  # rows x classes at most
@@ -104,12 +99,24 @@ def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             ss = [sizes[i:j].tolist() for i, j in zip(per_doc[:-1], per_doc[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ws, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "sizes"])
 
-    sample = d.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(parts, "doc_id long, toxic int, words array<int>, sizes array<int>").toArrow()
+    sample = d.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(parts, "doc_id long, toxic int, words array<int>, sizes array<int>").toArrow()
     sample = sample.sort_by("doc_id")
     docs = [(np.array(a.as_py(), np.int32), np.array(b.as_py(), np.int64)) for a, b in zip(sample["words"], sample["sizes"], strict=True)]
     y = np.array(sample["toxic"].to_pylist(), np.int64)
     w, bias = fit(docs, y) if len(set(y.tolist())) == 2 else (np.zeros(1 << BITS, np.float32), -np.inf)
-    model = spark.sparkContext.broadcast(w)
+    return spark.sparkContext.broadcast(w), bias
+
+
+def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS) -> DataFrame:
+    """One row for each row of df: doc_id, held_out, score, predicted, and offending, an array of (start, end, score) of sentences.
+
+    labels has doc_id and toxic; a document with several labels is toxic if one says so, rows with a null are left out. The model learns
+    from a bounded sample: of the labelled documents that are not held out, the `rows` of each class with the smallest digest of doc_id.
+    A text that is null or has no words has score 0, and so has every text if a class has no rows. Whole texts are read. Repeated rows each give a row; an
+    empty table gives none. Places of sentences count code points of the lower-cased text. Other columns are not read.
+    """
+    model, bias = train(df, labels, text, doc_id, rows)
+    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -123,3 +130,18 @@ def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(p, 0, 1)), pa.array((p >= TOXIC).astype(np.int32)), pa.array(bad, kind)], ["doc_id", "held_out", "score", "predicted", "offending"])
 
     return d.select("doc_id", "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:long,end:long,score:double>>")
+
+
+def keep_clean(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS) -> DataFrame:
+    """The rows of df whose score is below TOXIC, as they are; the model is train's."""
+    model, bias = train(df, labels, text, doc_id, rows)
+    at = df.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, own, of, _ = sentences(b.column(at).to_pylist())
+            z = np.bincount(own, model.value[words], len(of)) + bias
+            p = -np.expm1(-np.bincount(of, np.logaddexp(0, z), b.num_rows))
+            yield b.filter(pa.array(p < TOXIC))
+
+    return df.mapInArrow(clean, df.schema)
