@@ -22,7 +22,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8) stays: the smallest doc_id."""
     groups = njoin.near_groups(docs.select("doc_id", "text"), words=5, percent=80)
     others = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

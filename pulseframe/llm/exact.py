@@ -68,5 +68,5 @@ def drop_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     t = F.coalesce(F.col(text), F.lit(""))
     sha = F.sha2(F.translate(t, SPACES, "").cast("binary"), 256)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key(F.col(doc_id), sha, F.length(t)).alias("_key"))
-    out = rows.join(kept, "_key", "left_semi").withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
+    out = rows.join(kept.hint("merge"), "_key", "left_semi").withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
     return out.filter("_no = 1").select("row.*")

@@ -96,4 +96,4 @@ def mix(df: DataFrame, entropy: float = 0.9, repeats: float = 4.0, budget: float
     if not keep:
         return out.drop("row_id")
     rows = df.select(row_id.alias("_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).dropDuplicates(["_id"])
-    return out.join(rows, F.col("row_id") == F.col("_id")).drop("_id", "row_id")
+    return out.join(rows.hint("merge"), F.col("row_id") == F.col("_id")).drop("_id", "row_id")

@@ -201,7 +201,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
             sets = shingles(b.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "n", "tokens"])
 
-    sets = cut(d.join(cut(suspects, "suspects"), d["doc_id"] == F.col("node"), "left_semi").mapInArrow(tokens, "node long, n long, tokens array<long>"), "tokens")
+    sets = cut(d.join(cut(suspects, "suspects").hint("merge"), d["doc_id"] == F.col("node"), "left_semi").mapInArrow(tokens, "node long, n long, tokens array<long>"), "tokens")
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     lists = each.join(shared, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("common"))
