@@ -97,7 +97,8 @@ def measurement_beats(beats: DataFrame, confidence) -> DataFrame:
     """Beats fit for measuring: reliable, not premature, and neither neighbour on the page premature."""
     b = premature(beats).withColumn("confidence", confidence)
     near = F.coalesce(F.lag("premature").over(BY_PAGE), F.lit(False)) | F.coalesce(F.lead("premature").over(BY_PAGE), F.lit(False))
-    return b.filter((F.col("confidence") >= C.RELIABLE) & ~F.col("premature") & ~near)
+    b = b.withColumn("_near", near)
+    return b.filter((F.col("confidence") >= C.RELIABLE) & ~F.col("premature") & ~F.col("_near")).drop("_near")
 
 
 def consensus(marks: DataFrame, key: list[str], tolerance_ms: float) -> DataFrame:
