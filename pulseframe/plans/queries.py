@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulseframe.functions.exprs import half_up, plural, significant
+from pulseframe.kernels import bridge
 from pulseframe.operators import case, norms, rhythm, signals, spans
 from pulseframe.sources import tables as T
+from pulseframe.streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -447,3 +449,32 @@ def second_scale(spark, sf):
     w = W.partitionBy("page", "lead").orderBy("t_ms", "beat_id")
     b = T.beats(spark, sf).withColumn("dt", F.col("t_ms") - F.lag("t_ms").over(w)).withColumn("dv", F.col("value") - F.lag("value").over(w))
     return b.groupBy("page").agg(F.round(F.median(F.when((F.col("dv") > 0) & (F.col("dt") > 0), F.col("dv") / F.col("dt"))), 12).alias("scale"))
+
+
+@query("""SELECT user_id AS page, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def windowed_rates(spark, sf):
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("page"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return rates.windowed(e).select("page", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("total"))
+
+
+@query()
+def filtfilt_signal(spark, sf):
+    """Page-long signals: a page's vectors end to end."""
+    e = T.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("page")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("mv"))
+    return bridge.filtered(e.select("page", F.lit("II").alias("lead"), F.transform("mv", lambda x: x.cast("double")).alias("mv")), "dog")
+
+
+@query()
+def detect_beats(spark, sf):
+    b = bridge.page_beats(bridge.synthetic_signals(spark, 64))
+    return b.select("page", "beat_index", "t_ms", "confidence", "n_leads", "issue")
+
+
+@query()
+def delineate_beats(spark, sf):
+    return bridge.page_beats(bridge.synthetic_signals(spark, 64)).select("page", "beat_index", "p_on", "p_off", "q_on", "s_off", "t_off", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def page_measurements(spark, sf):
+    return bridge.measurements(bridge.page_beats(bridge.synthetic_signals(spark, 64)))
