@@ -9,13 +9,19 @@ from pyspark.sql import Window as W
 from pulseframe.functions.exprs import sd
 from pulseframe.plans import constants as C
 
-BY_PAGE = W.partitionBy("page").orderBy("t_ms", "beat_id")
-PAGE = W.partitionBy("page")
+
+def by_page():
+    """A page's beats in order of time."""
+    return W.partitionBy("page").orderBy("t_ms", "beat_id")
+
+
+def whole_page():
+    return W.partitionBy("page")
 
 
 def rr(beats: DataFrame) -> DataFrame:
     """Add beat_index (from 0 in the page) and rr_ms, the time since the beat before on the same page."""
-    return beats.withColumn("beat_index", (F.row_number().over(BY_PAGE) - 1).cast("long")).withColumn("rr_ms", F.col("t_ms") - F.lag("t_ms").over(BY_PAGE))
+    return beats.withColumn("beat_index", (F.row_number().over(by_page()) - 1).cast("long")).withColumn("rr_ms", F.col("t_ms") - F.lag("t_ms").over(by_page()))
 
 
 def global_index(beats: DataFrame, width: int = 1024) -> DataFrame:
@@ -38,7 +44,7 @@ def heart_rate(beats: DataFrame) -> DataFrame:
 def with_median(beats: DataFrame) -> DataFrame:
     """rr, and the page's median interval (null for fewer than LEAST_RR intervals)."""
     b = rr(beats)
-    return b.withColumn("median_rr", F.when(F.count("rr_ms").over(PAGE) >= C.LEAST_RR, F.median("rr_ms").over(PAGE)))
+    return b.withColumn("median_rr", F.when(F.count("rr_ms").over(whole_page()) >= C.LEAST_RR, F.median("rr_ms").over(whole_page())))
 
 
 def premature(beats: DataFrame) -> DataFrame:
@@ -48,9 +54,9 @@ def premature(beats: DataFrame) -> DataFrame:
 
 def variation(flagged: DataFrame, flag: str = "premature") -> DataFrame:
     """By page: cv (sample deviation over mean) and max_change (ms) over intervals with no flagged end; a change counts between neighbouring such intervals."""
-    b = flagged.withColumn("_ok", F.col("rr_ms").isNotNull() & ~F.col(flag) & ~F.coalesce(F.lag(flag).over(BY_PAGE), F.lit(False)))
+    b = flagged.withColumn("_ok", F.col("rr_ms").isNotNull() & ~F.col(flag) & ~F.coalesce(F.lag(flag).over(by_page()), F.lit(False)))
     b = b.withColumn("_rr", F.when(F.col("_ok"), F.col("rr_ms")))
-    b = b.withColumn("_change", F.when(F.col("_ok") & F.lag("_ok").over(BY_PAGE), F.abs(F.col("rr_ms") - F.lag("rr_ms").over(BY_PAGE))))
+    b = b.withColumn("_change", F.when(F.col("_ok") & F.lag("_ok").over(by_page()), F.abs(F.col("rr_ms") - F.lag("rr_ms").over(by_page()))))
     return b.groupBy("page").agg((sd(F.col("_rr")) / F.avg("_rr")).alias("cv"), F.coalesce(F.max("_change"), F.lit(0.0)).alias("max_change"), F.count("_rr").alias("n"))
 
 
@@ -68,7 +74,7 @@ def premature_corrected(beats: DataFrame, pq: str = "value") -> DataFrame:
 
 def pauses(beats: DataFrame) -> DataFrame:
     """Intervals of at least PAUSE medians whose earlier beat is not premature."""
-    b = premature(beats).withColumn("after_premature", F.coalesce(F.lag("premature").over(BY_PAGE), F.lit(False)))
+    b = premature(beats).withColumn("after_premature", F.coalesce(F.lag("premature").over(by_page()), F.lit(False)))
     return b.filter((F.col("rr_ms") >= C.PAUSE * F.col("median_rr")) & ~F.col("after_premature"))
 
 
@@ -76,7 +82,7 @@ def runs(flagged: DataFrame, flag: str = "premature", least: int = C.RUN) -> Dat
     """Runs of at least `least` neighbouring flagged beats: page, first_index, n, start_ms, end_ms, kind (the most frequent lead, first seen on ties), duration_ms.
 
     A run lasts from its first to its last beat and one mean interval within it more, to the page's last beat at most."""
-    b = flagged.withColumn("_end", F.max("t_ms").over(PAGE)).filter(flag)
+    b = flagged.withColumn("_end", F.max("t_ms").over(whole_page())).filter(flag)
     b = b.withColumn("_island", F.col("beat_index") - F.row_number().over(W.partitionBy("page").orderBy("beat_index")))
     kinds = b.groupBy("page", "_island", "lead").agg(F.count(F.lit(1)).alias("c"), F.min("beat_index").alias("seen"))
     kinds = kinds.groupBy("page", "_island").agg(F.max_by("lead", F.struct("c", -F.col("seen"))).alias("kind"))
@@ -88,7 +94,7 @@ def runs(flagged: DataFrame, flag: str = "premature", least: int = C.RUN) -> Dat
 
 def coupling(beats: DataFrame) -> DataFrame:
     """Premature beats, with the time since the last beat on the page that is not premature (the interval, if there is none)."""
-    before = BY_PAGE.rowsBetween(W.unboundedPreceding, -1)
+    before = by_page().rowsBetween(W.unboundedPreceding, -1)
     b = premature(beats).withColumn("_t", F.last(F.when(~F.col("premature"), F.col("t_ms")), ignorenulls=True).over(before))
     return b.filter("premature").withColumn("coupling_ms", F.coalesce(F.col("t_ms") - F.col("_t"), F.col("rr_ms"))).drop("_t")
 
@@ -96,7 +102,7 @@ def coupling(beats: DataFrame) -> DataFrame:
 def measurement_beats(beats: DataFrame, confidence) -> DataFrame:
     """Beats fit for measuring: reliable, not premature, and neither neighbour on the page premature."""
     b = premature(beats).withColumn("confidence", confidence)
-    near = F.coalesce(F.lag("premature").over(BY_PAGE), F.lit(False)) | F.coalesce(F.lead("premature").over(BY_PAGE), F.lit(False))
+    near = F.coalesce(F.lag("premature").over(by_page()), F.lit(False)) | F.coalesce(F.lead("premature").over(by_page()), F.lit(False))
     b = b.withColumn("_near", near)
     return b.filter((F.col("confidence") >= C.RELIABLE) & ~F.col("premature") & ~F.col("_near")).drop("_near")
 

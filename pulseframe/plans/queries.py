@@ -200,7 +200,7 @@ def norm_lookup_default(spark, sf):
 @query(""", x AS (SELECT *, lead(t) OVER w AS t1, lead(value) OVER w AS v1 FROM b WINDOW w AS (PARTITION BY page ORDER BY t, beat_id))
 SELECT page, beat_id, round(CASE WHEN t1 IS NULL OR t1 = t THEN value ELSE value + (v1 - value) * 0.25 END, 6) AS level FROM x""")
 def baseline_interpolation(spark, sf):
-    b = T.beats(spark, sf).withColumn("t1", F.lead("t_ms").over(rhythm.BY_PAGE)).withColumn("v1", F.lead("value").over(rhythm.BY_PAGE))
+    b = T.beats(spark, sf).withColumn("t1", F.lead("t_ms").over(rhythm.by_page())).withColumn("v1", F.lead("value").over(rhythm.by_page()))
     t = F.col("t_ms") + (F.col("t1") - F.col("t_ms")) * 0.25
     return b.select("page", "beat_id", F.round(signals.interpolated(t, F.col("t_ms"), F.col("value"), F.col("t1"), F.col("v1")), 6).alias("level"))
 
