@@ -78,3 +78,38 @@ def measurements(beats: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_beats"), F.median(F.col("q_on") - F.col("p_on")).alias("pq"), F.median(F.col("s_off") - F.col("q_on")).alias("qrs"),
         F.median(F.col("t_off") - F.col("q_on")).alias("qt"), F.median(F.col("p_off") - F.col("p_on")).alias("p_duration"),
     )
+
+
+def read_sheets(images: DataFrame) -> DataFrame:
+    """Sheets (page, width, height, gray) as signals: page, lead, mv, confidence, variant, px_per_mm, issues. A sheet that can't be read gives
+    one row with an issue and no signal."""
+
+    def run(batches):
+        from pulseframe.kernels import sheet
+
+        kind = pa.schema([("page", pa.int64()), ("lead", pa.string()), ("mv", pa.list_(pa.float64())), ("confidence", pa.float64()), ("variant", pa.string()), ("px_per_mm", pa.float64()), ("issues", pa.list_(pa.string()))])
+        for b in batches:
+            for page, w, h, gray in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                try:
+                    r = sheet.read(np.frombuffer(gray, np.uint8).reshape(h, w))
+                    rows = [{"page": page, "lead": k, "mv": mv.tolist(), "confidence": float(c), "variant": r["variant"], "px_per_mm": float(r["px_per_mm"][0]), "issues": r["issues"]} for k, (mv, c) in r["leads"].items()]
+                except Exception as e:  # one bad sheet must not stop a case
+                    rows = [{"page": page, "issues": [f"exception:{type(e).__name__}"]}]
+                yield from pa.Table.from_pylist(rows, kind).to_batches()
+
+    return images.select("page", "width", "height", "gray").mapInArrow(run, "page long, lead string, mv array<double>, confidence double, variant string, px_per_mm double, issues array<string>")
+
+
+def synthetic_sheets(spark: SparkSession, pages: int, seed: int = 1) -> DataFrame:
+    """Drawn sheets, made where they are used: page, species, width, height, gray."""
+
+    def make(batches):
+        from pulseframe.kernels import sheet
+
+        for b in batches:
+            for page in b.column(0).to_pylist():
+                species = ("dog", "cat")[page % 2]
+                img = sheet.draw(synth.leads(synth.signal(species, noise=0.002, seed=seed + page)[0]), "AB"[page % 2])
+                yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([species]), pa.array([img.shape[1]], pa.int32()), pa.array([img.shape[0]], pa.int32()), pa.array([img.tobytes()], pa.binary())], ["page", "species", "width", "height", "gray"])
+
+    return spark.range(pages).mapInArrow(make, "page long, species string, width int, height int, gray binary")

@@ -478,3 +478,18 @@ def delineate_beats(spark, sf):
 @query()
 def page_measurements(spark, sf):
     return bridge.measurements(bridge.page_beats(bridge.synthetic_signals(spark, 64)))
+
+
+@query()
+def trace_sheets(spark, sf):
+    """Drawn sheets read back: samples, confidence and extremes a lead."""
+    r = bridge.read_sheets(bridge.synthetic_sheets(spark, 16))
+    return r.select("page", "lead", "variant", F.round("px_per_mm", 3).alias("px_per_mm"), F.size("mv").alias("n"), r6("confidence"), F.round(F.array_max("mv"), 3).alias("top"), F.array_join("issues", ",").alias("issues"))
+
+
+@query()
+def sheet_to_measurements(spark, sf):
+    """From drawn sheets to beats and measurements: both seams in one plan."""
+    s = bridge.synthetic_sheets(spark, 16)
+    r = bridge.read_sheets(s).withColumn("species", F.when(F.col("page") % 2 == 0, "dog").otherwise("cat"))
+    return bridge.measurements(bridge.page_beats(r))

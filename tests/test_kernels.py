@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from pulseframe.kernels import bridge, delineate, detect, dsp, synth
+from pulseframe.kernels import bridge, delineate, detect, dsp, sheet, synth
 from pulseframe.operators import norms, rhythm
 
 #: Mean rate, premature beats and pauses that follow from printed rates.
@@ -71,3 +71,22 @@ def test_rhythm_from_rates(spark, name):
 def test_norms(spark, profile, key, value, r, want):
     df = spark.createDataFrame([(profile, key, value, r)], "profile string, key string, value double, r double")
     assert norms.classify(df, spark).first().verdict == want
+
+
+@pytest.mark.parametrize("species, variant", [("dog", "A"), ("cat", "B")])
+def test_sheet_read_back(species, variant):
+    ii, truth = synth.signal(species, noise=0.002)
+    leads = synth.leads(ii)
+    r = sheet.read(sheet.draw(leads, variant))
+    assert r["variant"] == variant and r["issues"] == [] and abs(r["px_per_mm"][0] - sheet.VARIANTS[variant][2]) < 0.02
+    for k, (mv, _) in r["leads"].items():
+        assert np.corrcoef(mv[:2400], leads[k][:2400])[0, 1] > 0.98 and abs(mv.max() - leads[k].max()) < 0.06
+    beats = detect.detect({k: m for k, (m, _) in r["leads"].items()}, {}, species)
+    assert len(beats) == len(truth)
+    assert "no_frame" in sheet.read(np.full((905, 1280), 255, np.uint8))["issues"]
+
+
+def test_sheets(spark):
+    s = bridge.synthetic_sheets(spark, 2)
+    rows = bridge.read_sheets(s.union(s.selectExpr("page + 10", "species", "width", "height", "substring(gray, 1, 5)"))).collect()
+    assert len(rows) == 14 and {tuple(r.issues) for r in rows if r.page >= 10} == {("exception:ValueError",)}
