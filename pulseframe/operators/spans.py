@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def merged(spans: DataFrame, key: list[str]) -> DataFrame:
-    """Overlapping or touching stretches of the same key as one."""
+def merged(spans: DataFrame, key: list[str], gap_ms: float = 0.0) -> DataFrame:
+    """Stretches of the same key that overlap, touch, or lie at most gap_ms apart, as one."""
     order = W.partitionBy(*key).orderBy("start_ms", "end_ms")
     s = spans.withColumn("_reach", F.max("end_ms").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    s = s.withColumn("_no", F.sum((F.coalesce(F.col("_reach") < F.col("start_ms"), F.lit(True))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    s = s.withColumn("_no", F.sum((F.coalesce(F.col("_reach") < F.col("start_ms") - gap_ms, F.lit(True))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     return s.groupBy(*key, "_no").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n")).drop("_no")
 
 

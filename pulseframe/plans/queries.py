@@ -208,7 +208,7 @@ def baseline_interpolation(spark, sf):
 SIGNAL = "WITH s AS (SELECT vec_id AS lead, label AS page, embedding::DOUBLE[] AS mv FROM embeddings), e AS (SELECT lead, page, unnest(mv) AS v, generate_subscripts(mv, 1) - 1 AS k FROM s)\n"
 
 
-@query(SIGNAL + "SELECT lead, list_position(mv, list_max(mv)) - 1 AS place FROM s")
+@query(SIGNAL + "SELECT lead, (list_position(mv, list_max(mv)) - 1)::BIGINT AS place FROM s")
 def signal_argmax(spark, sf):
     return T.signals(spark, sf).select("lead", signals.argmax(F.col("mv")).alias("place"))
 
@@ -493,3 +493,66 @@ def sheet_to_measurements(spark, sf):
     s = bridge.synthetic_sheets(spark, 16)
     r = bridge.read_sheets(s).withColumn("species", F.when(F.col("page") % 2 == 0, "dog").otherwise("cat"))
     return bridge.measurements(bridge.page_beats(r))
+
+
+@query("""WITH v AS (SELECT l_suppkey AS sheet, l_returnflag AS variant, sum(CASE l_linestatus WHEN 'F' THEN 1.5 ELSE 1.0 END)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+t AS (SELECT *, sum(w) OVER (PARTITION BY sheet) AS total, max(w) OVER (PARTITION BY sheet) AS top FROM v)
+SELECT sheet, min(variant) FILTER (w = top) AS variant, round(max(top / total), 6) AS confidence, count(*) FILTER (w = top) > 1 AS ambiguous FROM t GROUP BY sheet""")
+def vote_variant(spark, sf):
+    weight = F.when(F.col("l_linestatus") == "F", 1.5).otherwise(1.0)
+    v = T.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sheet"), F.col("l_returnflag").alias("variant")).agg(F.sum(weight).alias("w"))
+    return case.vote(v).select("sheet", "variant", r6("confidence"), "ambiguous")
+
+
+@query(SPAN + MERGED.replace("page, kind", "page") + " SELECT page, round(sum(z - a), 3) AS covered_ms, count(*) AS n FROM u GROUP BY page")
+def covered_span(spark, sf):
+    m = spans.merged(T.spans(spark, sf), ["page"])
+    return m.groupBy("page").agg(F.round(F.sum(F.col("end_ms") - F.col("start_ms")), 3).alias("covered_ms"), F.count(F.lit(1)).alias("n"))
+
+
+@query(SPAN + MERGED.replace("reach < a", "reach < a - 7200000") + " SELECT page, kind, round(a, 3) AS start_ms, round(z, 3) AS end_ms, n FROM u")
+def word_sessions(spark, sf):
+    m = spans.merged(T.spans(spark, sf), ["page", "kind"], 7_200_000.0)
+    return m.select("page", "kind", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), "n")
+
+
+@query("""WITH g AS (SELECT source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source), p AS (SELECT source FROM g ORDER BY n DESC, first LIMIT 1)
+SELECT doc_id AS sheet_id FROM documents WHERE source NOT IN (SELECT source FROM p)""")
+def excluded_pages(spark, sf):
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("sheet_id"), F.col("source").alias("group"))
+    out = case.largest_group(d).filter("NOT primary").select("group")
+    return d.join(out, "group", "left_semi").select("sheet_id")
+
+
+@query("""WITH a AS (SELECT conv_id AS key, turn AS position, length(text) AS auto FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id AS key, turn - 1 AS position, length(text) * 2 AS edit FROM conversations WHERE role = 'assistant' AND turn % 4 = 1)
+SELECT key, position, coalesce(edit, auto) AS mark, CASE WHEN edit IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM a LEFT JOIN e USING (key, position)""")
+def marker_overlay(spark, sf):
+    c = T.table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), "turn", "role", F.length("text").cast("long").alias("n"))
+    auto = c.filter("role = 'user'").select("key", F.col("turn").alias("position"), F.col("n").alias("mark"), F.lit(0.5).alias("confidence"))
+    edits = c.filter("role = 'assistant' AND turn % 4 = 1").select("key", (F.col("turn") - 1).alias("position"), (F.col("n") * 2).alias("value"), F.col("turn").alias("seq"))
+    return case.marked(auto, edits)
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS a, source || ':' || n_chars AS b FROM documents),
+e AS (SELECT x.doc_id AS u, y.doc_id AS v FROM d x JOIN d y ON x.doc_id <> y.doc_id AND (x.a = y.a OR x.b = y.b)),
+r(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT u AS sheet_id, min(v) AS animal FROM r GROUP BY u""")
+def animal_groups(spark, sf):
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("sheet_id"), F.md5(F.col("text").cast("binary")).alias("a"), F.concat_ws(":", "source", F.col("n_chars").cast("string")).alias("b"))
+    return case.animals(d, ["a", "b"])
+
+
+@query(SIGNAL + """, r AS (SELECT lead, k, v > 0.1 AS clipped FROM e), i AS (SELECT *, k - row_number() OVER (PARTITION BY r.lead, clipped ORDER BY k) AS g FROM r)
+SELECT lead, clipped, min(k) AS x0, max(k) AS x1 FROM i GROUP BY lead, clipped, g""")
+def trace_segments(spark, sf):
+    e = T.signals(spark, sf).select("lead", F.posexplode("mv").alias("k", "v")).select("lead", F.col("k").cast("long").alias("k"), (F.col("v") > 0.1).alias("clipped"))
+    i = spans.islands(e, ["lead", "clipped"], "k", 1)
+    return i.select("lead", "clipped", F.col("first").alias("x0"), F.col("last").alias("x1"))
+
+
+@query(""", x AS (SELECT page, beat_id, t, lag(t) OVER w AS before, lead(t) OVER w AS after, t + (value - 50) * 3600000 AS mark FROM b WINDOW w AS (PARTITION BY page ORDER BY t, beat_id))
+SELECT page, beat_id FROM x WHERE mark <= coalesce(before, '-infinity'::DOUBLE) OR mark >= coalesce(after, 'infinity'::DOUBLE)""")
+def stale_markers(spark, sf):
+    b = T.beats(spark, sf).withColumn("mark_ms", F.col("t_ms") + (F.col("value") - 50) * 3_600_000)
+    return case.stale(b).select("page", "beat_id")
