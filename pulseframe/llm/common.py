@@ -1,14 +1,15 @@
-"""What the corpus operators share: the shared folder, cutting lineage, and deterministic ranks."""
+"""What the corpus operators share: tables, batch sizes, and sums within hot keys."""
 
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.functions.shared import cut, shared_dir  # noqa: F401
+
 #: White space as the operators' contracts define it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,30 +17,6 @@ SPACES = " \t\n\x0b\x0c\r"
 cloudpickle.register_pickle_by_value(sys.modules["pulseframe"])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session may lack the setting."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir is not set, and a cluster has no other shared folder")
-    return "file:///tmp/checkpoints/pulseframe"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, so that a lost executor costs
-    only its own tasks. The file goes when the application ends; shuffle files behind it go with the next
-    collection of the driver's garbage, which is asked for here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows: a batch of very long texts then still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
