@@ -44,23 +44,24 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[order], h[order], weight[order]
 
 
-def _uniform(h: np.ndarray, j: int) -> np.ndarray:
-    """(terms x SLOTS) numbers in (0, 1), the same for a term wherever it occurs."""
-    salt = mix(np.arange(SLOTS, dtype=np.uint64) * np.uint64(8) + np.uint64(j) + BASE)
-    return ((mix(h[:, None] ^ salt[None, :]) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+def _uniform(h: np.ndarray) -> list[np.ndarray]:
+    """Five (terms x SLOTS) arrays of numbers in (0, 1), the same for a term wherever it occurs: 24 bits each, cut from two hashes."""
+    salt = mix(np.arange(2 * SLOTS, dtype=np.uint64) * np.uint64(8) + BASE)
+    x, y = (mix(h[:, None] ^ s[None, :]) for s in (salt[:SLOTS], salt[SLOTS:]))
+    low, some = np.uint64(0xFFFFFF), np.uint64(16)
+    parts = [x >> np.uint64(40), (x >> some) & low, y >> np.uint64(40), (y >> some) & low, ((x & np.uint64(0xFFFF)) << np.uint64(8)) | (y & np.uint64(0xFF))]
+    return [(p.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for p in parts]
 
 
 def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each weighted term and slot: the log of its arrival, and the 16 bits that stand for (term, level).
+    """For each weighted term and slot: the log of its arrival, and its level.
 
     With r and c gamma distributed (shape 2) and b uniform, the level is t = floor(ln w / r + b), and the term with the
     least ln c - r (t - b + 1) is drawn: two texts draw the same (term, level) with the probability of their generalised Jaccard similarity."""
-    r = -np.log(_uniform(h, 0) * _uniform(h, 1))
-    b = _uniform(h, 2)
+    u = _uniform(h)
+    r, b = -np.log(u[0] * u[1]), u[4]
     t = np.floor(np.log(weight).astype(np.float32)[:, None] / r + b)
-    arrival = np.log(-np.log(_uniform(h, 3) * _uniform(h, 4))) - r * (t - b + 1)
-    bits = mix(h[:, None] + t.astype(np.int64).astype(np.uint64) * BASE + np.arange(SLOTS, dtype=np.uint64)) >> np.uint64(48)
-    return arrival, bits.astype(np.uint16)
+    return np.log(-np.log(u[2] * u[3])) - r * (t - b + 1), t
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -70,13 +71,15 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     kinds, which = np.unique(mix(h) ^ mix(weight.astype(np.uint64)), return_inverse=True)
     some = np.zeros(len(kinds), np.int64)
     some[which] = np.arange(len(h))
-    arrival, bits = sample(h[some], weight[some])
+    arrival, level = sample(h[some], weight[some])
     at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out, slots = np.empty((len(texts), SLOTS), np.uint16), np.arange(SLOTS)
+    drawn, slots = np.empty((len(texts), SLOTS), np.int64), np.arange(SLOTS)
     for i in range(len(texts)):
         w = which[at[i] : at[i + 1]]
-        out[i] = bits[w[arrival[w].argmin(0)], slots]
-    return out
+        drawn[i] = w[arrival[w].argmin(0)]
+    # 16 bits that stand for (term, level) of the drawn
+    t = level[drawn, slots].astype(np.int64).astype(np.uint64)
+    return (mix(h[some][drawn] + t * BASE + slots.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
