@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, so that a lost executor costs
-    only its own tasks. The file goes when the application ends; shuffle files behind it go with the next
-    collection of the driver's garbage, which is asked for here."""
+    only its own tasks. The file goes when the application ends; shuffle files behind it go when the driver's garbage is
+    collected, which is asked for here: once at once, and once when the listeners have let go of the plan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(0.4)
     jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
