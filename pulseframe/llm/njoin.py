@@ -69,7 +69,10 @@ def signatures(n: int, common: np.ndarray, df: np.ndarray, percent: int) -> np.n
     t, k = common[order], 1 + np.searchsorted(OFTEN, df[order], "left")
     out = []
     for size in {int(n).bit_length(), int(max(1, -(-percent * n // 100))).bit_length()}:
-        parts = np.array([0, 1, max(1, (1 << size - 1) // 20), max(1, (1 << size - 1) // 40)])
+        low = 1 << size - 1
+        few = slack(low, percent)
+        # about four tokens of a prefix fall into a subclass: combinations stay near the number of tokens
+        parts = np.array([0, 1, max(1, min(few // 2, low // 8)), max(1, min(3 * few // 4, low // 8))])
         spread = (mix(t + np.uint64(size)) >> np.uint64(33)).astype(np.int64)
         cls = np.where(k == 1, -1, k * (1 << 40) + spread % parts[k])
         # a token counts once its class has k - 1 before it
@@ -163,6 +166,8 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
        share a signature with them and fit in size; blocks of one component already found need not meet. What comes out are spanning
        forests, so rows never grow with the square of a group, and no link between different components is lost.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be 80 to 100: below, small sets are too small for their prefixes")
     small_batches(df.sparkSession, 128)
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -238,6 +243,10 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     placed = cut(blocks(team).select("node", "n", "team", "block"), "blocks")
     range_ = placed.groupBy("block", "team").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     holds = postings.select("sig", "node").join(placed.select("node", "block"), "node").select("sig", "block").distinct().join(range_, "block")
+    # signatures that lie in the same blocks give the same pairs: one of them stands for all (the sets are told apart by 128 bits of sums)
+    sums = [F.sum(F.xxhash64(F.lit(seed), "block").cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    alike = holds.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), *sums).groupBy("c", "sum1", "sum2").agg(F.min("sig").alias("sig")).select("sig")
+    holds = cut(holds.join(alike, "sig"), "holds")
     l, r = holds.alias("l"), holds.alias("r")
     fits = (F.col("l.hi") * 100 >= F.col("r.lo") * percent) & (F.col("r.hi") * 100 >= F.col("l.lo") * percent)
     apart = (F.col("l.team") != F.col("r.team")) | (F.col("l.team") == -1)
