@@ -34,3 +34,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     time.sleep(0.4)
     jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that cut wrote and that no plan needs any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

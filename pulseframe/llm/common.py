@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.functions.shared import cut, shared_dir  # noqa: F401
+from pulseframe.functions.shared import cut, drop, shared_dir  # noqa: F401
 
 #: White space as the operators' contracts define it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"

@@ -1,4 +1,6 @@
-"""Cross-entropy difference: a target and a background n-gram model over one vocabulary score each document."""
+"""Cross-entropy difference: a target and a background model of word pairs over the corpus' own vocabulary score each document.
+
+Counts are written tables that grow with the corpus. The character model (grams, losses, counts) is of fixed size; score doesn't use it."""
 
 from __future__ import annotations
 
@@ -10,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import cut, held_out, small_batches
-from pulseframe.llm.text import codes, remembered
+from pulseframe.llm.common import cut, drop, held_out, small_batches
+from pulseframe.llm.text import codes, remembered, word_hashes
 
-#: Both models are n-gram models of this order over 2**BITS symbols: tables of 2**(ORDER * BITS) entries, whatever the input.
+#: What stands before a text's first word; rounds that the pairs are counted and scored in; steps a bit of loss.
+START, PARTS, STEP = np.uint64(0x5851F42D4C957F2D), 3, 1 << 20
+#: The character model's order over 2**BITS symbols: tables of 2**(ORDER * BITS) entries, whatever the input.
 ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
 
@@ -84,40 +88,136 @@ def counts(df: DataFrame) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: 0 white space, 1 part of a word (letter, mark or digit), 2 a word of its own (ideographs, kana, all else);
+    and its lower case, where that is one code point."""
+    kind, lower = np.full(0x110000, 2, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        ch = chr(c)
+        if ch.isspace():
+            kind[c] = 0
+        elif (ch.isalnum() or unicodedata.category(ch)[0] == "M") and not (0x2E80 <= c < 0xA000 or 0xF900 <= c < 0xFB00 or c >= 0x20000):
+            kind[c] = 1
+        low = ch.lower()
+        if len(low) == 1:
+            lower[c] = ord(low)
+    return kind, lower
+
+
+def pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's 64-bit hash, that of the word before it in its text (START for the first), and the number of its text.
+
+    The vocabulary is open: any word of any script is its own entry."""
+    cp, at = codes([t or "" for t in texts])
+    kind, lower = remembered("word kinds", _kinds)
+    k = kind[cp]
+    alone = np.flatnonzero(k == 2)
+    first, w = word_hashes(lower[cp], k > 0, np.concatenate([at, alone, alone + 1]))
+    own = np.searchsorted(at, first, "right") - 1
+    before = np.full(len(w), START, np.uint64)
+    before[1:] = np.where(own[1:] == own[:-1], w[:-1], START)
+    return before.view(np.int64), w.view(np.int64), own
+
+
+def pair_counts(marked: DataFrame, part: int) -> DataFrame:
+    """before, word, background and target counts over all rows of marked (columns text and target), of the pairs whose `before`
+    falls into the part of PARTS; written, as large as the corpus makes it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, w, own = pairs(b.column(0).to_pylist())
+            mine = v.view(np.uint64) % np.uint64(PARTS) == part
+            v, w, own = v[mine], w[mine], own[mine]
+            target = b.column(1).to_numpy(zero_copy_only=False)[own]
+            order = np.lexsort((w, v))
+            v, w, target = v[order], w[order], target[order]
+            new = np.ones(len(v), bool)
+            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+            at = np.flatnonzero(new)
+            sums = np.append(0, np.cumsum(target))
+            ends = np.append(at[1:], len(v))[: len(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(w[at]), pa.array(ends - at), pa.array(sums[ends] - sums[at])], ["before", "word", "background", "target"])
+
+    out = marked.select("text", "target").mapInArrow(count, "before long, word long, background long, target long")
+    return out.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def word_counts(marked: DataFrame) -> DataFrame:
+    """word, background and target counts over all rows of marked."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, w, own = pairs(b.column(0).to_pylist())
+            target = b.column(1).to_numpy(zero_copy_only=False)[own]
+            kinds, inverse, times = np.unique(w, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(times), pa.array(np.bincount(inverse[target], minlength=len(kinds)))], ["word", "background", "target"])
+
+    out = marked.select("text", "target").mapInArrow(count, "word long, background long, target long")
+    return out.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
 def score(df: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of df: doc_id, n_tokens, target_loss, background_loss (bits a token) and score, their difference; a low score is near the target.
 
-    target holds the doc_id of the documents that the target model is counted from; the background model is counted from all of df. A token is a character
-    in the shared vocabulary. The models are matched: same vocabulary, order and smoothing, and background counts are scaled to
-    the target's number of tokens. Counts cover every whole text; what is broadcast are two tables of fixed size. A null or empty text has no tokens and
-    losses 0; without any target token both models are the background's. Rows that repeat count as often; ids that repeat in target count once; an
-    empty table gives no rows. Other columns are not read.
+    target holds the doc_id of the documents that the target model is counted from; the background model is counted from all of df. A token is a word:
+    a run of letters, marks and digits without case, or one ideograph, kana or other mark. Both models are pairs of words, interpolated (Witten-Bell) with single
+    words and equal shares of the corpus' distinct words. They are matched: same vocabulary, order and smoothing, and background counts are scaled to
+    the target's number of tokens. Counts cover every whole text; all tables are written, grow with the corpus and meet the documents by joins; nothing
+    is broadcast. A null or empty text has no tokens and losses 0; without any target token both models are the background's. Rows that repeat count
+    as often; ids that repeat in target count once; an empty table gives no rows. Other columns are not read.
+
+    Pairs go in PARTS rounds by the word before, so that only a part of the counts lies on disk at a time.
     """
     spark = df.sparkSession
     small_batches(spark)
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chosen = target.select(F.col("doc_id").alias("_id")).dropna().distinct()
     # a merge join whatever the size: the targets have no bound that would let them be broadcast
     marked = d.join(chosen.hint("merge"), d["doc_id"] == chosen["_id"], "left").select("text", F.col("_id").isNotNull().alias("target"))
-    table = cut(counts(marked), "grams").toArrow()  # 2**(ORDER * BITS) rows at most
-    both = np.zeros((2, SYMBOLS**ORDER))
-    both[0, table["gram"].to_numpy()] = table["background"].to_numpy()
-    both[1, table["gram"].to_numpy()] = table["target"].to_numpy()
-    total = both.sum(1)
-    if not total[1]:
-        both[1] = both[0]
-    elif total[0]:
-        both[0] *= total[1] / total[0]
-    model = spark.sparkContext.broadcast(np.stack([losses(both[1]), losses(both[0])]))
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, at = grams(b.column(1).to_pylist())
-            n = np.diff(at)
-            t, k = (np.add.reduceat(np.append(m[g].astype(np.float64), 0.0), at[:-1]) * (n > 0) / np.maximum(1, n) for m in model.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(t), pa.array(k), pa.array(t - k)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return d.mapInArrow(predict, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    marked = cut(marked, "marked")
+    words = cut(word_counts(marked), "words")
+    b, t, v = (int(x or 0) for x in words.agg(F.sum("background"), F.sum("target"), F.count(F.lit(1))).first())
+    scale = t / b if t else 1.0
+    both = {"t": F.col("target").cast("double") if t else F.col("background").cast("double"), "b": F.col("background") * F.lit(scale)}
+    sums = [F.sum(c).alias(f"c{m}") for m, c in both.items()] + [F.sum(F.least(c, F.lit(1.0))).alias(f"k{m}") for m, c in both.items()]
+    total = {k: float(x or 0) for k, x in words.agg(*sums).first().asDict().items()}
+    single = {m: (c + F.lit(total[f"k{m}"] / max(1, v))) / F.lit(max(total[f"c{m}"] + total[f"k{m}"], 1e-300)) for m, c in both.items()}
+    singles = cut(words.select("word", *[p.alias(f"p{m}") for m, p in single.items()]), "singles")
+    # equal rows score alike, so they may share a key
+    keyed = d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    done = []
+    for part in range(PARTS):
+        seen = cut(pair_counts(marked, part), "pairs")
+        contexts = seen.groupBy("before").agg(*sums)
+        p = {m: (c + F.col(f"k{m}") * F.col(f"p{m}")) / (F.col(f"c{m}") + F.col(f"k{m}")) for m, c in both.items()}
+        # bits in whole steps: their sums don't depend on the order
+        bits = [F.round(-F.log2(F.when(F.col(f"c{m}") > 0, x).otherwise(F.col(f"p{m}"))) * STEP).cast("long").alias(f"bits_{m}") for m, x in p.items()]
+        losses_ = seen.join(contexts.hint("merge"), "before").join(singles.hint("merge"), "word").select(F.xxhash64("before", "word").alias("pair"), *bits)
+        losses_ = cut(losses_, "losses")
+        drop(seen)
+
+        def spell(batches: Iterator[pa.RecordBatch], part: int = part) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v, w, own = pairs(b.column(0).to_pylist())
+                mine = v.view(np.uint64) % np.uint64(PARTS) == part
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(1).to_numpy()[own[mine]]), pa.array(v[mine]), pa.array(w[mine])], ["key", "before", "word"])
+
+        spelled = keyed.select("text", "key").mapInArrow(spell, "key long, before long, word long").select("key", F.xxhash64("before", "word").alias("pair"))
+        met = spelled.join(losses_.hint("merge"), "pair").groupBy("key").agg(F.sum("bits_t").alias("t"), F.sum("bits_b").alias("b"), F.count(F.lit(1)).alias("n"))
+        done.append(cut(met, "sums"))
+        drop(losses_)
+    sums_ = done[0]
+    for more in done[1:]:
+        sums_ = sums_.union(more)
+    sums_ = sums_.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    rows = keyed.select("doc_id", "key")
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    out = rows.join(sums_.join(times.hint("merge"), "key").hint("merge"), "key", "left")
+    loss = lambda c: F.coalesce(F.col(c) / (F.col("n") * STEP), F.lit(0.0))
+    n = F.coalesce((F.col("n") / F.col("rows")).cast("long"), F.lit(0).cast("long"))
+    return out.select("doc_id", n.alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
 
 
 def good(labels: DataFrame) -> DataFrame:

@@ -96,3 +96,35 @@ def test_lm(spark):
     p = 2.0 ** -lmscore.losses(counts).astype(float).reshape(-1, lmscore.SYMBOLS)
     assert np.allclose(p.sum(1), 1, atol=1e-4)
     assert lmscore.score(frame(spark, []), target).count() == 0
+
+
+def test_lm_learns_words_of_any_script(spark):
+    """Texts that differ by words alone, in scripts without Latin letters, score apart; losses against plain Python."""
+    ru, zh = ("дом стоит около реки", "кот лежит рядом моря"), ("山高水深", "天青日白")
+    data = [[i, x, "x", "s", None, None, None] for i, x in enumerate([ru[0], ru[1], zh[0], zh[1], ru[0], zh[0], "", None, ru[1]])]
+    target = spark.createDataFrame([(0,), (2,)], "doc_id long")
+    got = {g.doc_id: g for g in lmscore.score(frame(spark, data + [data[4]]), target).collect()}
+    assert got[4].score < got[1].score - 0.5 and got[5].score < got[3].score - 0.5
+    assert (got[4].n_tokens, got[5].n_tokens, got[6].n_tokens, got[7].n_tokens) == (4, 4, 0, 0)
+    texts = [list(r[1]) if r[0] in (2, 3, 5) else (r[1] or "").split() for r in data + [data[4]]]
+    pair, word = [[], []], [[], []]
+    for i, t in enumerate(texts):
+        for m in [0] + [1] * (i in (0, 2)):
+            pair[m] += zip(["^"] + t, t, strict=False)
+            word[m] += t
+    vocabulary = len(set(word[0]))
+
+    def loss(t, m):
+        s = 1.0 if m else len(word[1]) / len(word[0])
+        n = len(word[m]) * s
+        k = sum(min(1, s * word[m].count(x)) for x in set(word[m]))
+        bits = 0
+        for v, w in zip(["^"] + t, t, strict=False):
+            p = (s * word[m].count(w) + k / vocabulary) / (n + k)
+            c = s * sum(x == v for x, _ in pair[m])
+            kinds = sum(min(1, s * pair[m].count(x)) for x in set(pair[m]) if x[0] == v)
+            bits -= np.log2((s * pair[m].count((v, w)) + kinds * p) / (c + kinds) if c else p)
+        return bits / len(t)
+
+    for i in (0, 1, 3, 4, 8):
+        assert np.isclose(got[i].target_loss, loss(texts[i], 1), atol=1e-5) and np.isclose(got[i].background_loss, loss(texts[i], 0), atol=1e-5)
