@@ -49,6 +49,11 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _last(text: Column) -> Column:
+    """The last CONTEXT characters."""
+    return F.substring(text, F.greatest(F.lit(1), F.length(text) - CONTEXT + 1), F.lit(CONTEXT))
+
+
 def _before(steps: Column) -> Column:
     """For each place in an array of lengths, the sum of those before it."""
 
@@ -121,19 +126,30 @@ def _of_kind(kind: str, text: Column) -> Column:
             steps = F.zip_with(pieces, hits, lambda p, h: F.length(p).cast("long") + F.coalesce(F.length(h), F.lit(0)))
 
             def with_starts(before: Column) -> Column:
-                def span(hit: Column, i: Column) -> Column:
-                    start = F.get(before, i) + F.length(F.get(pieces, i))
-                    near = F.lower(F.substring(F.get(pieces, i), F.greatest(F.lit(1), F.length(F.get(pieces, i)) - CONTEXT + 1), F.lit(CONTEXT)))
-                    score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"(?:^|[^a-z])(?:{words})"), BONUS).otherwise(0.0)
-                    return F.struct(
-                        F.lit(kind).alias("kind"),
-                        start.alias("start"),
-                        (start + F.length(hit)).alias("end"),
-                        F.least(F.round(score, 2), F.lit(1.0)).alias("score"),
-                        _valid(kind, hit).alias("ok"),
-                    )
-
-                return F.filter(F.transform(hits, span), lambda s: s["ok"])
+                def with_tails(tails: Column) -> Column:
+                    def near(i: Column) -> Column:
+                        # a match has two characters at least, so this many pieces and matches hold the window
+                        earlier = F.array_join(F.slice(tails, F.greatest(F.lit(1), i + 1 - CONTEXT // 2), F.least(i, F.lit(CONTEXT // 2))), "")
+                        return F.lower(_last(F.concat(earlier, _last(F.get(pieces, i)))))
+
+                    def span(hit: Column, i: Column) -> Column:
+                        start = F.get(before, i) + F.length(F.get(pieces, i))
+
+                        def checked(ok: Column) -> Column:
+                            score = F.lit(SCORES[kind]) + F.when(ok & near(i).rlike(rf"(?:^|[^a-z])(?:{words})"), BONUS).otherwise(0.0)
+                            return F.struct(
+                                F.lit(kind).alias("kind"),
+                                start.alias("start"),
+                                (start + F.length(hit)).alias("end"),
+                                F.least(F.round(score, 2), F.lit(1.0)).alias("score"),
+                                ok.alias("ok"),
+                            )
+
+                        return _let(_valid(kind, hit), checked)
+
+                    return F.filter(F.transform(hits, span), lambda s: s["ok"])
+
+                return _let(F.zip_with(pieces, hits, lambda p, h: _last(F.concat(_last(p), F.coalesce(_last(h), F.lit(""))))), with_tails)
 
             return _let(steps, lambda lengths: _let(_before(lengths), with_starts))
 
