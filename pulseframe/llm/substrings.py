@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulseframe.llm.common import small_batches
+from pulseframe.llm.common import cut, small_batches
 from pulseframe.llm.text import BASE, codes, mix
 
 #: Mean characters of a chunk, the rolling hash's window, and the least distance to the mark before.
-MEAN, WINDOW, APART = 32, 16, 8
+MEAN, WINDOW, APART = 16, 8, 4
+#: Rounds that digests are compared in, so that a part of the chunks lies on disk at a time.
+PARTS = 2
 #: A run of repeated chunks is reported from this many characters: whole chunks inside a repeated passage of 50 words are longer.
 LEAST = 96
 
@@ -23,11 +25,11 @@ def cuts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where chunks end, for texts that start at `at`: every text's end, and each place after which the hash of the last WINDOW
     characters is small, if that is not so for any of the APART - 1 places before.
 
-    The hash doubles and adds a random value a character (gear hash), in 16 bits, so a character is forgotten after
-    WINDOW steps. A cut depends on the characters just before it alone: texts that share a passage share its inner cuts wherever the
+    The hash doubles and adds a random value a character (gear hash), in 16 bits, over the last WINDOW
+    characters. A cut depends on the characters just before it alone: texts that share a passage share its inner cuts wherever the
     passage stands, and insertions move none but those next to them."""
     h = (mix(cp.astype(np.uint64) + BASE) >> np.uint64(48)).astype(np.uint16)
-    for s in (1, 2, 4, 8):  # the hash of the last 2 s characters from two of s
+    for s in (1, 2, 4):  # the hash of the last 2 s characters from two of s
         h[s:] = h[s:] + (h[:-s] << np.uint16(s))
     low = h < np.uint16(65536 // MEAN)
     fresh = np.zeros(len(cp) + WINDOW, bool)
@@ -39,8 +41,8 @@ def cuts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.union1d(marks, at[1:][np.diff(at) > 0])
 
 
-def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a chunk: digest (two numbers), doc_id, start, length."""
+def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int | None = None) -> DataFrame:
+    """One row a chunk, of all or of the part of PARTS that its digest falls into: digest (two numbers), doc_id, start, length."""
     small_batches(df.sparkSession, 128)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +56,9 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             raw = memoryview(cp.tobytes())
             d = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
             own = np.searchsorted(at, starts, "right") - 1
+            if part is not None:
+                mine = d[:, 1] % PARTS == part
+                d, starts, ends, own = d[mine], starts[mine], ends[mine], own[mine]
             ids = b.column(0).to_numpy()[own]
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array((d[:, 1] >> 32).astype(np.int32)), pa.array(ids, pa.int64()), pa.array((starts - at[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["hi", "lo", "doc_id", "start", "length"])
 
@@ -73,10 +78,17 @@ def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: in
 
     A digest meets its copies by aggregation (one entry a map task), and its occurrences by a join whose hot keys can be split.
     """
-    c = chunks(df, text, doc_id)
-    shared = c.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    # the chunks are made twice: cheaper than storing them
-    found = chunks(df, text, doc_id).join(shared, ["hi", "lo"]).groupBy("doc_id", "start", "length").agg(F.min("first").alias("first"))
+    parts = []
+    for part in range(PARTS):
+        c = chunks(df, text, doc_id, part)
+        shared = c.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+        # the chunks are made twice: cheaper than storing them
+        met = chunks(df, text, doc_id, part).join(shared, ["hi", "lo"]).select("doc_id", "start", "length", "first")
+        parts.append(cut(met, "found"))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    found = found.groupBy("doc_id", "start", "length").agg(F.min("first").alias("first"))
     w = W.partitionBy("doc_id").orderBy("start")
     found = found.withColumn("_new", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(w), F.lit(-1)) != F.col("start")).cast("int"))
     found = found.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))

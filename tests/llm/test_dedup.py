@@ -122,3 +122,18 @@ def test_repeats(spark):
         assert (g.removed_chars == 0) == (g.doc_id == 3)
     assert substrings.repeats(frame(spark, [])).count() == 0
     assert substrings.repeats(frame(spark)).filter("doc_id in (1, 2, 3)").count() >= 3
+
+
+def test_repeats_finds_passages_of_51_words(spark):
+    """Passages of 51 words of about four letters, planted at other places in two documents each."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([3, 4, 4, 5])))
+    line = lambda n: " ".join(word() for _ in range(n))
+    data = []
+    for i in range(600):
+        passage = line(51)
+        for k in (0, 1):
+            data.append((2 * i + k, f"{line(rng.randrange(5, 60))} {passage} {line(rng.randrange(5, 60))}", None, None, None, None, None))
+    got = {g.doc_id for g in substrings.repeats(frame(spark, data)).collect()}
+    missed = sum(2 * i not in got or 2 * i + 1 not in got for i in range(600))
+    assert missed <= 6, missed
