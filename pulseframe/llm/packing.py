@@ -187,7 +187,9 @@ def bins(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[Patter
 
     The incumbent is best fit by decreasing length. Branch and bound completes the bin of the longest remaining length with an
     undominated filling, as often as it goes, and turns back where the waste so far already needs as many bins as the incumbent.
-    It ends when it meets the lower bound, has tried all, or has taken `steps` steps; the best found so far is returned.
+    It ends when it meets the lower bound, has tried all that completions() offers, or has taken `steps` steps; the best found so far is returned.
+    Not every undominated filling is offered: one at most for each number of added pieces (1 to 4) and best fit, each used as often as it goes;
+    steps of the first descent count, so with that many different lengths there is no turning back. Only the number of bins can suffer.
     """
     found: list[tuple[Pattern, int]] = []
     s = _Search(counts, size)
