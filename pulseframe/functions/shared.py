@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, so that a lost executor costs
-    only its own tasks. The file goes when the application ends; shuffle files behind it go when the driver's garbage is
-    collected, which is asked for here: once at once, and once when the listeners have let go of the plan."""
+    only its own tasks. The file goes when the application ends; the shuffle files that the write made go at once, as no other
+    plan can use them. They are known by their numbers; where another thread's jobs run meanwhile, its numbers can't be told from
+    ours, so all are left to Spark's own cleaner."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId()
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    last = context.newShuffleId()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    gc.collect()
-    jvm.System.gc()
-    time.sleep(0.4)
-    jvm.System.gc()
+    if context.cleaner().isDefined() and not list(context.statusTracker().getActiveJobIds()):
+        for shuffle in range(first + 1, last):
+            context.cleaner().get().doCleanupShuffle(shuffle, True)
     return spark.read.schema(df.schema).parquet(path)
 
 
