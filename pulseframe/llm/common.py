@@ -17,9 +17,10 @@ SPACES = " \t\n\x0b\x0c\r"
 cloudpickle.register_pickle_by_value(sys.modules["pulseframe"])
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: a batch of very long texts then still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 256 rows and 16 MB (or one row): a batch of very long texts then still fits a Python worker. Every operator sets the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def tasks(spark: SparkSession) -> int:
@@ -31,6 +32,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
+def learning_rows(df: DataFrame, rows: int, chars: int, classes: int) -> DataFrame:
+    """A bounded sample of df's rows (label and text, neither null) to learn from: label, text and key.
+
+    Equal texts of a label count once, so repeated rows and copies take no other text's place. Of the `classes` labels with the most rows (ties by
+    label), it takes the texts with the smallest hashes: `rows` a label at most, and no text more once they have `chars` characters together.
+    Hashes below a bound that leaves a little more than `rows` texts go on, from all tasks, before they are ranked: no task sees more of a label."""
+    from pyspark.sql import Window as W
+
+    d = df.select("label", "text", F.xxhash64("text").alias("key"))
+    found = d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key", 0.02).alias("texts")).orderBy(F.desc("n"), "label").limit(classes).collect()
+    bound = F.lit(None).cast("double")
+    for r in found:
+        share = min(1.0, 1.1 * (rows + 5 * rows**0.5 + 20) / max(1, r["texts"]))
+        bound = F.when(F.col("label") == F.lit(r["label"]), F.lit(share * 2.0**64 - 2.0**63)).otherwise(bound)
+    some = d.filter(F.col("key").cast("double") <= bound).dropDuplicates(["label", "key"])
+    w = W.partitionBy("label").orderBy("key")
+    some = some.withColumn("_no", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum(F.length("text").cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return some.filter((F.col("_no") <= rows) & (F.col("_before") < chars)).select("label", "text", "key")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

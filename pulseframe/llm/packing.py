@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import sys
 import types
 import zlib
@@ -19,7 +21,9 @@ CACHE = 500_000
 #: Words that are encoded at once.
 JOINED = 500
 #: Steps that branch-and-bound may take after its first descent.
-STEPS = 4_000
+STEPS = 8_000
+#: Pieces of one length that a task ranks, about.
+RANKED = 500_000
 
 
 def encoder(path: str):
@@ -131,8 +135,9 @@ class _Search:
             room -= x
         return _uses(fill)
 
-    def completions(self, first: int, most: int = 4) -> list[Pattern]:
-        """Fillings around the longest length, least waste first. One with more pieces and no less waste is dominated and left out."""
+    def quick(self, first: int, most: int = 4) -> list[Pattern]:
+        """A few good fillings around the longest length, least waste first: for each number of added pieces up to `most` one of
+        the greatest sum, and best fit. They only come first: completions() goes on to all others."""
         room, out, waste = self.size - first, [], self.size
         base = self.bits & ((2 << room) - 1) if room else 0
         sums = [1, base]
@@ -181,15 +186,72 @@ class _Search:
             out.append(p)
         return sorted(out, key=lambda p: self.size - sum(x * k for x, k in p))
 
+    def dominated(self, added: list[int], free: int, room: int) -> bool:
+        """True if a free length does at least as well in the place of one or two added ones (a filling is only completed where nothing
+        more fits). Each exchange makes the sum larger, or as large with fewer pieces, so some filling is left undominated."""
+        within = (1 << room) - 1
+        if any(free >> (x + 1) & within for x in set(added)):
+            return True
+        return any(free >> (x + y) & (within << 1 | 1) for x, y in set(itertools.combinations(sorted(added), 2)))
+
+    def completions(self, first: int, spare: int) -> Iterator[Pattern | None]:
+        """All undominated fillings around the longest length that waste at most `spare`; None stands for a step without one.
+
+        Quick fillings come first. The rest are found depth first, pieces in falling order of length. c must be the same again whenever the next is asked for."""
+        opening = self.quick(first)
+        yield from opening
+        lengths = [x for x in range(min(self.size - first, len(self.c) - 1), 0, -1) if self.c[x] > (x == first)]
+        left = {x: int(self.c[x]) - (x == first) for x in lengths}
+        free = sum(1 << x for x in lengths)
+        # what all pieces up to this length could add, to see where too much waste is certain
+        most = np.append(np.cumsum([x * left[x] for x in reversed(lengths)])[::-1], 0).tolist()
+        added: list[int] = []
+        room, at = self.size - first, 0
+        while True:
+            yield None
+            while at < len(lengths) and (lengths[at] > room or not left[lengths[at]]):
+                at += 1
+            if at < len(lengths) and room - most[at] <= spare:
+                x = lengths[at]
+                added.append(x)
+                left[x] -= 1
+                free = free & ~(1 << x) if not left[x] else free
+                room -= x
+                continue
+            if at == len(lengths) and room <= spare and not free & ((2 << room) - 1) & ~1 and not self.dominated(added, free, room):
+                p = _uses([first, *added])
+                if p not in opening:
+                    yield p
+            if not added:
+                return
+            x = added.pop()
+            left[x] += 1
+            free |= 1 << x
+            room += x
+            at = lengths.index(x) + 1
+
+
+def lower_bound(counts: np.ndarray, size: int) -> int:
+    """At least this many bins: for each k, pieces over size - k fill a bin alone, those over half of it need one each, and pieces of k or more
+    go into what these leave."""
+    x = np.arange(size + 1)
+    n, tokens = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * x))
+    half = size // 2
+    k = np.arange(0, half + 1)
+    large = n[size + 1] - n[half + 1]
+    middle = n[size - k + 1] - n[half + 1]
+    left = middle * size - (tokens[size - k + 1] - tokens[half + 1])
+    small = tokens[half + 1] - tokens[np.maximum(k, 0)]
+    return int(max(-(-int(tokens[-1]) // size), (large + np.maximum(0, -(-(small - left) // size))).max()))
+
 
 def bins(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[Pattern, int]]:
     """Fillings and how many bins each gets, for counts[x] pieces of length x <= size.
 
-    The incumbent is best fit by decreasing length. Branch and bound completes the bin of the longest remaining length with an
-    undominated filling, as often as it goes, and turns back where the waste so far already needs as many bins as the incumbent.
-    It ends when it meets the lower bound, has tried all that completions() offers, or has taken `steps` steps; the best found so far is returned.
-    Not every undominated filling is offered: one at most for each number of added pieces (1 to 4) and best fit, each used as often as it goes;
-    steps of the first descent count, so with that many different lengths there is no turning back. Only the number of bins can suffer.
+    The incumbent is best fit by decreasing length. Branch and bound completes the bin of the longest remaining length with each
+    undominated filling, for as many bins as it goes, then for fewer, and turns back where the waste so far already needs as many bins as the incumbent.
+    It ends when it meets the lower bound or has tried all, and then the number of bins is the least there is; or after `steps` steps
+    (choices of a filling and steps of their enumeration, those of the first descent apart), and then the best found so far is returned.
     """
     found: list[tuple[Pattern, int]] = []
     s = _Search(counts, size)
@@ -199,27 +261,39 @@ def bins(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[Patter
         found.append((p, m := s.times(p)))
         s.change(p, m)
     best = sum(m for _, m in found)
-    least = max(-(-total // size), int(counts[size // 2 + 1 :].sum()))
+    least = lower_bound(np.asarray(counts, np.int64), size)
     s = _Search(counts, size)
-    path: list[tuple[list[Pattern], Pattern, int, int]] = []  # options left, what was done, how often, its waste
+    path: list[tuple[Iterator, Pattern, int, int]] = []  # fillings to come, what was done, how often, its waste
     waste = taken = 0
-    options = s.completions(s.bits.bit_length() - 1) if s.bits else []
+
+    def spare() -> int:
+        return (best - 1) * size - total - waste
+
+    def choices() -> Iterator[tuple[Pattern, int] | None]:
+        for p in s.completions(s.bits.bit_length() - 1, spare()):
+            yield from ((p, m) for m in range(s.times(p), 0, -1)) if p else (None,)
+
+    options = choices() if s.bits else iter(())
     first_descent = True
     while best > least and (taken < steps or first_descent):
-        taken += 1
-        if options and waste <= (best - 1) * size - total:
-            p = options.pop(0)
-            m = s.times(p)
+        taken += not first_descent
+        choice = next(options, "none") if spare() >= 0 else "none"
+        if choice is None:
+            continue
+        if choice != "none":
+            p, m = choice
             w = m * (size - sum(x * k for x, k in p))
+            if w > spare() and not first_descent:
+                continue
             s.change(p, m)
             path.append((options, p, m, w))
             waste += w
             if s.bits:
-                options = s.completions(s.bits.bit_length() - 1)
+                options = choices()
                 continue
             if (n := sum(x[2] for x in path)) < best:
                 best, found = n, [(x[1], x[2]) for x in path]
-            options = []
+            options = iter(())
         first_descent = False
         if not path:
             break
@@ -271,6 +345,7 @@ def pack(df: DataFrame, path: str, limit: int = 4096, end_id: int = 1, text: str
             yield from t.to_batches()
 
     keyed = rows.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "piece", "ids_crc32"))).withColumn("_one", F.lit(1))
-    ranked = prefix_sums(keyed, ["length"], ["_key"], "_one", "rank")
+    digits = max(2, math.ceil(math.log(max(1, int(counts.max()) / RANKED), 16)))
+    ranked = prefix_sums(keyed, ["length"], ["_key"], "_one", "rank", digits)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
