@@ -8,15 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pulseframe.llm.common import held_out, small_batches
+from pulseframe.llm.common import held_out, learning_rows, small_batches
 from pulseframe.llm.text import MIX_A, codes, letters
 
 #: n-grams of 1 to LONGEST letters (all else is a gap), hashed to one of 2**BITS features.
 LONGEST, BITS = 4, 18
-#: The bounded sample that the classifier is fitted on: rows a language, landmarks among them, and the ridge.
-ROWS, LANDMARKS, RIDGE = 400, 64, 1e-3
+#: The bounded sample that the classifier is fitted on: texts a language and their characters, languages (those with the most rows).
+ROWS, CHARS, LANGUAGES = 400, 4_000_000, 256
+#: Landmarks a language among the sample, and the ridge.
+LANDMARKS, RIDGE = 64, 1e-3
+#: Columns of a batch's presence matrix that are multiplied at once.
+COLUMNS = 8192
 
 
 def features(texts: list[str | None]) -> list[np.ndarray]:
@@ -48,7 +51,7 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
 
     The kernel of two texts is the number of n-grams present in both over the root of the product of their numbers. With landmarks m
     and rows n, the coefficients solve (Knm' Knm + ridge n Kmm) a = Knm' Y. As the kernel is linear in presence vectors, landmark
-    vectors times coefficients are one matrix, so scoring a batch is one product."""
+    vectors times coefficients are one matrix (features x languages), and a batch is scored by the product of its presence matrix with it."""
     langs = sorted(set(labels))
     chosen = [i for lang in langs for i in [j for j, x in enumerate(labels) if x == lang][:landmarks]]
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
@@ -70,46 +73,64 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
     return langs, w
 
 
-def identify(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", rows: int = ROWS) -> DataFrame:
-    """One row for each row of df: doc_id, held_out, lang_pred, score (0 to 1).
-
-    The classifier learns from a bounded sample: of the documents that are not held out and have a language, the `rows` with the smallest
-    digest of doc_id for each language. A text that is null or has no letter is `und` with score 0; so is every text if
-    nothing could be learned. Whole texts are read. Repeated rows each give a row; an empty table gives none. Other columns
-    than the three named are not read, and lang is never an input of a prediction.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out(F.col(doc_id)).alias("held_out"))
-    key = F.md5(F.col("doc_id").cast("string"))
-    # each map task passes on `rows` a language at most
-    first = d.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", key.alias("_key"))
-    first = first.withColumn("_no", F.row_number().over(W.partitionBy("lang").orderBy("_key", "doc_id"))).filter(F.col("_no") <= rows).select("doc_id").distinct()
-    chosen = d.filter(~F.col("held_out") & F.col("lang").isNotNull()).join(F.broadcast(first), "doc_id", "left_semi")  # rows x languages at most
+def scores(sets: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """One-versus-rest scores of texts (rows) for languages (columns): the texts' presence matrix, each row of norm 1, times w, some columns at a time."""
+    n = np.array([len(s) for s in sets], np.int64)
+    row, col = np.repeat(np.arange(len(sets)), n), np.concatenate([*sets, np.zeros(0, np.int32)])
+    used = np.zeros(len(w), bool)
+    used[col] = True
+    features_, place = np.flatnonzero(used), np.cumsum(used) - 1
+    col = place[col]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), w.shape[1]))
+    for c in range(0, len(features_), COLUMNS):
+        i, j = np.searchsorted(col, (c, c + COLUMNS))
+        m = np.zeros((len(sets), min(COLUMNS, len(features_) - c)), np.float32)
+        m[row[i:j], col[i:j] - c] = 1
+        out += m @ w[features_[c : c + COLUMNS]]
+    return out / np.sqrt(np.maximum(1, n))[:, None]
+
+
+def learn(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", rows: int = ROWS, chars: int = CHARS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """fit's languages and weights, from the bounded sample. The driver holds `rows` sets of features a language, of `chars` characters and one text more."""
+    d = df.filter(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("label"), F.col(text).alias("text"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tolist() for x in features(b.column(2).to_pylist())], pa.list_(pa.int32()))], ["doc_id", "lang", "set"])
+            sets = features(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))], ["label", "key", "set"])
 
-    sample = chosen.select("doc_id", "lang", "text").mapInArrow(presence, "doc_id long, lang string, set array<int>").toArrow().sort_by("doc_id")
-    sets, labels = sample["set"].combine_chunks() if sample.num_rows else [], sample["lang"].to_pylist()
-    sets = [np.array(s.as_py(), np.int32) for s in sets]
+    sample = learning_rows(d, rows, chars, languages).select("label", "key", "text")
+    sample = sample.mapInArrow(presence, "label string, key long, set array<int>").toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
+    sets, labels = [np.array(s.as_py(), np.int32) for s in sample["set"]], sample["label"].to_pylist()
     good = [i for i, s in enumerate(sets) if len(s)]
-    langs, w = fit([sets[i] for i in good], [labels[i] for i in good]) if good else ([], np.zeros((1 << BITS, 0), np.float32))
+    return fit([sets[i] for i in good], [labels[i] for i in good]) if good else ([], np.zeros((1 << BITS, 0), np.float32))
+
+
+def identify(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", rows: int = ROWS, chars: int = CHARS, languages: int = LANGUAGES) -> DataFrame:
+    """One row for each row of df: doc_id, held_out, lang_pred, score (0 to 1).
+
+    The classifier learns from a bounded sample of the documents that are not held out and have a language: of the `languages` with the most
+    rows, the `rows` texts with the smallest hashes, each text once however often it occurs, up to `chars` characters. A text that is null or has no letter
+    is `und` with score 0; so is every text if nothing could be learned. Whole texts are read. Repeated rows each give a row; an empty table gives none.
+    doc_id may be of any integer type. Other columns than the three named are not read, and lang is never an input of a prediction.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    langs, w = learn(df, text, doc_id, lang, rows, chars, languages)
     model = spark.sparkContext.broadcast(w)
+    d = df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.value
         names = [*langs, "und"]
         for b in batches:
             sets = features(b.column(2).to_pylist())
+            f = scores(sets, model.value) if langs else np.zeros((len(sets), 1))
             n = np.array([len(s) for s in sets])
-            f = np.zeros((len(sets), max(1, len(langs))))
-            for i in np.flatnonzero(n) if langs else []:
-                f[i] = w[sets[i]].sum(0, dtype=np.float64) / np.sqrt(n[i])
             best = np.where((n > 0) & bool(langs), f.argmax(1), len(langs))
             p = np.clip(f, 0, 1) + 1e-9
             score = np.where(best < len(langs), np.clip(p.max(1) / p.sum(1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([names[i] for i in best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return d.select("doc_id", "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return d.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
