@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pulseframe.llm.common import held_out, small_batches
+from pulseframe.llm.common import held_out, learning_rows, small_batches
 from pulseframe.llm.text import codes, letters, mix, word_hashes
 
 #: A sentence's features are its words and their beginnings of these lengths, hashed to 2**BITS weights.
 PREFIXES, BITS = (4, 5, 6), 18
-#: The bounded sample that weights are fitted on (rows a class), passes over it, step, and the pull of weights to zero.
-ROWS, PASSES, STEP, PULL, BATCH = 2500, 25, 0.5, 1e-4, 50
+#: The bounded sample that weights are fitted on: texts a class and their characters.
+ROWS, CHARS = 2500, 8_000_000
+#: Passes over the sample, step, the pull of weights to zero, and documents a step.
+PASSES, STEP, PULL, BATCH = 25, 0.5, 1e-4, 50
 #: A document is toxic from this score; a sentence is named as offending from SENTENCE.
 TOXIC, SENTENCE = 0.7, 0.5
 
@@ -80,15 +81,14 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int
     return w.astype(np.float32), float(bias)
 
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS):
-    """Weights (broadcast) and bias, learned from a bounded sample: of the labelled documents that are not held out, the `rows` of each class
-    with the smallest digest of doc_id. If a class has none, every score is 0."""
+def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS, chars: int = CHARS):
+    """Weights (broadcast) and bias, learned from a bounded sample of the labelled documents that are not held out: of each class the `rows` texts with the
+    smallest hashes, each text once, up to `chars` characters. If a class has none, every score is 0."""
     spark = df.sparkSession
     small_batches(spark)
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    by = W.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    known = known.withColumn("_no", F.row_number().over(by)).filter(F.col("_no") <= rows).drop("_no")  # rows x classes at most
+    d = df.filter(F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropna().filter(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,26 +97,28 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             per_doc, per_word = np.searchsorted(of, np.arange(b.num_rows + 1)), np.append(0, np.cumsum(sizes))
             ws = [words[per_word[i] : per_word[j]].tolist() for i, j in zip(per_doc[:-1], per_doc[1:], strict=True)]
             ss = [sizes[i:j].tolist() for i, j in zip(per_doc[:-1], per_doc[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ws, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "sizes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ws, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], ["label", "key", "words", "sizes"])
 
-    sample = d.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(parts, "doc_id long, toxic int, words array<int>, sizes array<int>").toArrow()
-    sample = sample.sort_by("doc_id")
+    # ids alone meet the labels; a text is read on only if its id has one
+    sample = learning_rows(d.join(known, "doc_id").select("label", "text"), rows, chars, 2).select("label", "key", "text")
+    sample = sample.mapInArrow(parts, "label int, key long, words array<int>, sizes array<int>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     docs = [(np.array(a.as_py(), np.int32), np.array(b.as_py(), np.int64)) for a, b in zip(sample["words"], sample["sizes"], strict=True)]
-    y = np.array(sample["toxic"].to_pylist(), np.int64)
+    y = np.array(sample["label"].to_pylist(), np.int64)
     w, bias = fit(docs, y) if len(set(y.tolist())) == 2 else (np.zeros(1 << BITS, np.float32), -np.inf)
     return spark.sparkContext.broadcast(w), bias
 
 
-def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS) -> DataFrame:
+def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """One row for each row of df: doc_id, held_out, score, predicted, and offending, an array of (start, end, score) of sentences.
 
     labels has doc_id and toxic; a document with several labels is toxic if one says so, rows with a null are left out. The model learns
-    from a bounded sample: of the labelled documents that are not held out, the `rows` of each class with the smallest digest of doc_id.
+    from a bounded sample of the labelled documents that are not held out: of each class the `rows` texts with the smallest hashes, each once, up to `chars`
+    characters. doc_id may be of any integer type.
     A text that is null or has no words has score 0, and so has every text if a class has no rows. Whole texts are read. Repeated rows each give a row; an
     empty table gives none. Places of sentences count code points of the lower-cased text. Other columns are not read.
     """
-    model, bias = train(df, labels, text, doc_id, rows)
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
+    model, bias = train(df, labels, text, doc_id, rows, chars)
+    d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -132,9 +134,9 @@ def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return d.select("doc_id", "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:long,end:long,score:double>>")
 
 
-def keep_clean(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS) -> DataFrame:
+def keep_clean(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """The rows of df whose score is below TOXIC, as they are; the model is train's."""
-    model, bias = train(df, labels, text, doc_id, rows)
+    model, bias = train(df, labels, text, doc_id, rows, chars)
     at = df.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
