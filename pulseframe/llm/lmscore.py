@@ -1,91 +1,30 @@
 """Cross-entropy difference: a target and a background model of word pairs over the corpus' own vocabulary score each document.
 
-Counts are written tables that grow with the corpus. The character model (grams, losses, counts) is of fixed size; score doesn't use it."""
+Counts cover all documents and grow with the corpus: documents are packed, each pack's distinct words and pairs are dealt by hash to the tasks that count
+them, and the counts go back to the packs that asked. Every entry is as likely to go to any task, however often it occurs."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import cut, drop, held_out, small_batches
-from pulseframe.llm.text import codes, remembered, word_hashes
+from pulseframe.llm.common import cut, held_out, small_batches, tasks
+from pulseframe.llm.text import codes, mix, remembered, word_hashes
 
-#: What stands before a text's first word; rounds that the pairs are counted and scored in; steps a bit of loss.
-START, PARTS, STEP = np.uint64(0x5851F42D4C957F2D), 3, 1 << 20
-#: The character model's order over 2**BITS symbols: tables of 2**(ORDER * BITS) entries, whatever the input.
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-
-
-def _vocabulary() -> np.ndarray:
-    """The shared vocabulary: white space 0, a to z 1 to 26 (without case and accents), other letters 27, digits 28, marks that end
-    or part sentences 29, other marks 30, all else 31."""
-    out = np.full(0x110000, 31, np.uint8)
-    for c in range(0x110000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        if ch.isspace():
-            out[c] = 0
-        elif ch.isalpha():
-            base = unicodedata.normalize("NFKD", ch)[0].lower() if c < 0x2000 else ch
-            out[c] = ord(base[0]) - 96 if "a" <= base[0] <= "z" else 27
-        elif ch.isdigit():
-            out[c] = 28
-        elif ch in ".,;:!?":
-            out[c] = 29
-        elif unicodedata.category(ch)[0] in "PS":
-            out[c] = 30
-    return out
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the n-grams that end at each character, and where each text's begin. A text is led by white space."""
-    cp, at = codes([" " * (ORDER - 1) + (t or "") for t in texts])
-    s = remembered("vocabulary", _vocabulary)[cp].astype(np.int32)
-    g = np.zeros(max(0, len(s) - ORDER + 1), np.int32)
-    for k in range(ORDER):
-        g = (g << BITS) + s[k : len(s) - ORDER + 1 + k]
-    ends = np.ones(len(s), bool)
-    for k in range(ORDER - 1):
-        ends[at[:-1] + k] = False
-    return g[ends[ORDER - 1 :]], at - (ORDER - 1) * np.arange(len(at))
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Bits of surprise of each n-gram's last symbol, from (fractional) counts of all n-grams: Witten-Bell interpolation down to equal shares."""
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        c = counts.reshape(-1, SYMBOLS**k).sum(0).reshape(-1, SYMBOLS)
-        kinds = np.minimum(c, 1).sum(1, keepdims=True)
-        total = c.sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS), (len(c) // (p.size // SYMBOLS), 1))
-        p = np.where(total + kinds > 0, (c + kinds * lower) / np.where(total + kinds > 0, total + kinds, 1), lower)
-    return -np.log2(p).ravel().astype(np.float32)
-
-
-def counts(df: DataFrame) -> DataFrame:
-    """gram, background and target counts over all rows of df (columns text and target)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, SYMBOLS**ORDER), np.int64)
-        for b in batches:
-            g, at = grams(b.column(0).to_pylist())
-            target = np.repeat(b.column(1).to_numpy(zero_copy_only=False), np.diff(at))
-            both[0] += np.bincount(g, minlength=both.shape[1])
-            both[1] += np.bincount(g[target], minlength=both.shape[1])
-        seen = np.flatnonzero(both[0])
-        for i in range(0, len(seen), 10_000):
-            s = seen[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(both[0][s]), pa.array(both[1][s])], ["gram", "background", "target"])
-
-    parts = df.select("text", "target").mapInArrow(count, "gram int, background long, target long")
-    return parts.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+#: What stands before a text's first word and after its last.
+START = np.uint64(0x5851F42D4C957F2D)
+#: Characters of a pack, and of the packs whose entries one task counts.
+PACK, PART = 2_000_000, 50_000_000
+#: Smoothing: the weight of single words in a pair's probability (in tokens), and of equal shares in a word's (in tokens a word).
+PRIOR, ALPHA = 10.0, 0.1
 
 
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
@@ -121,103 +60,172 @@ def pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before.view(np.int64), w.view(np.int64), own
 
 
-def pair_counts(marked: DataFrame, part: int) -> DataFrame:
-    """before, word, background and target counts over all rows of marked (columns text and target), of the pairs whose `before`
-    falls into the part of PARTS; written, as large as the corpus makes it."""
+@dataclass
+class Entries:
+    """The distinct words and pairs of some texts: keys, ordered by part then key; where each part's begin; and for each word of the texts the
+    number of its text, and the positions of its pair, its word and the word before it among the keys (`ends`: the position of START, or -1)."""
+
+    keys: np.ndarray
+    bounds: np.ndarray
+    own: np.ndarray
+    pair: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    ends: int
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each entry occurs in the chosen texts (a mask). START occurs once a text that has words."""
+        here = chosen[self.own]
+        out = np.bincount(self.pair[here], minlength=len(self.keys)) + np.bincount(self.word[here], minlength=len(self.keys))
+        if self.ends >= 0:
+            out[self.ends] += len(np.unique(self.own[here]))
+        return out
+
+
+def entries(texts: list[str | None], parts: int) -> Entries:
+    """Words have odd keys, pairs even ones."""
+    before, word, own = (x if i == 2 else x.view(np.uint64) for i, x in enumerate(pairs(texts)))
+    words, w = np.unique(np.append(word, START) if len(word) else word, return_inverse=True)
+    w = w[: len(word)]
+    first = before == START
+    v = np.append(0, w[:-1])[: len(w)]
+    v[first] = np.searchsorted(words, START)
+    both, p = np.unique(mix(mix(before) + word) & ~np.uint64(1), return_inverse=True)
+    keys = np.concatenate([mix(words) | np.uint64(1), both])
+    part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys, part))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    return Entries(keys[order], bounds, own, place[len(words) + p], place[w], place[v], int(place[np.searchsorted(words, START)]) if len(word) else -1)
+
+
+def packed(marked: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, target) in packs of about PACK characters: pack, chars, and the rows as a compressed Arrow stream."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, chars, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def emit() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            t = pa.Table.from_batches(waiting)
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([chars], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "chars", "rows"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, w, own = pairs(b.column(0).to_pylist())
-            mine = v.view(np.uint64) % np.uint64(PARTS) == part
-            v, w, own = v[mine], w[mine], own[mine]
-            target = b.column(1).to_numpy(zero_copy_only=False)[own]
-            order = np.lexsort((w, v))
-            v, w, target = v[order], w[order], target[order]
-            new = np.ones(len(v), bool)
-            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            sums = np.append(0, np.cumsum(target))
-            ends = np.append(at[1:], len(v))[: len(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(w[at]), pa.array(ends - at), pa.array(sums[ends] - sums[at])], ["before", "word", "background", "target"])
-
-    out = marked.select("text", "target").mapInArrow(count, "before long, word long, background long, target long")
-    return out.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def word_counts(marked: DataFrame) -> DataFrame:
-    """word, background and target counts over all rows of marked."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, w, own = pairs(b.column(0).to_pylist())
-            target = b.column(1).to_numpy(zero_copy_only=False)[own]
-            kinds, inverse, times = np.unique(w, return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(times), pa.array(np.bincount(inverse[target], minlength=len(kinds)))], ["word", "background", "target"])
+            lengths, at = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist(), 0
+            for i, n in enumerate(lengths):
+                chars += n
+                if chars >= PACK:
+                    waiting.append(b.slice(at, i + 1 - at))
+                    yield emit()
+                    waiting, chars, number, at = [], 0, number + 1, i + 1
+            if at < b.num_rows:
+                waiting.append(b.slice(at))
+        if waiting:
+            yield emit()
+
+    return marked.select("doc_id", "text", "target").mapInArrow(pack, "pack long, chars long, rows binary")
+
+
+def unpack(rows: bytes) -> tuple[pa.ChunkedArray, list[str | None], np.ndarray]:
+    t = pa.ipc.open_stream(rows).read_all()
+    return t["doc_id"], t["text"].to_pylist(), t["target"].to_numpy()
 
-    out = marked.select("text", "target").mapInArrow(count, "word long, background long, target long")
-    return out.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+def counted(packs: DataFrame, parts: int) -> DataFrame:
+    """For each pack and part, the background and target counts over all packs of the pack's entries of that part, in their order; and once for each
+    part its number of distinct words, and their occurrences: pack, part, counts, words, background, target."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, texts, target = unpack(rows.as_py())
+                e = entries(texts, parts)
+                n = np.stack([e.counts(np.ones(len(texts), bool)), e.counts(target)])
+                some = [k for k in range(parts) if e.bounds[k] < e.bounds[k + 1]]
+                slices = [slice(e.bounds[k], e.bounds[k + 1]) for k in some]
+                arrays = [[number] * len(some), some, [e.keys[s].tobytes() for s in slices], [pa.compress(n[:, s].tobytes(), "zstd", asbytes=True) for s in slices]]
+                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["pack", "part", "keys", "counts"])
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
+        sizes = [len(k) for k in keys]
+        n = [np.frombuffer(pa.decompress(c, 16 * k, "zstd"), np.int64).reshape(2, -1) for c, k in zip(group["counts"].to_pylist(), sizes, strict=True)]
+        kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate(n, 1)
+        sums = np.zeros((2, len(kinds)), np.int64)
+        for m in (0, 1):
+            np.add.at(sums[m], which, n[m])
+        word = kinds & np.uint64(1) == 1
+        at = np.append(0, np.cumsum(sizes))
+        back = [pa.compress(sums[:, which[i:j]].tobytes(), "zstd", asbytes=True) for i, j in zip(at[:-1], at[1:], strict=True)]
+        once = lambda x: pa.array([int(x)] + [0] * (len(sizes) - 1), pa.int64())
+        return pa.table([group["pack"], group["part"], pa.array(back, pa.binary()), once(word.sum()), once(sums[0][word].sum()), once(sums[1][word].sum())], ["pack", "part", "counts", "words", "background", "target"])
+
+    asked = packs.select("pack", "rows").mapInArrow(ask, "pack long, part int, keys binary, counts binary")
+    return asked.groupBy("part").applyInArrow(count, "pack long, part int, counts binary, words long, background long, target long")
+
+
+def bits(e: Entries, counts: np.ndarray, total: float, scale: float, words: int) -> np.ndarray:
+    """Bits of surprise of each word after the one before it. A pair's probability is its share of the pairs that begin alike, with PRIOR pairs more that
+    follow single words; a word's is its share, with ALPHA occurrences more of each word. counts and total are scaled."""
+    c = counts * scale
+    single = (c[e.word] + ALPHA) / (total * scale + ALPHA * words)
+    return -np.log2((c[e.pair] + PRIOR * single) / (c[e.before] + PRIOR))
 
 
 def score(df: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of df: doc_id, n_tokens, target_loss, background_loss (bits a token) and score, their difference; a low score is near the target.
 
     target holds the doc_id of the documents that the target model is counted from; the background model is counted from all of df. A token is a word:
-    a run of letters, marks and digits without case, or one ideograph, kana or other mark. Both models are pairs of words, interpolated (Witten-Bell) with single
-    words and equal shares of the corpus' distinct words. They are matched: same vocabulary, order and smoothing, and background counts are scaled to
-    the target's number of tokens. Counts cover every whole text; all tables are written, grow with the corpus and meet the documents by joins; nothing
-    is broadcast. A null or empty text has no tokens and losses 0; without any target token both models are the background's. Rows that repeat count
-    as often; ids that repeat in target count once; an empty table gives no rows. Other columns are not read.
-
-    Pairs go in PARTS rounds by the word before, so that only a part of the counts lies on disk at a time.
+    a run of letters, marks and digits without case, or one ideograph, kana or other mark. Both models are pairs of words, smoothed by single
+    words and those by equal shares of the corpus' distinct words (and the mark that begins and ends texts). They are matched: same vocabulary, order and
+    smoothing, and background counts are scaled to the target's number of tokens. A target document is scored by the target model without its own
+    counts. Counts cover every whole text. A null or empty text has no tokens and losses 0; without any target token both models are the
+    background's. Rows that repeat count as often, and each has its own row; ids that repeat in target count once; an empty table gives no rows; doc_id
+    may be of any integer type. Other columns are not read.
     """
     spark = df.sparkSession
     small_batches(spark)
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chosen = target.select(F.col("doc_id").alias("_id")).dropna().distinct()
+    chosen = target.select(F.col("doc_id").cast("long").alias("_id")).dropna().distinct()
     # a merge join whatever the size: the targets have no bound that would let them be broadcast
-    marked = d.join(chosen.hint("merge"), d["doc_id"] == chosen["_id"], "left").select("text", F.col("_id").isNotNull().alias("target"))
-    marked = cut(marked, "marked")
-    words = cut(word_counts(marked), "words")
-    b, t, v = (int(x or 0) for x in words.agg(F.sum("background"), F.sum("target"), F.count(F.lit(1))).first())
-    scale = t / b if t else 1.0
-    both = {"t": F.col("target").cast("double") if t else F.col("background").cast("double"), "b": F.col("background") * F.lit(scale)}
-    sums = [F.sum(c).alias(f"c{m}") for m, c in both.items()] + [F.sum(F.least(c, F.lit(1.0))).alias(f"k{m}") for m, c in both.items()]
-    total = {k: float(x or 0) for k, x in words.agg(*sums).first().asDict().items()}
-    single = {m: (c + F.lit(total[f"k{m}"] / max(1, v))) / F.lit(max(total[f"c{m}"] + total[f"k{m}"], 1e-300)) for m, c in both.items()}
-    singles = cut(words.select("word", *[p.alias(f"p{m}") for m, p in single.items()]), "singles")
-    # equal rows score alike, so they may share a key
-    keyed = d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    done = []
-    for part in range(PARTS):
-        seen = cut(pair_counts(marked, part), "pairs")
-        contexts = seen.groupBy("before").agg(*sums)
-        p = {m: (c + F.col(f"k{m}") * F.col(f"p{m}")) / (F.col(f"c{m}") + F.col(f"k{m}")) for m, c in both.items()}
-        # bits in whole steps: their sums don't depend on the order
-        bits = [F.round(-F.log2(F.when(F.col(f"c{m}") > 0, x).otherwise(F.col(f"p{m}"))) * STEP).cast("long").alias(f"bits_{m}") for m, x in p.items()]
-        losses_ = seen.join(contexts.hint("merge"), "before").join(singles.hint("merge"), "word").select(F.xxhash64("before", "word").alias("pair"), *bits)
-        losses_ = cut(losses_, "losses")
-        drop(seen)
-
-        def spell(batches: Iterator[pa.RecordBatch], part: int = part) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v, w, own = pairs(b.column(0).to_pylist())
-                mine = v.view(np.uint64) % np.uint64(PARTS) == part
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(1).to_numpy()[own[mine]]), pa.array(v[mine]), pa.array(w[mine])], ["key", "before", "word"])
-
-        spelled = keyed.select("text", "key").mapInArrow(spell, "key long, before long, word long").select("key", F.xxhash64("before", "word").alias("pair"))
-        met = spelled.join(losses_.hint("merge"), "pair").groupBy("key").agg(F.sum("bits_t").alias("t"), F.sum("bits_b").alias("b"), F.count(F.lit(1)).alias("n"))
-        done.append(cut(met, "sums"))
-        drop(losses_)
-    sums_ = done[0]
-    for more in done[1:]:
-        sums_ = sums_.union(more)
-    sums_ = sums_.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.sum("n").alias("n"))
-    rows = keyed.select("doc_id", "key")
-    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    out = rows.join(sums_.join(times.hint("merge"), "key").hint("merge"), "key", "left")
-    loss = lambda c: F.coalesce(F.col(c) / (F.col("n") * STEP), F.lit(0.0))
-    n = F.coalesce((F.col("n") / F.col("rows")).cast("long"), F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_tokens"), loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))
+    marked = d.join(chosen.hint("merge"), d["doc_id"] == chosen["_id"], "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
+    packs = cut(packed(marked), "packs")
+    parts = max(tasks(spark), -(-int(packs.agg(F.sum("chars")).first()[0] or 0) // PART))
+    answers = cut(counted(packs, parts), "counts")
+    words, background, wanted = (int(x or 0) for x in answers.agg(F.sum("words"), F.sum("background"), F.sum("target")).first())
+    scale = wanted / background if wanted else 1.0
+
+    def judge(pack: pa.Table, answer: pa.Table) -> pa.Table:
+        ids, texts, is_target = unpack(pack["rows"][0].as_py())
+        e = entries(texts, parts)
+        sizes = np.diff(e.bounds)
+        n = [np.zeros((2, 0), np.int64)]
+        for part, c in sorted(zip(answer["part"].to_pylist(), answer["counts"].to_pylist(), strict=True)):
+            n.append(np.frombuffer(pa.decompress(c, 16 * int(sizes[part]), "zstd"), np.int64).reshape(2, -1))
+        n = np.concatenate(n, 1)
+        of_background = bits(e, n[0], background, scale, words)
+        of_target = bits(e, n[1], wanted, 1.0, words) if wanted else of_background.copy()
+        at = np.searchsorted(e.own, np.arange(len(texts) + 1))
+        for i in np.flatnonzero(is_target) if wanted else []:
+            a, b = at[i], at[i + 1]
+            if a == b:
+                continue
+            own = Entries(e.keys, e.bounds, e.own[a:b], *(x[a:b] for x in (e.pair, e.word, e.before)), e.ends)
+            some, which = np.unique(np.concatenate([own.pair, own.word, own.before, [e.ends]]), return_inverse=True)
+            less = n[1][some] - np.bincount(which[: 2 * (b - a)], minlength=len(some))
+            less[which[-1]] -= 1
+            small = Entries(some, e.bounds, own.own, *np.split(which[:-1], 3), -1)
+            of_target[a:b] = bits(small, less, wanted - (b - a) - 1, 1.0, words)
+        tokens = np.diff(at)
+        mean = [np.bincount(e.own, x, len(texts)) / np.maximum(1, tokens) for x in (of_target, of_background)]
+        return pa.table([ids.combine_chunks(), pa.array(tokens), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = packs.select("pack", "rows").groupBy("pack").cogroup(answers.select("pack", "part", "counts").groupBy("pack"))
+    return both.applyInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def good(labels: DataFrame) -> DataFrame:

@@ -84,17 +84,6 @@ def test_lm(spark):
     lang = {r[0]: r[2] for r in data}
     assert max(g.score for i, g in got.items() if lang[i] == "de") < min(g.score for i, g in got.items() if lang[i] in ("en", "fr"))
     assert got[1000].n_tokens == 0 and got[1000].score == 0
-    # losses by hand, from exact counts
-    texts = [r[1] or "" for r in data]
-    counts = np.zeros(lmscore.SYMBOLS**lmscore.ORDER)
-    for t in texts:
-        g, _ = lmscore.grams([t])
-        assert len(g) == len(t)
-        np.add.at(counts, g, 1)
-    again = {r.gram: r.background for r in lmscore.counts(frame(spark, data).selectExpr("text", "doc_id = 0 AS target")).collect()}
-    assert again == {int(i): int(counts[i]) for i in np.flatnonzero(counts)}
-    p = 2.0 ** -lmscore.losses(counts).astype(float).reshape(-1, lmscore.SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
     assert lmscore.score(frame(spark, []), target).count() == 0
 
 
@@ -106,25 +95,32 @@ def test_lm_learns_words_of_any_script(spark):
     got = {g.doc_id: g for g in lmscore.score(frame(spark, data + [data[4]]), target).collect()}
     assert got[4].score < got[1].score - 0.5 and got[5].score < got[3].score - 0.5
     assert (got[4].n_tokens, got[5].n_tokens, got[6].n_tokens, got[7].n_tokens) == (4, 4, 0, 0)
-    texts = [list(r[1]) if r[0] in (2, 3, 5) else (r[1] or "").split() for r in data + [data[4]]]
-    pair, word = [[], []], [[], []]
-    for i, t in enumerate(texts):
-        for m in [0] + [1] * (i in (0, 2)):
-            pair[m] += zip(["^"] + t, t, strict=False)
-            word[m] += t
-    vocabulary = len(set(word[0]))
-
-    def loss(t, m):
-        s = 1.0 if m else len(word[1]) / len(word[0])
-        n = len(word[m]) * s
-        k = sum(min(1, s * word[m].count(x)) for x in set(word[m]))
-        bits = 0
-        for v, w in zip(["^"] + t, t, strict=False):
-            p = (s * word[m].count(w) + k / vocabulary) / (n + k)
-            c = s * sum(x == v for x, _ in pair[m])
-            kinds = sum(min(1, s * pair[m].count(x)) for x in set(pair[m]) if x[0] == v)
-            bits -= np.log2((s * pair[m].count((v, w)) + kinds * p) / (c + kinds) if c else p)
-        return bits / len(t)
-
-    for i in (0, 1, 3, 4, 8):
-        assert np.isclose(got[i].target_loss, loss(texts[i], 1), atol=1e-5) and np.isclose(got[i].background_loss, loss(texts[i], 0), atol=1e-5)
+    # losses in plain Python: a target document's own counts are taken out of the target's
+    rows = [list(r[1]) if r[0] in (2, 3, 5) else (r[1] or "").split() for r in data + [data[4]]]
+    chosen, words = (0, 2), {"^"}.union(*rows)
+
+    def loss(i, texts, scale):
+        single = [w for t in texts if t for w in [*t, "^"]]
+        pair = [p for t in texts if t for p in zip(["^"] + t, t, strict=False)]
+        total = 0
+        for v, w in zip(["^"] + rows[i], rows[i], strict=False):
+            p = (scale * single.count(w) + lmscore.ALPHA) / (scale * len(single) + lmscore.ALPHA * len(words))
+            total -= np.log2((scale * pair.count((v, w)) + lmscore.PRIOR * p) / (scale * single.count(v) + lmscore.PRIOR))
+        return total / len(rows[i])
+
+    size = lambda texts: sum(len(t) + 1 for t in texts if t)
+    for i in (0, 1, 2, 3, 4, 8):
+        assert np.isclose(got[i].target_loss, loss(i, [rows[k] for k in chosen if k != i], 1.0)), i
+        assert np.isclose(got[i].background_loss, loss(i, rows, size([rows[k] for k in chosen]) / size(rows))), i
+
+
+def test_lm_in_many_packs(spark, monkeypatch):
+    """Packs and parts change no score; repeated rows each have one, and an int doc_id will do."""
+    data = talk(7, 200) + [[5, "the house", "en", "s", None, None, None]] * 50
+    target = spark.createDataFrame([(i,) for i in range(0, 100, 3)], "doc_id int")
+    d = frame(spark, data).repartition(3).withColumn("doc_id", lmscore.F.col("doc_id").cast("int"))
+    one = sorted(map(tuple, lmscore.score(d, target).collect()))
+    monkeypatch.setattr(lmscore, "PACK", 1000)
+    monkeypatch.setattr(lmscore, "PART", 1500)
+    many = sorted(map(tuple, lmscore.score(d.repartition(5), target).collect()))
+    assert len(one) == len(many) == 250 and np.allclose(np.array(one), np.array(many))
