@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 from pyspark import cloudpickle
@@ -27,6 +28,19 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df's rows as a struct `row`, each with a number of its own, `row_no`, and `tie`, a hash of all its columns (maps apart) that orders rows which an
+    operator can't tell apart; written, so that the numbers hold."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return cut(df.select(row.alias("row"), F.xxhash64(*plain).alias("tie"), F.monotonically_increasing_id().alias("row_no")), "numbered")
+
+
+def digits(rows: int, a_task: int = 500_000) -> int:
+    """How many hexadecimal digits deal so many rows into slices of about `a_task` rows or fewer; two at least."""
+    return max(2, math.ceil(math.log(max(1, rows / a_task), 16)))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the documents that no classifier may learn from; a null doc_id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))

@@ -6,67 +6,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulseframe.llm.common import SPACES, cut
+from pulseframe.llm.common import SPACES, cut, numbered
 
 #: Runs at the leaves of the merge tree, and how many of them meet in one merge.
-RUNS, FAN_IN = 256, 16
+RUNS, FAN_IN = 256, 4
+#: What tells texts apart, and the order in which rows of one text are kept.
+KEY, ORDER = ["text_sha256", "check", "bytes"], ["neg", "none", "doc_id", "tie", "row_no"]
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, tie, row_no) as written entries: no texts any more, and the run that each belongs to."""
+    n = F.translate("text", SPACES, "")
+    return cut(
+        rows.select(
+            "doc_id",
+            (-F.length("text")).cast("long").alias("neg"),
+            F.col("doc_id").isNull().alias("none"),
+            "tie",
+            "row_no",
+            F.sha2(n.cast("binary"), 256).alias("text_sha256"),
+            F.xxhash64(n).alias("check"),
+            F.octet_length(n).alias("bytes"),
+            F.pmod(F.spark_partition_id(), F.lit(RUNS)).cast("int").alias("run"),
+        ),
+        "digests",
+    )
+
+
+def merge(runs: DataFrame) -> DataFrame:
+    """Each FAN_IN neighbouring runs become one: slices of their digests' range are exchanged and sorted, and where the same digest of several runs
+    comes side by side, the smallest entry stays with the sum of their sizes. The second hash and the length must agree as well."""
+    at = ["run", "slice", *KEY]
+    runs = runs.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
+    runs = runs.repartition("run", "slice").sortWithinPartitions(*at, *ORDER)
+    w = W.partitionBy(*at).orderBy(*ORDER)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = runs.withColumn("_place", F.row_number().over(w)).withColumn("size", F.sum("size").over(whole))
+    return first.filter("_place = 1").drop("_place")
+
+
+def _outcome(d: DataFrame) -> DataFrame:
+    """d with the row number that stays (best_no), its doc_id (keep_id) and the group's size."""
+    at = ["run", *KEY]
+    # a run holds one entry a digest, sorted; its rows come from few tasks, so most meet before they are exchanged
+    leaves = d.groupBy(*at).agg(F.min(F.struct(*ORDER)).alias("best"), F.count(F.lit(1)).alias("size"))
+    leaves = cut(leaves.select(*at, F.substring("text_sha256", 1, 4).alias("slice"), "best.*", "size"), "runs")
+    merged, width = leaves, RUNS
+    while width > 1:
+        merged, width = merge(merged), -(-width // FAN_IN)
+    down = leaves.select(*at).join(merged.select(*KEY, F.col("doc_id").alias("keep_id"), F.col("row_no").alias("best_no"), F.col("size").alias("group_size")), KEY)
+    return d.join(down, at)
 
 
 def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256, copy_no and n_chars.
+    """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256 and n_chars.
 
     Texts are equal when they are identical after every white-space character is deleted; a null text counts as empty,
     and all empty texts are one group. The row with the most characters stays, of those the smallest doc_id (a null
-    doc_id comes last). Rows that repeat the staying row in doc_id and length as well are told apart by copy_no
-    (from 0 in each such set): only the first is kept. Empty tables give no rows. Columns besides the two are not
-    read, whatever their names.
-
-    Each row joins the run that its doc_id's hash names. A run is sorted by digest and holds one entry a digest: the
-    smallest (-length, doc_id) and a count, so a group of any size enters the tree with RUNS entries at most. In each
-    round FAN_IN neighbouring runs (a binomial tree of that radix) merge digest by digest and keep the smallest entry.
-    An entry is verified at every level: it merges only where SHA-256, a second 64-bit hash and the length of the
-    normalised text all agree. The outcome goes back down the tree by (run, digest), so that no join has a hot key.
+    doc_id comes last), of those the smallest hash of the text; of rows that are equal in all that, one stays. Empty tables give no rows. Columns besides
+    the two are not read, whatever their names.
+
+    Each partition's rows are a run, sorted by digest, with one entry a digest: the smallest of (-length, doc_id, ...) and a
+    count, so a group of any size enters the tree with RUNS entries at most. In each round FAN_IN neighbouring runs (a binomial tree of that radix)
+    are exchanged by slices of the digests' range and merged. An entry is verified at every level: it merges only where SHA-256, a second 64-bit hash
+    and the length of the normalised text all agree. The outcome goes back down the tree by (run, digest), so that no join has a hot key.
     """
-    d = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    d = d.withColumn("_n", F.translate("_t", SPACES, ""))
-    d = d.select(
-        "doc_id",
-        F.length("_t").cast("long").alias("n_chars"),
-        F.sha2(F.col("_n").cast("binary"), 256).alias("text_sha256"),
-        F.xxhash64("_n").alias("check"),
-        F.octet_length("_n").alias("bytes"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
-    )
-    d = cut(d, "digests")
-    key = ["text_sha256", "check", "bytes"]
-    entry = F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
-    leaves = d.groupBy("run", *key).agg(F.min(entry).alias("best"), F.count(F.lit(1)).alias("size"))
-    merged, width = leaves, RUNS
-    while width > 1:
-        merged = merged.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int")).groupBy("run", *key)
-        merged = merged.agg(F.min("best").alias("best"), F.sum("size").alias("size"))
-        width = -(-width // FAN_IN)
-    down = leaves.select("run", *key).join(merged.select(*key, "best", "size"), key)
-    w = W.partitionBy("run", *key, "doc_id", "n_chars").orderBy(F.lit(0))
-    rows = d.withColumn("copy_no", F.row_number().over(w) - 1).join(down, ["run", *key])
-    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.neg"))
-    return rows.select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("size").alias("group_size"),
-        (same & (F.col("copy_no") == 0)).alias("kept"),
-        "text_sha256",
-        F.col("copy_no").cast("long").alias("copy_no"),
-        "n_chars",
-    )
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = _digests(df.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("tie"), F.monotonically_increasing_id().alias("row_no")))
+    out = _outcome(d)
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("best_no")).alias("kept"), "text_sha256", (-F.col("neg")).alias("n_chars"))
 
 
 def drop_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """df without the rows that exact_dedup drops. Rows that repeat a kept row in doc_id and length go too."""
-    key = lambda doc_id, sha, n: F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), sha, n)
-    kept = exact_dedup(df, text, doc_id).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("_key"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    sha = F.sha2(F.translate(t, SPACES, "").cast("binary"), 256)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key(F.col(doc_id), sha, F.length(t)).alias("_key"))
-    out = rows.join(kept.hint("merge"), "_key", "left_semi").withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
-    return out.filter("_no = 1").select("row.*")
+    """df without the rows that exact_dedup drops, but for ties: of rows that share doc_id and length, the one with the smallest hash of all columns stays, so
+    the outcome does not depend on how the rows are dealt; of wholly equal rows, one stays."""
+    rows = numbered(df)
+    t = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    d = _digests(rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), t.alias("text"), "tie", "row_no"))
+    kept = _outcome(d).filter("row_no = best_no").select("row_no")
+    return rows.join(kept.hint("merge"), "row_no", "left_semi").select("row.*")

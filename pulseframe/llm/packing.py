@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 import sys
 import types
 import zlib
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import cut, prefix_sums, small_batches
+from pulseframe.llm.common import cut, digits, prefix_sums, small_batches
 
 #: Entries of a worker's cache of words; a full cache is emptied, so its memory is bounded.
 CACHE = 500_000
@@ -22,8 +21,6 @@ CACHE = 500_000
 JOINED = 500
 #: Steps that branch-and-bound may take after its first descent.
 STEPS = 8_000
-#: Pieces of one length that a task ranks, about.
-RANKED = 500_000
 
 
 def encoder(path: str):
@@ -345,7 +342,6 @@ def pack(df: DataFrame, path: str, limit: int = 4096, end_id: int = 1, text: str
             yield from t.to_batches()
 
     keyed = rows.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "piece", "ids_crc32"))).withColumn("_one", F.lit(1))
-    digits = max(2, math.ceil(math.log(max(1, int(counts.max()) / RANKED), 16)))
-    ranked = prefix_sums(keyed, ["length"], ["_key"], "_one", "rank", digits)
+    ranked = prefix_sums(keyed, ["length"], ["_key"], "_one", "rank", digits(int(counts.max())))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
