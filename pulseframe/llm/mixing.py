@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulseframe.llm.common import SPACES, cut, prefix_sums
+from pulseframe.llm.common import SPACES, cut, digits, numbered, prefix_sums
 
 #: The exponent is searched on the grid k / GRID; LEVELS halvings are made in one look at the sources.
 GRID, LEVELS = 1 << 16, 4
@@ -73,27 +73,30 @@ def mix(df: DataFrame, entropy: float = 0.9, repeats: float = 4.0, budget: float
     document at which that happens is the last. A use's place in the whole mixture is its place in its source's quota
     as a fraction; the mixture is cut into blocks of `block` tokens, so each block holds every source at its weight, and a block's uses are
     permuted again (block_pos, from 0). Sums over a source are made in slices of its permutation, so a source of any size is dealt
-    over many tasks. A null source is a source of its own, a null text has no words but an end. Documents that repeat in all of
-    doc_id, source and text are used as often as they occur. An empty table gives an empty mixture. Other columns are not read.
+    over many tasks. A null source is a source of its own, a null text has no words but an end. Rows that repeat in all of
+    doc_id, source and text are each used; their order goes by a hash of all columns, so the mixture does not depend on how rows are dealt. An empty table gives an empty mixture. Other columns are not read.
     """
-    sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    row_id = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(source), F.lit("-")), sha))
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), tokens(F.col(text)).alias("tokens"), row_id.alias("row_id"))
-    d = cut(d, "lengths")
-    sizes = cut(d.groupBy("source").agg(F.sum("tokens").alias("n")), "sources")
+    if keep:
+        rows = numbered(df)
+        d = rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{source}`").alias("source"), F.col(f"row.`{text}`").alias("text"), "tie", "row_no")
+    else:
+        d = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), F.lit(0).alias("tie"), F.lit(0).alias("row_no"))
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    row_id = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("source"), F.lit("-")), sha))
+    d = cut(d.select("doc_id", "source", tokens(F.col("text")).alias("tokens"), row_id.alias("row_id"), "tie", "row_no"), "lengths")
+    sizes = cut(d.groupBy("source").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows")), "sources")
     w = weights(sizes, entropy, repeats, budget).select(F.col("source").alias("_source"), "n", "quota")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total, most = (x or 0 for x in sizes.agg(F.sum("n"), F.max("rows")).first())
     blocks = max(1, math.ceil(total * budget / block))
     uses = d.join(w, F.col("source").eqNullSafe(F.col("_source"))).filter("quota > 0")
     uses = uses.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("n")).cast("long"))))
     uses = uses.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), "pass", "row_id")))
-    uses = prefix_sums(uses, ["source", "pass"], ["_key"], "tokens", "_before")
+    uses = prefix_sums(uses, ["source", "pass"], ["_key", "tie", "row_no"], "tokens", "_before", digits(most))
     uses = uses.withColumn("_at", F.col("pass") * F.col("n") + F.col("_before")).filter("_at < quota")
     uses = uses.withColumn("block", F.least(F.floor(F.col("_at") / F.col("quota") * blocks), F.lit(blocks - 1)).cast("long"))
-    inside = W.partitionBy("block").orderBy(F.md5(F.concat_ws("|", "_key", "block")), "_key")
+    inside = W.partitionBy("block").orderBy(F.md5(F.concat_ws("|", "_key", "block")), "_key", "tie", "row_no")
     out = uses.withColumn("block_pos", (F.row_number().over(inside) - 1).cast("long"))
-    out = out.select("doc_id", "source", "pass", "tokens", "block", "block_pos", "row_id")
+    out = out.select("doc_id", "source", "pass", "tokens", "block", "block_pos", "row_no")
     if not keep:
-        return out.drop("row_id")
-    rows = df.select(row_id.alias("_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).dropDuplicates(["_id"])
-    return out.join(rows.hint("merge"), F.col("row_id") == F.col("_id")).drop("_id", "row_id")
+        return out.drop("row_no")
+    return out.join(rows.select("row_no", "row").hint("merge"), "row_no").drop("row_no")

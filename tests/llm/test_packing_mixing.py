@@ -54,6 +54,33 @@ def test_bins():
     assert packing.bins(np.zeros(11, int), 10) == []
 
 
+def fewest(items, size):
+    """The least number of bins, by trying every place for every item."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= items[i]}.values():
+            go(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, size - items[i]])
+
+    go(0, [])
+    return best
+
+
+def test_bins_meet_the_optimum():
+    rng = random.Random(5)
+    for items, size in [([16, 18, 26, 30, 39, 43, 43, 56, 59, 62], 100)] + [([rng.randrange(1, 1 + rng.choice([s // 2, s])) for _ in range(rng.randrange(8, 14))], s) for s in (30, 100, 100, 1000) for _ in range(130)]:
+        c = np.bincount(items, minlength=size + 1)
+        got, want = sum(m for _, m in packing.bins(c, size)), fewest(items, size)
+        assert got == want and packing.lower_bound(c, size) <= want, (items, size)
+
+
 def test_mixing_against_sql(spark, tmp_path):
     """Sources of very different sizes, so that the exponent, repeats and cuts all matter."""
     rng = random.Random(4)
@@ -74,6 +101,13 @@ def test_mixing_against_sql(spark, tmp_path):
     assert mixing.mix(frame(spark), keep=True).select("row.*").columns == frame(spark).columns
 
 
+def test_mixing_keeps_each_row(spark):
+    """Rows equal in doc_id, source and text but not in other columns are each used, and the mixture does not depend on how they are dealt."""
+    data = [(i % 7, f"word {i % 7}", "en", "a" if i % 3 else "b", f"n{i}", "y", "z") for i in range(60)]
+    got = [sorted(tuple(r.row) + (r["pass"], r.block_pos) for r in mixing.mix(frame(spark, data).repartition(n), keep=True).collect()) for n in (1, 5)]
+    assert got[0] == got[1] and {g[4] for g in got[0]} == {r[4] for r in data}
+
+
 def test_fingerprints(spark):
     data = [r for r in rows() if r[0] is not None]
     got = fingerprints.fingerprint_with_next(frame(spark, data)).collect()
