@@ -16,7 +16,7 @@ from pulseframe.llm.text import BASE, codes, mix
 #: Mean characters of a chunk, the rolling hash's window, and the least distance to the mark before.
 MEAN, WINDOW, APART = 16, 8, 4
 #: Rounds that digests are compared in, so that a part of the chunks lies on disk at a time.
-PARTS = 2
+PARTS = 4
 #: A run of repeated chunks is reported from this many characters: whole chunks inside a repeated passage of 50 words are longer.
 LEAST = 96
 
