@@ -21,9 +21,9 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9_])",
 }
-#: A text without this can hold no span of the kind.
-NEEDS = {"email": "@", "phone": "+"}
-#: Words that raise the score of a span when they stand within CONTEXT characters before it.
+#: A text without a match of this can hold no span of the kind.
+NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "iban": "[0-9]", "ssn": "[0-9]", "secret": "[0-9a-f]{32}|AKIA|gh[pousr]_"}
+#: Words that raise the score of a span when they stand within CONTEXT characters before or after it.
 WORDS = {
     "email": ["mail", "contact", "write to"],
     "ip": ["ip", "server", "host", "address"],
@@ -54,6 +54,11 @@ def _last(text: Column) -> Column:
     return F.substring(text, F.greatest(F.lit(1), F.length(text) - CONTEXT + 1), F.lit(CONTEXT))
 
 
+def _first(text: Column) -> Column:
+    """The first CONTEXT characters."""
+    return F.substring(text, 1, CONTEXT)
+
+
 def _before(steps: Column) -> Column:
     """For each place in an array of lengths, the sum of those before it."""
 
@@ -117,7 +122,7 @@ def _of_kind(kind: str, text: Column) -> Column:
     regex = F.lit(PATTERNS[kind])
     none = F.array().cast("array<string>")
     # two looks at the text are made only where there is a match at all
-    there = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
+    there = text.rlike(NEEDS[kind])
     hits = F.when(there, F.regexp_extract_all(text, regex, F.lit(0))).otherwise(none)
     words = "|".join(WORDS[kind])
 
@@ -126,11 +131,13 @@ def _of_kind(kind: str, text: Column) -> Column:
             steps = F.zip_with(pieces, hits, lambda p, h: F.length(p).cast("long") + F.coalesce(F.length(h), F.lit(0)))
 
             def with_starts(before: Column) -> Column:
-                def with_tails(tails: Column) -> Column:
+                def with_sides(sides: Column) -> Column:
                     def near(i: Column) -> Column:
-                        # a match has two characters at least, so this many pieces and matches hold the window
-                        earlier = F.array_join(F.slice(tails, F.greatest(F.lit(1), i + 1 - CONTEXT // 2), F.least(i, F.lit(CONTEXT // 2))), "")
-                        return F.lower(_last(F.concat(earlier, _last(F.get(pieces, i)))))
+                        # a match has two characters at least, so this many pieces and matches hold each window
+                        earlier = F.array_join(F.slice(sides["tails"], F.greatest(F.lit(1), i + 1 - CONTEXT // 2), F.least(i, F.lit(CONTEXT // 2))), "")
+                        later = F.array_join(F.slice(sides["heads"], i + 2, F.lit(CONTEXT // 2)), "")
+                        # a line end keeps words of the two sides apart
+                        return F.lower(F.concat(_last(F.concat(earlier, _last(F.get(pieces, i)))), F.lit("\n"), _first(later)))
 
                     def span(hit: Column, i: Column) -> Column:
                         start = F.get(before, i) + F.length(F.get(pieces, i))
@@ -149,7 +156,9 @@ def _of_kind(kind: str, text: Column) -> Column:
 
                     return F.filter(F.transform(hits, span), lambda s: s["ok"])
 
-                return _let(F.zip_with(pieces, hits, lambda p, h: _last(F.concat(_last(p), F.coalesce(_last(h), F.lit(""))))), with_tails)
+                tails = F.zip_with(pieces, hits, lambda p, h: _last(F.concat(_last(p), F.coalesce(_last(h), F.lit("")))))
+                heads = F.zip_with(pieces, hits, lambda p, h: _first(F.concat(_first(p), F.coalesce(_first(h), F.lit("")))))
+                return _let(F.struct(tails.alias("tails"), heads.alias("heads")), with_sides)
 
             return _let(steps, lambda lengths: _let(_before(lengths), with_starts))
 
@@ -164,7 +173,7 @@ def find_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     Places count code points, ends are exclusive. Within a kind, matches are the leftmost that do not overlap; a match that
     fails its kind's check is dropped and not tried again shorter. Spans of the base kinds (email, ip, card, phone) are
     always returned and only get a score; a span of an added kind (iban, ssn, secret) is returned when its score, raised
-    by context words in the CONTEXT characters before it, is LEAST or more. A null or empty text has no spans; rows
+    by context words in the CONTEXT characters before or after it, is LEAST or more. A null or empty text has no spans; rows
     are independent, so ties and repeated rows each give their own; an empty table gives no rows. Only the two named
     columns are read.
     """
