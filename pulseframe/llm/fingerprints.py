@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm.common import small_batches, tasks
@@ -87,38 +89,59 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1)
 
 
+def _range(bounds: list[int]) -> Column:
+    """The number of bounds (falling) above `_id`, looked up in two steps: first among every STEP-th, then between those. Where several bounds equal `_id`, its
+    rows are dealt over as many ranges by `hash`."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = F.lit([bounds[i : i + step] for i in range(0, len(bounds), step)])
+    whole = F.size(F.filter(F.lit(bounds[step - 1 :: step]), lambda b: b > F.col("_id")))
+    # blocks whose last bound is above count whole; the next is looked into
+    rest = F.coalesce(F.size(F.filter(F.get(blocks, whole), lambda b: b > F.col("_id"))), F.lit(0))
+    at = whole * step + F.greatest(rest, F.lit(0))
+    hot = {b: k for b, k in Counter(bounds).items() if k > 1}
+    if hot:
+        share = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+        times = F.create_map(*[F.lit(x) for b, k in hot.items() for x in (b, k)])[F.col("_id")]
+        at = F.when(F.col("_id").isin(list(hot)), at + F.least(F.floor(share * times), times - 1)).otherwise(at)
+    return at.cast("int")
+
+
 def fingerprint_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of df: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A row's next is the row after it by descending doc_id, ties by text, a null doc_id last; after the last comes the first. The edited
-    text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next. A null text counts as
+    A row's next is the row after it by descending doc_id, ties by a hash of the text, then the text; a null doc_id comes last; after the last comes the
+    first. The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next. A null text counts as
     empty; texts without words are all alike and unlike any other. Rows that repeat follow each other; an empty table gives no rows.
     Only the two named columns are read.
 
-    The order is kept without a global sort: doc_id is cut into as many ranges as there are shuffle partitions, and the first row of
-    each range is sent along to the range before it; the driver sees one doc_id a range.
+    The order is kept without a global sort: doc_id is cut into as many ranges as there are shuffle partitions, each range is one partition, and the first
+    row of each is sent along to the one before it; the driver sees one doc_id a range. A doc_id with so many rows that several bounds fall on it is dealt over
+    as many ranges by the hash of its texts.
     """
     spark = df.sparkSession
     small_batches(spark)
     lowest = -(1 << 63)
-    d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = df.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("hash"))
     d = d.withColumn("_id", F.coalesce("doc_id", F.lit(lowest).cast("long")))
     n = tasks(spark)
-    bounds = sorted({int(x) for x in d.approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    above = F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > F.col("_id")) if bounds else F.array()
-    d = d.withColumn("_range", F.size(above))
-    heads = sorted((r[0], r[1]) for r in d.groupBy("_range").agg(F.max("_id")).collect())
+    bounds = sorted((int(x) for x in d.approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n)), reverse=True) if n > 1 else []
+    d = d.withColumn("range", _range(bounds))
+    # the first row of each range, and the range before it
+    heads = [(r["range"], r["head"]["_id"], -r["head"]["less"]) for r in d.groupBy("range").agg(F.max(F.struct("_id", (-F.col("hash").cast("decimal(20,0)")).alias("less"))).alias("head")).collect()]
+    heads.sort()
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    before = {f"{head}:{h}": heads[i - 1][0] for i, (_, head, h) in enumerate(heads)}
+    own = F.struct(F.col("range"), F.lit(0).alias("extra"))
+    to = F.array(own)
     if before:
-        sent = F.create_map(*[F.lit(x) for head, to in before.items() for x in (head, to)])[F.col("_id")]
-        own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("extra"))
+        sent = F.create_map(*[F.lit(x) for head, at in before.items() for x in (head, at)])[F.concat_ws(":", "_id", "hash")]
         also = F.struct(sent.cast("int").alias("range"), F.lit(1).alias("extra"))
-        d = d.withColumn("_to", F.explode(F.when(F.col("_id").isin(list(before)), F.array(own, also)).otherwise(F.array(own))))
-    else:
-        d = d.withColumn("_to", F.struct(F.col("_range").alias("range"), F.lit(0).alias("extra")))
-    d = d.select("doc_id", "_id", "text", F.col("_to.range").alias("range"), F.col("_to.extra").alias("extra"))
-    d = d.repartition(n, "range").sortWithinPartitions("range", "extra", F.desc("_id"), "text")
+        to = F.when(F.col("_id").isin([h[1] for h in heads]) & F.col("hash").isin([int(h[2]) for h in heads]), F.filter(F.array(own, also), lambda x: x["range"].isNotNull())).otherwise(to)
+    d = d.withColumn("_to", F.explode(to)).select("doc_id", "_id", "text", "hash", F.col("_to.range").alias("range"), F.col("_to.extra").alias("extra"))
+    d = d.repartitionById(n, "range").sortWithinPartitions("range", "extra", F.desc("_id"), "hash", "text")
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """rows: consecutive (doc_id, text, range, extra); the last is only the next of the one before it."""

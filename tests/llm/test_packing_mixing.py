@@ -111,7 +111,8 @@ def test_mixing_keeps_each_row(spark):
 def test_fingerprints(spark):
     data = [r for r in rows() if r[0] is not None]
     got = fingerprints.fingerprint_with_next(frame(spark, data)).collect()
-    order = sorted(data, key=lambda r: (-r[0], r[1] or ""))
+    hashes = {r.t: r.h for r in frame(spark, data).selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()}
+    order = sorted(data, key=lambda r: (-r[0], hashes[r[1] or ""], r[1] or ""))
     want = {}
     for r, nxt in zip(order, order[1:] + order[:1], strict=True):
         t, x = r[1] or "", nxt[1] or ""
@@ -127,6 +128,24 @@ def test_fingerprints(spark):
     assert one[0].near_next == 1
 
 
+def test_fingerprints_with_a_hot_doc_id(spark):
+    """A doc_id with half of all rows is dealt over several ranges; every row still has one next, and likenesses are those of the texts named."""
+    rng = random.Random(6)
+    data = [(5, words(rng, 30, 60), None, None, None, None, None) for _ in range(120)] + [(i, words(rng, 30, 60), None, None, None, None, None) for i in range(1000, 1100)] + [(None, "x y", *[None] * 5)]
+    d = frame(spark, data)
+    n = [r.asDict() for r in d.select("doc_id", "text", fingerprints.F.xxhash64("text").alias("hash")).collect()]
+    n.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["hash"], r["text"]))
+    got = fingerprints.fingerprint_with_next(d).collect()
+    assert len(got) == len(data)
+    want = []
+    for r, nxt in zip(n, n[1:] + n[:1], strict=True):
+        t, m = r["text"], len(r["text"]) // 3
+        edited = t[: len(t) - m] + nxt["text"][:m]
+        f = fingerprints.fingerprints([t, edited, nxt["text"]])
+        want.append((r["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest(), (f[0] == f[1]).mean(), (f[0] == f[2]).mean()))
+    assert sorted(want, key=str) == sorted(((g.doc_id, g.n_chars, g.edited_sha256, g.near_edited, g.near_next) for g in got), key=str)
+
+
 def test_collision_rate():
     rng = random.Random(1)
     errors = []
