@@ -14,12 +14,13 @@ from pulseframe.functions.graph import components
 from pulseframe.llm.common import cut, small_batches
 from pulseframe.llm.text import BASE, mix, word_hashes
 
-#: A token found in more sets than the first figure is combined by two, above the second by three.
-OFTEN = (32, 1024)
+#: A token found in more sets than the first figure is combined by two, above the second by three, and so on.
+OFTEN = (32, 1024, 32_768, 1_048_576)
 #: Sets that are compared in one go, their tokens, and the columns of a product.
 BLOCK, BLOCK_TOKENS, COLUMNS = 256, 200_000, 4096
-#: Components from this size fill blocks of their own, which needn't be compared with each other.
-TEAM = 64
+#: Components from this size fill blocks of their own, which needn't be compared with each other to find components; to count links, blocks
+#: of so many sets, of so many tokens, are.
+TEAM, TEAM_BLOCK, TEAM_TOKENS = 64, 1024, 1_000_000
 
 
 def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -72,7 +73,8 @@ def signatures(n: int, common: np.ndarray, df: np.ndarray, percent: int) -> np.n
         low = 1 << size - 1
         few = slack(low, percent)
         # about four tokens of a prefix fall into a subclass: combinations stay near the number of tokens
-        parts = np.array([0, 1, max(1, min(few // 2, low // 8)), max(1, min(3 * few // 4, low // 8))])
+        # all tokens together must take `missing` deletions: the subclasses cost k - 1 each, less than the tokens that slack leaves
+        parts = np.array([0, 1, *(max(1, x) for x in (min(few // 2, low // 8), min(3 * few // 4, low // 8), min(few, low // 12), min(few, low // 32)))])
         spread = (mix(t + np.uint64(size)) >> np.uint64(33)).astype(np.int64)
         cls = np.where(k == 1, -1, k * (1 << 40) + spread % parts[k])
         # a token counts once its class has k - 1 before it
@@ -96,9 +98,9 @@ def signatures(n: int, common: np.ndarray, df: np.ndarray, percent: int) -> np.n
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Positions of linked sets, as a spanning forest of the links; with side, between the two sides only. Intersections are
-    products of presence matrices over the shared tokens, some columns at a time."""
+def hits(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which sets link (upper triangle); with side, between the two sides only. Intersections are products of presence matrices over the shared
+    tokens, some columns at a time."""
     n = np.array([len(s) for s in sets], np.int64)
     kinds, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), n)
@@ -116,9 +118,12 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> lis
         inter += m @ m.T
     union = n[:, None] + n[None, :] - inter
     hit = np.triu((100 * inter >= percent * union) & (union > 0), 1)
-    if side is not None:
-        hit &= side[:, None] != side[None, :]
-    parent = list(range(len(sets)))
+    return hit if side is None else hit & (side[:, None] != side[None, :])
+
+
+def forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of linked sets, as a spanning forest of the links."""
+    parent = list(range(len(hit)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -135,28 +140,104 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> lis
     return out
 
 
-def _verify(percent: int):
-    """Links of a group of nodes: between its two sides, or among all if it has one side only."""
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of a with sets of b, counted over the tokens found on both sides."""
+    (ta, ra), (tb, rb) = ((np.concatenate([*x, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b))
+    common = np.intersect1d(ta, tb)
+    out = np.zeros(len(a) * len(b), np.int64)
+    sides = []
+    for t, r in ((ta, ra), (tb, rb)):
+        at = np.minimum(np.searchsorted(common, t), max(0, len(common) - 1))
+        keep = common[at] == t if len(common) else np.zeros(len(t), bool)
+        at, r = at[keep], r[keep]
+        order = np.argsort(at, kind="stable")
+        sides.append((r[order], np.bincount(at, minlength=len(common))))
+    (ra, ca), (rb, cb) = sides
+    starts = [np.cumsum(c) - c for c in (ca, cb)]
+    ends = np.cumsum(ca * cb)
+    first = 0
+    while first < len(common):  # some millions of meetings at once
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4_000_000)))
+        n = (ca * cb)[first:last]
+        token = np.repeat(np.arange(first, last), n)
+        within = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = ra[starts[0][token] + within // cb[token]], rb[starts[1][token] + within % cb[token]]
+        out += np.bincount(i * len(b) + j, minlength=len(out))
+        first = last
+    return out.reshape(len(a), len(b))
+
+
+def _token_lists(column) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
+
+
+def _verify(percent: int, count: bool = False):
+    """Links of a group of nodes: between its two sides, or among all if it has one side only. With count, also rows (node, node, weight of its links)."""
 
     def verify(group: pa.Table) -> pa.Table:
         nodes, side = group["node"].to_numpy(), group["side"].to_numpy()
         side = None if side.min() == side.max() else side
-        links = []
+        rows = []
         if len(nodes) > 1:
-            sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in group["tokens"]]
-            links = [(int(nodes[a]), int(nodes[b])) for a, b in forest(sets, side, percent) if nodes[a] != nodes[b]]
-        return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+            hit = hits(_token_lists(group["tokens"]), side, percent)
+            rows = [(int(nodes[a]), int(nodes[b]), None) for a, b in forest(hit) if nodes[a] != nodes[b]]
+            if count:
+                w = group["w"].to_numpy()
+                degree = hit @ w + w @ hit
+                rows += [(int(nodes[i]), int(nodes[i]), int(degree[i])) for i in np.flatnonzero(degree)]
+        return pa.table([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], ["a", "b", "degree"])
 
     return verify
 
 
-def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of df: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+def _team_degrees(team: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and degree: the weight of the links between members of one team (node, team). Members are held as their difference from the team's first set, as
+    |A and B| = |R| - |R without A| - |R without B| + |(A xor R) and (B xor R)|; blocks of them, a row each, meet in pairs, each pair in a task of its own."""
+    first = sets.select(F.col("node").alias("team"), F.col("tokens").alias("base")).groupBy("team").agg(F.max("base").alias("base"))
+    m = team.join(first.hint("merge"), "team").join(sets.hint("merge"), "node")
+    lost, won = F.array_except("base", "tokens"), F.array_except("tokens", "base")
+    m = m.select("team", "node", F.size("tokens").alias("n"), "w", F.size("base").alias("base"), F.size(lost).alias("lost"), F.concat(lost, won).alias("tokens"))
+    m = cut(m, "differences")
+    parts = m.groupBy("team").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TEAM_BLOCK)), F.ceil(F.sum(F.size("tokens")) / F.lit(TEAM_TOKENS))).cast("int").alias("parts"))
+    m = m.join(parts, "team").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        kept = group.select(["node", "n", "w", "base", "lost", "tokens"])
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_table(kept)
+        return pa.table([group[c][:1] for c in ("team", "part", "parts")] + [pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["team", "part", "parts", "rows"])
+
+    packs = m.groupBy("team", "part").applyInArrow(pack, "team long, part int, parts int, rows binary")
+    other = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = other.select("team", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rows")
+
+    def meet(group: pa.Table) -> pa.Table:
+        blocks = [pa.ipc.open_stream(r).read_all() for r in group["rows"].to_pylist()]
+        a, b = blocks[0], blocks[-1]
+        tokens = [_token_lists(t["tokens"]) for t in (a, b)]
+        (na, wa, la), (nb, wb, lb) = (tuple(t[c].to_numpy().astype(np.int64) for c in ("n", "w", "lost")) for t in (a, b))
+        inter = a["base"][0].as_py() - la[:, None] - lb[None, :] + overlaps(*tokens)
+        hit = 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
+        if len(blocks) == 1:
+            np.fill_diagonal(hit, False)
+            nodes, degree = a["node"].to_numpy(), hit @ wa
+        else:
+            nodes, degree = np.concatenate([a["node"].to_numpy(), b["node"].to_numpy()]), np.concatenate([hit @ wb, wa @ hit])
+        return pa.table([pa.array(nodes), pa.array(degree)], ["node", "degree"])
+
+    return pairs.groupBy("team", "x", "y").applyInArrow(meet, "node long, degree long")
+
+
+def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", count: bool = False) -> DataFrame:
+    """One row for each row of df: doc_id, n_shingles and component_id, the smallest doc_id reachable by links; with count=True also n_links, the
+    number of other rows that it links with.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of `words`-word shingles. A text with fewer words has its whole
     sequence as the one shingle; a null text or one without words has an empty set and links with nothing. Rows that share a doc_id are
     one document that has the links of each; a row without doc_id links with nothing and has no component. An empty table gives no
-    rows. Only the two named columns are read.
+    rows. Only the two named columns are read. n_links counts links to copies and to different texts alike; where a doc_id has several texts, its rows
+    count the links of all of them.
 
     1. Equal sets become one node, so copies cost nothing further.
     2. Screen: with tokens in hash order, linked sets share k tokens in their first slack + k; nodes that
@@ -165,6 +246,8 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     4. Nodes go to blocks, by their most shared signature and size. Blocks are verified inside, then against the blocks that
        share a signature with them and fit in size; blocks of one component already found need not meet. What comes out are spanning
        forests, so rows never grow with the square of a group, and no link between different components is lost.
+    5. To count links, each pair of sets meets in one pair of blocks at most: those of a team among themselves, as differences from its first set
+       (see _team_degrees), all others in step 4. What comes out is a sum a set and pair of blocks, weighted by the sets' copies.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100: below, small sets are too small for their prefixes")
@@ -187,8 +270,9 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
 
     s = cut(d.mapInArrow(describe, "doc_id long, n long, hi long, lo long, first array<long>"), "sets")
     # sets of equal size and digest are equal
-    equal = s.filter("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"))
-    members = s.drop("first").join(equal, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
+    equal = s.filter("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("w"))
+    copies = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(F.col("w") - 1, F.lit(0))).alias("copies")
+    members = s.drop("first").join(equal, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"), copies)
     members = cut(members, "members")
     nodes = s.join(equal.select("hi", "lo", F.col("node").alias("doc_id")), ["hi", "lo", "doc_id"], "left_semi")
     # fewer than this many tokens leave no room for a link between unlike sets
@@ -199,14 +283,19 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     m = F.ceil(F.col("n") * percent / F.lit(100))
     e = m - F.ceil(m * percent / F.lit(100))
     found = prefix.join(twice, "token").groupBy("node", "n").agg(F.count(F.lit(1)).alias("c"))
-    suspects = found.filter(F.col("c") >= F.floor(e / F.lit(2)) + 1).select("node").distinct()
+    suspects = found.filter(F.col("c") >= F.floor(e / F.lit(2)) + 1).select("node").distinct().join(equal.groupBy("node").agg(F.max("w").alias("w")), "node")
+    suspects = suspects.join(s.groupBy(F.col("doc_id").alias("node")).agg(F.count(F.lit(1)).alias("rows")), "node")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingles(b.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), b.column(2), b.column(3), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "n", "w", "rows", "tokens"])
 
-    sets = cut(d.join(cut(suspects, "suspects").hint("merge"), d["doc_id"] == F.col("node"), "left_semi").mapInArrow(tokens, "node long, n long, tokens array<long>"), "tokens")
+    suspected = d.join(cut(suspects, "suspects").hint("merge"), d["doc_id"] == F.col("node")).select("doc_id", "text", "w", "rows")
+    sets = cut(suspected.mapInArrow(tokens, "node long, n long, w long, rows long, tokens array<long>"), "tokens")
+    # a doc_id's equal rows are one set
+    again = sets.filter("rows > 1").groupBy("node", "n", "w", F.xxhash64("tokens").alias("digest")).agg(F.max("tokens").alias("tokens")).drop("digest")
+    sets = sets.filter("rows = 1").drop("rows").union(cut(again, "repeated"))
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     lists = each.join(shared, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("common"))
@@ -233,7 +322,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
 
     inside = blocks(home.withColumn("team", F.lit(-1).cast("long"))).select("node", "block")
     links = inside.join(sets, "node").select("block", "node", F.lit(0).alias("side"), "tokens")
-    links = links.groupBy("block").applyInArrow(_verify(percent), "a long, b long")
+    links = links.groupBy("block").applyInArrow(_verify(percent), "a long, b long, degree long").select("a", "b")
     links = cut(links, "links")
     known = components(links)
     size = known.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= TEAM)
@@ -256,8 +345,13 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     left, right = (F.struct(F.lit(i).alias("side"), F.col(c).alias("block")) for i, c in enumerate("xy"))
     sides = pairs.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(left)).otherwise(F.array(left, right))).alias("s"))
     sides = sides.select("x", "y", F.col("s.side").alias("side"), F.col("s.block").alias("block"))
-    meet = sides.join(placed.select("node", "block"), "block").join(sets.select("node", "tokens"), "node").select("x", "y", "side", "node", "tokens")
-    more = meet.groupBy("x", "y").applyInArrow(_verify(percent), "a long, b long")
-    final = components(links.union(more))
-    out = members.join(final, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    meet = sides.join(placed.select("node", "block"), "block").join(sets.select("node", "tokens", "w"), "node").select("x", "y", "side", "node", "tokens", "w")
+    more = cut(meet.groupBy("x", "y").applyInArrow(_verify(percent, count), "a long, b long, degree long"), "more-links")
+    final = components(links.union(more.filter("degree IS NULL").select("a", "b")))
+    out = members.join(final, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    if not count:
+        return out.select("doc_id", "n_shingles", "component_id")
+    degree = more.filter("degree IS NOT NULL").select(F.col("a").alias("node"), "degree")
+    degree = degree.union(_team_degrees(placed.filter("team <> -1").select("node", "team"), sets, percent))
+    degree = degree.groupBy("node").agg(F.sum("degree").alias("degree"))
+    return out.join(degree, "node", "left").select("doc_id", "n_shingles", "component_id", (F.col("copies") + F.coalesce("degree", F.lit(0))).alias("n_links"))

@@ -35,7 +35,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=90)
+    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=90, count=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def family(seed):
 
 def brute(data, n, percent):
     s = sets(data, n)
-    parent = {i: i for i in s}
+    parent, links = {i: i for i in s}, dict.fromkeys(s, 0)
 
     def find(x):
         while parent[x] != x:
@@ -77,23 +77,39 @@ def brute(data, n, percent):
         if both and 100 * both >= percent * len(s[a] | s[b]):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    return {i: (len(s[i]), find(i) if i is not None else None) for i in s}
+            links[a] += 1
+            links[b] += 1
+    return {i: (len(s[i]), find(i) if i is not None else None, links[i]) for i in s}
 
 
 def test_near_groups(spark, monkeypatch):
-    for data, n, percent in ((rows(), 3, 90), (family(1), 3, 90), (family(2), 5, 80)):
-        got = njoin.near_groups(frame(spark, data), n, percent).collect()
+    repeated = sum(r[0] == 1 for r in rows()) - 1
+    for data, n, percent, team, block in ((rows(), 3, 90, 64, 1024), (family(1), 3, 90, 16, 20), (family(2), 5, 80, 64, 1024)):
+        monkeypatch.setattr(njoin, "TEAM", team)
+        monkeypatch.setattr(njoin, "TEAM_BLOCK", block)
+        got = njoin.near_groups(frame(spark, data), n, percent, count=True).collect()
         want = brute(data, n, percent)
         assert len(got) == len(data)
         for g in got:
-            assert (g.n_shingles, g.component_id) == want[g.doc_id], g.doc_id
+            size, component, links = want[g.doc_id]
+            if data[0] == rows()[0]:  # the row that repeats is one link more for each row of its group
+                links += repeated * (component == 1)
+            assert (g.n_shingles, g.component_id, g.n_links) == (size, component, links), g.doc_id
     assert njoin.near_groups(frame(spark, [])).count() == 0
+    assert njoin.near_groups(frame(spark, []), count=True).count() == 0
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(k)] for k in (9, 13))
+    assert (njoin.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    assert njoin.overlaps([], b).shape == (0, 13)
 
 
 def test_signatures_never_miss(monkeypatch):
-    monkeypatch.setattr(njoin, "OFTEN", (2, 6))
     rng = np.random.default_rng(5)
-    for _ in range(300):
+    for often in [(2, 6), (2, 4, 6, 8), (1, 1, 1, 5), njoin.OFTEN] * 100:
+        monkeypatch.setattr(njoin, "OFTEN", often)
         n = int(rng.integers(9, 300))
         percent = int(rng.choice([80, 90]))
         a = np.unique(rng.integers(1, 2**62, n).astype(np.uint64))
