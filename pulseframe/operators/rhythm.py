@@ -1,22 +1,23 @@
-"""Intervals between beats and what follows from them. Beats have page, beat_id, t_ms, and for some operators lead and value."""
+"""Intervals between beats and what follows from them. Beats have case_id, page, beat_id, t_ms, and for some operators lead and value.
+
+Intervals never cross a page; medians, spreads and limits are the case's. A case is one animal's few sheets, so a window over a case is small."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulseframe.functions.exprs import sd
 from pulseframe.plans import constants as C
 
 
 def by_page():
     """A page's beats in order of time."""
-    return W.partitionBy("page").orderBy("t_ms", "beat_id")
+    return W.partitionBy("case_id", "page").orderBy("t_ms", "beat_id")
 
 
-def whole_page():
-    return W.partitionBy("page")
+def whole_case():
+    return W.partitionBy("case_id")
 
 
 def rr(beats: DataFrame) -> DataFrame:
@@ -42,9 +43,9 @@ def heart_rate(beats: DataFrame) -> DataFrame:
 
 
 def with_median(beats: DataFrame) -> DataFrame:
-    """rr, and the page's median interval (null for fewer than LEAST_RR intervals)."""
+    """rr, and the case's median interval (null for fewer than LEAST_RR intervals)."""
     b = rr(beats)
-    return b.withColumn("median_rr", F.when(F.count("rr_ms").over(whole_page()) >= C.LEAST_RR, F.median("rr_ms").over(whole_page())))
+    return b.withColumn("median_rr", F.when(F.count("rr_ms").over(whole_case()) >= C.LEAST_RR, F.median("rr_ms").over(whole_case())))
 
 
 def premature(beats: DataFrame) -> DataFrame:
@@ -52,44 +53,75 @@ def premature(beats: DataFrame) -> DataFrame:
     return with_median(beats).withColumn("premature", F.coalesce(F.col("rr_ms") < C.EARLY * F.col("median_rr"), F.lit(False)))
 
 
-def variation(flagged: DataFrame, flag: str = "premature") -> DataFrame:
-    """By page: cv (sample deviation over mean) and max_change (ms) over intervals with no flagged end; a change counts between neighbouring such intervals."""
+def _counted(flagged: DataFrame, flag: str) -> DataFrame:
+    """Add _rr, the interval if neither of its ends is flagged, and _change, its difference to such an interval just before it."""
     b = flagged.withColumn("_ok", F.col("rr_ms").isNotNull() & ~F.col(flag) & ~F.coalesce(F.lag(flag).over(by_page()), F.lit(False)))
     b = b.withColumn("_rr", F.when(F.col("_ok"), F.col("rr_ms")))
-    b = b.withColumn("_change", F.when(F.col("_ok") & F.lag("_ok").over(by_page()), F.abs(F.col("rr_ms") - F.lag("rr_ms").over(by_page()))))
-    return b.groupBy("page").agg((sd(F.col("_rr")) / F.avg("_rr")).alias("cv"), F.coalesce(F.max("_change"), F.lit(0.0)).alias("max_change"), F.count("_rr").alias("n"))
+    return b.withColumn("_change", F.when(F.col("_ok") & F.lag("_ok").over(by_page()), F.abs(F.col("rr_ms") - F.lag("rr_ms").over(by_page()))))
+
+
+def _spread(over=lambda c: c) -> tuple[Column, Column]:
+    """cv (sample deviation over mean, 0 without intervals) and greatest change of _counted's intervals, as aggregates or over a window."""
+    mean = over(F.avg("_rr"))
+    cv = F.when(mean > 0, F.coalesce(over(F.stddev_samp("_rr")), F.lit(0.0)) / mean).otherwise(0.0)
+    return cv, F.coalesce(over(F.max("_change")), F.lit(0.0))
+
+
+def variation(flagged: DataFrame, flag: str = "premature") -> DataFrame:
+    """By case: cv (sample deviation over mean) and max_change (ms) over intervals with no flagged end; a change counts between neighbouring such intervals."""
+    cv, change = _spread()
+    return _counted(flagged, flag).groupBy("case_id").agg(cv.alias("cv"), change.alias("max_change"), F.count("_rr").alias("n"))
+
+
+def arrhythmic(cv: Column, max_change: Column, species: str = "dog") -> Column:
+    """Sinus arrhythmia by the spread of intervals."""
+    t = C.THRESHOLDS[species]
+    return (cv > t["variation"]) | (max_change >= t["change_ms"])
+
+
+def premature_corrected(beats: DataFrame, pq: str = "value", species: str = "dog") -> DataFrame:
+    """premature, corrected for sinus arrhythmia: where the case's remaining intervals vary that much, a candidate stays
+    only without a P wave (null pq) or with a pq beyond PQ_TOLERANCE of the case's median pq of other beats; without such a median candidates stay.
+
+    All sums of a case are windows over it, so beats are shuffled once by case."""
+    b = _counted(premature(beats), "premature")
+    cv, change = _spread(lambda c: c.over(whole_case()))
+    b = b.withColumn("_arrhythmia", arrhythmic(cv, change, species))
+    ref = F.median(F.when(~F.col("premature"), F.col(pq))).over(whole_case())
+    b = b.withColumn("_odd", F.col(pq).isNull() | ref.isNull() | (F.abs(F.col(pq) - ref) > C.PQ_TOLERANCE * ref))
+    b = b.withColumn("candidate", F.col("premature")).withColumn("premature", F.col("candidate") & (~F.col("_arrhythmia") | F.col("_odd")))
+    return b.drop("_ok", "_rr", "_change", "_arrhythmia", "_odd")
+
 
+def pauses(beats: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
+    """Intervals of at least PAUSE medians of all the case's intervals (two at least) whose earlier beat is not premature."""
+    b = premature(beats) if flagged is None else flagged
+    b = b.withColumn("_after", F.coalesce(F.lag("premature").over(by_page()), F.lit(False)))
+    b = b.withColumn("_limit", F.when(F.count("rr_ms").over(whole_case()) >= C.PAUSE_RR, C.PAUSE * F.median("rr_ms").over(whole_case())))
+    return b.filter((F.col("rr_ms") >= F.col("_limit")) & ~F.col("_after")).drop("_after", "_limit")
 
-def premature_corrected(beats: DataFrame, pq: str = "value") -> DataFrame:
-    """premature, corrected for sinus arrhythmia: where the remaining intervals vary that much (VARIATION or CHANGE_MS), a candidate stays
-    only without a P wave (null pq) or with a pq beyond PQ_TOLERANCE of the page's median pq of other beats; without such a median candidates stay."""
-    c = premature(beats)
-    v = variation(c).select("page", (F.coalesce(F.col("cv"), F.lit(0.0)) > C.VARIATION) | (F.col("max_change") >= C.CHANGE_MS))
-    v = v.toDF("page", "arrhythmia")
-    ref = c.groupBy("page").agg(F.median(F.when(~F.col("premature"), F.col(pq))).alias("ref"))
-    c = c.join(v, "page").join(ref, "page")
-    odd = F.col(pq).isNull() | F.col("ref").isNull() | (F.abs(F.col(pq) - F.col("ref")) > C.PQ_TOLERANCE * F.col("ref"))
-    return c.withColumn("candidate", F.col("premature")).withColumn("premature", F.col("candidate") & (~F.col("arrhythmia") | odd)).drop("arrhythmia", "ref")
 
+def stretches(flagged: DataFrame, flag: str, least: int = C.RUN) -> DataFrame:
+    """Beats in runs of at least `least` neighbouring flagged beats of a page, with _island, the run's number on the page, and _size."""
+    b = flagged.filter(flag)
+    b = b.withColumn("_island", F.col("beat_index") - F.row_number().over(W.partitionBy("case_id", "page").orderBy("beat_index")))
+    return b.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy("case_id", "page", "_island"))).filter(F.col("_size") >= least)
 
-def pauses(beats: DataFrame) -> DataFrame:
-    """Intervals of at least PAUSE medians whose earlier beat is not premature."""
-    b = premature(beats).withColumn("after_premature", F.coalesce(F.lag("premature").over(by_page()), F.lit(False)))
-    return b.filter((F.col("rr_ms") >= C.PAUSE * F.col("median_rr")) & ~F.col("after_premature"))
 
+def _lasting(first: Column, last: Column, n: Column, end: Column) -> Column:
+    """From a run's first to its last beat and one mean interval within it more, to the end of the recording at most."""
+    return F.least(last - first + (last - first) / (n - 1), F.greatest(F.lit(0.0), end - first))
 
-def runs(flagged: DataFrame, flag: str = "premature", least: int = C.RUN) -> DataFrame:
-    """Runs of at least `least` neighbouring flagged beats: page, first_index, n, start_ms, end_ms, kind (the most frequent lead, first seen on ties), duration_ms.
 
-    A run lasts from its first to its last beat and one mean interval within it more, to the page's last beat at most."""
-    b = flagged.withColumn("_end", F.max("t_ms").over(whole_page())).filter(flag)
-    b = b.withColumn("_island", F.col("beat_index") - F.row_number().over(W.partitionBy("page").orderBy("beat_index")))
+def runs(flagged: DataFrame, ends: DataFrame, flag: str = "premature", least: int = C.RUN) -> DataFrame:
+    """Runs of at least `least` neighbouring flagged beats: page, first_index, n, start_ms, end_ms, kind (the most frequent lead, first seen on ties),
+    duration_ms. ends: case_id and end_ms, the end of the case's recording."""
+    b = stretches(flagged, flag, least)
     kinds = b.groupBy("page", "_island", "lead").agg(F.count(F.lit(1)).alias("c"), F.min("beat_index").alias("seen"))
     kinds = kinds.groupBy("page", "_island").agg(F.max_by("lead", F.struct("c", -F.col("seen"))).alias("kind"))
-    r = b.groupBy("page", "_island").agg(F.min("beat_index").alias("first_index"), F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.max("_end").alias("_last"))
-    r = r.filter(F.col("n") >= least).join(kinds, ["page", "_island"])
-    span = F.col("end_ms") - F.col("start_ms")
-    return r.withColumn("duration_ms", F.least(span + span / (F.col("n") - 1), F.col("_last") - F.col("start_ms"))).drop("_island", "_last")
+    r = b.groupBy("case_id", "page", "_island").agg(F.min("beat_index").alias("first_index"), F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"))
+    r = r.join(kinds, ["page", "_island"]).join(ends.withColumnRenamed("end_ms", "_end"), "case_id")
+    return r.withColumn("duration_ms", _lasting(F.col("start_ms"), F.col("end_ms"), F.col("n"), F.col("_end"))).drop("_island", "_end")
 
 
 def coupling(beats: DataFrame) -> DataFrame:

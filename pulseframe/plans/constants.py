@@ -3,11 +3,23 @@
 #: Confidence from which a value is reliable; sampling rate.
 RELIABLE, HZ = 0.6, 500.0
 
-#: Shares of the median interval below which a beat is premature and from which there is a pause; least intervals; shortest run.
-EARLY, PAUSE, LEAST_RR, RUN = 0.8, 2.0, 3, 3
+#: Shares of the median interval below which a beat is premature and from which there is a pause; least intervals for each; shortest run.
+EARLY, PAUSE, LEAST_RR, PAUSE_RR, RUN = 0.8, 2.0, 3, 2, 3
 
-#: Sinus arrhythmia from this coefficient of variation or this change (ms); tolerance of PQ.
-VARIATION, CHANGE_MS, PQ_TOLERANCE = 0.1, 120.0, 0.2
+#: Tolerance of PQ; by species sinus arrhythmia from this coefficient of variation or this change (ms), a wide and a surely wide QRS (s),
+#: widening by print at the onset and the end (ms), the ST point after J (ms).
+PQ_TOLERANCE = 0.2
+THRESHOLDS = {
+    "dog": {"variation": 0.1, "change_ms": 120.0, "wide_s": 0.07, "sure_wide_s": 0.08, "widen_on_ms": 9.3, "widen_off_ms": 7.7, "st_ms": 60.0},
+    "cat": {"variation": 0.1, "change_ms": 100.0, "wide_s": 0.04, "sure_wide_s": 0.05, "widen_on_ms": 12.0, "widen_off_ms": 9.8, "st_ms": 40.0},
+}
+#: Rhythm: least beats, share with P and stable PQ, deviants, precision of PQ in pixels and the default pixel (ms); morphology and template.
+TYPE_BEATS, P_SHARE, DEVIANTS, PQ_PX, MS_PER_PX = 3, 0.9, 2, 4, 1000 / (4.305 * 50)
+SAME_SHAPE, TEMPLATE_BEATS, SMALL_AREA = 0.8, 3, 0.2
+#: Reasons that keep a beat out of measurements; reasons for which a missing P was not assessed; slope of the QT correction.
+EXCLUDING = ("hr_implausible", "printed_hr_mismatch", "printed_hr_unverified")
+NOT_ASSESSABLE = ("p_window_too_short", "p_lobe_outside_window", "p_duration_out_of_range")
+QTC_SLOPE, WAVE_PX, MV_PER_PX = 0.087, 2, 1 / (4.305 * 10)
 
 #: Norms by profile and parameter. (profile, key, unit, low, high, border low, border high, rule); rule: range, abs, abs_fraction (of R), abs_sign
 #: (negative is border), border (never worse than border).

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulseframe.functions.exprs import half_up, plural, significant
 from pulseframe.kernels import bridge
 from pulseframe.operators import case, norms, rhythm, signals, spans
+from pulseframe.plans import registry
 from pulseframe.sources import tables as T
 from pulseframe.streaming import rates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
 def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = (WITH + sql) if sql.lstrip().startswith(",") else sql
-        return f
-
-    return add
+    return registry.query(sql, WITH if sql and sql.lstrip().startswith(",") else "")
 
 
 def r6(c: str, name: str | None = None):
@@ -35,9 +21,9 @@ def r6(c: str, name: str | None = None):
 
 
 #: What the rhythm queries' SQL starts from.
-WITH = """WITH b AS (SELECT user_id AS page, event_id AS beat_id, epoch_us(ts) / 1000.0::DOUBLE AS t, event_type AS lead, value FROM events),
+WITH = """WITH b AS (SELECT user_id // 4 AS case_id, user_id AS page, event_id AS beat_id, epoch_us(ts) / 1000.0::DOUBLE AS t, event_type AS lead, value FROM events),
 rr AS (SELECT *, row_number() OVER w - 1 AS i, t - lag(t) OVER w AS rr FROM b WINDOW w AS (PARTITION BY page ORDER BY t, beat_id)),
-m AS (SELECT *, CASE WHEN count(rr) OVER (PARTITION BY page) >= 3 THEN median(rr) OVER (PARTITION BY page) END AS med FROM rr),
+m AS (SELECT *, CASE WHEN count(rr) OVER (PARTITION BY case_id) >= 3 THEN median(rr) OVER (PARTITION BY case_id) END AS med FROM rr),
 p AS (SELECT *, coalesce(rr < 0.8 * med, false) AS early FROM m)
 """
 
@@ -58,9 +44,9 @@ def hr_summary(spark, sf):
     return h.select("page", "n_rr", *[F.round(c, 9).alias(c) for c in ("hr_mean", "hr_min", "hr_max")])
 
 
-@query(", x AS (SELECT DISTINCT page, round(med, 6) AS median_rr FROM m) SELECT * FROM x")
+@query(", x AS (SELECT DISTINCT case_id, round(med, 6) AS median_rr FROM m) SELECT * FROM x")
 def rr_median_gate(spark, sf):
-    return rhythm.with_median(T.beats(spark, sf)).groupBy("page").agg(F.round(F.max("median_rr"), 6).alias("median_rr"))
+    return rhythm.with_median(T.beats(spark, sf)).groupBy("case_id").agg(F.round(F.max("median_rr"), 6).alias("median_rr"))
 
 
 @query(", x AS (SELECT page, beat_id, early AS premature FROM p) SELECT * FROM x")
@@ -70,23 +56,24 @@ def premature_flags(spark, sf):
 
 COUNTED = """, k AS (SELECT *, rr IS NOT NULL AND NOT early AND NOT coalesce(lag(early) OVER w, false) AS ok FROM p WINDOW w AS (PARTITION BY page ORDER BY t, beat_id)),
 d AS (SELECT *, CASE WHEN ok AND lag(ok) OVER w THEN abs(rr - lag(rr) OVER w) END AS change FROM k WINDOW w AS (PARTITION BY page ORDER BY t, beat_id)),
-v AS (SELECT page, coalesce(stddev_samp(rr) FILTER (ok), 0) / avg(rr) FILTER (ok) AS cv, coalesce(max(change), 0) AS max_change, count(*) FILTER (ok) AS n FROM d GROUP BY page)"""
+v AS (SELECT case_id, coalesce(coalesce(stddev_samp(rr) FILTER (ok), 0) / avg(rr) FILTER (ok), 0) AS cv, coalesce(max(change), 0) AS max_change, count(*) FILTER (ok) AS n FROM d GROUP BY case_id)"""
 
 
-@query(COUNTED + " SELECT page, round(cv, 6) AS cv, round(max_change, 6) AS max_change, n FROM v")
+@query(COUNTED + " SELECT case_id, round(cv, 6) AS cv, round(max_change, 6) AS max_change, n FROM v")
 def rr_variation(spark, sf):
-    return rhythm.variation(rhythm.premature(T.beats(spark, sf))).select("page", r6("cv"), r6("max_change"), "n")
+    return rhythm.variation(rhythm.premature(T.beats(spark, sf))).select("case_id", r6("cv"), r6("max_change"), "n")
 
 
-@query(COUNTED + """, q AS (SELECT page, median(value) FILTER (NOT early) AS ref FROM p GROUP BY page)
+@query(COUNTED + """, q AS (SELECT case_id, median(value) FILTER (NOT early) AS ref FROM p GROUP BY case_id)
 SELECT p.page, beat_id, early AS candidate,
        early AND (NOT (coalesce(cv, 0) > 0.1 OR max_change >= 120) OR value IS NULL OR ref IS NULL OR abs(value - ref) > 0.2 * ref) AS premature
-FROM p JOIN v USING (page) JOIN q USING (page)""")
+FROM p JOIN v USING (case_id) JOIN q USING (case_id)""")
 def premature_corrected(spark, sf):
     return rhythm.premature_corrected(T.beats(spark, sf)).select("page", "beat_id", "candidate", "premature")
 
 
-@query(", x AS (SELECT *, coalesce(lag(early) OVER (PARTITION BY page ORDER BY t, beat_id), false) AS after FROM p) SELECT page, beat_id, round(rr, 3) AS rr_ms FROM x WHERE rr >= 2 * med AND NOT after")
+@query(""", x AS (SELECT *, coalesce(lag(early) OVER (PARTITION BY page ORDER BY t, beat_id), false) AS after, median(rr) OVER (PARTITION BY case_id) AS m2, count(rr) OVER (PARTITION BY case_id) AS n FROM p)
+SELECT page, beat_id, round(rr, 3) AS rr_ms FROM x WHERE n >= 2 AND rr >= 2 * m2 AND NOT after""")
 def pauses(spark, sf):
     return rhythm.pauses(T.beats(spark, sf)).select("page", "beat_id", F.round("rr_ms", 3).alias("rr_ms"))
 
@@ -94,11 +81,13 @@ def pauses(spark, sf):
 @query(""", x AS (SELECT *, i - row_number() OVER (PARTITION BY page ORDER BY i) AS g FROM p WHERE early),
 c AS (SELECT page, g, lead, count(*) AS c, min(i) AS s FROM x GROUP BY ALL),
 k AS (SELECT page, g, first(lead ORDER BY c DESC, s) AS kind FROM c GROUP BY page, g),
-e AS (SELECT page, max(t) AS last FROM b GROUP BY page),
-r AS (SELECT page, g, min(i) AS first_index, count(*) AS n, min(t) AS a, max(t) AS z FROM x GROUP BY page, g HAVING count(*) >= 3)
-SELECT page, first_index, n, kind, round(least((z - a) + (z - a) / (n - 1), last - a), 6) AS duration_ms FROM r JOIN k USING (page, g) JOIN e USING (page)""")
+e AS (SELECT case_id, max(t) + 600000 AS last FROM b GROUP BY case_id),
+r AS (SELECT case_id, page, g, min(i) AS first_index, count(*) AS n, min(t) AS a, max(t) AS z FROM x GROUP BY case_id, page, g HAVING count(*) >= 3)
+SELECT page, first_index, n, kind, round(least((z - a) + (z - a) / (n - 1), last - a), 6) AS duration_ms FROM r JOIN k USING (page, g) JOIN e USING (case_id)""")
 def ectopic_runs(spark, sf):
-    return rhythm.runs(rhythm.premature(T.beats(spark, sf))).select("page", "first_index", "n", "kind", r6("duration_ms"))
+    b = T.beats(spark, sf)
+    ends = b.groupBy("case_id").agg((F.max("t_ms") + 600_000).alias("end_ms"))
+    return rhythm.runs(rhythm.premature(b), ends).select("page", "first_index", "n", "kind", r6("duration_ms"))
 
 
 @query(""", x AS (SELECT *, last_value(CASE WHEN NOT early THEN t END IGNORE NULLS) OVER (PARTITION BY page ORDER BY t, beat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)

@@ -15,8 +15,37 @@ def millis(ts) -> F.Column:
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as beats: page, beat_id, t_ms, lead, value."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("beat_id"), millis("ts").alias("t_ms"), F.col("event_type").alias("lead"), "value")
+    """events as beats: case_id (four pages a case), page, beat_id, t_ms, lead, value."""
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 4).alias("case_id"), F.col("user_id").alias("page"), F.col("event_id").alias("beat_id"), millis("ts").alias("t_ms"), F.col("event_type").alias("lead"), "value")
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as marked beats of sheets at about 600 ms, with early beats, bursts and pauses: case_id, page, beat_id, i (place in the page), t_ms, t_ii_ms, confidence, reasons,
+    ii_confidence, q_on, s_off, p_found, p_on, d_confidence, d_reasons, rho, area_i, area_f. All follow from the ids."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("page").orderBy("ts", "beat_id")
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 4).alias("case_id"), F.col("user_id").alias("page"), F.col("event_id").alias("beat_id"), "ts", "value")
+    e = e.withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    k, burst = F.col("beat_id"), (F.col("i") % 40).between(20, 23)
+    step = F.when(burst, 300).when(k % 17 == 0, 380).when(k % 31 == 0, 1400).otherwise(600 + (k % 40) * (1 + F.col("case_id") % 3 * 3)).cast("double")
+    e = e.withColumn("_step", step).withColumn("t_ms", F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    none = F.lit(None).cast("double")
+    q_on = F.when(k % 19 != 0, F.col("t_ms") - 20 - k % 15)
+    return e.select(
+        "case_id", "page", "beat_id", "i", "t_ms", "value",
+        F.when((F.col("page") % 6 <= 4) & (k % 13 != 0), F.col("t_ms") + k % 3).otherwise(none).alias("t_ii_ms"),
+        (1 - 1 / (1 + F.col("value"))).alias("confidence"),
+        F.array_compact(F.array(F.when(k % 11 == 0, "hr_implausible"), F.when(k % 13 == 0, "lead_ii_unreliable"))).alias("reasons"),
+        (1 - F.col("page") % 6 / 10.0).alias("ii_confidence"),
+        q_on.alias("q_on"), F.when(k % 19 != 0, F.col("t_ms") + 25 + k % 17).alias("s_off"),
+        ((k % 5 != 0) & ~(F.col("i") % 40).between(30, 34)).alias("p_found"),
+        F.when((k % 5 != 0) & ~(F.col("i") % 40).between(30, 34), q_on - 60 - k % F.when(F.col("case_id") % 2 == 0, 10).otherwise(50)).alias("p_on"),
+        (1 - k % 10 / 20.0).alias("d_confidence"),
+        F.array_compact(F.array(F.when(k % 10 == 5, "p_window_too_short"), F.when(k % 23 == 0, "unreliable_segment"))).alias("d_reasons"),
+        (1 - k % 7 / 10.0).alias("rho"),
+        F.when(k % 29 != 0, (k % 9 - 4) * 10.0).alias("area_i"), F.when(k % 37 != 0, (k % 8 - 3) * 12.0).alias("area_f"),
+    )
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pulseframe.plans.queries import QUERIES, SQL
+from pulseframe.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
