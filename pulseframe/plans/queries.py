@@ -363,9 +363,10 @@ def relabel_conflict(spark, sf):
     return case.relabelled(slots, edits)
 
 
-@query("SELECT page_id, CASE WHEN html LIKE '%%PDF%%' THEN 'pdf' WHEN lower(split_part(url, '?', 1)) LIKE '%.jpg' OR lower(split_part(url, '?', 1)) LIKE '%.jpeg' THEN 'jpeg' WHEN lower(split_part(url, '?', 1)) LIKE '%.png' THEN 'png' WHEN lower(split_part(url, '?', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages".replace("html LIKE '%%PDF%%'", "starts_with(html, '%PDF')"))
+@query("SELECT page_id, CASE WHEN starts_with(html, '%PDF') OR lower(split_part(url, '?', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages")
 def file_kind(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", T.file_kind(F.substring_index("url", "?", 1), F.when(F.substring("html", 1, 4) == "%PDF", F.col("html").cast("binary"))).alias("kind"))
+    """Pages of HTML: none is an image, whatever its name says."""
+    return T.table(spark, sf, "pages").select("page_id", T.file_kind(F.substring_index("url", "?", 1), F.lit(None).cast("string"), F.col("html").cast("binary")).alias("kind"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS w FROM documents) SELECT doc_id, len(w) AS n, coalesce(list_max(list_transform(w, lambda v: length(v))), 0) AS longest FROM x""")

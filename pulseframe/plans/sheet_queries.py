@@ -1 +1,236 @@
-"""Registered queries on sheets: files, layout, words, page assembly, overlay."""
+"""Registered queries on sheets: files, layout, words, page assembly, overlay. Boxes come from lineitem, traces from embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulseframe.operators import overlay, pages, rhythm, spans
+from pulseframe.plans.registry import query
+from pulseframe.sources import tables as T
+
+POINTS = """WITH e AS (SELECT vec_id AS trace, unnest(embedding::DOUBLE[]) AS y, (generate_subscripts(embedding, 1) - 1)::DOUBLE AS x FROM embeddings),
+s AS (SELECT vec_id AS trace, i AS span, ['gap', 'clipped', 'ambiguous'][1 + ((vec_id + i) % 3)::INTEGER] AS kind, (vec_id * (i + 3) % 50)::DOUBLE AS x0, (vec_id * (i + 3) % 50 + vec_id % 7 + i)::DOUBLE AS x1 FROM embeddings, generate_series(0, 2) AS g(i))
+"""
+
+
+def _points(spark, sf):
+    return T.signals(spark, sf).select(F.col("lead").alias("trace"), F.posexplode("mv").alias("x", "y")).withColumn("x", F.col("x").cast("double"))
+
+
+def _spans(spark, sf):
+    v, i = F.col("trace"), F.col("span")
+    s = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("trace"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("span"))
+    kinds = F.array(F.lit("gap"), F.lit("clipped"), F.lit("ambiguous"))
+    return s.select("trace", F.col("span").cast("long").alias("span"), F.get(kinds, ((v + i) % 3).cast("int")).alias("kind"), (v * (i + 3) % 50).cast("double").alias("x0"), (v * (i + 3) % 50 + v % 7 + i).cast("double").alias("x1"))
+
+
+@query(POINTS + """, p AS (SELECT *, lag(x) OVER (PARTITION BY e.trace ORDER BY x) AS before FROM e),
+h AS (SELECT p.trace, p.x, max(CASE s.kind WHEN 'clipped' THEN 2 ELSE 1 END) AS k FROM p JOIN s ON p.trace = s.trace AND s.kind <> 'ambiguous' AND s.x0 < p.x AND s.x1 > p.before GROUP BY ALL),
+b AS (SELECT e.trace, e.x, CASE k WHEN 2 THEN 'clipped' WHEN 1 THEN 'gap' END AS bridge FROM e LEFT JOIN h USING (trace, x)) SELECT trace, x, bridge, count(bridge) OVER (PARTITION BY trace ORDER BY x) AS piece FROM b""")
+def curve_segments(spark, sf):
+    return overlay.segments(_points(spark, sf), _spans(spark, sf)).select("trace", "x", "bridge", "piece")
+
+
+@query(POINTS + ", x AS (SELECT s.trace, s.span, count(*) AS n FROM e JOIN s ON e.trace = s.trace AND kind = 'ambiguous' AND x BETWEEN x0 - 0.5 AND x1 + 0.5 GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM x")
+def ambiguous_segments(spark, sf):
+    return overlay.ambiguous(_points(spark, sf), _spans(spark, sf))
+
+
+@query(POINTS + """, q AS (SELECT DISTINCT trace, x0 * 1.5 - 3.25 AS x FROM s), z AS (SELECT trace, max(x) AS last FROM e GROUP BY trace)
+SELECT q.trace, q.x, round(CASE WHEN q.x <= 0 THEN a0.y WHEN q.x >= last THEN az.y ELSE lo.y + (hi.y - lo.y) * (q.x - lo.x) END, 6) AS y FROM q JOIN z USING (trace) JOIN e a0 ON a0.trace = q.trace AND a0.x = 0 JOIN e az ON az.trace = q.trace AND az.x = last
+LEFT JOIN e lo ON lo.trace = q.trace AND lo.x = floor(q.x) LEFT JOIN e hi ON hi.trace = q.trace AND hi.x = floor(q.x) + 1""")
+def height_on_trace(spark, sf):
+    q = _spans(spark, sf).select("trace", (F.col("x0") * 1.5 - 3.25).alias("x")).distinct()
+    return overlay.on_trace(_points(spark, sf), q).select("trace", "x", F.round("y", 6).alias("y"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS sheet, 40.0::DOUBLE + o_orderkey % 10 AS x0, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 4.0 + (o_orderkey % 50) / 100.0 END::DOUBLE AS px, 25.0::DOUBLE * (1 + o_orderkey % 3) AS speed, o_totalprice / 100 AS t FROM orders),
+k AS (SELECT *, CASE WHEN px * speed / 1000 > 0 THEN px * speed / 1000 ELSE 0 END AS s FROM o) SELECT sheet, round(s, 9) AS scale, round(x0 + t * s, 6) AS x, round(CASE WHEN s > 0 THEN (t - x0) / s ELSE 0 END, 4) AS back, round(sqrt((t - x0) * (t - x0) + px * px) / 5, 6) AS px_mm FROM k""")
+def time_axis(spark, sf):
+    k = F.col("o_orderkey")
+    o = T.table(spark, sf, "orders").select(k.alias("sheet"), (40.0 + k % 10).alias("x0"), F.when(k % 9 == 0, 0.0).otherwise(4.0 + (k % 50) / 100.0).alias("px"), (25.0 * (1 + k % 3)).alias("speed"), (F.col("o_totalprice") / 100).alias("t"))
+    s = overlay.px_per_ms(F.col("px"), F.col("speed"))
+    return o.select("sheet", F.round(s, 9).alias("scale"), F.round(overlay.time_to_x(F.col("x0"), s, F.col("t")), 6).alias("x"), F.round(overlay.x_to_time(F.col("x0"), s, F.col("t")), 4).alias("back"), F.round(overlay.px_per_mm(F.col("x0"), F.lit(0.0), F.col("t"), F.col("px"), F.lit(5.0)), 6).alias("px_mm"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS sheet, 45 + o_orderkey % 7 AS x, 40 + o_orderkey % 5 AS y, 100 + o_orderkey % 300 AS w, 80 + o_orderkey % 200 AS h, 3.0::DOUBLE + (o_orderkey % 20) / 8 AS fx, 200.0::DOUBLE - (o_orderkey % 90) AS fy, 4.0::DOUBLE + (o_orderkey % 8) / 8 AS p FROM orders)
+SELECT sheet, len(list_filter(generate_series(0, 200), lambda k: fx + k * 5 * p >= x AND fx + k * 5 * p <= x + w - 1)) AS xs5, len(list_filter(generate_series(0, 200), lambda k: fy + k * 5 * p >= y AND fy + k * 5 * p <= y + h - 1)) AS ys5,
+len(list_filter(generate_series(-200, 400), lambda k: fx + k * p >= x AND fx + k * p <= x + w - 1)) AS xs1, round(list_sum(list_filter(list_transform(generate_series(-200, 400), lambda k: fy + k * p), lambda v: v >= y AND v <= y + h - 1)), 3) AS ys1 FROM o""")
+def grid_lines(spark, sf):
+    k = F.col("o_orderkey")
+    s = T.table(spark, sf, "orders").select(k.alias("sheet"), (45 + k % 7).alias("x"), (40 + k % 5).alias("y"), (100 + k % 300).alias("width"), (80 + k % 200).alias("height"), (3.0 + (k % 20).cast("double") / 8).alias("phase_x"), (200.0 - k % 90).alias("phase_y"), (4.0 + (k % 8).cast("double") / 8).alias("px_mm_x"))
+    g = overlay.grid_lines(s.withColumn("px_mm_y", F.col("px_mm_x")))
+    total = F.aggregate("ys1", F.lit(0.0), lambda a, x: a + x)
+    return g.select("sheet", *[F.size(c).cast("long").alias(c) for c in ("xs5", "ys5", "xs1")], F.round(F.when(F.size("ys1") > 0, total), 3).alias("ys1"))
+
+
+@query("""WITH b AS (SELECT *, lag(t) OVER w AS before, lead(t) OVER w AS after FROM (SELECT user_id AS page, event_id AS beat_id, epoch_us(ts) / 1000.0::DOUBLE AS t, event_id % 4 = 0 AS no_p FROM events) WINDOW w AS (PARTITION BY page ORDER BY t, beat_id))
+SELECT beat_id, CASE WHEN no_p THEN before ELSE greatest(coalesce(before, t - 90), t - 90) END + 2 AS q_min, t - 2 AS q_max, t + 40 + 2 AS t_min, after - 2 AS t_max FROM b WHERE before IS NOT NULL AND after IS NOT NULL""")
+def marker_bounds(spark, sf):
+    w = rhythm.by_page()
+    b = T.beats(spark, sf).withColumn("before", F.lag("t_ms").over(w)).withColumn("after", F.lead("t_ms").over(w)).filter("before IS NOT NULL AND after IS NOT NULL")
+    none, t = F.lit(None).cast("double"), F.col("t_ms")
+    p = lambda d: F.when(F.col("beat_id") % 4 != 0, t - d)
+    b = b.withColumns({"p_on": p(120), "p_off": p(90), "q_on": t - 30, "r_peak": t, "s_peak": t + 10, "s_off": t + 40, "t_peak": none, "t_off": none})
+    (q0, q1), (t0, t1) = (overlay.marker_bounds(f, F.col("before"), F.col("after")) for f in ("q_on", "t_off"))
+    return b.select("beat_id", q0.alias("q_min"), q1.alias("q_max"), t0.alias("t_min"), t1.alias("t_max"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS sheet, 'L' || l_linenumber AS lead, l_linenumber * 100.0::DOUBLE AS y FROM lineitem), d AS (SELECT o_orderkey AS sheet, o_orderkey % 900 / 2.0::DOUBLE AS y, (o_orderkey % 50)::DOUBLE AS ax, (o_orderkey % 49)::DOUBLE * 2 AS bx FROM orders)
+SELECT d.sheet, least(ax, bx) AS x0, greatest(ax, bx) AS x1, d.y, max_by(lead, l.y) FILTER (l.y <= d.y) AS above, min_by(lead, l.y) FILTER (l.y > d.y) AS below FROM d JOIN l USING (sheet) WHERE abs(bx - ax) >= 1 GROUP BY d.sheet, ax, bx, d.y HAVING above IS NOT NULL AND below IS NOT NULL""")
+def separator_hints(spark, sf):
+    l = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.concat(F.lit("L"), F.col("l_linenumber")).alias("lead"), (F.col("l_linenumber") * 100.0).alias("baseline_y")).dropDuplicates(["sheet", "lead"])
+    k = F.col("o_orderkey")
+    d = T.table(spark, sf, "orders").select(k.alias("sheet"), k.alias("line"), (k % 50).cast("double").alias("ax"), (k % 900 / 2.0).alias("ay"), ((k % 49).cast("double") * 2).alias("bx"))
+    return overlay.separators(d, l).select("sheet", "x0", "x1", "y", "above", "below")
+
+
+BOXES = """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS box, l_partkey % 200 AS x, l_suppkey * 7 % 60 AS y, 3 + l_linenumber % 5 AS width, 5 + l_quantity::BIGINT % 4 AS height, l_quantity AS area, l_discount FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"""
+
+
+def _boxes(spark, sf):
+    from pyspark.sql import Window as W
+
+    l = T.table(spark, sf, "lineitem").withColumn("_no", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))).filter("_no = 1")
+    return l.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("box"), (F.col("l_partkey") % 200).alias("x"), (F.col("l_suppkey") * 7 % 60).alias("y"), (3 + F.col("l_linenumber") % 5).cast("long").alias("width"), (5 + F.col("l_quantity").cast("long") % 4).alias("height"), F.col("l_quantity").alias("area"), "l_discount")
+
+
+@query(BOXES + """, r AS (SELECT *, max(y + height - 1) OVER (PARTITION BY page ORDER BY y, x, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+l AS (SELECT *, sum(CASE WHEN y > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, x, box) AS line FROM r) SELECT page, line, box, row_number() OVER (PARTITION BY page, line ORDER BY x, y, box) - 1 AS place FROM l""")
+def box_lines(spark, sf):
+    return pages.lines(_boxes(spark, sf), 1.0)
+
+
+WORDS = BOXES + """, r AS (SELECT *, max(x + width - 1) OVER (PARTITION BY page ORDER BY x, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+w AS (SELECT *, sum(CASE WHEN x - reach - 1 >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x, box) AS word FROM r)"""
+
+
+@query(WORDS + " SELECT page, word, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, sum(area) AS area FROM w GROUP BY page, word")
+def word_boxes(spark, sf):
+    b = _boxes(spark, sf)
+    return pages.box_union(b.join(pages.words(b, 20), ["page", "box"]), ["page", "word"])
+
+
+@query(BOXES + """, n AS (SELECT *, CASE WHEN box % 4 = 3 THEN '1?' ELSE (x + 60)::VARCHAR END AS text, 1 - l_discount AS score FROM b)
+SELECT page, array_to_string(list(text || '@' || (x + (width - 1) / 2.0::DOUBLE) ORDER BY x, width) FILTER (box % 4 <> 3), ',') AS numbers, array_to_string(list('hr_number_unread:' || x ORDER BY x) FILTER (box % 4 = 3), ',') AS issues,
+round(count(*) FILTER (box % 4 <> 3) / count(*) * coalesce(avg(score) FILTER (box % 4 <> 3), 0), 9) AS confidence FROM n GROUP BY page""".replace("array_to_string(", "coalesce(array_to_string(").replace(", ',') AS", ", ','), '') AS"))
+def number_rows(spark, sf):
+    b = _boxes(spark, sf)
+    w = b.select("page", F.col("box").alias("word"), "x", "width", F.when(F.col("box") % 4 == 3, "1?").otherwise((F.col("x") + 60).cast("string")).alias("text"), (1 - F.col("l_discount")).alias("score"))
+    n = pages.number_row(w, "hr")
+    return n.select("page", F.array_join(F.transform("numbers", lambda v: F.concat_ws("@", v["value"].cast("string"), v["x"].cast("string"))), ",").alias("numbers"), F.array_join("issues", ",").alias("issues"), F.round("confidence", 9).alias("confidence"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS label, CASE WHEN o_orderkey % 2 = 0 THEN lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad((o_orderkey % 60)::VARCHAR, 2, '0') ELSE (o_orderkey % 977)::VARCHAR END AS d, o_orderkey % 3 = 0 AS colon, o_orderkey % 5 AS gap, strftime(o_orderdate, '%d%m%Y') AS day, CASE WHEN o_orderkey % 7 = 0 THEN '12' ELSE strftime(o_orderdate, '%H%M%S') END AS clock, o_orderdate FROM orders)
+SELECT label, CASE WHEN length(d) = 4 AND (colon OR gap >= 2) THEN substr(d, 1, 2)::BIGINT * 60 + substr(d, 3, 2)::BIGINT WHEN NOT colon THEN d::BIGINT END AS seconds, CASE WHEN length(clock) = 6 THEN date_trunc('second', o_orderdate)::TIMESTAMP END AS at FROM o""".replace(" AS at FROM", ' AS "at" FROM'))
+def time_labels(spark, sf):
+    k = F.col("o_orderkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    d = F.when(k % 2 == 0, F.concat(two(k % 100), two(k % 60))).otherwise((k % 977).cast("string"))
+    clock = F.when(k % 7 == 0, "12").otherwise(F.date_format("o_orderdate", "HHmmss"))
+    o = T.table(spark, sf, "orders")
+    return o.select(k.alias("label"), pages.time_seconds(d, k % 3 == 0, k % 5).alias("seconds"), pages.header_time(F.date_format("o_orderdate", "ddMMyyyy"), clock).cast("timestamp_ntz").alias("at"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS page, CASE o_orderkey % 4 WHEN 0 THEN ['I', 'II', 'III', 'aVR', 'aVL', 'aVF'] WHEN 1 THEN ['II', 'I', 'III', 'aVR', 'aVL', 'aVF'] WHEN 2 THEN ['II', 'aVF'] ELSE []::VARCHAR[] END AS f FROM orders),
+m AS (SELECT *, list_transform(list_filter(['I', 'II', 'III', 'aVR', 'aVL', 'aVF'], lambda x: NOT list_contains(f, x)), lambda x: 'lead_label_missing:' || x) AS miss FROM o)
+SELECT page, array_to_string(CASE WHEN page % 4 = 1 THEN list_append(miss, 'lead_labels_order') ELSE miss END, ',') AS issues FROM m""")
+def lead_label_issues(spark, sf):
+    k = F.col("o_orderkey")
+    names = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    f = F.when(k % 4 == 0, names(*pages.LEADS)).when(k % 4 == 1, names("II", "I", "III", "aVR", "aVL", "aVF")).when(k % 4 == 2, names("II", "aVF")).otherwise(names())
+    return T.table(spark, sf, "orders").select(k.alias("page"), F.array_join(pages.label_issues(f), ",").alias("issues"))
+
+
+@query(BOXES + """, a AS (SELECT page, box AS anchor, x AS ax, width AS aw FROM b WHERE box % 3 = 0), j AS (SELECT b.page, anchor, box AS word, ax - (x + width) AS d FROM b JOIN a USING (page) WHERE box % 3 <> 0 AND ax - (x + width) BETWEEN 0 AND 40)
+SELECT page, anchor, first(word ORDER BY d, word) AS word FROM j GROUP BY page, anchor""")
+def words_beside(spark, sf):
+    b = _boxes(spark, sf)
+    return pages.beside(b.filter("box % 3 <> 0").withColumnRenamed("box", "word"), b.filter("box % 3 = 0").withColumnRenamed("box", "anchor"), 40, True)
+
+
+@query(BOXES + """, z AS (SELECT * FROM (VALUES ('top', 0, 0, 200, 20), ('left', 0, 0, 60, 70), ('rest', 100, 30, 90, 30)) AS z(zone, zx, zy, zw, zh))
+SELECT page, box AS component, zone FROM b, z WHERE x + (width - 1) / 2.0 BETWEEN zx - 2 AND zx + zw - 1 + 2 AND y + (height - 1) / 2.0 BETWEEN zy - 2 AND zy + zh - 1 + 2""")
+def components_in_zones(spark, sf):
+    b = _boxes(spark, sf).withColumnRenamed("box", "component")
+    z = spark.createDataFrame([("top", 0, 0, 200, 20), ("left", 0, 0, 60, 70), ("rest", 100, 30, 90, 30)], "zone string, zx long, zy long, zwidth long, zheight long")
+    return pages.in_zone(b, b.select("page").distinct().crossJoin(F.broadcast(z)))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS page, CASE o_orderkey % 4 WHEN 0 THEN 25.0 WHEN 1 THEN -1.0 END::DOUBLE AS hs, CASE WHEN o_orderkey % 3 > 0 THEN 50.0 / (o_orderkey % 3) END::DOUBLE AS fs FROM orders)
+SELECT page, CASE WHEN hs > 0 THEN hs WHEN fs > 0 THEN fs ELSE 50 END AS mm_s, 10.0::DOUBLE AS mm_mv, CASE WHEN hs > 0 THEN 'manual' WHEN fs > 0 THEN 'footer' ELSE 'default' END AS source, CASE WHEN hs > 0 AND fs > 0 AND hs <> fs THEN fs::BIGINT || '/10' END AS overridden FROM p""")
+def calibration_choice(spark, sf):
+    k, ten = F.col("o_orderkey"), F.lit(10.0)
+    p = T.table(spark, sf, "orders").select(k.alias("page"), F.when(k % 4 == 0, 25.0).when(k % 4 == 1, -1.0).alias("hand_s"), ten.alias("hand_mv"), F.when(k % 3 > 0, 50.0 / (k % 3)).alias("foot_s"), ten.alias("foot_mv"))
+    return pages.choose_calibration(p)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS page, 'L' || l_linenumber AS lead, l_linenumber AS pos, l_linenumber * 40.0::DOUBLE AS base, min(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT *, base + q - 12 AS y FROM l),
+n AS (SELECT b.page, b.lead, first(l.lead ORDER BY abs(l.base - b.y), l.pos) AS nearest FROM b JOIN l USING (page) GROUP BY b.page, b.lead) SELECT page, bool_or(nearest <> lead) AS mismatch FROM n GROUP BY page""")
+def lead_order_mismatch(spark, sf):
+    l = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.concat(F.lit("L"), F.col("l_linenumber")).alias("lead"), F.col("l_linenumber").alias("position")).agg(F.min("l_quantity").alias("q"))
+    l = l.withColumn("baseline_y", F.col("position") * 40.0)
+    return pages.order_mismatch(l.select("page", "lead", (F.col("baseline_y") + F.col("q") - 12).alias("y")), l.select("page", "lead", "position", "baseline_y"))
+
+
+@query("""WITH c AS (SELECT user_id AS page, event_id AS place, CASE WHEN event_type = 'error' THEN 'exception:' || event_id % 3 ELSE event_type || ':' || event_id % 2 END AS code FROM events),
+f AS (SELECT page, code, min(place) AS place FROM c GROUP BY ALL) SELECT page, array_to_string(list(code ORDER BY NOT starts_with(code, 'exception:'), place), ',') AS issues FROM f GROUP BY page""")
+def collected_issues(spark, sf):
+    k = F.col("event_id")
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("page"), k.alias("place"), F.when(F.col("event_type") == "error", pages.error_code((k % 3).cast("string"))).otherwise(F.concat_ws(":", "event_type", (k % 2).cast("string"))).alias("code"))
+    return pages.collected_issues(e).withColumn("issues", F.array_join("issues", ","))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS page, o_orderkey % 11 / 10.0::DOUBLE AS a, o_orderkey % 13 / 12.0::DOUBLE AS b, o_orderkey % 5 AS n, o_orderkey % 7 = 0 AS bad, o_orderkey % 4 = 0 AS mis FROM orders)
+SELECT page, round(CASE WHEN bad OR n = 0 THEN 0 ELSE least(a, b) * CASE WHEN mis THEN 0.5 ELSE 1 END END, 9) AS confidence, 1 - a <= n / 10.0::DOUBLE + 0.002 AS explained, n = 0 OR page % 6 = 0 OR n >= 3 AS unanchored,
+round(least(greatest(0, least(1, (a * 2 - 1.2) / (1.8 - 1.2))), greatest(0, least(1, (b - 0.5) / (0.2 - 0.5))), greatest(0, least(1, (n / 200.0::DOUBLE / (4 + n / 400.0::DOUBLE) - 0.03) / (0.01 - 0.03))), greatest(0, least(1, (n * 2.0::DOUBLE - 3) / 5)), CASE WHEN mis THEN 0.85 ELSE greatest(0, least(1, (abs(201 - 50 * (4 + n / 200.0::DOUBLE)) - 3) / (1 - 3))) END), 6) AS grid FROM o""")
+def sheet_confidence(spark, sf):
+    k = F.col("o_orderkey")
+    o = T.table(spark, sf, "orders").select(k.alias("page"), (k % 11 / 10.0).alias("a"), (k % 13 / 12.0).alias("b"), (k % 5).alias("n"), (k % 7 == 0).alias("bad"), (k % 4 == 0).alias("mis"))
+    n = F.col("n")
+    grid = pages.grid_confidence(4 + n / 200.0, F.lit(4.0), F.col("a") * 2, F.col("b"), n * 2.0, F.when(~F.col("mis"), 201.0))
+    return o.select("page", F.round(pages.sheet_confidence(F.col("a"), F.col("b"), n, F.col("bad").cast("int"), F.col("mis")), 9).alias("confidence"), pages.coverage_explained(F.col("a"), n, F.lit(10.0)).alias("explained"), pages.header_unanchored(n, F.col("page") % 6, F.lit(3)).alias("unanchored"), F.round(grid, 6).alias("grid"))
+
+
+@query("""WITH h AS (SELECT o_orderkey AS sheet, 860.0::DOUBLE + o_orderkey % 70 AS height FROM orders), v AS (SELECT * FROM (VALUES ('A', 905.0::DOUBLE), ('B', 883.0::DOUBLE)) AS v(variant, e)),
+x AS (SELECT sheet, variant, abs(height - e) / e AS err FROM h, v) SELECT sheet, CASE WHEN min(err) <= 0.02 THEN first(variant ORDER BY err, variant) END AS variant FROM x GROUP BY sheet""")
+def nearest_variants(spark, sf):
+    h = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sheet"), (860.0 + F.col("o_orderkey") % 70).alias("height"))
+    return pages.nearest_variant(h, spark.createDataFrame([("A", 905.0), ("B", 883.0)], "variant string, expected double"), 0.02)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS sheet, (o_orderkey % 21)::DOUBLE AS phase, 4.25::DOUBLE + (o_orderkey % 8) / 64.0 AS p, (o_orderkey % 5)::DOUBLE - 2 AS dy, 100 + o_orderkey % 100 AS dark, o_orderkey % 30 AS tr, o_orderkey % 40 AS above FROM orders),
+r AS (SELECT *, phase + floor((64.75 + dy - phase) / (5 * p) + 0.5) * 5 * p AS row0 FROM o) SELECT sheet, round(row0 + 20 * p, 6) AS first, round(row0 + (20 + 150) * p, 6) AS last, 150.0::DOUBLE + dy + 5 * 129 AS profile_last, dark >= 150 AND tr >= 15 AND above <= 0.15 * dark AS digits FROM r""")
+def expected_baselines(spark, sf):
+    k = F.col("o_orderkey")
+    o = T.table(spark, sf, "orders").select(k.alias("sheet"), (k % 21).cast("double").alias("phase"), (4.25 + k % 8 / 64.0).alias("p"), ((k % 5).cast("double") - 2).alias("dy"))
+    g = pages.grid_baselines(F.lit(64.75), F.col("dy"), F.col("phase"), F.col("p"), F.lit(20.0), F.lit(30.0))
+    b = pages.profile_baselines(F.lit(150.0), F.col("dy"), F.lit(129.0))
+    return o.select("sheet", F.round(F.get(g, 0), 6).alias("first"), F.round(F.get(g, 5), 6).alias("last"), F.get(b, 5).alias("profile_last"), pages.has_digit_row(100 + F.col("sheet") % 100, F.col("sheet") % 30, F.col("sheet") % 40).alias("digits"))
+
+
+@query("""WITH s AS (SELECT user_id AS page, event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'gap' WHEN event_type = 'error' THEN 'ambiguous' ELSE 'clipped' END AS kind, (event_id * 37 % 5000)::DOUBLE AS a, (event_id * 37 % 5000 + event_id % 30)::DOUBLE AS z FROM events),
+w AS (SELECT page, kind, CASE WHEN kind = 'ambiguous' THEN a ELSE greatest(0, a - 9) END AS a, CASE WHEN kind = 'ambiguous' THEN z ELSE least(4999, z + 9) END AS z FROM s),
+r AS (SELECT *, coalesce(lag(kind) OVER v <> kind, false)::INTEGER AS new FROM w WINDOW v AS (PARTITION BY page ORDER BY a, z, kind)), q AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY a, z, kind ROWS UNBOUNDED PRECEDING) AS run FROM r),
+g AS (SELECT *, max(z) OVER (PARTITION BY page, kind, run ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q), h AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < a - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page, kind, run ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT page, kind, min(a) AS start, max(z) AS stop, count(*) AS n FROM h GROUP BY page, kind, run, no""")
+def expanded_stretches(spark, sf):
+    k = F.col("event_id")
+    kind = F.when(F.col("event_type").isin("click", "view"), "gap").when(F.col("event_type") == "error", "ambiguous").otherwise("clipped")
+    s = T.table(spark, sf, "events").select(F.col("user_id").alias("page"), kind.alias("kind"), (k * 37 % 5000).cast("double").alias("start_ms"), (k * 37 % 5000 + k % 30).cast("double").alias("end_ms"), F.lit(5000).alias("length"))
+    return pages.expanded(s, 9).select("page", "kind", F.col("start_ms").alias("start"), F.col("end_ms").alias("stop"), "n")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(html, '%PDF') OR page_id % 10 = 3 OR lower(split_part(url, '?', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'unknown' END AS kind, CASE WHEN starts_with(html, '%PDF') OR page_id % 10 = 3 OR lower(split_part(url, '?', 1)) LIKE '%.pdf' THEN 'PDF is not read; save the sheet as JPEG or PNG' ELSE 'Not an image; JPEG or PNG is needed' END AS message, length(html)::VARCHAR || ':' || left(sha256(html), 16) AS key FROM pages")
+def file_problems(spark, sf):
+    p = T.table(spark, sf, "pages")
+    content = F.col("html").cast("binary")
+    kind = T.file_kind(F.substring_index("url", "?", 1), F.when(F.col("page_id") % 10 == 3, "application/pdf"), content)
+    return p.select("page_id", kind.alias("kind"), T.problem_message(T.file_problem(kind, F.lit(True), F.lit(1280)), F.lit(1280)).alias("message"), F.concat_ws(":", F.length("html").cast("string"), F.substring(F.sha2(content, 256), 1, 16)).alias("key"))
+
+
+@query()
+def expanded_spans_of_signals(spark, sf):
+    """Unreliable stretches of traces, widened by the filter's reach."""
+    s = _spans(spark, sf).select(F.col("trace").alias("page"), "kind", F.col("x0").alias("start_ms"), F.col("x1").alias("end_ms"), F.lit(64).alias("length"))
+    return spans.merged(pages.expanded(s, 2), ["page", "kind"])

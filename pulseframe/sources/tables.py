@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.functions.exprs import fill
+from pulseframe.plans import phrases as P
+
+
+#: Weights of blue, green and red in 256ths; least width of a sheet (px).
+LUMA, LEAST_WIDTH = (29, 150, 77), 800
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,7 +67,7 @@ def spans(spark: SparkSession, sf_dir: str, scale_ms: float = 60_000.0) -> DataF
 
 
 def sheet_images(spark: SparkSession, path: str) -> DataFrame:
-    """Sheets from JPEG and PNG files: file, width, height, gray (one byte a pixel). A colour file counts by luma (BT.601); files that
+    """Sheets from JPEG and PNG files: file, width, height, gray (one byte a pixel). A colour file counts by luma (BT.601 in whole numbers), alpha is ignored; files that
     can't be read give null sizes."""
     i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
 
@@ -73,20 +80,46 @@ def sheet_images(spark: SparkSession, path: str) -> DataFrame:
             for n, h, w, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 a = np.frombuffer(data or b"", np.uint8)
                 if n and n >= 3 and a.size == h * w * n:
-                    c = a.reshape(-1, n)[:, :3].astype(np.float64)  # blue, green, red
-                    a = np.floor(c @ np.array([0.114, 0.587, 0.299]) + 0.5).astype(np.uint8)
+                    c = a.reshape(-1, n)[:, :3].astype(np.uint32)  # blue, green, red
+                    a = ((c @ np.array(LUMA, np.uint32) + 128) >> 8).astype(np.uint8)
                 out.append(a.tobytes() if n and n > 0 else None)
             yield pa.RecordBatch.from_arrays([b.column(4), pa.array([w if w and w > 0 else None for w in b.column(2).to_pylist()], pa.int32()), pa.array([h if h and h > 0 else None for h in b.column(1).to_pylist()], pa.int32()), pa.array(out, pa.binary())], ["file", "width", "height", "gray"])
 
     return i.select("nChannels", "height", "width", "data", "origin").mapInArrow(gray, "file string, width int, height int, gray binary")
 
 
-def file_kind(name, head) -> F.Column:
-    """jpeg, png, pdf or unknown, by the first bytes; by the name's ending where there are none."""
+def file_kind(name, mime, head) -> F.Column:
+    """pdf by its first bytes, MIME type or name; jpeg and png by their first bytes alone; else unknown."""
     h = F.hex(F.substring(head, 1, 4))
-    by_name = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return (
-        F.when(h.startswith("FFD8FF"), "jpeg").when(h == "89504E47", "png").when(h == "25504446", "pdf")
-        .when(F.length(h) > 0, "unknown")
-        .when(by_name.isin("jpg", "jpeg"), "jpeg").when(by_name.isin("png", "pdf"), by_name).otherwise("unknown")
-    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    pdf = yes(h == "25504446") | yes(mime == "application/pdf") | yes(F.lower(name).endswith(".pdf"))
+    return F.when(pdf, "pdf").when(h.startswith("FFD8FF"), "jpeg").when(h == "89504E47", "png").otherwise("unknown")
+
+
+def file_problem(kind, decoded, width) -> F.Column:
+    """Why a file is no sheet: pdf, not_image, unreadable (nothing was read), corrupt, too_narrow; null for a sheet. decoded: whether the image could be read, null if its bytes could not."""
+    return F.when(decoded.isNull(), "unreadable").when(kind == "pdf", "pdf").when(kind == "unknown", "not_image").when(~decoded, "corrupt").when(width < LEAST_WIDTH, "too_narrow")
+
+
+def problem_message(problem, width) -> F.Column:
+    """The problem in words, or null."""
+    text = F.create_map(*[F.lit(x) for kv in P.PROBLEMS.items() for x in kv])[problem]
+    return fill(text, {"width": width, "least": F.lit(LEAST_WIDTH)})
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a path as sheets or their problems, one row a file whatever fails: file, key (length and digest of the bytes), kind, width, height, gray, problem, message.
+
+    Bytes and pixels are read by two sources and meet by name; a file that the image source can't read keeps its row with a problem."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "content", "length")
+    i = sheet_images(spark, path).select("file", "width", "height", "gray")
+    j = b.join(i, "file", "left").withColumn("kind", file_kind(F.col("file"), F.lit(None).cast("string"), F.col("content")))
+    problem = file_problem(F.col("kind"), F.when(F.col("content").isNotNull(), F.col("gray").isNotNull()), F.col("width"))
+    key = F.concat_ws(":", F.col("length").cast("string"), F.sha2("content", 256))
+    return j.select("file", key.alias("key"), "kind", "width", "height", F.when(problem.isNull(), F.col("gray")).alias("gray"), problem.alias("problem"), problem_message(problem, F.col("width")).alias("message"))
+
+
+def page_fingerprint(header, labels, rates, date, signals) -> F.Column:
+    """One key for pages of equal content: header crop, time labels, printed rates, date and samples."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return F.concat(F.lit("fp:"), F.sha2(F.concat_ws("|", F.base64(header), F.to_json(labels), F.to_json(rates), text(date), F.to_json(signals)), 256))
