@@ -113,6 +113,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     Bytes and pixels are read by two sources and meet by name; a file that the image source can't read keeps its row with a problem."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "content", "length")
     i = sheet_images(spark, path).select("file", "width", "height", "gray")
+    b, i = (x.withColumn("file", F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")) for x in (b, i))  # the sources write a path with one slash or three
     j = b.join(i, "file", "left").withColumn("kind", file_kind(F.col("file"), F.lit(None).cast("string"), F.col("content")))
     problem = file_problem(F.col("kind"), F.when(F.col("content").isNotNull(), F.col("gray").isNotNull()), F.col("width"))
     key = F.concat_ws(":", F.col("length").cast("string"), F.sha2("content", 256))
