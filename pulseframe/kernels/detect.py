@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from statistics import median
 
 import numpy as np
 
@@ -38,21 +39,21 @@ class Beat:
 
 
 class _Levels:
-    """Running signal and noise levels, accepted peaks and their recent intervals."""
+    """Running signal and noise levels, accepted peaks and the last HISTORY intervals between them."""
 
-    def __init__(self, feature: np.ndarray, signal: float, noise: float, refractory: int):
-        self.f, self.signal, self.noise, self.refractory = feature, signal, noise, refractory
+    def __init__(self, feature: np.ndarray, candidates: np.ndarray, signal: float, noise: float, refractory: int):
+        self.f, self.c, self.signal, self.noise, self.refractory = feature, candidates, signal, noise, refractory
         self.peaks: list[int] = []
         self.noises: list[float] = []
+        self.rr: list[int] = []
 
     @property
     def threshold(self) -> float:
         return self.noise + SHARE * (self.signal - self.noise)
 
-    def intervals(self) -> np.ndarray:
-        return np.diff(self.peaks[-HISTORY - 1 :])
-
     def accept(self, c: int, rate: float = LEARN) -> None:
+        if self.peaks:
+            self.rr = [*self.rr, c - self.peaks[-1]][-HISTORY:]
         self.peaks.append(c)
         self.signal += rate * (self.f[c] - self.signal)
 
@@ -60,41 +61,44 @@ class _Levels:
         self.noises.append(float(self.f[c]))
         self.noise += LEARN * (self.f[c] - self.noise)
 
-    def look_back(self, candidates: np.ndarray, until: int) -> None:
-        """Where a gap is long, take the largest candidate within it above half the threshold."""
-        rr = self.intervals()
-        while len(rr) and until - self.peaks[-1] > GAP * np.median(rr):
-            c = candidates[(candidates > self.peaks[-1] + self.refractory) & (candidates < until - self.refractory)]
-            c = c[self.f[c] > BACK * self.threshold]
-            if not len(c):
-                return
-            self.accept(int(c[np.argmax(self.f[c])]), LEARN_BACK)
-            rr = self.intervals()
+    def look_back(self, until: int) -> None:
+        """Where the gap is long, take the largest candidate within it above a share of the threshold: once."""
+        if not self.rr or until - self.peaks[-1] <= GAP * median(self.rr):
+            return
+        i, j = np.searchsorted(self.c, (self.peaks[-1] + self.refractory, until - self.refractory), "right")
+        c = self.c[i:j]
+        if len(c) and self.f[best := int(c[np.argmax(self.f[c])])] > BACK * self.threshold:
+            self.accept(best, LEARN_BACK)
 
     def replace(self, c: int) -> None:
         """Inside the refractory time a clearly larger candidate, or one about as large that fits the rhythm better, replaces the last peak."""
-        last, rr = self.peaks[-1], self.intervals()
-        fits = len(self.peaks) > 1 and len(rr) and abs(c - self.peaks[-2] - np.median(rr)) < abs(last - self.peaks[-2] - np.median(rr))
-        if self.f[c] > REPLACE * self.f[last] or (self.f[c] > TIE * self.f[last] and fits):
-            self.peaks.pop()
-            self.accept(c)
-
-    def run(self, candidates: np.ndarray) -> None:
-        for c in candidates.tolist():
+        last, f = self.peaks[-1], self.f
+        nearer = False
+        if len(self.peaks) > 1 and self.rr:
+            due = self.peaks[-2] + median(self.rr)
+            nearer = abs(c - due) < abs(last - due)
+        if f[c] > REPLACE * f[last] or (f[c] > TIE * f[last] and nearer):
+            self.peaks[-1] = c
+            if self.rr:
+                self.rr[-1] += c - last
+            self.signal += LEARN * (f[c] - self.signal)
+
+    def run(self) -> None:
+        for c in self.c.tolist():
             if self.peaks and c - self.peaks[-1] < self.refractory:
                 self.replace(c)
                 continue
             if self.peaks:
-                self.look_back(candidates, c)
+                self.look_back(c)
                 if c - self.peaks[-1] < self.refractory:
                     continue
-            rr = self.intervals()
-            if len(rr) >= 3 and c - self.peaks[-1] < EARLY * np.median(rr) and self.f[c] < EARLY_SHARE * self.signal or self.f[c] <= self.threshold:
+            early = len(self.rr) >= 3 and c - self.peaks[-1] < EARLY * median(self.rr) and self.f[c] < EARLY_SHARE * self.signal
+            if early or self.f[c] <= self.threshold:
                 self.reject(c)
             else:
                 self.accept(c)
         if self.peaks:
-            self.look_back(candidates, len(self.f) - 1 + self.refractory)
+            self.look_back(len(self.f) - 1 + self.refractory)
 
 
 def peaks(feature: np.ndarray, hz: float, sp: Species) -> np.ndarray:
@@ -105,11 +109,11 @@ def peaks(feature: np.ndarray, hz: float, sp: Species) -> np.ndarray:
     mid = f[1:-1]
     c = 1 + np.flatnonzero((mid > f[:-2]) & (mid >= f[2:]) & (mid > FLOOR * f.max()))
     refractory, start = round(sp.refractory_ms * hz / 1000), f[: int(2 * hz)]
-    level = _Levels(f, float(start.max()), float(np.median(start)), refractory)
-    level.run(c)
+    level = _Levels(f, c, float(start.max()), float(np.median(start)), refractory)
+    level.run()
     if level.peaks:
-        again = _Levels(f, float(np.median(f[level.peaks])), float(np.median(level.noises)) if level.noises else 0.0, refractory)
-        again.run(c)
+        again = _Levels(f, c, float(np.median(f[level.peaks])), float(np.median(level.noises)) if level.noises else 0.0, refractory)
+        again.run()
         level = again
     out = []
     for p in level.peaks:

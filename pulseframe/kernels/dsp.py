@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,20 +29,39 @@ def butterworth(cut_hz: float, hz: float, order: int, high: bool) -> list[Sectio
     return out
 
 
+#: Samples that a filter takes at once.
+BLOCK = 128
+
+
+@lru_cache(maxsize=64)
+def _steps(s: Section) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a section does to BLOCK samples and its two states: samples to samples, states to samples, samples to states, states to states."""
+    b0, b1, b2, a1, a2 = s
+    a, b = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(a @ powers[-1])
+    response = np.array([b0] + [(m @ b)[0] for m in powers[: BLOCK - 1]])
+    i = np.arange(BLOCK)
+    lag = i[:, None] - i[None, :]
+    return np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0), np.array([m[0] for m in powers[:BLOCK]]), np.array([powers[BLOCK - 1 - j] @ b for j in i]), powers[BLOCK]
+
+
 def _forward(x: np.ndarray, s: Section) -> np.ndarray:
-    """One section over all rows at once, from the steady state of the first sample."""
+    """One section over all rows at once, from the steady state of the first sample; a block of samples is one matrix product."""
     b0, b1, b2, a1, a2 = s
     gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    out, first = np.empty_like(x), x[:, 0]
-    z2 = (b2 - a2 * gain) * first
-    z1 = (b1 - a1 * gain) * first + z2
-    for i in range(x.shape[1]):
-        v = x[:, i]
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[:, i] = y
-    return out
+    z2 = (b2 - a2 * gain) * x[:, 0]
+    z = np.stack([(b1 - a1 * gain) * x[:, 0] + z2, z2], 1)
+    through, seen, into, on = _steps(s)
+    n = x.shape[1]
+    padded = np.pad(x, ((0, 0), (0, -n % BLOCK)))
+    out = np.empty_like(padded)
+    for k in range(0, padded.shape[1], BLOCK):
+        block = padded[:, k : k + BLOCK]
+        out[:, k : k + BLOCK] = block @ through.T + z @ seen.T
+        z = block @ into + z @ on.T
+    return out[:, :n]
 
 
 def zero_phase(x: np.ndarray, sections: list[Section]) -> np.ndarray:

@@ -12,6 +12,20 @@ ROWS = {
 }
 
 
+def test_blocks_filter_like_single_samples():
+    x = np.random.default_rng(1).normal(size=(3, 700))
+    for s in dsp.butterworth(5, 500, 4, True) + dsp.butterworth(40, 500, 4, False):
+        b0, b1, b2, a1, a2 = s
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        want = np.empty_like(x)
+        for r, row in enumerate(x):
+            past, before = [row[0]] * 2, [gain * row[0]] * 2  # steady at the first sample
+            for i, v in enumerate(row):
+                y = b0 * v + b1 * past[0] + b2 * past[1] - a1 * before[0] - a2 * before[1]
+                past, before, want[r, i] = [v, past[0]], [y, before[0]], y
+        assert np.allclose(dsp._forward(x, s), want)
+
+
 def test_filter_keeps_the_band_and_drops_drift():
     t = np.arange(2600) / 500
     drift, wave = 0.5 * np.sin(2 * np.pi * 0.1 * t), np.sin(2 * np.pi * 8 * t)
@@ -55,7 +69,7 @@ def test_pages(spark):
 def test_rhythm_from_rates(spark, name):
     rates, early, pauses = ROWS[name]
     t = np.cumsum([0.0, *[60_000 / r for r in rates]])
-    df = spark.createDataFrame([(1, i, float(x), "II", 1.0) for i, x in enumerate(t)], "page long, beat_id long, t_ms double, lead string, value double")
+    df = spark.createDataFrame([(1, i, float(x), "II", 1.0) for i, x in enumerate(t)], "page long, beat_id long, t_ms double, lead string, value double").withColumn("case_id", rhythm.F.lit(7))
     assert abs(rhythm.heart_rate(df).first().hr_mean - 60_000 / np.mean(np.diff(t))) < 1e-6
     assert sorted(r.beat_index - 1 for r in rhythm.premature(df).filter("premature").collect()) == early
     assert sorted(r.beat_index - 1 for r in rhythm.pauses(df).collect()) == pauses
