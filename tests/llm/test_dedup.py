@@ -162,3 +162,44 @@ def test_repeats_finds_passages_of_51_words(spark):
     got = {g.doc_id for g in substrings.repeats(frame(spark, data)).collect()}
     missed = sum(2 * i not in got or 2 * i + 1 not in got for i in range(600))
     assert missed <= 6, missed
+
+
+def test_repeats_against_chunks_written_out(spark):
+    """Chunks, shared digests and runs by plain Python, from the rule in words."""
+    rng = random.Random(21)
+    passages = [words(rng, n, 10**6) for n in (60, 30, 90)]
+    data = [(i, f"{words(rng, rng.randrange(5, 60), 10**6)} {rng.choice(passages)} {words(rng, 20, 10**6)}", *[None] * 5) for i in range(30)]
+
+    def split(text):
+        cp = np.array([ord(c) for c in text], np.uint32)
+        value = [int(v) >> 48 for v in njoin.mix(cp.astype(np.uint64) + njoin.BASE)]
+        ends, last = [], None
+        for i in range(substrings.WINDOW - 1, len(cp)):
+            h = 0
+            for k in range(i - substrings.WINDOW + 1, i + 1):
+                h = (2 * h + value[k]) % 65536
+            if h < 65536 // substrings.MEAN:
+                if last is None or i - last >= substrings.APART:
+                    ends.append(i + 1)
+                last = i
+        ends = sorted({*ends, len(cp)})
+        return [(a, text[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    parts = {r[0]: split(r[1]) for r in data}
+    owners = {}
+    for i, cs in parts.items():
+        for _, c in cs:
+            owners.setdefault(c, set()).add(i)
+    want = []
+    for i, cs in parts.items():
+        run = []
+        for a, c in [*cs, (0, None)]:
+            if c is not None and len(owners[c]) > 1:
+                run.append((a, c))
+            elif run:
+                start, end = run[0][0], run[-1][0] + len(run[-1][1])
+                if end - start >= substrings.LEAST:
+                    want.append((i, start, end, len(run), min(min(owners[c]) for _, c in run), sum(len(c) for _, c in run if min(owners[c]) < i)))
+                run = []
+    got = [(g.doc_id, g.span_start, g.span_end, g.n_chunks, g.first_doc_id, g.removed_chars) for g in substrings.repeats(frame(spark, data)).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 20

@@ -1,9 +1,11 @@
 import random
+import re
 import zlib
 
 import numpy as np
 
 from pulseframe.llm import langid, lmscore, toxicity
+from pulseframe.llm.common import learning_rows
 from tests.llm.helpers import frame
 
 POOLS = {"en": ["the", "and", "house", "with", "river", "green"], "de": ["der", "und", "haus", "nicht", "schön", "fluss"], "fr": ["le", "et", "maison", "avec", "être", "été"]}
@@ -48,6 +50,54 @@ def test_kernel_matches_definition():
         assert langs[int((w[f].sum(0) / np.sqrt(len(f))).argmax())] == want
 
 
+def test_kernel_ridge_solves_its_equations():
+    """fit and scores against the kernel written out: presence kernels with landmarks, and the normal equations of ridge regression."""
+    texts = [r[1][:120] for r in talk(8, 40)]
+    labels = [r[2] for r in talk(8, 40)]
+    sets = langid.features(texts)
+    langs, w = langid.fit(sets, labels, landmarks=5)
+    kernel = lambda a, b: len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b))
+    marks = [i for lang in langs for i in [j for j, x in enumerate(labels) if x == lang][:5]]
+    k = np.array([[kernel(a, sets[j]) for j in marks] for a in sets])
+    y = np.array([[x == lang for lang in langs] for x in labels], float)
+    a = np.linalg.solve(k.T @ k + langid.RIDGE * len(sets) * k[marks] + 1e-8 * np.eye(len(marks)), k.T @ y)
+    new = langid.features(["der fluss und the river", "été maison", "", texts[0]])
+    want = np.array([[kernel(x, sets[j]) if len(x) else 0 for j in marks] for x in new]) @ a
+    assert np.allclose(langid.scores(new, w), want, atol=1e-4)
+
+
+def test_samples_hold_on_repeated_rows(spark):
+    """A document repeated ten thousand times takes no other text's place, and the sample stays within its bounds."""
+    data = talk(3, 200) + [[4, talk(3, 200)[4][1], "en", "s", None, None, None]] * 10_000
+    d = frame(spark, data).selectExpr("lang AS label", "text")
+    kinds = {lang: {r[1] for r in data if r[2] == lang} for lang in POOLS}
+    got = [tuple(r) for r in learning_rows(d, 1000, 10**9, 10).select("label", "text").collect()]
+    assert len(got) == len(set(got)) and {lang: {t for x, t in got if x == lang} for lang in POOLS} == kinds
+    few = learning_rows(d, 20, 10**9, 2).collect()
+    assert len(few) == 40 and len({r.label for r in few}) == 2
+    assert all(sum(len(r.text) for r in learning_rows(d, 1000, 2000, 9).collect() if r.label == lang) < 2000 + max(map(len, kinds[lang])) for lang in POOLS)
+    assert learning_rows(d.limit(0), 5, 5, 5).count() == 0
+
+
+def test_int_ids_and_noisy_or(spark):
+    """doc_id of another integer type; and the score of a document written out from its sentences' weights."""
+    data = talk(5, 300)
+    for r in data[::3]:
+        r[1] += ". vilewort here"
+    small = frame(spark, data).withColumn("doc_id", lmscore.F.col("doc_id").cast("int"))
+    lab = spark.createDataFrame([(r[0], int(i % 3 == 0)) for i, r in enumerate(data)], "doc_id int, toxic int")
+    assert langid.identify(small).count() == 300
+    model, bias = toxicity.train(small, lab)
+    got = {r.doc_id: r.score for r in toxicity.score(small, lab).collect()}
+    for r in data[:20]:
+        clean = 1.0
+        for sentence in re.split("[.!?\n]", r[1]):
+            words, _, _, _ = toxicity.sentences([sentence])
+            if len(words):
+                clean *= 1 - 1 / (1 + np.exp(-(model.value[words].astype(float).sum() + bias)))
+        assert np.isclose(got[r[0]], 1 - clean, atol=1e-5)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     data, labels = talk(5, 600), []

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -161,21 +162,75 @@ def test_collision_rate():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
 
 
+def corpus(seed=11):
+    """Documents of three sources: toxic ones (a vile word in a sentence), exact copies, near copies, and clean ones."""
+    rng = random.Random(seed)
+    line = lambda n: " ".join(f"w{rng.randrange(3000)}x" for _ in range(n))
+    docs, toxic = [], {}
+    for i in range(260):
+        bad = i % 3 == 0
+        t = f"{line(9)}. {line(4)} {'vilewort nastig' if bad else 'kindword nicer'} {line(4)}. {line(7)}."
+        docs.append((i, t, "en", "abc"[i % 7 % 3]))
+        toxic[i] = int(bad)
+    for k in range(12):  # copies that differ in white space, near copies that differ in one word of forty
+        t = line(40)
+        w = t.split()
+        w[38] = "changed"
+        docs += [(1000 + 10 * k, t, "en", "a"), (1001 + 10 * k, t.replace(" ", "  "), "en", "b"), (1002 + 10 * k, " ".join(w), "en", "c")]
+    docs += [(2000, None, None, None), (2001, "", "en", "a"), (2002, "one", "en", "b")]
+    return docs, toxic
+
+
+def near_kept(docs):
+    """Which of the documents stay when one of each group of near copies does: links by five words and 0.8, the smallest doc_id of a component."""
+    grams = {}
+    for r in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+        grams[r[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    head = {i: i for i in grams}
+    for a in sorted(grams):
+        for b in sorted(grams):
+            if a < b and grams[a] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                x, y = head[a], head[b]
+                head = {k: min(x, y) if v in (x, y) else v for k, v in head.items()}
+    return [r for r in docs if head[r[0]] == r[0]]
+
+
 def test_pipeline(spark, tmp_path):
-    """Each stage against plain Python on what it was given."""
-    data = [(*r[:4], 5, *r[5:]) for r in rows()]
-    d = frame(spark).select("doc_id", "text", "lang", "source")
-    d.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(21, 0, 1), (22, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
-    kept = stages["exact dedup"](spark, docs, str(tmp_path))
-    norm = lambda t: "".join((t or "").split())
-    assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(r[1]) for r in data})
-    near = stages["n-gram Jaccard join"](spark, kept, str(tmp_path))
-    assert near.columns == docs.columns
-    gone = {r.doc_id for r in kept.collect()} - {r.doc_id for r in near.collect()}
-    assert {2, 3, 12} & gone and not {7, 9, 10, 11, None} & gone
-    assert stages["mixing"](spark, near, str(tmp_path)).columns == docs.columns
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+    """Each stage and run() against plain Python (mixing against SQL), by full rows."""
+    docs, toxic = corpus()
+    kind = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(docs, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages, where = dict(corpus_pipeline.STAGES), str(tmp_path)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    order = lambda x: sorted(x, key=str)
+    make = lambda x: spark.createDataFrame(x, kind)
+
+    clean = [r for r in docs if not toxic.get(r[0])]
+    assert rows(stages["toxicity"](spark, make(docs), where)) == order(clean)
+    groups = {}
+    for r in clean:
+        groups.setdefault("".join((r[1] or "").split()), []).append(r)
+    unique = [min(g, key=lambda r: (-len(r[1] or ""), r[0])) for g in groups.values()]
+    assert rows(stages["exact dedup"](spark, make(clean), where)) == order(unique) and len(unique) < len(clean)
+    far = near_kept(unique)
+    assert rows(stages["n-gram Jaccard join"](spark, make(unique), where)) == order(far) and len(far) < len(unique)
+    make(far).write.parquet(f"{tmp_path}/far.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/far.parquet/*.parquet'")
+    by = {r[0]: r for r in far}
+    mixed = [by[i] for (i,) in c.execute(f"SELECT doc_id FROM ({queries.SQL['op10_mixing']})").fetchall()]
+    assert rows(stages["mixing"](spark, make(far), where)) == order(mixed) and len(mixed) > len(set(mixed))
+    t = Tokenizer.from_file(PATH)
+    pieces = []
+    for r in mixed:
+        ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        pieces += [(r[0], k, at, min(4096, len(ids) - at), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    for out in (stages["packing"](spark, make(mixed), where), corpus_pipeline.run(spark, where)):
+        got = out.toPandas()
+        assert sorted(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32, strict=True)) == sorted(pieces)
+        for _, s in got.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 4096
+        assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 4096)
