@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.operators import case, findings, rhythm
+from pulseframe.operators import case, findings, measure, rhythm
 from pulseframe.plans.registry import query
 from pulseframe.sources import tables as T
 
@@ -174,3 +174,54 @@ def reference_lead(spark, sf):
     e = T.table(spark, sf, "events").withColumn("lead", F.when(F.col("event_type") == "view", "II").otherwise(F.col("event_type")))
     l = e.groupBy(F.col("user_id").alias("page"), "lead").agg(F.min("event_id").alias("position"), (F.count(F.lit(1)) % 4).alias("n"), F.round(F.avg("value") / 40, 6).alias("confidence"))
     return findings.reference_lead(l)
+
+
+#: Vectors as beats of 64 samples (126 ms): QRS from 30 to 62 ms, P from 4 to 14, T at 90 to 100; every third has no P, every fifth no T.
+BEATS = """WITH x AS (SELECT vec_id AS beat, label AS case_id, embedding::DOUBLE[] AS mv, 30.0::DOUBLE + vec_id % 7 AS q_on, 62.0::DOUBLE + vec_id % 5 AS s_off, vec_id % 3 <> 0 AS pf, 4.0::DOUBLE AS p_on, 14.0::DOUBLE + vec_id % 4 AS p_off,
+  CASE WHEN vec_id % 5 <> 0 THEN 90.0::DOUBLE + vec_id % 6 END AS t_peak, CASE WHEN vec_id % 5 <> 0 THEN 105.0::DOUBLE END AS t_off, CASE WHEN vec_id % 4 <> 0 THEN 118.0::DOUBLE END AS nq, 480.0::DOUBLE + vec_id % 90 AS rr, CASE WHEN vec_id % 2 = 0 THEN 500.0::DOUBLE END AS rr_ii,
+  1 - vec_id % 8 / 20.0::DOUBLE AS c FROM embeddings),
+i AS (SELECT *, floor(q_on / 2 + 0.5)::INTEGER AS q, floor(s_off / 2 + 0.5)::INTEGER AS s, CASE WHEN nq IS NOT NULL THEN floor(nq / 2 + 0.5)::INTEGER END AS n FROM x),
+l AS (SELECT *, list_median(mv[q - 8 + 1 : q - 2 + 1]) AS base, list_median(mv[n - 8 + 1 : n - 2 + 1]) AS nbase, mv[q + 1 : s + 1] AS qrs FROM i),
+r AS (SELECT *, list_position(qrs, list_max(qrs)) AS rp FROM l),
+w AS (SELECT *, list_max(qrs) - base AS r, base - list_min(qrs[1 : rp]) AS qd, base - list_min(qrs[rp : len(qrs)]) AS sd, mv[floor(p_on / 2 + 0.5)::INTEGER + 1 : floor(p_off / 2 + 0.5)::INTEGER + 1] AS p,
+  floor(t_peak / 2 + 0.5)::INTEGER AS ti, floor((s_off - 7.7 + 60) / 2 + 0.5)::INTEGER AS ji, 2 * 0.023::DOUBLE AS least_mv FROM r),
+y AS (SELECT *, base + CASE WHEN nbase IS NULL THEN 0 ELSE greatest(0, least(1, (ti - (q - 5.0::DOUBLE)) / (n - q))) * (nbase - base) END AS tl, base + CASE WHEN nbase IS NULL THEN 0 ELSE greatest(0, least(1, (ji - (q - 5.0::DOUBLE)) / (n - q))) * (nbase - base) END AS jl FROM w),
+v AS (SELECT case_id, beat, c, 'r' AS key, CASE WHEN r >= least_mv THEN r ELSE 0 END AS value, CASE WHEN r < least_mv THEN 'r_absent' END AS reason FROM y
+UNION ALL SELECT case_id, beat, c, 'q', CASE WHEN qd >= least_mv THEN -qd ELSE 0 END, CASE WHEN qd < least_mv THEN 'q_absent' END FROM y UNION ALL SELECT case_id, beat, c, 's', CASE WHEN sd >= least_mv THEN -sd ELSE 0 END, CASE WHEN sd < least_mv THEN 's_absent' END FROM y
+UNION ALL SELECT case_id, beat, c, 'qrs', greatest(0, s_off - 7.7 - (q_on + 9.3)) / 1000, NULL FROM y UNION ALL SELECT case_id, beat, c, 'pDuration', (p_off - p_on) / 1000, NULL FROM y WHERE pf UNION ALL SELECT case_id, beat, c, 'pq', (q_on + 9.3 - p_on) / 1000, NULL FROM y WHERE pf
+UNION ALL SELECT case_id, beat, c, 'pAmplitude', p[list_position(list_transform(p, lambda a: abs(a - base)), list_max(list_transform(p, lambda a: abs(a - base))))] - base, NULL FROM y WHERE pf
+UNION ALL SELECT case_id, beat, c, 'qt', (t_off - (q_on + 9.3)) / 1000, NULL FROM y WHERE t_off IS NOT NULL UNION ALL SELECT case_id, beat, c, 'qtc', (t_off - (q_on + 9.3)) / 1000 - 0.087 * (coalesce(rr_ii, rr) / 1000 - 1), NULL FROM y WHERE t_off IS NOT NULL
+UNION ALL SELECT case_id, beat, c, 't', mv[ti + 1] - tl, NULL FROM y WHERE ti IS NOT NULL UNION ALL SELECT case_id, beat, c, 'st', mv[ji + 1] - jl, NULL FROM y WHERE ji > s AND ji < 64 AND NOT (beat % 10 = 1 AND ji BETWEEN 50 AND 63))
+"""
+
+
+def _measured_beats(spark, sf):
+    v = F.col("beat")
+    e = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("beat"), F.col("label").cast("long").alias("case_id"), F.transform("embedding", lambda x: x.cast("double")).alias("mv"))
+    return e.withColumns({
+        "q_on": 30.0 + v % 7, "s_off": 62.0 + v % 5, "p_found": v % 3 != 0, "p_on": F.lit(4.0), "p_off": 14.0 + v % 4, "t_peak": F.when(v % 5 != 0, 90.0 + v % 6), "t_off": F.when(v % 5 != 0, 105.0), "next_q_on": F.when(v % 4 != 0, 118.0),
+        "rr_ms": 480.0 + v % 90, "rr_ii_ms": F.when(v % 2 == 0, 500.0), "beat_confidence": 1 - v % 8 / 20.0, "d_confidence": F.lit(1.0), "mv_per_px": F.lit(0.023), "shift_mv": F.lit(0.0),
+        "bad": F.when(v % 10 == 1, F.array(F.struct(F.lit(50).alias("i0"), F.lit(63).alias("i1")))).otherwise(F.array().cast("array<struct<i0:int,i1:int>>")),
+    })
+
+
+@query("SELECT case_id, beat, key, round(value, 6) AS value, reason, round(c, 6) AS confidence FROM v", BEATS)
+def beat_values(spark, sf):
+    s = measure.sampled(_measured_beats(spark, sf))
+    return s.select("case_id", "beat", "key", F.round("value", 6).alias("value"), "reason", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT case_id, key, round(median(value), 6) AS value, CASE WHEN key IN ('r', 'q', 's', 't', 'st', 'pAmplitude') THEN 'mV' ELSE 's' END AS unit, round(avg(c), 6) AS confidence, count(*) AS n,
+CASE WHEN 2 * count(reason) > count(*) THEN first(reason ORDER BY beat) FILTER (reason IS NOT NULL) END AS reason FROM v GROUP BY ALL""", BEATS)
+def case_values(spark, sf):
+    s = measure.summary(measure.sampled(_measured_beats(spark, sf)))
+    return s.select("case_id", "key", F.round("value", 6).alias("value"), "unit", F.round("confidence", 6).alias("confidence"), F.size("beats").cast("long").alias("n"), "reason")
+
+
+@query("""SELECT k.case_id, k.key, CASE WHEN k.key = 'qtc' AND k.case_id % 2 = 1 THEN 'species_not_applicable' WHEN g.n IS NOT NULL THEN CASE WHEN 2 * g.m > g.n THEN g.reason END WHEN k.case_id % 5 = 4 THEN 'lead_ii_unreliable' WHEN k.key IN ('pDuration', 'pAmplitude', 'pq') THEN 'p_not_found' WHEN k.key IN ('qt', 'qtc', 't') THEN 't_not_found' ELSE 'low_confidence' END AS reason
+FROM (SELECT DISTINCT label AS case_id, unnest(['pDuration', 'pAmplitude', 'pq', 'q', 'qrs', 'r', 's', 'qt', 'qtc', 't', 'st']) AS key FROM embeddings) k
+LEFT JOIN (SELECT case_id, key, count(*) AS n, count(reason) AS m, first(reason ORDER BY beat) FILTER (reason IS NOT NULL) AS reason FROM v WHERE beat % 15 = 0 AND case_id % 5 <> 4 GROUP BY ALL) g USING (case_id, key)""", BEATS)
+def measured_reasons(spark, sf):
+    b = _measured_beats(spark, sf)
+    cases = b.select("case_id").distinct().select("case_id", F.when(F.col("case_id") % 2 == 1, "cat").otherwise("dog").alias("species"), F.when(F.col("case_id") % 5 == 4, 0).otherwise(3).alias("n_selected"), F.lit("lead_ii_unreliable").alias("empty_reason"))
+    return measure.measured(cases, measure.sampled(b).filter("beat % 15 = 0 AND case_id % 5 <> 4")).select("case_id", "key", "reason")
