@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import sys
 import types
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pulseframe.llm.common import cut, digits, prefix_sums, small_batches
 
 #: Entries of a worker's cache of words; a full cache is emptied, so its memory is bounded.
-CACHE = 500_000
+CACHE = 200_000
 #: Words that are encoded at once.
 JOINED = 500
 #: Steps that branch-and-bound may take after its first descent.
@@ -27,6 +28,7 @@ def encoder(path: str):
     """A function from text to its ids as little-endian 32-bit bytes, equal to Tokenizer.encode's without special tokens.
 
     No token crosses ASCII white space, so texts are encoded word by word, and words are remembered by the worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the tokenizer's own only take memory
     from tokenizers import Tokenizer
 
     kept = sys.modules.setdefault("_pulseframe_words", types.ModuleType("_pulseframe_words"))
