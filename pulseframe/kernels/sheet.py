@@ -11,7 +11,9 @@ VARIANTS = {"A": (905, (45, 45, 1189, 814), 4.305, 20.0, 30.0), "B": (883, (47,
 WIDTH, MM_S, MM_MV, HZ = 1280, 50.0, 10.0, 500.0
 #: Gray limits of frame, grid and ink (core and edge), smallest ink component, gaps bridged in a run, path costs.
 FRAME, FRAME_SHARE, GRID, CORE, EDGE, SMALL, BRIDGE = 200, 0.7, (180, 235), 130, 170, 6, 2
-BASELINE, SKIP, REENTRY = 0.5, 1.5, 3.0
+BASELINE, SKIP, REENTRY, SHARED, NESTED, NEST = 0.5, 1.5, 3.0, 0.1, 0.5, 3
+#: Share of columns in which two neighbouring leads took the same run, from which they are traced together.
+MEET = 0.01
 LEADS = tuple(synth.LEADS)
 
 
@@ -153,6 +155,48 @@ def path(columns: list[np.ndarray], anchor: float, step: float) -> np.ndarray:
     return out
 
 
+def path_pair(columns: list[np.ndarray], anchors: tuple[float, float], step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest pair of ways through the columns' runs, for two leads whose curves meet: as path, but a run may serve both at a small price, and skipping has no memory, so
+    coming back costs half the distance to the anchor more.
+
+    The least over pairs of states before is taken for one lead, then for the other, as their steps don't depend on each other."""
+    best = np.zeros((1, 1))
+    last = np.zeros((0, 2))
+    steps = []
+    for r in columns:
+        mid = r.mean(1) if len(r) else np.zeros(0)
+        gap = np.maximum(0, np.maximum(r[None, :, 0] - last[:, None, 1], last[:, None, 0] - r[None, :, 1]) - 1)
+        inside = ((r[None, :, 0] - last[:, None, 0] >= NEST) & (last[:, None, 1] - r[None, :, 1] >= NEST)) | ((last[:, None, 0] - r[None, :, 0] >= NEST) & (r[None, :, 1] - last[:, None, 1] >= NEST))
+        gap = np.where(inside, NESTED, gap)
+        moves, unary = [], []
+        for anchor in anchors:
+            d = np.abs(mid - anchor) / step
+            unary.append(np.append(BASELINE * np.where(d <= 1, d, 1 + 3 * (d - 1)), 0.0))
+            move = np.full((len(last) + 1, len(r) + 1), SKIP)
+            move[:-1, :-1] = gap
+            move[-1, :-1] = REENTRY + 0.5 * np.abs(mid - anchor) if steps else 0.0
+            moves.append(move)
+        one = best[:, :, None] + moves[0][:, None, :]  # before of the first, of the second, now of the first
+        from_first = one.argmin(0)
+        half = one.min(0)
+        two = half[:, :, None] + moves[1][:, None, :]
+        from_second = two.argmin(0)
+        best = two.min(0) + unary[0][:, None] + unary[1][None, :]
+        k = np.arange(len(r))
+        best[k, k] += SHARED
+        steps.append((from_first, from_second))
+        last = r
+    out = np.full((2, len(columns)), -1)
+    a, b = np.unravel_index(int(best.argmin()), best.shape)
+    for i in range(len(columns) - 1, -1, -1):
+        n = len(columns[i])
+        out[:, i] = a if a < n else -1, b if b < n else -1
+        from_first, from_second = steps[i]
+        before_b = int(from_second[a, b])
+        a, b = int(from_first[before_b, a]), before_b
+    return out[0], out[1]
+
+
 def heights(columns: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One point a column: a short run's middle; a long run's end where it sticks out beyond both neighbours, else its middle."""
     x = np.flatnonzero(chosen >= 0)
@@ -193,9 +237,14 @@ def read(img: np.ndarray) -> dict:
     mask = ink(img, box)
     columns = [runs(mask[:, i]) for i in range(mask.shape[1])]
     leads = {}
-    for i, lead in enumerate(LEADS):
-        anchor = (first + step * i) * spacing[1] + default[1] - y0
-        x, y = heights(columns, path(columns, anchor, step * spacing[1]))
+    anchors = [(first + step * i) * spacing[1] + default[1] - y0 for i in range(len(LEADS))]
+    paths = [path(columns, a, step * spacing[1]) for a in anchors]
+    for i in range(len(LEADS) - 1):
+        if ((paths[i] >= 0) & (paths[i] == paths[i + 1])).mean() >= MEET:
+            issues.append(f"leads_meet:{LEADS[i]}:{LEADS[i + 1]}")
+            paths[i], paths[i + 1] = path_pair(columns, (anchors[i], anchors[i + 1]), step * spacing[1])
+    for lead, way in zip(LEADS, paths, strict=True):
+        x, y = heights(columns, way)
         if len(x) < 10:
             issues.append(f"lead_empty:{lead}")
             leads[lead] = (np.zeros(0), 0.0)

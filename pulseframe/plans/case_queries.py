@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulseframe.kernels import order
 from pulseframe.operators import case, findings, measure, rhythm
 from pulseframe.plans.registry import query
 from pulseframe.sources import tables as T
@@ -225,3 +226,14 @@ def measured_reasons(spark, sf):
     b = _measured_beats(spark, sf)
     cases = b.select("case_id").distinct().select("case_id", F.when(F.col("case_id") % 2 == 1, "cat").otherwise("dog").alias("species"), F.when(F.col("case_id") % 5 == 4, 0).otherwise(3).alias("n_selected"), F.lit("lead_ii_unreliable").alias("empty_reason"))
     return measure.measured(cases, measure.sampled(b).filter("beat % 15 = 0 AND case_id % 5 <> 4")).select("case_id", "key", "reason")
+
+
+@query()
+def case_sheet_order(spark, sf):
+    """Documents as sheets, eight a case: the header's crop comes from source and language, the recording begins at a time from the length."""
+    i = F.col("doc_id")
+    d = T.table(spark, sf, "documents").select(
+        F.floor(i / 8).alias("case_id"), i.alias("page"), i.alias("upload"), F.md5(F.col("text").cast("binary")).alias("digest"), F.when(i % 5 != 0, F.col("lang")).alias("date"), F.lit(4).alias("width"),
+        F.when(i % 6 != 0, F.unhex(F.md5(F.concat_ws("|", "source", "lang").cast("binary")))).alias("crop"), (F.col("n_chars") / 50.0).alias("start_s"), (F.col("n_chars") / 50.0 + 5).alias("end_s"),
+    )
+    return order.ordered(d).withColumn("issues", F.array_join("issues", ","))

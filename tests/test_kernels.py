@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from pulseframe.kernels import bridge, delineate, detect, dsp, sheet, synth
+from pulseframe.kernels import bridge, delineate, detect, dsp, glyphs, layout, order, sheet, synth
 from pulseframe.operators import norms, rhythm
 
 #: Mean rate, premature beats and pauses that follow from printed rates.
@@ -104,3 +104,80 @@ def test_sheets(spark):
     s = bridge.synthetic_sheets(spark, 2)
     rows = bridge.read_sheets(s.union(s.selectExpr("page + 10", "species", "width", "height", "substring(gray, 1, 5)"))).collect()
     assert len(rows) == 14 and {tuple(r.issues) for r in rows if r.page >= 10} == {("exception:ValueError",)}
+
+
+def test_two_leads_that_meet():
+    """Two curves that touch for a while keep to their own sides."""
+    up, down = np.full(120, 20.0), np.full(120, 60.0)
+    up[40:60], down[40:60] = 40, 40
+    columns = [np.array([[a - 1, a + 1]] if a == b else [[a - 1, a + 1], [b - 1, b + 1]]) for a, b in zip(up, down, strict=True)]
+    a, b = sheet.path_pair(columns, (20.0, 60.0), 40.0)
+    mid = lambda way: np.array([columns[i][k].mean() if k >= 0 else np.nan for i, k in enumerate(way)])
+    assert (mid(a)[:40] == 20).all() and (mid(a)[60:] == 20).all() and (mid(b)[:40] == 60).all() and (mid(b)[60:] == 60).all()
+    assert (np.nan_to_num(mid(a)[41:59], nan=40) == 40).all()
+
+
+def test_layout_evidence():
+    img = np.full((60, 200), 255, np.uint8)
+    assert not layout.has_digit_row(img, 0, 20, 200, 20)
+    for k in range(20):
+        img[24:32, 5 + 9 * k : 8 + 9 * k] = 20
+    assert layout.row_evidence(img, 0, 23, 200, 15) == (20 * 24, 20, 0) and layout.has_digit_row(img, 0, 20, 200, 20)
+    img[0:23, :] = 20
+    assert not layout.has_digit_row(img, 0, 20, 200, 20)
+    rng = np.random.default_rng(2)
+    a = rng.random((12, 30)) < 0.3
+    moved = np.roll(a, (1, -2), (0, 1))
+    want = min(1 - (m := (np.pad(a, 3) & np.pad(moved, ((3 + y, 3 - y), (3 + x, 3 - x)))).sum()) / (a.sum() + moved.sum() - m) for y in range(-2, 3) for x in range(-2, 3))
+    assert np.isclose(layout.distance(a, moved, 2), want) and layout.distance(a, a) == 0
+    assert layout.distance(a, np.zeros_like(a)) == 1 and layout.distance(np.zeros_like(a), np.zeros_like(a)) == 0
+    assert layout.decide({"rrRow": "B", "height": "A", "frame": "A"}) == ("A", 2 / 3.5, True) and layout.decide({}) == (None, 0.0, False)
+
+
+def test_plus_marks():
+    px, phase = 4.3, 3.0
+    img = np.full((400, 1100), 255, np.uint8)
+    for row in range(0, 18, 2):
+        for line in range(3, 50, 10):
+            x, y = round(phase + line * 5 * px), round(phase + row * 5 * px)
+            if 2 <= y < 398 and 2 <= x < 1098:
+                img[y, x - 2 : x + 3] = img[y - 2 : y + 3, x] = 30
+    second, columns = layout.plus_marks(img, phase, phase, px)
+    assert abs(second - 50 * px) < 0.6 and [n for n, _ in columns] == [3, 13, 23, 33, 43]
+    assert layout.plus_marks(np.full((100, 100), 255, np.uint8), 0, 0, px) == (None, [])
+
+
+def test_glyphs():
+    rng = np.random.default_rng(4)
+    shapes = {c: np.where(rng.random((8, 5)) < 0.5, 220.0, 0.0) for c in "0123456789"}
+    for t in shapes.values():
+        t[:, 0] = t[0] = 220.0  # the box is the whole template
+        t[-1, -1] = 220.0
+    word, ink = "40719", np.zeros((8, 33))
+    for k, c in enumerate(word):
+        ink[:, 1 + 6 * k : 6 + 6 * k] = shapes[c] * 0.9
+    templates = list(shapes.items())
+    assert "".join(t for t, _ in glyphs.decode(ink, templates)) == word
+    assert [glyphs.match(ink, (1 + 6 * k, 0, 5, 8), templates)[0] for k in range(5)] == list(word)
+    assert glyphs.match(np.zeros((8, 8)), (1, 0, 5, 8), templates)[0] == "?"
+    x, y, score = glyphs.fragment(ink, shapes["7"])
+    assert (x, y) == (13, 0) and score > 0.99 and glyphs.fragment(np.zeros((8, 9)), shapes["7"]) is None
+    dots = np.zeros((9, 12), bool)
+    dots[1:3, 2:4] = dots[6:8, 2:4] = dots[1:8, 7:9] = True
+    found = glyphs.components(dots)
+    assert len(found) == 3 and glyphs.glyphs(found) == [(2, 1, 2, 7, 8), (7, 1, 2, 7, 14)]
+    assert len(glyphs.dissimilar([shapes["1"], shapes["1"] * 0.5, shapes["2"]])) == 2
+
+
+def test_sheets_of_a_case(spark):
+    rng = np.random.default_rng(6)
+    a, b = ((rng.random((8, 20)) < 0.4) for _ in range(2))
+    sheet_ = lambda digest, date, crop, start: {"digest": digest, "date": date, "crop": crop, "start_s": start, "end_s": None if start is None else start + 5}
+    s = [sheet_("x", "1.1", a, 10.0), sheet_("y", "1.1", a, 4.9), sheet_("x", "1.1", a, 10.0), sheet_("z", "2.1", b, 0.0), sheet_(None, "2.1", None, 5.2), sheet_("w", "1.1", a, 11.0), sheet_(None, "9.9", None, None)]
+    originals, groups, repeated, issues = order.arrange(s)
+    assert originals == {2: 0} and groups == [[1, 0, 5], [3, 4], [6]] and repeated == {5: 0}
+    assert issues == ["multiple_animals", "duplicate:2", "overlap:5", "animal_unverified:4", "animal_unverified:6"]
+    assert order.arrange([sheet_("p", "1.1", a, None), sheet_("q", "1.1", a, 3.0)])[1:] == ([[0, 1]], {}, ["order_unknown"]) and order.arrange([]) == ({}, [], {}, [])
+    rows = [(1, 100 + i, i, x["digest"], x["date"], 20, None if x["crop"] is None else bytearray(np.where(x["crop"], 0, 255).astype(np.uint8).tobytes()), x["start_s"], x["end_s"]) for i, x in enumerate(s)]
+    got = {r.page: r for r in order.ordered(spark.createDataFrame(rows, "case_id long, page long, upload int, digest string, date string, width int, crop binary, start_s double, end_s double")).collect()}
+    assert got[102].original == 100 and {p for p, r in got.items() if r.counted} == {100, 101} and got[103].group_no == 1 and got[104].place == 1
