@@ -17,8 +17,9 @@ from pulseframe.llm.text import BASE, codes, mix
 MEAN, WINDOW, APART = 16, 8, 4
 #: Rounds that digests are compared in, so that a part of the chunks lies on disk at a time.
 PARTS = 4
-#: A run of repeated chunks is reported from this many characters: whole chunks inside a repeated passage of 50 words are longer.
-LEAST = 96
+#: A run of repeated chunks is reported from this many words: about half of a passage of 51, as the chunks at its two edges are lost; or, for scripts
+#: without white space, from this many characters.
+LEAST, LONG = 26, 400
 
 
 def cuts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -42,7 +43,7 @@ def cuts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int | None = None) -> DataFrame:
-    """One row a chunk, of all or of the part of PARTS that its digest falls into: digest (two numbers), doc_id, start, length."""
+    """One row a chunk, of all or of the part of PARTS that its digest falls into: digest (two numbers), doc_id, start, length, words (that begin in it)."""
     small_batches(df.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,21 +57,27 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int
             raw = memoryview(cp.tobytes())
             d = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
             own = np.searchsorted(at, starts, "right") - 1
+            inside = (cp != 32) & ((cp < 9) | (cp > 13))
+            begins = inside & ~np.append(False, inside[:-1])[: len(cp)]
+            begins[at[:-1][np.diff(at) > 0]] = inside[at[:-1][np.diff(at) > 0]]
+            so_far = np.append(0, np.cumsum(begins))
+            words = (so_far[ends] - so_far[starts]).astype(np.int16)
             if part is not None:
                 mine = d[:, 1] % PARTS == part
-                d, starts, ends, own = d[mine], starts[mine], ends[mine], own[mine]
+                d, starts, ends, own, words = d[mine], starts[mine], ends[mine], own[mine], words[mine]
             ids = b.column(0).to_numpy()[own]
-            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array((d[:, 1] >> 32).astype(np.int32)), pa.array(ids, pa.int64()), pa.array((starts - at[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["hi", "lo", "doc_id", "start", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array((d[:, 1] >> 32).astype(np.int32)), pa.array(ids, pa.int64()), pa.array((starts - at[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(words)], ["hi", "lo", "doc_id", "start", "length", "words"])
 
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text <> ''")
-    return d.mapInArrow(split, "hi long, lo int, doc_id long, start int, length int")
+    return d.mapInArrow(split, "hi long, lo int, doc_id long, start int, length int, words short")
 
 
-def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, long: int = LONG) -> DataFrame:
     """One row for each stretch of a document that repeats in another: doc_id, span_start, span_end (code points, end exclusive), n_chunks,
-    first_doc_id and removed_chars. Documents that repeat nothing have no row.
+    n_words, first_doc_id and removed_chars. Documents that repeat nothing have no row.
 
-    A stretch is a run of neighbouring chunks whose digests (96 bits) occur in two documents at least; it is reported from `least` characters.
+    A stretch is a run of neighbouring chunks whose digests (96 bits) occur in two documents at least; it is reported from `least`
+    words that begin in it, or `long` characters.
     first_doc_id is the smallest document with one of its chunks; removed_chars are the characters of chunks that a document with a
     smaller doc_id holds as well, which deduplication takes out. Rows with the same doc_id are one document, a repeat within one document
     doesn't count. Null and empty texts have no chunks, and rows without a doc_id can't be named, so neither is reported. An empty table
@@ -83,12 +90,12 @@ def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: in
         c = chunks(df, text, doc_id, part)
         shared = c.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
         # the chunks are made twice: cheaper than storing them
-        met = chunks(df, text, doc_id, part).join(shared, ["hi", "lo"]).select("doc_id", "start", "length", "first")
+        met = chunks(df, text, doc_id, part).join(shared, ["hi", "lo"]).select("doc_id", "start", "length", "words", "first")
         parts.append(cut(met, "found"))
     found = parts[0]
     for more in parts[1:]:
         found = found.union(more)
-    found = found.groupBy("doc_id", "start", "length").agg(F.min("first").alias("first"))
+    found = found.groupBy("doc_id", "start", "length").agg(F.min("first").alias("first"), F.max("words").alias("words"))
     w = W.partitionBy("doc_id").orderBy("start")
     found = found.withColumn("_new", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(w), F.lit(-1)) != F.col("start")).cast("int"))
     found = found.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -96,7 +103,8 @@ def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: in
         F.min("start").cast("long").alias("span_start"),
         F.max(F.col("start") + F.col("length")).cast("long").alias("span_end"),
         F.count(F.lit(1)).alias("n_chunks"),
+        F.sum("words").alias("n_words"),
         F.min("first").alias("first_doc_id"),
         F.sum(F.when(F.col("first") < F.col("doc_id"), F.col("length")).otherwise(0)).cast("long").alias("removed_chars"),
     )
-    return runs.filter(F.col("span_end") - F.col("span_start") >= least).drop("_run")
+    return runs.filter((F.col("n_words") >= least) | (F.col("span_end") - F.col("span_start") >= long)).drop("_run")

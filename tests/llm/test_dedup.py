@@ -198,8 +198,10 @@ def test_repeats_against_chunks_written_out(spark):
                 run.append((a, c))
             elif run:
                 start, end = run[0][0], run[-1][0] + len(run[-1][1])
-                if end - start >= substrings.LEAST:
-                    want.append((i, start, end, len(run), min(min(owners[c]) for _, c in run), sum(len(c) for _, c in run if min(owners[c]) < i)))
+                text = dict((r[0], r[1]) for r in data)[i]
+                begun = sum(text[p] != " " and (p == 0 or text[p - 1] == " ") for p in range(start, end))
+                if begun >= substrings.LEAST or end - start >= substrings.LONG:
+                    want.append((i, start, end, len(run), begun, min(min(owners[c]) for _, c in run), sum(len(c) for _, c in run if min(owners[c]) < i)))
                 run = []
-    got = [(g.doc_id, g.span_start, g.span_end, g.n_chunks, g.first_doc_id, g.removed_chars) for g in substrings.repeats(frame(spark, data)).collect()]
+    got = [(g.doc_id, g.span_start, g.span_end, g.n_chunks, g.n_words, g.first_doc_id, g.removed_chars) for g in substrings.repeats(frame(spark, data)).collect()]
     assert sorted(got) == sorted(want) and len(want) >= 20
