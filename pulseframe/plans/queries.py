@@ -449,8 +449,8 @@ def windowed_rates(spark, sf):
 
 @query()
 def filtfilt_signal(spark, sf):
-    """Page-long signals: a page's vectors end to end."""
-    e = T.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("page")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("mv"))
+    """Page-long signals: forty vectors end to end, so a page has 2560 samples whatever the table's size."""
+    e = T.table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 40).alias("page")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("mv"))
     return bridge.filtered(e.select("page", F.lit("II").alias("lead"), F.transform("mv", lambda x: x.cast("double")).alias("mv")), "dog")
 
 
