@@ -130,33 +130,38 @@ def runs(column: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 2)
 
 
-def path(columns: list[np.ndarray], anchor: float, step: float) -> np.ndarray:
-    """The cheapest way through the columns' runs, one run or none (-1) a column: distance to the anchor (steeper beyond one step), white
-    gap to the last run, a price for skipping and for coming back."""
-    n = len(columns)
-    choice = [None] * n
-    best, top, bottom = np.array([0.0]), np.array([anchor]), np.array([anchor])
+def paths(columns: list[np.ndarray], anchors: np.ndarray, step: float) -> np.ndarray:
+    """For each anchor the cheapest way through the columns' runs, one run or none (-1) a column: distance to the anchor (steeper beyond one step), white
+    gap to the last run, a price for skipping and for coming back. All anchors go through a column together; a skip remembers where it left."""
+    anchors = np.asarray(anchors, float)
+    m = len(anchors)
+    every = np.arange(m)
+    best = np.zeros((m, 1))  # states: the last column's runs, then the skip
+    last, held = np.zeros((0, 2)), np.stack([anchors, anchors], 1)
+    choice = []
     for i, r in enumerate(columns):
-        mid = r.mean(1) if len(r) else np.zeros(0)
-        d = np.maximum(0, np.abs(mid - anchor)) / step
+        top, bottom = r[:, 0], r[:, 1]
+        d = np.abs((top + bottom) / 2 - anchors[:, None]) / step
         unary = BASELINE * np.where(d <= 1, d, 1 + 3 * (d - 1))
-        # states before: runs of the last column, and a skip that remembers where it left
-        gap = np.maximum(0, np.maximum(r[:, :1] - bottom[None, :], top[None, :] - r[:, 1:]) - 1)
-        come = best[None, :] + gap + np.where(np.arange(len(best)) == len(best) - 1, REENTRY if i else 0.0, 0.0)[None, :]
-        src = come.argmin(1) if len(r) else np.zeros(0, int)
-        cost = come[np.arange(len(r)), src] + unary if len(r) else np.zeros(0)
-        leave = int(best.argmin())
-        choice[i] = np.append(src, leave)
-        best, top, bottom = np.append(cost, best[leave] + SKIP), np.append(r[:, 0], top[leave]), np.append(r[:, 1], bottom[leave])
-    out, at = np.full(n, -1), int(best.argmin())
-    for i in range(n - 1, -1, -1):
-        out[i] = at if at < len(columns[i]) else -1
-        at = int(choice[i][at])
+        come = np.empty((m, len(last) + 1, len(r)))
+        come[:, :-1] = best[:, :-1, None] + np.maximum(0, np.maximum(top[None] - last[:, 1:], last[:, :1] - bottom[None]) - 1)[None]
+        come[:, -1] = best[:, -1:] + np.maximum(0, np.maximum(top[None] - held[:, 1:], held[:, :1] - bottom[None]) - 1) + (REENTRY if i else 0.0)
+        src = come.argmin(1)
+        leave = best.argmin(1)
+        choice.append(np.concatenate([src, leave[:, None]], 1))
+        run = leave < len(last)
+        held[run] = last[leave[run]]
+        best = np.concatenate([np.take_along_axis(come, src[:, None], 1)[:, 0] + unary, best[every, leave][:, None] + SKIP], 1)
+        last = r
+    out, at = np.full((m, len(columns)), -1), best.argmin(1)
+    for i in range(len(columns) - 1, -1, -1):
+        out[:, i] = np.where(at < len(columns[i]), at, -1)
+        at = choice[i][every, at]
     return out
 
 
 def path_pair(columns: list[np.ndarray], anchors: tuple[float, float], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest pair of ways through the columns' runs, for two leads whose curves meet: as path, but a run may serve both at a small price, and skipping has no memory, so
+    """The cheapest pair of ways through the columns' runs, for two leads whose curves meet: as paths, but a run may serve both at a small price, and skipping has no memory, so
     coming back costs half the distance to the anchor more.
 
     The least over pairs of states before is taken for one lead, then for the other, as their steps don't depend on each other."""
@@ -238,12 +243,12 @@ def read(img: np.ndarray) -> dict:
     columns = [runs(mask[:, i]) for i in range(mask.shape[1])]
     leads = {}
     anchors = [(first + step * i) * spacing[1] + default[1] - y0 for i in range(len(LEADS))]
-    paths = [path(columns, a, step * spacing[1]) for a in anchors]
+    ways = paths(columns, np.array(anchors), step * spacing[1])
     for i in range(len(LEADS) - 1):
-        if ((paths[i] >= 0) & (paths[i] == paths[i + 1])).mean() >= MEET:
+        if ((ways[i] >= 0) & (ways[i] == ways[i + 1])).mean() >= MEET:
             issues.append(f"leads_meet:{LEADS[i]}:{LEADS[i + 1]}")
-            paths[i], paths[i + 1] = path_pair(columns, (anchors[i], anchors[i + 1]), step * spacing[1])
-    for lead, way in zip(LEADS, paths, strict=True):
+            ways[i], ways[i + 1] = path_pair(columns, (anchors[i], anchors[i + 1]), step * spacing[1])
+    for lead, way in zip(LEADS, ways, strict=True):
         x, y = heights(columns, way)
         if len(x) < 10:
             issues.append(f"lead_empty:{lead}")
