@@ -14,6 +14,8 @@ FRAME, FRAME_SHARE, GRID, CORE, EDGE, SMALL, BRIDGE = 200, 0.7, (180, 235), 130,
 BASELINE, SKIP, REENTRY, SHARED, NESTED, NEST = 0.5, 1.5, 3.0, 0.1, 0.5, 3
 #: Share of columns in which two neighbouring leads took the same run, from which they are traced together.
 MEET = 0.01
+#: Relative error up to which a height speaks for a variant.
+TOLERANCE = 0.02
 LEADS = tuple(synth.LEADS)
 
 
@@ -224,12 +226,27 @@ def baseline(y: np.ndarray) -> float:
     return float(y[np.abs(y - m) <= 1].mean())
 
 
+def vote(height: int, box: tuple[int, int, int, int] | None) -> tuple[str, bool]:
+    """The variant that the heights of the sheet and of its frame speak for, each if it is within TOLERANCE, and whether they differ; without any vote the one nearest in height."""
+    from pulseframe.kernels.layout import decide
+
+    near = lambda x, of: min(VARIANTS, key=lambda v: abs(x - of(v)) / of(v))
+    sizes = {"height": (height, lambda v: VARIANTS[v][0])}
+    if box:
+        sizes["frame"] = (box[3] - box[1], lambda v: VARIANTS[v][1][3] - VARIANTS[v][1][1])
+    votes = {k: v for k, (x, of) in sizes.items() if abs(x - of(v := near(x, of))) <= TOLERANCE * of(v)}
+    variant, _, ambiguous = decide(votes)
+    return variant or near(height, sizes["height"][1]), ambiguous
+
+
 def read(img: np.ndarray) -> dict:
     """frame, px_per_mm, variant, issues, confidence, and leads: name to (mv, confidence). A sheet without frame or grid falls back to the variant nearest in height."""
     issues: list[str] = []
-    variant = min(VARIANTS, key=lambda v: abs(VARIANTS[v][0] - img.shape[0]))
-    _, default, px, first, step = VARIANTS[variant]
     box = frame(img)
+    variant, ambiguous = vote(img.shape[0], box)
+    _, default, px, first, step = VARIANTS[variant]
+    if ambiguous:
+        issues.append("variant_ambiguous")
     if box is None:
         issues.append("no_frame")
         box = default

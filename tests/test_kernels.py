@@ -134,6 +134,12 @@ def test_layout_evidence():
     assert layout.decide({"rrRow": "B", "height": "A", "frame": "A"}) == ("A", 2 / 3.5, True) and layout.decide({}) == (None, 0.0, False)
 
 
+def test_votes_for_a_variant():
+    a, b = (sheet.VARIANTS[v] for v in "AB")
+    assert sheet.vote(a[0], a[1]) == ("A", False) and sheet.vote(b[0], b[1]) == ("B", False) and sheet.vote(b[0], None) == ("B", False)
+    assert sheet.vote(a[0], b[1]) == ("A", True) and sheet.vote(400, None) == ("B", False)
+
+
 def test_plus_marks():
     px, phase = 4.3, 3.0
     img = np.full((400, 1100), 255, np.uint8)
