@@ -96,5 +96,3 @@ def swap(labels: DataFrame, swaps: DataFrame) -> DataFrame:
     """The label edits (key, lead, target) that exchange two slots. labels: automatic_label's; swaps: key, a, b. A trace that already has the label needs none."""
     s = swaps.filter("a <> b").select("key", F.explode(F.array(F.struct(F.col("a").alias("slot"), F.col("b").alias("target")), F.struct(F.col("b").alias("slot"), F.col("a").alias("target")))).alias("x")).select("key", "x.*")
     return s.join(labels, ["key", "slot"]).filter("lead IS NOT NULL AND lead <> target").select("key", "lead", "target")
-
-
