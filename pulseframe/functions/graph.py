@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) for each node of links (columns a and b); none for loops and nulls.
 
     Alternating large-star and small-star steps: each replaces edges by as many or fewer, so rows never outgrow the links, and a
-    hub's edges are joined by a key that can be split. Ends when a round changes nothing; the driver sees one number a round."""
+    hub's edges are joined by a key that can be split. All joins are merge joins, so the driver holds no node tables. Ends when a round changes nothing; the driver sees one number a round."""
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, "edges")
     last = None
@@ -20,10 +20,10 @@ def components(links: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours go to its smallest neighbour or itself
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: each node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
