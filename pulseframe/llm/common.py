@@ -46,24 +46,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def learning_rows(df: DataFrame, rows: int, chars: int, classes: int) -> DataFrame:
-    """A bounded sample of df's rows (label and text, neither null) to learn from: label, text and key.
+def learning_keys(df: DataFrame, rows: int, chars: int, classes: int) -> DataFrame:
+    """Which texts to learn from: label and key, of df's rows (label, key, chars: a text's hash and length; label not null). Equal texts of a label count
+    once, so repeated rows and copies take no other text's place. Of the `classes` labels with the most rows (ties by label), it takes the texts with the
+    smallest keys: `rows` a label at most, and no text more once they have `chars` characters together.
 
-    Equal texts of a label count once, so repeated rows and copies take no other text's place. Of the `classes` labels with the most rows (ties by
-    label), it takes the texts with the smallest hashes: `rows` a label at most, and no text more once they have `chars` characters together.
-    Hashes below a bound that leaves a little more than `rows` texts go on, from all tasks, before they are ranked: no task sees more of a label."""
+    Keys below a bound that leaves a little more than `rows` texts go on, from all tasks, before they are ranked: no task sees more of a label."""
     from pyspark.sql import Window as W
 
-    d = df.select("label", "text", F.xxhash64("text").alias("key"))
-    found = d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key", 0.02).alias("texts")).orderBy(F.desc("n"), "label").limit(classes).collect()
+    found = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key", 0.02).alias("texts")).orderBy(F.desc("n"), "label").limit(classes).collect()
     bound = F.lit(None).cast("double")
     for r in found:
         share = min(1.0, 1.1 * (rows + 5 * rows**0.5 + 20) / max(1, r["texts"]))
         bound = F.when(F.col("label") == F.lit(r["label"]), F.lit(share * 2.0**64 - 2.0**63)).otherwise(bound)
-    some = d.filter(F.col("key").cast("double") <= bound).dropDuplicates(["label", "key"])
+    some = df.filter(F.col("key").cast("double") <= bound).groupBy("label", "key").agg(F.max("chars").alias("chars"))
     w = W.partitionBy("label").orderBy("key")
-    some = some.withColumn("_no", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum(F.length("text").cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return some.filter((F.col("_no") <= rows) & (F.col("_before") < chars)).select("label", "text", "key")
+    some = some.withColumn("_no", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum("chars").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return some.filter((F.col("_no") <= rows) & (F.col("_before") < chars)).select("label", "key")
+
+
+def learning_rows(df: DataFrame, labels: DataFrame | None, rows: int, chars: int, classes: int) -> DataFrame:
+    """The texts that learning_keys chooses: label, key, text. df has text, and label or, with labels (doc_id, label), doc_id. Texts are not shuffled: ids and hashes
+    choose the keys, at most `rows` a class, and those are broadcast to a second reading of the texts."""
+    d = df.withColumn("key", F.xxhash64("text")).withColumn("chars", F.length("text").cast("long"))
+    named = d.select("label", "key", "chars") if labels is None else d.select("doc_id", "key", "chars").join(labels.hint("merge"), "doc_id").select("label", "key", "chars")
+    chosen = learning_keys(named, rows, chars, classes)
+    texts = d.select(*(["label"] if labels is None else []), "key", "text")
+    return texts.join(F.broadcast(chosen), ["label", "key"] if labels is None else ["key"]).dropDuplicates(["label", "key"]).select("label", "key", "text")
+
+
+def flat_lists(column) -> tuple:
+    """A column of lists as NumPy: all values, and where each list begins (with the end as last entry)."""
+    column = column.combine_chunks()
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy(), at
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

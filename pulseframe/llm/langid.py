@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import held_out, learning_rows, small_batches
+from pulseframe.llm.common import flat_lists, held_out, learning_rows, small_batches
 from pulseframe.llm.text import MIX_A, codes, letters
 
 #: n-grams of 1 to LONGEST letters (all else is a gap), hashed to one of 2**BITS features.
@@ -101,9 +102,12 @@ def learn(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
             sets = features(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))], ["label", "key", "set"])
 
-    sample = learning_rows(d, rows, chars, languages).select("label", "key", "text")
+    sample = learning_rows(d, None, rows, chars, languages)
     sample = sample.mapInArrow(presence, "label string, key long, set array<int>").toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
-    sets, labels = [np.array(s.as_py(), np.int32) for s in sample["set"]], sample["label"].to_pylist()
+    if not sample.num_rows:
+        return [], np.zeros((1 << BITS, 0), np.float32)
+    flat, at = flat_lists(sample["set"])
+    sets, labels = [flat[i:j] for i, j in itertools.pairwise(at.tolist())], sample["label"].to_pylist()
     good = [i for i, s in enumerate(sets) if len(s)]
     return fit([sets[i] for i in good], [labels[i] for i in good]) if good else ([], np.zeros((1 << BITS, 0), np.float32))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import held_out, learning_rows, small_batches
+from pulseframe.llm.common import flat_lists, held_out, learning_rows, small_batches
 from pulseframe.llm.text import codes, letters, mix, word_hashes
 
 #: A sentence's features are its words and their beginnings of these lengths, hashed to 2**BITS weights.
@@ -99,10 +100,12 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             ss = [sizes[i:j].tolist() for i, j in zip(per_doc[:-1], per_doc[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ws, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], ["label", "key", "words", "sizes"])
 
-    # ids alone meet the labels; a text is read on only if its id has one
-    sample = learning_rows(d.join(known, "doc_id").select("label", "text"), rows, chars, 2).select("label", "key", "text")
+    sample = learning_rows(d, known, rows, chars, 2)
     sample = sample.mapInArrow(parts, "label int, key long, words array<int>, sizes array<int>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
-    docs = [(np.array(a.as_py(), np.int32), np.array(b.as_py(), np.int64)) for a, b in zip(sample["words"], sample["sizes"], strict=True)]
+    if not sample.num_rows:
+        return spark.sparkContext.broadcast(np.zeros(1 << BITS, np.float32)), -np.inf
+    (words, w_at), (sizes, s_at) = flat_lists(sample["words"]), flat_lists(sample["sizes"])
+    docs = [(words[a:b], sizes[c:d].astype(np.int64)) for (a, b), (c, d) in zip(itertools.pairwise(w_at.tolist()), itertools.pairwise(s_at.tolist()), strict=True)]
     y = np.array(sample["label"].to_pylist(), np.int64)
     w, bias = fit(docs, y) if len(set(y.tolist())) == 2 else (np.zeros(1 << BITS, np.float32), -np.inf)
     return spark.sparkContext.broadcast(w), bias

@@ -71,12 +71,12 @@ def test_samples_hold_on_repeated_rows(spark):
     data = talk(3, 200) + [[4, talk(3, 200)[4][1], "en", "s", None, None, None]] * 10_000
     d = frame(spark, data).selectExpr("lang AS label", "text")
     kinds = {lang: {r[1] for r in data if r[2] == lang} for lang in POOLS}
-    got = [tuple(r) for r in learning_rows(d, 1000, 10**9, 10).select("label", "text").collect()]
+    got = [tuple(r) for r in learning_rows(d, None, 1000, 10**9, 10).select("label", "text").collect()]
     assert len(got) == len(set(got)) and {lang: {t for x, t in got if x == lang} for lang in POOLS} == kinds
-    few = learning_rows(d, 20, 10**9, 2).collect()
+    few = learning_rows(d, None, 20, 10**9, 2).collect()
     assert len(few) == 40 and len({r.label for r in few}) == 2
-    assert all(sum(len(r.text) for r in learning_rows(d, 1000, 2000, 9).collect() if r.label == lang) < 2000 + max(map(len, kinds[lang])) for lang in POOLS)
-    assert learning_rows(d.limit(0), 5, 5, 5).count() == 0
+    assert all(sum(len(r.text) for r in learning_rows(d, None, 1000, 2000, 9).collect() if r.label == lang) < 2000 + max(map(len, kinds[lang])) for lang in POOLS)
+    assert learning_rows(d.limit(0), None, 5, 5, 5).count() == 0
 
 
 def test_int_ids_and_noisy_or(spark):
