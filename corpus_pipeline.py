@@ -37,7 +37,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", clean), ("exact dedup", copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("packing", sequences)]
 
-#: Learned scores can't be expressed in SQL; tests/llm checks exact copies by full texts, the other stages and run() only in part.
+#: Learned scores can't be expressed in SQL; tests/llm/test_packing_mixing.py compares every stage and run() with plain Python by full rows.
 ORACLE_SQL = None
 
 
