@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.graph import components
-from pulseframe.llm.common import cut, small_batches
+from pulseframe.llm.common import cut, drop, small_batches
 from pulseframe.llm.text import BASE, mix, word_hashes
 
 #: A token found in more sets than the first figure is combined by two, above the second by three, and so on.
@@ -291,7 +291,9 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
             sets = shingles(b.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), b.column(2), b.column(3), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "n", "w", "rows", "tokens"])
 
-    suspected = d.join(cut(suspects, "suspects").hint("merge"), d["doc_id"] == F.col("node")).select("doc_id", "text", "w", "rows")
+    suspects = cut(suspects, "suspects")
+    drop(s)  # what is needed of it is in members and suspects
+    suspected = d.join(suspects.hint("merge"), d["doc_id"] == F.col("node")).select("doc_id", "text", "w", "rows")
     sets = cut(suspected.mapInArrow(tokens, "node long, n long, w long, rows long, tokens array<long>"), "tokens")
     # a doc_id's equal rows are one set
     again = sets.filter("rows > 1").groupBy("node", "n", "w", F.xxhash64("tokens").alias("digest")).agg(F.max("tokens").alias("tokens")).drop("digest")
@@ -312,6 +314,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     signed = cut(signed, "signed")
     often = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     postings = cut(signed.join(often, "sig"), "postings")
+    drop(signed)
     home = postings.groupBy("node", "n").agg(F.max(F.struct("c", "sig"))["sig"].alias("home"))
     home = cut(home.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / np.log(1.05)).cast("int")), "homes")
 
