@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.common import documents, tokenizer
 from pulseframe.llm.exact import exact_dedup
-from pulseframe.llm import langid, lmscore, substrings, toxicity
+from pulseframe.llm import centroids, langid, licenses, lmscore, periodic, substrings, toxicity
 from pulseframe.llm.fingerprints import fingerprint_with_next
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.njoin import near_groups
@@ -60,6 +60,40 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.with_cycles(documents(spark, sf_dir))))
+
+
+def lloyd_sql(clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    """Lloyd's rounds, each two common table expressions: aN assigns to the centroids cN, of which the next are made."""
+    sql = f"""
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM e QUALIFY c < {clusters})"""
+    for i in range(rounds + 1):
+        sql += f""",
+        a{i} AS (SELECT e.vec_id, e.v, min((list_sum(list_transform(list_zip(e.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c)) AS best FROM e, c{i} GROUP BY e.vec_id, e.v)"""
+        if i < rounds:
+            sql += f""",
+        s{i} AS (SELECT c, d, floor_div(sum(x), count(*)) AS m FROM (SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{i}) GROUP BY c, d),
+        c{i + 1} AS (SELECT c{i}.c, coalesce(n.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(m ORDER BY d) AS v FROM s{i} GROUP BY c) AS n USING (c))"""
+    last = f"a{rounds}"
+    sql += f"""
+        SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia, sum(best[1]) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM {last} JOIN c{rounds} ON c = best[2]"""
+    # sums fit 64 bits here; the floor of a quotient, also below zero
+    return sql.replace("floor_div(sum(x), count(*))", "((sum(x)::BIGINT - ((sum(x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*))")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
@@ -71,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_license_scan": op11_license_scan,
+    "op12_centroids": op12_centroids,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -108,4 +145,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, source, pass, tokens, block,
                row_number() OVER (PARTITION BY block ORDER BY md5(key || '|' || block), key) - 1 AS block_pos
         FROM b""",
+    "op12_centroids": lloyd_sql(),
 }
