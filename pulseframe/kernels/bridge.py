@@ -7,20 +7,27 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.kernels import delineate as D
 from pulseframe.kernels import detect as K
-from pulseframe.kernels import dsp, synth
+from pulseframe.kernels import dsp, printed
+from pulseframe.plans import constants as C
 
 cloudpickle.register_pickle_by_value(sys.modules["pulseframe"])
 
-BEAT = "page long, beat_index int, t_ms double, confidence double, n_leads int, p_on double, p_off double, q_on double, s_off double, t_off double, reasons array<string>, issue string"
+#: Columns of page_beats: times in ms on the page; lead_ms by lead; of lead II t_ii_ms and all marks; bad: lead II's stretches after its filter.
+_MS = ("p_on", "p_off", "q_on", "r_peak", "s_peak", "s_off", "t_peak", "t_off")
+BEAT = "page long, beat_index int, t_ms double, confidence double, n_leads int, lead_ms map<string,double>, t_ii_ms double, " + ", ".join(f"{c} double" for c in _MS) + ", p_found boolean, d_confidence double, reasons array<string>, d_reasons array<string>, issue string"
+_BEAT = pa.schema([
+    ("page", pa.int64()), ("beat_index", pa.int32()), ("t_ms", pa.float64()), ("confidence", pa.float64()), ("n_leads", pa.int32()), ("lead_ms", pa.map_(pa.string(), pa.float64())), ("t_ii_ms", pa.float64()),
+    *((c, pa.float64()) for c in _MS), ("p_found", pa.bool_()), ("d_confidence", pa.float64()), ("reasons", pa.list_(pa.string())), ("d_reasons", pa.list_(pa.string())), ("issue", pa.string()),
+])
 
 
 def filtered(signals: DataFrame, species: str, hz: float = 500.0) -> DataFrame:
-    """page, lead, mv filtered without phase shift."""
+    """page, lead, mv filtered without phase shift; a stage that can't be built at this sampling rate is left out (dsp.skipped names it)."""
 
     def run(batches):
         for b in batches:
@@ -30,45 +37,51 @@ def filtered(signals: DataFrame, species: str, hz: float = 500.0) -> DataFrame:
     return signals.select("page", "lead", "mv").mapInArrow(run, "page long, lead string, mv array<float>")
 
 
-def page_beats(signals: DataFrame, hz: float = 500.0) -> DataFrame:
-    """Beats with wave marks (ms) from signals (page, lead, species, confidence, mv): detection over all leads, delineation in lead II, or the
-    first where it is missing. A page that fails gives one row with an issue and no beat. A page is six leads of a few seconds, so a group is small."""
+def _spans(bad: list[dict] | None) -> list[tuple[int, int, str]]:
+    return [(u["i0"], u["i1"], u["kind"]) for u in bad or []]
 
-    def run(group: pa.Table) -> pa.Table:
-        rows, page = [], group["page"][0].as_py()
-        try:
-            species = group["species"][0].as_py()
-            leads = {k: np.array(v, float) for k, v in zip(group["lead"].to_pylist(), group["mv"].to_pylist(), strict=True) if v}
-            trust = dict(zip(group["lead"].to_pylist(), group["confidence"].to_pylist(), strict=True))
-            beats = K.detect(leads, {k: 1.0 if v is None else v for k, v in trust.items()}, species, hz)
-            if beats:
-                lead = "II" if "II" in leads else sorted(leads)[0]
-                x = dsp.clean(leads[lead], species, hz)[0].astype(float)
-            for i, b in enumerate(beats):
-                m = D.delineate(x, b.leads.get("II", b.t_ms), species, hz, before_ms=beats[i - 1].t_ms if i else None, after_ms=beats[i + 1].t_ms if i + 1 < len(beats) else None)
-                reasons = b.reasons + m.pop("reasons")
-                rows.append({"page": page, "beat_index": i, "t_ms": b.t_ms, "confidence": b.confidence, "n_leads": len(b.leads), **{k: None if v is None else float(v) for k, v in m.items()}, "reasons": reasons, "issue": None})
-        except Exception as e:  # one bad page must not stop a case
-            rows = [{"page": page, "issue": f"page_failed:{type(e).__name__}"}]
-        kind = pa.schema([("page", pa.int64()), ("beat_index", pa.int32()), ("t_ms", pa.float64()), ("confidence", pa.float64()), ("n_leads", pa.int32()), *((k, pa.float64()) for k in ("p_on", "p_off", "q_on", "s_off", "t_off")), ("reasons", pa.list_(pa.string())), ("issue", pa.string())])
-        return pa.Table.from_pylist(rows, kind)
 
-    return signals.groupBy("page").applyInArrow(run, BEAT)
+def _beats_of_page(leads: list[dict], hz: float) -> list[dict]:
+    """leads: rows of one page. Beats over all leads, checked against the printed rates; marks in lead II, filtered. Without lead II's signal beats have no marks."""
+    page, species = leads[0]["page"], leads[0]["species"]
+    x = {r["lead"]: np.asarray(r["mv"], float) for r in leads if len(r["mv"])}
+    trust = {r["lead"]: 1.0 if r["confidence"] is None else r["confidence"] for r in leads}
+    spans = {r["lead"]: _spans(r.get("bad")) for r in leads}
+    beats = K.detect(x, trust, species, hz, spans)
+    rates = [(r["x"], r["value"]) for r in leads[0].get("rates") or []]
+    if rates:
+        printed.check(beats, rates, leads[0]["left_px"] or 0.0, leads[0]["px_per_ms"] or 0.0)
+    ii = D.Lead(dsp.clean(x["II"], species, hz)[0] if "II" in x and beats else np.zeros(0))
+    bad = dsp.widened(spans["II"], len(ii.x), species, hz) if "II" in x else []
+    sure = trust.get("II", 0.0) >= C.RELIABLE and "II" in x
+    at, out = [b.t_ms for b in beats], []
+    for i, b in enumerate(beats):
+        m = D.delineate(ii, b.leads.get("II", b.t_ms), species, hz, leads[0].get("mv_per_px"), at[i - 1] if i else None, at[i + 1] if i + 1 < len(at) else None, bad)
+        own = b.leads.get("II") if sure and "lead_ii_unreliable" not in b.reasons else None
+        out.append({"page": page, "beat_index": i, "t_ms": b.t_ms, "confidence": min(1.0, max(0.0, b.confidence)), "n_leads": len(b.leads), "lead_ms": list(b.leads.items()), "t_ii_ms": own, "reasons": b.reasons, "d_confidence": m.pop("confidence"), "d_reasons": m.pop("reasons"), **m, "issue": None})
+    return out
 
 
-def synthetic_signals(spark: SparkSession, pages: int, seed: int = 1) -> DataFrame:
-    """Pages of six leads with known beats, dogs and cats in turn, made where they are used."""
+def page_beats(signals: DataFrame, hz: float = C.HZ) -> DataFrame:
+    """Beats with wave marks from signals: page, lead, species, confidence, mv; and, where there are such columns, bad (array of i0, i1, kind: unreliable stretches), rates (array of
+    x, value: printed above the page), left_px and px_per_ms (where they stand), mv_per_px.
 
-    def make(batches):
-        for b in batches:
-            out = []
-            for page in b.column(0).to_pylist():
-                species = ("dog", "cat")[page % 2]
-                ii, _ = synth.signal(species, seed=seed + page)
-                out += [{"page": page, "lead": k, "species": species, "confidence": 1.0, "mv": v.tolist()} for k, v in synth.leads(ii).items()]
-            yield from pa.Table.from_pylist(out, pa.schema([("page", pa.int64()), ("lead", pa.string()), ("species", pa.string()), ("confidence", pa.float64()), ("mv", pa.list_(pa.float64()))])).to_batches()
+    A page is a few leads of a few seconds, so a group is small; pages are dealt over tasks. A page that fails has one row with an issue and no beat, others go on."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            mv = group["mv"].combine_chunks()
+            samples, at = mv.values.to_numpy(zero_copy_only=False), mv.offsets.to_numpy()
+            leads = group.drop_columns(["mv"]).to_pylist()
+            for i, (r, known) in enumerate(zip(leads, mv.is_valid().to_pylist(), strict=True)):
+                r["mv"] = samples[at[i] : at[i + 1]] if known else samples[:0]
+            rows = _beats_of_page(leads, hz)
+        except Exception as e:  # one bad page must not stop a case
+            rows = [{"page": group["page"][0].as_py(), "issue": f"exception:beats:{type(e).__name__}:{e}"}]
+        return pa.Table.from_pylist(rows, _BEAT)
 
-    return spark.range(pages).mapInArrow(make, "page long, lead string, species string, confidence double, mv array<double>")
+    wanted = ["page", "lead", "species", "confidence", "mv", "bad", "rates", "left_px", "px_per_ms", "mv_per_px"]
+    return signals.select(*[c for c in wanted if c in signals.columns]).groupBy("page").applyInArrow(run, BEAT)
 
 
 def measurements(beats: DataFrame) -> DataFrame:
@@ -98,18 +111,3 @@ def read_sheets(images: DataFrame) -> DataFrame:
                 yield from pa.Table.from_pylist(rows, kind).to_batches()
 
     return images.select("page", "width", "height", "gray").mapInArrow(run, "page long, lead string, mv array<double>, confidence double, variant string, px_per_mm double, issues array<string>")
-
-
-def synthetic_sheets(spark: SparkSession, pages: int, seed: int = 1) -> DataFrame:
-    """Drawn sheets, made where they are used: page, species, width, height, gray."""
-
-    def make(batches):
-        from pulseframe.kernels import sheet
-
-        for b in batches:
-            for page in b.column(0).to_pylist():
-                species = ("dog", "cat")[page % 2]
-                img = sheet.draw(synth.leads(synth.signal(species, noise=0.002, seed=seed + page)[0]), "AB"[page % 2])
-                yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([species]), pa.array([img.shape[1]], pa.int32()), pa.array([img.shape[0]], pa.int32()), pa.array([img.tobytes()], pa.binary())], ["page", "species", "width", "height", "gray"])
-
-    return spark.range(pages).mapInArrow(make, "page long, species string, width int, height int, gray binary")

@@ -1,13 +1,34 @@
-"""Onsets and ends of the waves of one beat in one lead."""
+"""Onsets, peaks and ends of the waves of one beat in one lead."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-#: Fixed values (ms): search of P before and of T after the QRS, their durations; longest QRS region.
-WINDOWS = {"dog": {"p": (15, 163), "p_ms": (12, 90), "t": (20, 313), "qrs": 140, "half": 80}, "cat": {"p": (13, 113), "p_ms": (12, 72), "t": (20, 225), "qrs": 100, "half": 60}}
-#: Shares of the steepest slope that a QRS region reaches down to, in turn; gap and least samples; level windows (ms).
-SHARES, GAP, LEAST, BEFORE, AFTER = (0.06, 0.12, 0.2, 0.3), 4, 4, (4, 16), (10, 30)
+
+@dataclass(frozen=True)
+class Windows:
+    """Fixed values (ms): nearest and furthest place of P before the QRS onset, its shortest and longest duration; T from the QRS end and to the QRS onset; longest region
+    of steep samples before a higher threshold is tried; half the window around the beat; longest plausible QRS."""
+
+    p: tuple[float, float]
+    p_ms: tuple[float, float]
+    t: tuple[float, float]
+    region: float
+    half: float
+    longest: float
+
+
+#: Fixed values by species.
+WINDOWS = {"dog": Windows((15, 163), (12, 90), (20, 313), 105, 80, 140), "cat": Windows((13, 113), (12, 72), (20, 225), 75, 60, 100)}
+#: Shares of the steepest slope, tried in turn; bridged and least samples; level windows before and after the QRS (ms); half-widths of tangents.
+SHARES, GAP, LEAST, BEFORE, AFTER, STEEP_HALF, FLAT_HALF = (0.06, 0.12, 0.2, 0.3), 4, 4, (16, 4), (10, 30), 2, 4
+#: Least wave in pixels and in noise; a next QRS by its slope and the margin before it (ms); default mV a pixel.
+PIXELS, SIGMAS, NEXT_SHARE, NEXT_MS, MV_PER_PX = 2, 3, 0.5, 16, 1 / (4.305 * 10)
+#: Factors of confidence.
+WIDE, NO_T, NO_P, UNRELIABLE = 0.7, 0.85, 0.9, 0.3
+MARKS = ("p_on", "p_off", "q_on", "r_peak", "s_peak", "s_off", "t_peak", "t_off")
 
 
 def slopes(x: np.ndarray) -> np.ndarray:
@@ -18,86 +39,161 @@ def slopes(x: np.ndarray) -> np.ndarray:
 
 
 def noise(x: np.ndarray) -> float:
-    d = np.diff(x, 2)
+    """Spread of noise from second differences: waves bend little, noise much."""
+    d = np.abs(np.diff(x, 2))
     return 0.0 if len(d) < 4 else float(1.4826 * np.median(np.abs(d - np.median(d))) / np.sqrt(6))
 
 
-def _tangent(x: np.ndarray, i: int, half: int, level: float) -> float:
-    """Where the least-squares line around i meets a level."""
-    w = np.arange(max(0, i - half), min(len(x), i + half + 1))
-    k, c = np.polyfit(w, x[w], 1)
-    return float(i) if k == 0 else (level - c) / k
+class Lead:
+    """A filtered lead with what all its beats need: slopes, and the noise of both."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = np.asarray(x, float)
+        self.slope = slopes(self.x) if len(self.x) else self.x
+        self.noise, self.slope_noise = noise(self.x), noise(self.slope)
+
+
+def _line(x: np.ndarray, i: int, half: int) -> tuple[float, float]:
+    """Slope and value at i of the least-squares line around it."""
+    k = np.arange(max(0, i - half), min(len(x), i + half + 1)) - i
+    y = x[k + i]
+    spread = ((k - k.mean()) ** 2).sum()
+    slope = float(((k - k.mean()) * y).sum() / spread) if spread else 0.0
+    return slope, float(y.mean() - slope * k.mean())
+
+
+def _meets(x: np.ndarray, i: int, half: int, level: float) -> float:
+    """Where the tangent at i meets a level; i itself if it is flat."""
+    slope, value = _line(x, i, half)
+    return i + (level - value) / slope if slope else float(i)
+
+
+def _level(x: np.ndarray, a: int, b: int) -> float | None:
+    """Median of samples a to b, as far as there are any."""
+    part = x[max(0, min(a, b)) : max(0, max(a, b) + 1)]
+    return float(np.median(part)) if len(part) else None
+
+
+def _region(steep: np.ndarray, a: int, b: int, top: int) -> tuple[int, int]:
+    """The steep samples of a to b around top, with at most GAP others between neighbours."""
+    s = np.union1d(a + np.flatnonzero(steep[a : b + 1]), [top])
+    breaks = np.diff(s) > GAP + 1
+    block = np.append(0, np.cumsum(breaks))
+    mine = s[block == block[np.searchsorted(s, top)]]
+    return int(mine[0]), int(mine[-1])
+
+
+def _turns(d: np.ndarray, a: int, b: int) -> tuple[int, int]:
+    """First and last sample between a and b where the slope changes its sign; b and a if there is none."""
+    i = np.arange(a + 1, b)
+    ahead, behind = (i[(d[i] != 0) & (d[i] * d[i + s] <= 0)] for s in (1, -1))
+    return int(ahead[0]) if len(ahead) else b, int(behind[-1]) if len(behind) else a
+
+
+def _half_down(x: np.ndarray, peak: int, step: int, limit: int, level: float) -> int:
+    """From the peak towards limit, the first sample at half its height over level or less; limit if there is none."""
+    path = np.arange(peak, limit + step, step)
+    low = np.flatnonzero(np.abs(x[path] - level) <= abs(x[peak] - level) / 2)
+    return int(path[low[0]]) if len(low) else limit
+
+
+def _p_wave(x: np.ndarray, first: int, last: int, least: float, w: Windows, ms: float) -> tuple[float, float] | str:
+    """Onset and end (samples) of P between two samples, or why there is none. A line between the window's edges is taken away first; P must be larger than the window's own noise."""
+    if last - first < 2 * GAP + 2:
+        return "p_window_too_short"
+    edge, n = max(2, (last - first) // 10), last - first
+    left, right = _level(x, first, first + edge), _level(x, last - edge, last)
+    d = x[first : last + 1] - np.linspace(left, right, n + 1)
+    k = 2 + int(np.abs(d[2 : n - 1]).argmax())
+    if abs(d[k]) < max(least, SIGMAS * noise(d)):
+        return "p_low_amplitude"
+    on, off = (_meets(d, _half_down(d, k, step, limit, 0.0), STEEP_HALF, 0.0) for step, limit in ((-1, 0), (1, n)))
+    if not (0 <= on < k < off <= n):
+        return "p_lobe_outside_window"
+    if not w.p_ms[0] <= (off - on) / ms <= w.p_ms[1]:
+        return "p_duration_out_of_range"
+    return first + on, first + off
+
 
+def _t_wave(x: np.ndarray, first: int, last: int, base: float, least: float) -> tuple[int | None, float | None, bool]:
+    """Peak and end (samples) of T between two samples, and whether the window cuts it. The end is where the tangent at half height of the falling limb meets the base."""
+    if last - first < LEAST:
+        return None, None, False
+    peak = first + int(np.abs(x[first : last + 1] - base).argmax())
+    height = x[peak] - base
+    if abs(height) < least:
+        return None, None, False
+    if peak >= last - 1:
+        return peak, None, True
+    i = _half_down(x, peak, 1, last, base)
+    if i > peak and -np.sign(height) * _line(x, i, FLAT_HALF)[0] > 0:
+        end = _meets(x, i, FLAT_HALF, base)
+        if peak < end <= last + GAP:
+            return peak, end, False
+    return peak, None, False
 
-def _median(x: np.ndarray, a: float, b: float) -> float:
-    a, b = int(max(0, round(a))), int(min(len(x) - 1, round(b)))
-    return float(np.median(x[a : b + 1])) if a <= b else float(x[max(0, min(len(x) - 1, a))])
 
+def delineate(
+    lead: np.ndarray | Lead, t_ms: float, species: str, hz: float = 500.0, mv_per_px: float | None = None, before_ms: float | None = None, after_ms: float | None = None, spans: list[tuple[int, int, str]] | None = None
+) -> dict:
+    """Marks p_on, p_off, q_on, r_peak, s_peak, s_off, t_peak, t_off (ms; None if not found), p_found, confidence and reasons.
 
-def delineate(x: np.ndarray, t_ms: float, species: str, hz: float = 500.0, precision: float = 0.0465, before_ms: float | None = None, after_ms: float | None = None) -> dict:
-    """Marks p_on, p_off, q_on, s_off, t_off (ms; None if not found) and reasons. before_ms and after_ms: the neighbouring beats."""
+    lead: filtered samples (as a Lead for several beats); before_ms and after_ms: the neighbouring beats; spans: its unreliable stretches (first, last, kind). A beat outside the signal has
+    no_signal, one without steep samples qrs_not_found, both with confidence 0. A missing P has p_not_found and why: p_window_too_short, p_low_amplitude,
+    p_lobe_outside_window or p_duration_out_of_range. A mark in a clipped stretch or a gap gives unreliable_segment."""
     w, ms = WINDOWS[species], hz / 1000
-    n, c = len(x), round(t_ms * ms)
-    out: dict = dict.fromkeys(("p_on", "p_off", "q_on", "s_off", "t_off")) | {"reasons": []}
-    d = slopes(x)
-    sigma = noise(x)
-    lo, hi = max(1, c - round(w["half"] * ms)), min(n - 2, c + round(w["half"] * ms))
-    if hi - lo < LEAST:
-        return out | {"reasons": ["qrs_not_found"]}
-    top = lo + int(np.argmax(np.abs(d[lo : hi + 1])))
+    lead = lead if isinstance(lead, Lead) else Lead(lead)
+    x = lead.x
+    n, c = len(x), int(np.floor(t_ms * ms + 0.5))
+    wide = lambda v: int(np.floor(v * ms + 0.5))
+    nothing = dict.fromkeys(MARKS) | {"p_found": False, "confidence": 0.0}
+    if n < 8 or not 0 <= c < n:
+        return nothing | {"reasons": ["no_signal"]}
+    # the QRS: steep samples around the steepest one, with a higher threshold while they reach too far
+    a, b, d = max(0, c - wide(w.half)), min(n - 1, c + wide(w.half)), lead.slope
+    steep = np.abs(d)
+    top = a + int(steep[a : b + 1].argmax())
+    floor = SIGMAS * lead.slope_noise
     for share in SHARES:
-        steep = np.abs(d) >= max(share * abs(d[top]), 3 * sigma)
-        a = b = top
-        while a > lo and steep[max(lo, a - GAP) : a].any():
-            a = max(lo, a - GAP) + int(np.argmax(steep[max(lo, a - GAP) : a]))
-        while b < hi and steep[b + 1 : min(hi, b + GAP) + 1].any():
-            b = b + 1 + int(np.flatnonzero(steep[b + 1 : min(hi, b + GAP) + 1])[-1])
-        if (b - a) / ms <= w["qrs"]:
+        lo, hi = _region(steep >= max(share * steep[top], floor), a, b, top)
+        if hi - lo <= wide(w.region):
             break
-    else:
-        out["reasons"].append("qrs_wide")
-    if b - a < LEAST:
-        return out | {"reasons": ["qrs_not_found"]}
-    base, st = _median(x, a - BEFORE[1] * ms, a - BEFORE[0] * ms), _median(x, b + AFTER[0] * ms, b + AFTER[1] * ms)
-    turns = a + 1 + np.flatnonzero(d[a:b] * d[a + 1 : b + 1] <= 0)
-    first, last = (int(turns[0]), int(turns[-1])) if len(turns) else (b, a)
-    i = a + int(np.argmax(np.abs(d[a : first + 1])))
-    q_on = float(np.clip(_tangent(x, i, 2, base), a - 4, first))
-    j = last + int(np.argmax(np.abs(d[last : b + 1])))
-    s_off = float(np.clip(_tangent(x, j, 2, st), last, b + 4))
-    out |= {"q_on": q_on / ms, "s_off": s_off / ms}
-    least = max(2 * precision, 3 * sigma)
-    # T: the largest departure between the QRS and the next one
-    end = min(n - 1, int(q_on + w["t"][1] * ms), int((after_ms - w["half"] - 16) * ms) if after_ms is not None else n - 1)
-    start = int(np.ceil(s_off)) + round(w["t"][0] * ms)
-    if end - start >= 4:
-        v = x[start : end + 1] - base
-        k = int(np.argmax(np.abs(v)))
-        if abs(v[k]) < least:
-            out["reasons"].append("t_not_found")
-        elif k == len(v) - 1:
-            out["reasons"].append("t_window_truncated")
-        else:
-            down = np.flatnonzero(np.abs(v[k:]) <= abs(v[k]) / 2)
-            if len(down):
-                cross = _tangent(x, start + k + int(down[0]), 4, base)
-                if start + k < cross <= end + 4:
-                    out["t_off"] = cross / ms
-        if out["t_off"] is None and not {"t_not_found", "t_window_truncated"} & set(out["reasons"]):
-            out["reasons"].append("t_not_found")
-    else:
-        out["reasons"].append("t_window_truncated")
-    # P: after a straight line between the window's edges is taken away
-    start, end = int(max(0, q_on - w["p"][1] * ms, (before_ms + w["half"]) * ms if before_ms is not None else 0)), int(q_on - w["p"][0] * ms)
-    if end - start >= 8:
-        left, right = _median(x, start, start + 4), _median(x, end - 4, end)
-        v = x[start : end + 1] - np.linspace(left, right, end - start + 1)
-        k = int(np.argmax(np.abs(v)))
-        rise, fall = np.flatnonzero(np.abs(v[:k]) <= abs(v[k]) / 2), k + np.flatnonzero(np.abs(v[k:]) <= abs(v[k]) / 2)
-        if abs(v[k]) >= least and 2 <= k <= len(v) - 3 and len(rise) and len(fall):
-            on, off = start + _tangent(v, int(rise[-1]), 2, 0.0), start + _tangent(v, int(fall[0]), 2, 0.0)
-            if start - 4 <= on < off <= q_on and w["p_ms"][0] <= (off - on) / ms <= w["p_ms"][1]:
-                out |= {"p_on": on / ms, "p_off": off / ms}
-    if out["p_on"] is None:
-        out["reasons"].append("p_not_found")
-    return out
+    if not steep[top] > 0 or hi - lo < LEAST:
+        return nothing | {"reasons": ["qrs_not_found"]}
+    base = _level(x, lo - wide(BEFORE[0]), lo - wide(BEFORE[1]))
+    base = _level(x, a, b) if base is None else base
+    after = _level(x, hi + wide(AFTER[0]), hi + wide(AFTER[1]))
+    least = max(PIXELS * (mv_per_px if mv_per_px and mv_per_px > 0 else MV_PER_PX), SIGMAS * noise(x))
+    first, last = _turns(d, lo, hi)
+    q_on = min(first, max(lo - GAP, _meets(x, lo + int(steep[lo : max(lo, first) + 1].argmax()), STEEP_HALF, base)))
+    start = min(hi, last)
+    s_off = max(last, min(hi + GAP, _meets(x, start + int(steep[start : hi + 1].argmax()), STEEP_HALF, base if after is None else after)))
+    qa, qb = max(0, int(np.floor(q_on))), min(n - 1, int(np.ceil(s_off)))
+    r = qa + int(x[qa : qb + 1].argmax())
+    r = r if x[r] - base >= least else None
+    s = (qa if r is None else r) + int(x[qa if r is None else r : qb + 1].argmin())
+    s = s if base - x[s] >= least else None
+    # T, up to the next QRS
+    begin, end = min(n - 1, qb + wide(w.t[0])), min(n - 1, qa + wide(w.t[1]))
+    if after_ms is not None:
+        end = min(end, wide(after_ms) - ((c if r is None else r) - qa) - wide(NEXT_MS))
+    elif len(front := np.flatnonzero(steep[begin : end + 1] >= NEXT_SHARE * steep[top])):
+        end = begin + int(front[0]) - wide(NEXT_MS)
+    t_peak, t_off, cut = _t_wave(x, begin, end, base, least)
+    reasons = ["t_window_truncated"] if cut else ["t_not_found"] if t_off is None else []
+    # P, from the beat before
+    begin = max(0, qa - wide(w.p[1]), wide(before_ms) + wide(w.half) if before_ms is not None else 0)
+    p = _p_wave(x, begin, max(0, qa - wide(w.p[0])), least, w, ms)
+    p_on, p_off = (p[0], min(p[1], q_on)) if not isinstance(p, str) else (None, None)
+    if isinstance(p, str):
+        reasons += ["p_not_found", p]
+    confidence = (NO_T if t_off is None else 1.0) * (NO_P if p_on is None else 1.0)
+    if (s_off - q_on) / ms > w.longest:
+        reasons.append("qrs_too_wide")
+        confidence *= WIDE
+    at = dict(zip(MARKS, (p_on, p_off, q_on, r, s, s_off, t_peak, t_off), strict=True))
+    hit = [i for i in at.values() if i is not None and any(u <= np.floor(i + 0.5) <= v and kind != "ambiguous" for u, v, kind in spans or [])]
+    if hit:
+        reasons.append("unreliable_segment")
+        confidence *= UNRELIABLE
+    return {k: None if v is None else float(v) / ms for k, v in at.items()} | {"p_found": p_on is not None, "confidence": confidence, "reasons": reasons}

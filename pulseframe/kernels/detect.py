@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from statistics import median
 
@@ -26,15 +28,20 @@ SPECIES = {"dog": Species((5.0, 25.0), 80, 150, 80, 105), "cat": Species((8.0, 3
 #: Threshold share; search-back factor and gap; learning rates; history; edge; floor; quantile; replacement and tie; prematurity.
 SHARE, BACK, GAP, LEARN, LEARN_BACK, HISTORY, FLOOR, QUANTILE = 0.25, 0.5, 1.66, 0.125, 0.25, 8, 0.02, 0.99
 REPLACE, TIE, EARLY, EARLY_SHARE, EDGE_SHARE, EDGE = 1.25, 0.8, 0.9, 0.5, 0.5, 2
+#: Share of a lead's feature that bounds its QRS region; how much larger a wave against the lead's usual direction must be; beats for a template.
+REGION, AGAINST, TEMPLATE = 0.3, 2, 3
 #: Agreement of leads (ms), plausible rate, morphology and weakness limits and their factors.
 AGREE_MS, RATE, ALIKE, WEAK, FACTOR = 10.0, (30.0, 320.0), 0.7, 0.5, 0.8
 
 
 @dataclass
 class Beat:
+    """t_ms and confidence of a beat; by lead its peak (ms) and how well the lead agrees (0.2 to 1)."""
+
     t_ms: float
     confidence: float
     leads: dict[str, float]
+    trust: dict[str, float] = field(default_factory=dict)
     reasons: list[str] = field(default_factory=list)
 
 
@@ -101,77 +108,136 @@ class _Levels:
             self.look_back(len(self.f) - 1 + self.refractory)
 
 
-def peaks(feature: np.ndarray, hz: float, sp: Species) -> np.ndarray:
-    """Places of beats in a feature: local maxima through two adaptive passes, without those cut by the page's ends."""
+#: A stretch of samples, first and last, and its kind: clipped, gap or ambiguous. Samples of the first two are no signal.
+Span = tuple[int, int, str]
+
+
+def usable(n: int, spans: Iterable[Span], pad: int = 0) -> np.ndarray:
+    """Which of n samples are signal: those further than `pad` from clipped stretches and gaps."""
+    ok = np.ones(n, bool)
+    for first, last, kind in spans:
+        if kind != "ambiguous":
+            ok[max(0, first - pad) : max(0, last + pad + 1)] = False
+    return ok
+
+
+def features(leads: Mapping[str, np.ndarray], spans: Mapping[str, Iterable[Span]], sp: Species, hz: float) -> dict[str, np.ndarray]:
+    """By lead its energy over the energy of its own QRS peaks (a high quantile of usable samples), 0 where it is not usable. Leads without any are left out."""
+    pad, out = math.ceil(sp.feature_ms * hz / 2000), {}
+    for n in {len(x) for x in leads.values() if len(x) >= 8}:  # leads are equally long as a rule: filtered at once
+        names = [k for k, x in leads.items() if len(x) == n]
+        for name, f in zip(names, dsp.energy(np.stack([leads[k] for k in names]).astype(float), sp.band, sp.feature_ms, hz), strict=True):
+            ok = usable(n, spans.get(name, ()), pad)
+            v = np.sort(f[ok])
+            if len(v) and (top := v[min(len(v) - 1, int(len(v) * QUANTILE))]) > 0:
+                out[name] = np.where(ok, f / top, 0.0)
+    return {k: out[k] for k in leads if k in out}
+
+
+def peaks(feature: np.ndarray, hz: float, sp: Species) -> tuple[np.ndarray, float]:
+    """Places of beats in a feature, and its level at beats: local maxima through two adaptive passes, without those cut by the page's ends."""
     f, n = feature, len(feature)
     if n < 3 or f.max() <= 0:
-        return np.zeros(0, int)
+        return np.zeros(0, int), 0.0
     mid = f[1:-1]
     c = 1 + np.flatnonzero((mid > f[:-2]) & (mid >= f[2:]) & (mid > FLOOR * f.max()))
     refractory, start = round(sp.refractory_ms * hz / 1000), f[: int(2 * hz)]
     level = _Levels(f, c, float(start.max()), float(np.median(start)), refractory)
     level.run()
-    if level.peaks:
-        again = _Levels(f, c, float(np.median(f[level.peaks])), float(np.median(level.noises)) if level.noises else 0.0, refractory)
-        again.run()
-        level = again
+    signal = float(np.median(f[level.peaks])) if level.peaks else level.signal
+    level = _Levels(f, c, signal, float(np.median(level.noises)) if level.noises else level.noise, refractory)
+    level.run()
     out = []
     for p in level.peaks:
-        low = f < EDGE_SHARE * f[p]
-        left, right = np.flatnonzero(low[:p]), np.flatnonzero(low[p:])
-        if len(left) and left[-1] >= EDGE - 1 and len(right) and p + right[0] <= n - EDGE:
+        low = np.flatnonzero(f < EDGE_SHARE * f[p])
+        i = np.searchsorted(low, p)
+        # the lobe lies strictly between its neighbours that are low, further than EDGE from the ends
+        if 0 < i < len(low) and low[i - 1] >= EDGE and low[i] <= n - 1 - EDGE:
             out.append(p)
-    return np.array(out, int)
-
-
-def detect(leads: dict[str, np.ndarray], confidence: dict[str, float], species: str, hz: float = 500.0) -> list[Beat]:
-    """Beats of a page. leads: equally sampled signals by name; unreliable ones (confidence under 0.6) are used only if all are."""
-    sp = SPECIES[species]
-    names = [x for x in leads if len(leads[x]) and confidence.get(x, 1.0) >= 0.6] or [x for x in leads if len(leads[x])]
-    if not names:
+    return np.array(out, int), level.signal
+
+
+def _places(x: np.ndarray, f: np.ndarray, at: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each beat of a lead: the place of its main wave, the centre of its energy, and whether the lead has signal there.
+
+    The wave lies where the feature, around its maximum near the beat, stays above a share of it; it points the way that most of the lead's
+    beats do, unless the other way is much larger."""
+    n, k = len(x), np.arange(2 * half + 1)
+    where = np.clip(at[:, None] + k - half, 0, n - 1)
+    near = f[where]
+    top = near.argmax(1)
+    best = near.max(1)
+    low = near < REGION * best[:, None]
+    first = np.max(np.where(low & (k < top[:, None]), k + 1, 0), 1, initial=0)
+    last = np.min(np.where(low & (k > top[:, None]), k - 1, 2 * half), 1, initial=2 * half)
+    inside = (k >= first[:, None]) & (k <= last[:, None])
+    v = x[where]
+    base = np.array([np.median(x[max(0, p - 2 * half) : p + 2 * half + 1]) for p in at])
+    up, down = np.where(inside, v, -np.inf).argmax(1), np.where(inside, v, np.inf).argmin(1)
+    row = np.arange(len(at))
+    rise, fall = np.maximum(0, v[row, up] - base), np.maximum(0, base - v[row, down])
+    there = best > 0
+    mostly_up = np.where(rise >= fall, 1, -1)[there].sum() >= 0
+    upward = rise * AGAINST >= fall if mostly_up else rise > AGAINST * fall
+    return where[row, np.where(upward, up, down)], where[row, top], there
+
+
+def _shape(x: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """A window a beat, edges repeated."""
+    return x[np.clip(at[:, None] + np.arange(-half, half + 1), 0, len(x) - 1)]
+
+
+def _alike(windows: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Correlation of each window with the template, 0 for flat ones."""
+    a, b = windows - windows.mean(1, keepdims=True), template - template.mean()
+    size = np.sqrt((a * a).sum(1) * (b @ b))
+    return np.where(size > 0, a @ b / np.where(size > 0, size, 1), 0.0)
+
+
+def detect(leads: Mapping[str, np.ndarray], confidence: Mapping[str, float], species: str, hz: float = 500.0, spans: Mapping[str, Iterable[Span]] | None = None) -> list[Beat]:
+    """Beats of a page. leads: equally sampled signals by name; unreliable ones (confidence under 0.6) are used only if all are. spans: unreliable stretches by lead; in clipped ones
+    and gaps a lead says nothing, so a beat that lies in such stretches of all leads is not found."""
+    sp, spans = SPECIES[species], spans or {}
+    full = {x: np.asarray(v, float) for x, v in leads.items() if len(v)}
+    full = {x: v for x, v in full.items() if confidence.get(x, 1.0) >= 0.6} or full
+    feature = features(full, spans, sp, hz)
+    if not feature:
         return []
-    n = min(len(leads[x]) for x in names)
-    x = np.stack([np.asarray(leads[k][:n], float) for k in names])
-    f = dsp.energy(x, sp.band, sp.feature_ms, hz)
-    scale = np.sort(f, 1)[:, min(n - 1, int(QUANTILE * n))]
-    good = scale > 0
-    if n < 8 or not good.any():
+    n = min(len(v) for v in full.values())
+    x, f = {k: full[k][:n] for k in feature}, {k: v[:n] for k, v in feature.items()}
+    total = np.sum(list(f.values()), 0)
+    at, signal = peaks(total, hz, sp)
+    if not len(at):
         return []
-    total = (f[good] / scale[good, None]).sum(0)
-    at = peaks(total, hz, sp)
-    half = round(sp.half_ms * hz / 1000)
-    near = [np.arange(max(0, p - half), min(n, p + half + 1)) for p in at]
-    base = [np.median(x[:, max(0, p - 2 * half) : p + 2 * half + 1], 1) for p in at]
-    up = np.array([(x[:, w].max(1) - b) for w, b in zip(near, base, strict=True)]).reshape(-1, len(names))
-    down = np.array([(b - x[:, w].min(1)) for w, b in zip(near, base, strict=True)]).reshape(-1, len(names))
-    positive = (up >= down).sum(0) * 2 >= len(at)
+    half, near = round(sp.half_ms * hz / 1000), round(AGREE_MS * hz / 1000)
+    found = {k: _places(x[k], f[k], at, half) for k in x}
+    votes = np.array([there for _, _, there in found.values()])
+    away = np.array([np.abs(centre - at) for _, centre, _ in found.values()])
+    agree, said = (votes & (away <= near)).sum(0), votes.sum(0)
+    share = np.where(said > 0, agree / np.maximum(1, said), 0.0)
     out = []
-    shape = {k: [np.interp(np.arange(p - half, p + half + 1), np.arange(n), x[k]) for p in at] for k in range(len(names))}
-    ref = names.index("II") if "II" in names else 0
-    template = np.median(shape[ref], 0) if len(at) >= 3 else None
-    for i, p in enumerate(at):
-        marks = {}
-        for k, name in enumerate(names):
-            sign = positive[k] if max(up[i, k], down[i, k]) <= 2 * min(up[i, k], down[i, k]) or positive[k] == (up[i, k] >= down[i, k]) else not positive[k]
-            w = near[i]
-            marks[name] = float(w[x[k, w].argmax() if sign else x[k, w].argmin()]) * 1000 / hz
-        t = float(np.floor(np.median(list(marks.values())) + 0.5))
-        spread = max(abs(v - t) for v in marks.values())
-        b = Beat(t, 1.0 if spread <= AGREE_MS else max(0.2, 1 - (spread - AGREE_MS) / (3 * AGREE_MS)), marks)
-        if spread > AGREE_MS:
+    for i, p in enumerate(at.tolist()):
+        mine = {k: (int(place[i]), int(abs(centre[i] - p))) for k, (place, centre, there) in found.items() if there[i]}
+        t = int(np.floor(np.median([place for place, _ in mine.values()]) + 0.5)) if mine else p
+        b = Beat(t * 1000 / hz, 0.5 + 0.5 * float(share[i]), {k: place * 1000 / hz for k, (place, _) in mine.items()}, {k: 1.0 if d <= near else max(0.2, 1 - (d - near) / (3 * near)) for k, (_, d) in mine.items()})
+        if mine and share[i] < 0.5:
             b.reasons.append("lead_disagreement")
-        if total[p] < WEAK * np.median(total[at]):
+        if total[p] < WEAK * signal:
             b.reasons.append("weak_peak")
             b.confidence *= FACTOR
-        if template is not None:
-            a, c = shape[ref][i] - shape[ref][i].mean(), template - template.mean()
-            if (a @ a) * (c @ c) > 0 and a @ c / np.sqrt((a @ a) * (c @ c)) < ALIKE:
+        if "II" not in mine:
+            b.reasons.append("lead_ii_unreliable")
+        out.append(b)
+    if "II" in x and len(out) >= TEMPLATE:
+        windows = _shape(x["II"], np.array([round(b.leads.get("II", b.t_ms) * hz / 1000) for b in out]), half)
+        for b, rho in zip(out, _alike(windows, np.median(windows, 0)), strict=True):
+            if rho < ALIKE:
                 b.reasons.append("morphology_outlier")
                 b.confidence *= FACTOR
-        out.append(b)
-    out.sort(key=lambda b: b.t_ms)
-    for a, b in zip(out, out[1:], strict=False):
-        if not RATE[0] <= 60_000 / max(1e-9, b.t_ms - a.t_ms) <= RATE[1]:
+    step = np.diff([b.t_ms for b in out])
+    odd = (step < 60_000 / RATE[1]) | (step > 60_000 / RATE[0])
+    for b, bad in zip(out, np.append(odd, False) | np.append(False, odd), strict=True):
+        if bad:
             b.reasons.append("hr_implausible")
             b.confidence *= FACTOR
     return out

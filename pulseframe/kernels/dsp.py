@@ -87,6 +87,25 @@ def clean(x: np.ndarray, species: str, hz: float) -> np.ndarray:
     return zero_phase(zero_phase(x, butterworth(low, hz, DISPLAY_ORDER, True)), butterworth(high, hz, DISPLAY_ORDER, False))
 
 
+def skipped(species: str, hz: float) -> list[str]:
+    """The stages of `clean` that can't be built at this sampling rate, and are left out there."""
+    stages = zip(("highpass", "lowpass"), BANDS[species], (True, False), strict=True)
+    return [f"filter_skipped:{name}" for name, cut, high in stages if not butterworth(cut, hz, DISPLAY_ORDER, high)]
+
+
+def widened(spans: list[tuple[int, int, str]], n: int, species: str, hz: float) -> list[tuple[int, int, str]]:
+    """Unreliable stretches after `clean`: clipped ones and gaps wider by the filter's length on both sides; those of a kind that touch are one."""
+    pad = math.ceil(hz / BANDS[species][1])
+    wide = sorted((i, j, kind) if kind == "ambiguous" else (max(0, i - pad), min(n - 1, j + pad), kind) for i, j, kind in spans)
+    out: list[tuple[int, int, str]] = []
+    for i, j, kind in wide:
+        if out and out[-1][2] == kind and i <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], j), kind)
+        else:
+            out.append((i, j, kind))
+    return out
+
+
 def moving_average(x: np.ndarray, width: int) -> np.ndarray:
     """Centred sum of `width` samples (zeros beyond the ends) over width."""
     h = width // 2
@@ -98,5 +117,5 @@ def energy(x: np.ndarray, band: tuple[float, float], window_ms: float, hz: float
     """Band-pass, five-point derivative, square, moving average."""
     y = zero_phase(zero_phase(x, butterworth(band[0], hz, 2, True)), butterworth(band[1], hz, 2, False)).astype(float)
     p = np.pad(y, ((0, 0), (2, 2)), mode="edge")
-    d = (2 * p[:, 4:] + p[:, 3:-1] - p[:, 1:-3] - 2 * p[:, :-4]) / 8
+    d = (p[:, 4:] + 2 * p[:, 3:-1] - 2 * p[:, 1:-3] - p[:, :-4]) / 8
     return moving_average(d * d, max(3, round(window_ms * hz / 1000) | 1))

@@ -1,11 +1,9 @@
-"""From a gray sheet to six signals: frame, grid, ink, one path of runs a lead, samples. Also synthetic sheets with known truth."""
+"""From a gray sheet to six signals: frame, grid, ink, one path of runs a lead, samples."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from pulseframe.kernels import synth
-
 #: Sheet variants by name: height, frame (x0, y0, x1, y1), px a mm, first baseline and step (mm).
 VARIANTS = {"A": (905, (45, 45, 1189, 814), 4.305, 20.0, 30.0), "B": (883, (47, 47, 1187, 789), 4.41, 18.4, 28.5)}
 WIDTH, MM_S, MM_MV, HZ = 1280, 50.0, 10.0, 500.0
@@ -16,30 +14,7 @@ BASELINE, SKIP, REENTRY, SHARED, NESTED, NEST = 0.5, 1.5, 3.0, 0.1, 0.5, 3
 MEET = 0.01
 #: Relative error up to which a height speaks for a variant.
 TOLERANCE = 0.02
-LEADS = tuple(synth.LEADS)
-
-
-def draw(signals: dict[str, np.ndarray], variant: str = "A", grid: bool = True) -> np.ndarray:
-    """A synthetic sheet: frame, millimetre grid, six polylines."""
-    height, (x0, y0, x1, y1), px, first, step = VARIANTS[variant]
-    img = np.full((height, WIDTH), 255, np.uint8)
-    if grid:
-        for k in range(int((x1 - x0) / px) + 1):
-            img[y0 : y1 + 1, int(round(x0 + k * px))] = 210
-        for k in range(int((y1 - y0) / px) + 1):
-            img[int(round(y0 + k * px)), x0 : x1 + 1] = 210
-    for i, lead in enumerate(LEADS):
-        base = y0 + (first + step * i) * px
-        x = x0 + 3 + np.arange(len(signals[lead])) / HZ * MM_S * px
-        fine = np.arange(x0 + 3, min(x1 - 3, x[-1]), 0.2)
-        y = base - np.interp(fine, x, signals[lead]) * MM_MV * px
-        yy, xx = np.round(y).astype(int), np.round(fine).astype(int)
-        ok = (yy > y0 + 2) & (yy < y1 - 2)
-        for a, b, c in zip(yy[:-1][ok[:-1]], yy[1:][ok[:-1]], xx[:-1][ok[:-1]], strict=True):
-            img[min(a, b) : max(a, b) + 1, c] = 40
-    img[y0 - 1 : y0 + 1, x0 - 1 : x1 + 2] = img[y1 : y1 + 2, x0 - 1 : x1 + 2] = 0
-    img[y0 - 1 : y1 + 2, x0 - 1 : x0 + 1] = img[y0 - 1 : y1 + 2, x1 : x1 + 2] = 0
-    return img
+LEADS = ("I", "II", "III", "aVR", "aVL", "aVF")
 
 
 def _stretches(on: np.ndarray) -> list[tuple[int, int]]:

@@ -27,7 +27,7 @@ def num(x: Column, signed: Column | bool = False) -> Column:
     """At most three decimals without trailing zeros, a true minus, and a plus on positive values if signed."""
     text = F.replace(F.regexp_replace(F.format_string("%.3f", x), r"\.?0+$", ""), F.lit("-"), F.lit("−"))
     signed = F.lit(signed) if isinstance(signed, bool) else signed
-    return F.when(signed & (x > 0), F.concat(F.lit("+"), text)).otherwise(text)
+    return F.when(x.isNotNull(), F.concat(F.when(signed & (x > 0), "+").otherwise(""), text))
 
 
 def for_unit(x: Column, unit: Column) -> Column:
@@ -40,16 +40,16 @@ def measured_text(x: Column, unit: Column, signed: Column | bool = False) -> Col
 
 
 def with_unit(text: Column, unit: Column) -> Column:
-    return F.when(unit == "deg", F.concat(text, F.lit("°"))).otherwise(F.concat_ws(" ", text, unit))
+    return F.concat_ws("", text, F.when(unit == "deg", "°").otherwise(F.concat(F.lit(" "), unit)))
 
 
 def core_range(low: Column, high: Column, rule: Column, signed: Column) -> Column:
     """low–high (low…high if signed), ≤ high, ≥ low, or "open"; absolute values and shares of R are named."""
-    f = lambda c: num(c, signed)
-    core = F.when(low.isNotNull() & high.isNotNull(), F.concat(f(low), F.when(signed, "…").otherwise("–"), f(high)))
-    core = core.when(high.isNotNull(), F.concat(F.lit("≤ "), f(high))).when(low.isNotNull(), F.concat(F.lit("≥ "), f(low))).otherwise("open")
-    core = F.when(rule.isin("border", "abs_fraction", "abs_sign"), F.concat(F.lit("absolute "), core)).otherwise(core)
-    return F.when(rule == "abs_fraction", F.concat(F.lit("≤ "), num(F.lit(C.T_OF_R * 100)), F.lit(" % of R and "), core)).otherwise(core)
+    both = low.isNotNull() & high.isNotNull()
+    only = F.when(high.isNotNull(), "≤ ").when(low.isNotNull(), "≥ ").otherwise("open")
+    named = F.when(rule == "abs_fraction", f"≤ {C.T_OF_R * 100:g} % of R and absolute ").when(rule.isin("border", "abs_sign"), "absolute ").otherwise("")
+    # a missing bound has no text, and concat_ws leaves it out
+    return F.concat_ws("", named, F.when(~both, only), num(low, signed), F.when(both, F.when(signed, "…").otherwise("–")), num(high, signed))
 
 
 def border_range(low: Column, high: Column, rule: Column, signed: Column) -> Column:
@@ -122,16 +122,19 @@ def parameter_rows(measured: DataFrame, spark: SparkSession) -> DataFrame:
     m = measured.filter(~((F.col("key") == "qtc") & (F.col("species") == "cat"))).withColumn("profile", norms.profile_of(F.col("species"), F.col("size")))
     r = m.filter((F.col("key") == "r") & available(F.col("value"), F.col("confidence"))).select("case_id", F.col("value").alias("r"))
     m = norms.classify(m.join(r, "case_id", "left"), spark, keep=True)
-    ok, signed, unit = available(F.col("value"), F.col("confidence")), F.col("key").isin(*SIGNED), F.col("unit")
-    norm = F.when(F.col("rule").isNull(), P.TABLE["no_norm"]).otherwise(with_unit(core_range(F.col("low"), F.col("high"), F.col("rule"), signed), unit))
-    shown = with_unit(measured_text(F.col("value"), unit, signed), unit)
-    pct = F.when((F.col("rule") == "abs_fraction") & (F.col("r") > 0), fill(F.lit(P.TABLE["share"]), {"pct": half_up(F.abs("value") / F.col("r") * 100).cast("long")}))
+    # each step is a column of its own, and a local sort parts the steps: code for all of them at once would be too large to compile
+    signed, unit = F.col("key").isin(*SIGNED), F.col("unit")
+    m = m.withColumn("_ok", available(F.col("value"), F.col("confidence"))).withColumn("_round", for_unit(F.col("value"), unit))
+    m = m.withColumn("_norm", F.when(F.col("rule").isNull(), P.TABLE["no_norm"]).otherwise(with_unit(core_range(F.col("low"), F.col("high"), F.col("rule"), signed), unit)))
+    m = m.withColumn("_side", F.when(F.col("rule").isNull(), "inside").otherwise(side(F.col("value"), F.col("low"), F.col("high"), F.col("rule"), F.col("r"))))
+    m = m.sortWithinPartitions("case_id").withColumn("_shown", with_unit(num(F.col("_round"), signed), unit))
+    m = m.withColumn("_pct", F.when((F.col("rule") == "abs_fraction") & (F.col("r") > 0), fill(F.lit(P.TABLE["share"]), {"pct": half_up(F.abs("value") / F.col("r") * 100).cast("long")})))
     unsure = F.when(F.col("reason").isNotNull(), reason_text(F.col("reason"))).otherwise(fill(F.lit(P.TABLE["confidence"]), {"confidence": num(half_up(F.coalesce("confidence", F.lit(0.0)), 2))}))
-    s = F.when(F.col("rule").isNull(), "inside").otherwise(side(F.col("value"), F.col("low"), F.col("high"), F.col("rule"), F.col("r")))
+    ok = F.col("_ok")
     return m.select(
-        "case_id", "key", lookup(P.LABELS, F.col("key"), F.col("key")).alias("label"), F.when(ok, shown).otherwise(P.TABLE["unreliable"]).alias("value"), norm.alias("norm"),
-        F.when(ok, F.col("verdict")).otherwise("n/a").alias("verdict"), F.when(ok, F.coalesce(pct, F.lit(""))).otherwise(unsure).alias("note"), F.when(ok, s).otherwise("inside").alias("side"),
-        F.when(ok, F.when(pct.isNotNull(), F.concat(shown, F.lit(" ("), pct, F.lit(")"))).otherwise(shown)).otherwise("").alias("text_value"),
+        "case_id", "key", lookup(P.LABELS, F.col("key"), F.col("key")).alias("label"), F.when(ok, F.col("_shown")).otherwise(P.TABLE["unreliable"]).alias("value"), F.col("_norm").alias("norm"),
+        F.when(ok, F.col("verdict")).otherwise("n/a").alias("verdict"), F.when(ok, F.coalesce("_pct", F.lit(""))).otherwise(unsure).alias("note"), F.when(ok, F.col("_side")).otherwise("inside").alias("side"),
+        F.when(ok, F.when(F.col("_pct").isNotNull(), F.concat("_shown", F.lit(" ("), "_pct", F.lit(")"))).otherwise(F.col("_shown"))).otherwise("").alias("text_value"),
     )
 
 

@@ -39,7 +39,7 @@ def merged(marks: DataFrame, pages: DataFrame) -> DataFrame:
     return b.withColumn("global_index", (F.row_number().over(W.partitionBy("case_id").orderBy("page_no", "t_ms", "beat_id")) - 1).cast("long"))
 
 
-def flagged(marks: DataFrame, species: str = "dog") -> DataFrame:
+def flagged(marks: DataFrame, species: str | Column = "dog") -> DataFrame:
     """gated, with candidate and premature by the case's median, spread and PQ."""
     return rhythm.premature_corrected(gated(marks), "pq", species)
 
@@ -56,15 +56,15 @@ def ventricular_focus(area_i: Column, area_f: Column) -> Column:
     return F.when(decides, side(area_i)).when(area_f.isNull() | (area_f == 0), "unknown").otherwise(side(area_f))
 
 
-def ectopics(beats: DataFrame, species: str = "dog") -> DataFrame:
+def ectopics(beats: DataFrame, species: str | Column = "dog") -> DataFrame:
     """Premature beats with kind (VE: wide or of another shape, else SVE), focus, width_s and coupling_ms, whole, from the last beat of the page that is not premature.
     beats: flagged, with rr_ms, rho (likeness to the page's template, null without one), area_i and area_f."""
-    t = C.THRESHOLDS[species]
+    limit = lambda key: rhythm.limit(species, key)
     before = F.last(F.when(~F.col("premature"), F.col("t_ms")), ignorenulls=True).over(rhythm.by_page().rowsBetween(W.unboundedPreceding, -1))
     b = beats.withColumn("_before", before).filter(F.col("premature") & F.col("rr_ms").isNotNull())
-    width = F.when(F.col("usable"), F.greatest(F.lit(0.0), F.col("s_off") - F.col("q_on") - t["widen_on_ms"] - t["widen_off_ms"]) / 1000)
+    width = F.when(F.col("usable"), F.greatest(F.lit(0.0), F.col("s_off") - F.col("q_on") - limit("widen_on_ms") - limit("widen_off_ms")) / 1000)
     b = b.withColumn("width_s", width)
-    ve = _or_false(F.col("width_s") > t["wide_s"]) | _or_false(F.col("rho") < C.SAME_SHAPE)
+    ve = _or_false(F.col("width_s") > limit("wide_s")) | _or_false(F.col("rho") < C.SAME_SHAPE)
     b = b.withColumn("kind", F.when(ve, "VE").otherwise("SVE"))
     above = F.when(F.col("usable"), F.when(F.col("p_found"), "atrial").otherwise("junctional")).otherwise("unknown")
     b = b.withColumn("focus", F.when(F.col("kind") == "VE", ventricular_focus(F.col("area_i"), F.col("area_f"))).otherwise(above))
@@ -96,19 +96,23 @@ def episodes(beats: DataFrame, found: DataFrame, ends: DataFrame) -> DataFrame:
     return both.withColumn("duration_ms", lasts).withColumn("coupling_ms", half_up(F.col("coupling_ms"))).drop("_island", "_end", "last_ms")
 
 
-def rhythm_type(beats: DataFrame) -> DataFrame:
-    """case_id, type (sinus, non_sinus, undetermined) and reasons. beats: flagged, with ms_per_px."""
+def _type_marks(beats: DataFrame) -> DataFrame:
+    """Add what rhythm_type counts: _ok, _seen, _p (PQ) and _odd (PQ beyond the tolerance of the case's median)."""
     ok = F.col("usable") & ~F.col("premature")
     seen = ok & F.col("p_assessed")
     with_p = seen & F.col("p_found") & F.col("p_on").isNotNull()
     px = F.when(F.col("ms_per_px") > 0, F.col("ms_per_px")).otherwise(C.MS_PER_PX)
-    b = beats.withColumn("_p", F.when(with_p, F.col("q_on") - F.col("p_on"))).withColumn("_px", F.when(with_p, px))
+    b = beats.withColumns({"_ok": ok, "_seen": seen, "_p": F.when(with_p, F.col("q_on") - F.col("p_on")), "_px": F.when(with_p, px)})
     w = rhythm.whole_case()
     b = b.withColumn("_mid", F.median("_p").over(w)).withColumn("_tol", F.greatest(C.PQ_TOLERANCE * F.col("_mid"), C.PQ_PX * F.median("_px").over(w)))
-    s = b.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ii_confidence") >= C.RELIABLE).alias("ii"), F.count_if(ok).alias("usable"), F.count_if(seen).alias("seen"),
-        F.count("_p").alias("p"), F.count_if(F.abs(F.col("_p") - F.col("_mid")) > F.col("_tol")).alias("odd"),
-    )
+    return b.withColumn("_odd", F.abs(F.col("_p") - F.col("_mid")) > F.col("_tol")).drop("_px", "_mid", "_tol")
+
+
+_TYPE_COUNTS = {"ii": lambda: F.count_if(F.col("ii_confidence") >= C.RELIABLE), "usable": lambda: F.count_if("_ok"), "seen": lambda: F.count_if("_seen"), "p": lambda: F.count("_p"), "odd": lambda: F.count_if("_odd")}
+
+
+def _type() -> tuple[Column, Column]:
+    """type and reasons from _TYPE_COUNTS."""
     few = F.when(F.col("usable") < C.TYPE_BEATS, "too_few_beats").when(F.col("seen") < C.TYPE_BEATS, "p_not_found")
     few = F.when(few.isNotNull() & (F.col("ii") == 0), "lead_ii_unreliable").otherwise(few)
     absent = F.col("seen") - F.col("p")
@@ -116,7 +120,14 @@ def rhythm_type(beats: DataFrame) -> DataFrame:
     no_p = F.when(no_p, F.when(F.col("p") > 0, F.concat(F.lit("p_not_all:"), F.col("p"), F.lit("/"), F.col("seen"))).otherwise("p_not_found"))
     unstable = F.when((F.col("odd") >= C.DEVIANTS) & ((F.col("p") - F.col("odd")) / F.col("p") < C.P_SHARE), "pq_unstable")
     reasons = F.array_compact(F.when(few.isNotNull(), F.array(few)).otherwise(F.array(no_p, unstable)))
-    return s.select("case_id", F.when(few.isNotNull(), "undetermined").when(F.size(reasons) > 0, "non_sinus").otherwise("sinus").alias("type"), reasons.alias("reasons"))
+    return F.when(few.isNotNull(), "undetermined").when(F.size(reasons) > 0, "non_sinus").otherwise("sinus"), reasons
+
+
+def rhythm_type(beats: DataFrame) -> DataFrame:
+    """case_id, type (sinus, non_sinus, undetermined) and reasons. beats: flagged, with ms_per_px."""
+    s = _type_marks(beats).groupBy("case_id").agg(*[f().alias(k) for k, f in _TYPE_COUNTS.items()])
+    kind, reasons = _type()
+    return s.select("case_id", kind.alias("type"), reasons.alias("reasons"))
 
 
 def measurement_beats(beats: DataFrame) -> DataFrame:
@@ -125,19 +136,31 @@ def measurement_beats(beats: DataFrame) -> DataFrame:
     return beats.withColumn("_near", near).filter(F.col("reliable") & F.col("usable") & ~F.col("premature") & ~F.col("_near")).drop("_near")
 
 
-def axis(beats: DataFrame) -> DataFrame:
-    """case_id, axis (degrees, one decimal) and reason. From the beats fit for measuring; where there are none, from reliable beats that are not premature. beats: flagged,
-    with area_i, area_f (null beside unreliable stretches) and leads_reliable (both leads are)."""
+def _axis_marks(beats: DataFrame) -> DataFrame:
+    """Add what axis sums: _chosen (the beats fit for measuring; where the case has none, reliable beats that are not premature) and _both (with both areas)."""
     near = _or_false(F.lag("premature").over(rhythm.by_page())) | _or_false(F.lead("premature").over(rhythm.by_page()))
     b = beats.withColumn("_second", F.col("reliable") & ~F.col("premature")).withColumn("_first", F.col("_second") & F.col("usable") & ~near)
     b = b.withColumn("_chosen", F.when(F.max("_first").over(rhythm.whole_case()), F.col("_first")).otherwise(F.col("_second")))
-    both = F.col("_chosen") & F.col("leads_reliable") & F.col("area_i").isNotNull() & F.col("area_f").isNotNull()
-    a = b.groupBy("case_id").agg(
-        F.count_if("_chosen").alias("n"), F.count_if(F.col("_chosen") & ~F.col("leads_reliable")).alias("missing"),
-        F.median(F.when(both, F.col("area_i"))).alias("i"), F.median(F.when(both, F.col("area_f"))).alias("f"),
-    )
-    reason = F.when(F.col("n") == 0, "too_few_beats").when(F.col("i").isNull(), F.when(F.col("missing") > 0, "axis_leads_unreliable").otherwise("too_few_beats"))
-    return a.select("case_id", half_up(F.degrees(F.atan2("f", "i")), 1).alias("axis"), reason.alias("reason"))
+    return b.withColumn("_both", F.col("_chosen") & F.col("leads_reliable") & F.col("area_i").isNotNull() & F.col("area_f").isNotNull()).drop("_first", "_second")
+
+
+_AXIS_SUMS = {
+    "chosen": lambda: F.count_if("_chosen"), "missing": lambda: F.count_if(F.col("_chosen") & ~F.col("leads_reliable")),
+    "i": lambda: F.median(F.when(F.col("_both"), F.col("area_i"))), "f": lambda: F.median(F.when(F.col("_both"), F.col("area_f"))),
+}
+
+
+def _axis() -> tuple[Column, Column]:
+    """axis and reason from _AXIS_SUMS."""
+    reason = F.when(F.col("chosen") == 0, "too_few_beats").when(F.col("i").isNull(), F.when(F.col("missing") > 0, "axis_leads_unreliable").otherwise("too_few_beats"))
+    return half_up(F.degrees(F.atan2("f", "i")), 1), reason
+
+
+def axis(beats: DataFrame) -> DataFrame:
+    """case_id, axis (degrees, one decimal) and reason. beats: flagged, with area_i, area_f (null beside unreliable stretches) and leads_reliable (both leads are)."""
+    a = _axis_marks(beats).groupBy("case_id").agg(*[f().alias(k) for k, f in _AXIS_SUMS.items()])
+    degrees, reason = _axis()
+    return a.select("case_id", degrees.alias("axis"), reason.alias("reason"))
 
 
 def heart_rate(beats: DataFrame) -> DataFrame:
@@ -162,10 +185,10 @@ def empty_reason(beats: DataFrame) -> DataFrame:
     return beats.groupBy("case_id").agg(F.when(~ii, "lead_ii_unreliable").when(~fit, "low_confidence").otherwise("too_few_beats").alias("reason"))
 
 
-def template_half(beats: DataFrame, species: str = "dog") -> DataFrame:
+def template_half(beats: DataFrame, species: str | Column = "dog") -> DataFrame:
     """page and half_ms: half the template's window, half the median QRS width of the page's usable beats that are not premature (three at least), else half a surely wide QRS."""
     width = F.when(F.col("usable") & ~F.col("premature"), F.col("s_off") - F.col("q_on"))
-    sure = C.THRESHOLDS[species]["sure_wide_s"] * 1000
+    sure = F.first(rhythm.limit(species, "sure_wide_s") * 1000)
     return beats.groupBy("case_id", "page").agg((F.when(F.count(width) >= C.TEMPLATE_BEATS, F.median(width)).otherwise(sure) / 2).alias("half_ms"))
 
 
@@ -176,12 +199,15 @@ def reference_lead(leads: DataFrame) -> DataFrame:
     return ok.groupBy("page").agg(F.max_by("lead", F.struct(first, "confidence", -F.col("position"))).alias("lead"))
 
 
-def report(beats: DataFrame, species: str = "dog") -> DataFrame:
+def report(beats: DataFrame, species: str | Column = "dog") -> DataFrame:
     """case_id, type, reasons (the axis' among them), axis, sinus_arrhythmia, n_pauses. A pause cancels sinus arrhythmia. beats: flagged, with rr_ms and what
-    rhythm_type and axis need."""
-    v = rhythm.variation(beats).select("case_id", rhythm.arrhythmic(F.col("cv"), F.col("max_change"), species).alias("_varies"))
-    p = rhythm.pauses(beats, beats).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_pauses"))
-    r = rhythm_type(beats).join(axis(beats), "case_id").join(v, "case_id").join(p, "case_id", "left").withColumn("n_pauses", F.coalesce("n_pauses", F.lit(0)).cast("long"))
-    reasons = F.array_distinct(F.concat("reasons", F.array_compact(F.array("reason"))))
+    rhythm_type and axis need. Beats are dealt by case once; all windows and the one aggregate need no other exchange."""
+    b = rhythm.counted(rhythm.pause_marks(_axis_marks(_type_marks(beats.repartition("case_id").withColumn("_species", F.lit(species) if isinstance(species, str) else species)))))
+    cv, change = rhythm.spread()
+    sums = {**_TYPE_COUNTS, **_AXIS_SUMS}
+    r = b.groupBy("case_id").agg(*[f().alias(k) for k, f in sums.items()], cv.alias("cv"), change.alias("max_change"), F.count_if("is_pause").alias("n_pauses"), F.first("_species").alias("_species"))
+    kind, reasons = _type()
+    degrees, reason = _axis()
+    r = r.select("case_id", "n_pauses", kind.alias("type"), reasons.alias("_reasons"), degrees.alias("axis"), reason.alias("_reason"), rhythm.arrhythmic(F.col("cv"), F.col("max_change"), F.col("_species")).alias("_varies"))
     calm = (F.col("type") == "sinus") & (F.col("n_pauses") == 0) & F.col("_varies")
-    return r.select("case_id", "type", reasons.alias("reasons"), "axis", calm.alias("sinus_arrhythmia"), "n_pauses")
+    return r.select("case_id", "type", F.array_distinct(F.concat("_reasons", F.array_compact(F.array("_reason")))).alias("reasons"), "axis", calm.alias("sinus_arrhythmia"), F.col("n_pauses").cast("long").alias("n_pauses"))

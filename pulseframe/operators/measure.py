@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.exprs import clamp01, half_up, median_of
+from pulseframe.operators import rhythm
 from pulseframe.operators.conclusion import lookup
 from pulseframe.plans import constants as C
 
@@ -35,12 +36,13 @@ def pq_level(mv: Column, onset: Column) -> Column:
     return F.when(F.size(before) > 0, median_of(before)).otherwise(F.get(mv, F.greatest(F.lit(0), onset)))
 
 
-def sampled(beats: DataFrame, species: str = "dog") -> DataFrame:
+def sampled(beats: DataFrame, species: str | Column = "dog") -> DataFrame:
     """case_id, beat, key, value, reason (of a wave too small to show) and confidence, a row for each value that the beat has.
 
     R is the greatest sample of the QRS above the PQ level, Q and S the depths before and after it; less than two pixels count as 0. Durations are corrected for the width of
     print. T and ST stand over a level that goes in a line from this to the next PQ level. QTc is for dogs."""
-    t = C.THRESHOLDS[species]
+    limit = lambda key: rhythm.limit(species, key)
+    dog = F.lit(species == "dog") if isinstance(species, str) else species == "dog"
     mv, n = F.col("mv"), F.size("mv")
     b = beats.withColumn("_q", F.greatest(F.lit(0), place(F.col("q_on")))).withColumn("_s", F.least(n - 1, place(F.col("s_off")))).filter("_s > _q")
     shift = F.coalesce("shift_mv", F.lit(0.0))
@@ -48,7 +50,7 @@ def sampled(beats: DataFrame, species: str = "dog") -> DataFrame:
     nq = F.greatest(F.lit(0), place(F.col("next_q_on")))
     b = b.withColumns({
         "_base": pq_level(mv, F.col("_q")) - shift, "_at": F.col("_q") - middle, "_next": F.when(F.col("next_q_on").isNotNull(), pq_level(mv, nq) - shift), "_next_at": nq - middle,
-        "_least": C.WAVE_PX * F.when(F.col("mv_per_px") > 0, F.col("mv_per_px")).otherwise(C.MV_PER_PX), "_on": F.col("q_on") + t["widen_on_ms"], "_off": F.col("s_off") - t["widen_off_ms"],
+        "_least": C.WAVE_PX * F.when(F.col("mv_per_px") > 0, F.col("mv_per_px")).otherwise(C.MV_PER_PX), "_on": F.col("q_on") + limit("widen_on_ms"), "_off": F.col("s_off") - limit("widen_off_ms"),
         "_qrs": F.slice(mv, F.col("_q") + 1, F.col("_s") - F.col("_q") + 1), "confidence": clamp01(F.col("beat_confidence") * F.col("d_confidence")),
     })
     b = b.withColumn("_r", F.array_position("_qrs", F.array_max("_qrs")).cast("int"))  # from 1, the first of equal ones
@@ -64,14 +66,14 @@ def sampled(beats: DataFrame, species: str = "dog") -> DataFrame:
     found = F.col("p_found") & F.col("p_on").isNotNull() & F.col("p_off").isNotNull()
     qt = (F.col("t_off") - F.col("_on")) / 1000
     ti = F.least(n - 1, F.greatest(F.lit(0), place(F.col("t_peak"))))
-    ji = place(F.col("_off") + t["st_ms"])
+    ji = place(F.col("_off") + limit("st_ms"))
     clear = ~F.exists("bad", lambda u: ji.between(u["i0"], u["i1"]))
     big = lambda x: x >= F.col("_least")
     value = {
         "r": F.when(big(r), r).otherwise(0.0), "q": F.when(big(q), -q).otherwise(0.0), "s": F.when(big(s), -s).otherwise(0.0),
         "qrs": F.greatest(F.lit(0.0), F.col("_off") - F.col("_on")) / 1000, "pDuration": F.when(found, (F.col("p_off") - F.col("p_on")) / 1000),
         "pq": F.when(found, F.greatest(F.lit(0.0), F.col("_on") - F.col("p_on")) / 1000), "pAmplitude": F.when(found & (F.size(p) > 1), F.get(p, peak - 1) - F.col("_base")), "qt": qt,
-        "qtc": F.when(F.lit(species == "dog"), qt - C.QTC_SLOPE * (F.coalesce("rr_ii_ms", "rr_ms") / 1000 - 1)),
+        "qtc": F.when(dog, qt - C.QTC_SLOPE * (F.coalesce("rr_ii_ms", "rr_ms") / 1000 - 1)),
         "t": F.when(F.col("t_peak").isNotNull(), F.get(mv, ti) - level(ti)), "st": F.when((ji > F.col("_s")) & (ji < n) & clear, F.get(mv, ji) - level(ji)),
     }
     absent = {k: F.when(~big(x), f"{k}_absent") for k, x in (("r", r), ("q", q), ("s", s))}

@@ -11,6 +11,13 @@ from pyspark.sql import Window as W
 from pulseframe.plans import constants as C
 
 
+def limit(species: str | Column, key: str) -> Column:
+    """A species' threshold, for one species by name or for each row's."""
+    if isinstance(species, str):
+        return F.lit(C.THRESHOLDS[species][key])
+    return F.when(species == "cat", C.THRESHOLDS["cat"][key]).otherwise(C.THRESHOLDS["dog"][key])
+
+
 def by_page():
     """A page's beats in order of time."""
     return W.partitionBy("case_id", "page").orderBy("t_ms", "beat_id")
@@ -53,15 +60,15 @@ def premature(beats: DataFrame) -> DataFrame:
     return with_median(beats).withColumn("premature", F.coalesce(F.col("rr_ms") < C.EARLY * F.col("median_rr"), F.lit(False)))
 
 
-def _counted(flagged: DataFrame, flag: str) -> DataFrame:
+def counted(flagged: DataFrame, flag: str = "premature") -> DataFrame:
     """Add _rr, the interval if neither of its ends is flagged, and _change, its difference to such an interval just before it."""
     b = flagged.withColumn("_ok", F.col("rr_ms").isNotNull() & ~F.col(flag) & ~F.coalesce(F.lag(flag).over(by_page()), F.lit(False)))
     b = b.withColumn("_rr", F.when(F.col("_ok"), F.col("rr_ms")))
     return b.withColumn("_change", F.when(F.col("_ok") & F.lag("_ok").over(by_page()), F.abs(F.col("rr_ms") - F.lag("rr_ms").over(by_page()))))
 
 
-def _spread(over=lambda c: c) -> tuple[Column, Column]:
-    """cv (sample deviation over mean, 0 without intervals) and greatest change of _counted's intervals, as aggregates or over a window."""
+def spread(over=lambda c: c) -> tuple[Column, Column]:
+    """cv (sample deviation over mean, 0 without intervals) and greatest change of counted's intervals, as aggregates or over a window."""
     mean = over(F.avg("_rr"))
     cv = F.when(mean > 0, F.coalesce(over(F.stddev_samp("_rr")), F.lit(0.0)) / mean).otherwise(0.0)
     return cv, F.coalesce(over(F.max("_change")), F.lit(0.0))
@@ -69,23 +76,22 @@ def _spread(over=lambda c: c) -> tuple[Column, Column]:
 
 def variation(flagged: DataFrame, flag: str = "premature") -> DataFrame:
     """By case: cv (sample deviation over mean) and max_change (ms) over intervals with no flagged end; a change counts between neighbouring such intervals."""
-    cv, change = _spread()
-    return _counted(flagged, flag).groupBy("case_id").agg(cv.alias("cv"), change.alias("max_change"), F.count("_rr").alias("n"))
+    cv, change = spread()
+    return counted(flagged, flag).groupBy("case_id").agg(cv.alias("cv"), change.alias("max_change"), F.count("_rr").alias("n"))
 
 
-def arrhythmic(cv: Column, max_change: Column, species: str = "dog") -> Column:
+def arrhythmic(cv: Column, max_change: Column, species: str | Column = "dog") -> Column:
     """Sinus arrhythmia by the spread of intervals."""
-    t = C.THRESHOLDS[species]
-    return (cv > t["variation"]) | (max_change >= t["change_ms"])
+    return (cv > limit(species, "variation")) | (max_change >= limit(species, "change_ms"))
 
 
-def premature_corrected(beats: DataFrame, pq: str = "value", species: str = "dog") -> DataFrame:
+def premature_corrected(beats: DataFrame, pq: str = "value", species: str | Column = "dog") -> DataFrame:
     """premature, corrected for sinus arrhythmia: where the case's remaining intervals vary that much, a candidate stays
     only without a P wave (null pq) or with a pq beyond PQ_TOLERANCE of the case's median pq of other beats; without such a median candidates stay.
 
     All sums of a case are windows over it, so beats are shuffled once by case."""
-    b = _counted(premature(beats), "premature")
-    cv, change = _spread(lambda c: c.over(whole_case()))
+    b = counted(premature(beats), "premature")
+    cv, change = spread(lambda c: c.over(whole_case()))
     b = b.withColumn("_arrhythmia", arrhythmic(cv, change, species))
     ref = F.median(F.when(~F.col("premature"), F.col(pq))).over(whole_case())
     b = b.withColumn("_odd", F.col(pq).isNull() | ref.isNull() | (F.abs(F.col(pq) - ref) > C.PQ_TOLERANCE * ref))
@@ -93,12 +99,17 @@ def premature_corrected(beats: DataFrame, pq: str = "value", species: str = "dog
     return b.drop("_ok", "_rr", "_change", "_arrhythmia", "_odd")
 
 
+def pause_marks(beats: DataFrame) -> DataFrame:
+    """Add is_pause: an interval of at least PAUSE medians of all the case's intervals (two at least) whose earlier beat is not premature."""
+    after = F.coalesce(F.lag("premature").over(by_page()), F.lit(False))
+    limit_ms = F.when(F.count("rr_ms").over(whole_case()) >= C.PAUSE_RR, C.PAUSE * F.median("rr_ms").over(whole_case()))
+    b = beats.withColumn("_limit", limit_ms).withColumn("_after", after)
+    return b.withColumn("is_pause", F.coalesce((F.col("rr_ms") >= F.col("_limit")) & ~F.col("_after"), F.lit(False))).drop("_after", "_limit")
+
+
 def pauses(beats: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
-    """Intervals of at least PAUSE medians of all the case's intervals (two at least) whose earlier beat is not premature."""
-    b = premature(beats) if flagged is None else flagged
-    b = b.withColumn("_after", F.coalesce(F.lag("premature").over(by_page()), F.lit(False)))
-    b = b.withColumn("_limit", F.when(F.count("rr_ms").over(whole_case()) >= C.PAUSE_RR, C.PAUSE * F.median("rr_ms").over(whole_case())))
-    return b.filter((F.col("rr_ms") >= F.col("_limit")) & ~F.col("_after")).drop("_after", "_limit")
+    """The beats that end a pause; see pause_marks."""
+    return pause_marks(premature(beats) if flagged is None else flagged).filter("is_pause").drop("is_pause")
 
 
 def stretches(flagged: DataFrame, flag: str, least: int = C.RUN) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.kernels import order
-from pulseframe.operators import case, findings, measure, rhythm
+from pulseframe.functions.shared import cut
+from pulseframe.operators import analysis, case, findings, measure, order, rhythm
 from pulseframe.plans.registry import query
 from pulseframe.sources import tables as T
+from pulseframe.sources import waves
 
 #: The marked beats, gates and flags in SQL: u has the gates, f the intervals and flags, o the pages' places.
 FACTS = """WITH s AS (SELECT user_id // 4 AS case_id, user_id AS page, event_id AS beat_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
@@ -96,7 +97,7 @@ a2 AS (SELECT case_id, page, island, min(i) AS first_index, count(*) AS n, min(a
 w AS (SELECT a1.*, coalesce(h2.focus, 'unknown') AS focus FROM a1 LEFT JOIN h2 USING (page, island) UNION ALL SELECT *, 'unknown' FROM a2)
 SELECT case_id, page, first_index, n, kind, focus, floor(coupling + 0.5)::DOUBLE AS coupling_ms, round(a, 3) AS start_ms, floor(least(b - a + (b - a) / (n - 1), greatest(0, stop - a)) + 0.5)::DOUBLE AS duration_ms FROM w JOIN z USING (case_id)""")
 def case_episodes(spark, sf):
-    b = placed(spark, sf)
+    b = cut(placed(spark, sf), "flagged")  # four branches read it
     e = findings.episodes(b, findings.ectopics(b), findings.recording_end(pages(spark, sf)))
     return e.select("case_id", "page", "first_index", "n", "kind", "focus", "coupling_ms", F.round("start_ms", 3).alias("start_ms"), "duration_ms")
 
@@ -228,12 +229,49 @@ def measured_reasons(spark, sf):
     return measure.measured(cases, measure.sampled(b).filter("beat % 15 = 0 AND case_id % 5 <> 4")).select("case_id", "key", "reason")
 
 
-@query()
+ORDER = """WITH RECURSIVE s AS (SELECT doc_id // 8 AS case_id, doc_id AS page, md5(text) AS digest, CASE WHEN doc_id % 5 <> 0 THEN lang END AS date, CASE WHEN doc_id % 6 <> 0 THEN concat_ws('|', source, lang) END AS head, (n_chars / 50)::DOUBLE AS a, (n_chars / 50 + 5)::DOUBLE AS b FROM documents),
+o AS (SELECT *, CASE WHEN digest IS NULL THEN page ELSE min(page) OVER (PARTITION BY case_id, digest) END AS original FROM s),
+own AS (SELECT * FROM o WHERE page = original), clear AS (SELECT * FROM own WHERE head IS NOT NULL), unclear AS (SELECT * FROM own WHERE head IS NULL),
+near AS (SELECT u.case_id, u.page, u.date, max(c.page) FILTER (c.page < u.page) AS before, min(c.page) FILTER (c.page > u.page) AS after FROM unclear u LEFT JOIN clear c ON c.case_id = u.case_id AND (c.date IS NULL OR u.date IS NULL OR c.date = u.date) GROUP BY ALL),
+lone AS (SELECT * FROM near WHERE before IS NULL AND after IS NULL),
+link AS (SELECT x.page AS a, y.page AS b FROM clear x JOIN clear y ON x.case_id = y.case_id AND x.head = y.head
+  UNION ALL SELECT page, coalesce(before, after) FROM near WHERE before IS NOT NULL OR after IS NOT NULL
+  UNION ALL SELECT l.page, min(u.page) FROM lone l JOIN unclear u ON u.case_id = l.case_id AND u.date IS NOT DISTINCT FROM l.date AND u.page <> l.page GROUP BY l.page
+  UNION ALL SELECT l.page, min(u.page) FROM lone l JOIN unclear u ON u.case_id = l.case_id AND u.date IS NULL AND u.page <> l.page GROUP BY l.page
+  UNION ALL SELECT l.page, min(u.page) FROM lone l JOIN unclear u ON u.case_id = l.case_id AND l.date IS NULL AND u.page <> l.page GROUP BY l.page),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach AS (SELECT page AS a, page AS b FROM own UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+g AS (SELECT own.*, head IS NOT NULL AS comparable, (SELECT min(b) FROM reach WHERE reach.a = own.page) AS grp FROM own),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY grp) - 1 AS group_no, row_number() OVER (PARTITION BY grp ORDER BY a, page) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM g),
+f AS (SELECT grp, page, place, b AS last, true AS counts FROM n WHERE place = 0
+  UNION ALL SELECT n.grp, n.page, n.place, CASE WHEN least(f.last, n.b) - n.a < 1 THEN greatest(f.last, n.b) ELSE f.last END, least(f.last, n.b) - n.a < 1 FROM f JOIN n ON n.grp = f.grp AND n.place = f.place + 1),
+h AS (SELECT n.*, f.counts, CASE WHEN NOT f.counts THEN (SELECT first(m.page ORDER BY m.place) FROM n m JOIN f k ON k.page = m.page WHERE m.grp = n.grp AND k.counts AND m.place < n.place AND least(m.b, n.b) - greatest(m.a, n.a) >= 1) END AS repeats FROM n JOIN f USING (page)),
+p AS (SELECT case_id, first(group_no ORDER BY size DESC, group_no) AS top FROM h GROUP BY case_id),
+r AS (SELECT o.case_id, o.page, o.original, h.group_no, h.place, CASE WHEN o.page = o.original THEN h.repeats END AS repeats, h.group_no = p.top AS "primary", h.comparable FROM o JOIN h ON h.page = o.original JOIN p ON p.case_id = o.case_id),
+i AS (SELECT case_id, list_concat(list_concat(CASE WHEN max(group_no) > 0 THEN ['multiple_animals'] ELSE []::VARCHAR[] END, coalesce(list('duplicate:' || page ORDER BY page) FILTER (page <> original), [])),
+  list_concat(coalesce(list('overlap:' || page ORDER BY page) FILTER (repeats IS NOT NULL), []), coalesce(list('animal_unverified:' || page ORDER BY page) FILTER (page = original AND NOT comparable), []))) AS issues FROM r GROUP BY case_id)
+SELECT r.case_id, page, original, group_no::INTEGER AS group_no, place::INTEGER AS place, repeats, "primary", array_to_string(issues, ',') AS issues FROM r JOIN i USING (case_id)"""
+
+
+@query(ORDER)
 def case_sheet_order(spark, sf):
     """Documents as sheets, eight a case: the header's crop comes from source and language, the recording begins at a time from the length."""
     i = F.col("doc_id")
+    crop = F.concat(*[F.unhex(F.md5(F.concat_ws("|", "source", "lang", F.lit(str(k))).cast("binary"))) for k in range(12)])
     d = T.table(spark, sf, "documents").select(
-        F.floor(i / 8).alias("case_id"), i.alias("page"), i.alias("upload"), F.md5(F.col("text").cast("binary")).alias("digest"), F.when(i % 5 != 0, F.col("lang")).alias("date"), F.lit(4).alias("width"),
-        F.when(i % 6 != 0, F.unhex(F.md5(F.concat_ws("|", "source", "lang").cast("binary")))).alias("crop"), (F.col("n_chars") / 50.0).alias("start_s"), (F.col("n_chars") / 50.0 + 5).alias("end_s"),
+        F.floor(i / 8).alias("case_id"), i.alias("page"), i.alias("upload"), F.md5(F.col("text").cast("binary")).alias("digest"), F.when(i % 5 != 0, F.col("lang")).alias("date"), F.lit(24).alias("width"),
+        F.when(i % 6 != 0, crop).alias("crop"), (F.col("n_chars") / 50.0).alias("start_s"), (F.col("n_chars") / 50.0 + 5).alias("end_s"),
+    )
+    return order.ordered(d).select("case_id", "page", "original", "group_no", "place", "repeats", "primary", F.array_join("issues", ",").alias("issues"))
+
+
+@query()
+def analyzed_cases(spark, sf):
+    """Whole cases, from the pages that events draw to the text of the conclusion: every beat and mark comes from the signals, every finding and value from those."""
+    sheets, signals = cut(waves.sheets(spark, sf), "sheets"), cut(waves.signals(waves.page_beats(spark, sf)), "signals")
+    k = F.col("case_id")
+    settings = sheets.select("case_id").distinct().select(
+        "case_id", F.when(k % 3 == 2, "cat").otherwise("dog").alias("species"), F.when(k % 2 == 0, "small").otherwise("large").alias("size"), F.when(k % 4 == 0, "atenolol").alias("drugs"), F.when(k % 6 == 0, 5.0).alias("minutes"), (k % 7 == 0).alias("together"),
     )
-    return order.ordered(d).withColumn("issues", F.array_join("issues", ","))
+    r = analysis.analyze(sheets, signals, settings).report
+    rounded = {"confidence": F.round("confidence", 6), "hr_mean": F.round("hr_mean", 6), "covered_ms": F.round("covered_ms", 3), "issues": F.array_join("issues", ","), "flags": F.array_join("flags", ","), "reasons": F.array_join("reasons", ",")}
+    return r.withColumns(rounded)

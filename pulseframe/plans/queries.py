@@ -10,6 +10,7 @@ from pulseframe.kernels import bridge
 from pulseframe.operators import case, norms, rhythm, signals, spans
 from pulseframe.plans import registry
 from pulseframe.sources import tables as T
+from pulseframe.sources import waves
 from pulseframe.streaming import rates
 
 def query(sql: str | None = None):
@@ -454,39 +455,40 @@ def filtfilt_signal(spark, sf):
     return bridge.filtered(e.select("page", F.lit("II").alias("lead"), F.transform("mv", lambda x: x.cast("double")).alias("mv")), "dog")
 
 
-def n_pages(spark, sf, a_page=4):
-    """How many synthetic pages a query works on: one for every four suppliers, so the work follows the scale factor."""
-    return max(8, T.table(spark, sf, "supplier").count() // a_page)
+def _page_beats(spark, sf):
+    """Beats of all pages that events draw."""
+    return bridge.page_beats(waves.signals(waves.page_beats(spark, sf)))
 
 
 @query()
 def detect_beats(spark, sf):
-    b = bridge.page_beats(bridge.synthetic_signals(spark, n_pages(spark, sf)))
-    return b.select("page", "beat_index", "t_ms", "confidence", "n_leads", "issue")
+    b = _page_beats(spark, sf)
+    return b.select("page", "beat_index", "t_ms", r6("confidence"), "n_leads", F.array_join("reasons", ",").alias("reasons"), "issue")
 
 
 @query()
 def delineate_beats(spark, sf):
-    return bridge.page_beats(bridge.synthetic_signals(spark, n_pages(spark, sf))).select("page", "beat_index", "p_on", "p_off", "q_on", "s_off", "t_off", F.array_join("reasons", ",").alias("reasons"))
+    marks = ("p_on", "p_off", "q_on", "r_peak", "s_peak", "s_off", "t_peak", "t_off")
+    return _page_beats(spark, sf).select("page", "beat_index", *[F.round(c, 3).alias(c) for c in marks], "p_found", r6("d_confidence"), F.array_join("d_reasons", ",").alias("reasons"))
 
 
 @query()
 def page_measurements(spark, sf):
-    return bridge.measurements(bridge.page_beats(bridge.synthetic_signals(spark, n_pages(spark, sf))))
+    return bridge.measurements(_page_beats(spark, sf))
 
 
 @query()
 def trace_sheets(spark, sf):
-    """Drawn sheets read back: samples, confidence and extremes a lead."""
-    r = bridge.read_sheets(bridge.synthetic_sheets(spark, n_pages(spark, sf, 8)))
+    """Drawn sheets of all suppliers read back: samples, confidence and extremes a lead."""
+    r = bridge.read_sheets(waves.images(spark, sf))
     return r.select("page", "lead", "variant", F.round("px_per_mm", 3).alias("px_per_mm"), F.size("mv").alias("n"), r6("confidence"), F.round(F.array_max("mv"), 3).alias("top"), F.array_join("issues", ",").alias("issues"))
 
 
 @query()
 def sheet_to_measurements(spark, sf):
     """From drawn sheets to beats and measurements: both seams in one plan."""
-    s = bridge.synthetic_sheets(spark, n_pages(spark, sf, 8))
-    r = bridge.read_sheets(s).withColumn("species", F.when(F.col("page") % 2 == 0, "dog").otherwise("cat"))
+    images = waves.images(spark, sf)
+    r = bridge.read_sheets(images).join(images.select("page", "species"), "page")
     return bridge.measurements(bridge.page_beats(r))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from pulseframe.kernels import dsp
+
 #: Beat shapes (mV, ms) and rates by species; scale of each lead.
 SHAPES = {
     "dog": {"p": 0.25, "q": 0.2, "r": 1.5, "s": 0.4, "t": 0.35, "p_ms": 40, "pq_ms": 100, "qrs_ms": 56, "qt_ms": 200, "t_ms": 100, "bpm": 120},
@@ -33,5 +35,19 @@ def signal(species: str, rr_ms: list[float] | None = None, duration_ms: float =
     return y + np.random.default_rng(seed).normal(0, noise, n), truth
 
 
+def six(species: str, scales: dict[str, float] | None = None, noise: float = 0.003, seed: int = 1, smooth_hz: float = 35.0, hz: float = 500.0, **spec) -> tuple[dict[str, np.ndarray], list[dict]]:
+    """Six leads of one rhythm and lead II's marks, each smoothed as a device prints it. A negative scale turns R into a deep S."""
+    out, truth = {}, []
+    for k, (lead, scale) in enumerate((LEADS | (scales or {})).items()):
+        s = SHAPES[species] | {k: v for k, v in spec.items() if k in SHAPES[species]}
+        m = abs(scale)
+        turned = {"p": s["p"] * m, "q": s["q"] * m, "r": s["r"] * m, "s": s["s"] * m, "t": s["t"] * m} if scale > 0 else {"p": s["p"] * m, "q": 0.0, "r": s["s"] * m, "s": s["r"] * m, "t": -s["t"] * m}
+        y, marks = signal(species, noise=0.0, **(spec | turned))
+        y = dsp.zero_phase(y, dsp.butterworth(smooth_hz, hz, 2, False))[0].astype(float) if smooth_hz else y
+        out[lead] = y + np.random.default_rng(seed + k).normal(0, noise, len(y))
+        truth = marks if lead == "II" else truth
+    return out, truth
+
+
 def leads(ii: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v * ii for k, v in LEADS.items()}

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 
-from pulseframe.kernels import bridge, delineate, detect, dsp, glyphs, layout, order, sheet, synth
+from pulseframe.kernels import bridge, delineate, detect, dsp, glyphs, layout, sheet
 from pulseframe.operators import norms, rhythm
+from pulseframe.sources import waves
+from tests import synthetic as synth
 
 #: Mean rate, premature beats and pauses that follow from printed rates.
 ROWS = {
@@ -57,12 +59,17 @@ def test_delineation(species):
     assert "p_not_found" in delineate.delineate(dsp.clean(flat, species, 500.0)[0].astype(float), truth[2]["r"], species)["reasons"]
 
 
+def pages(spark, n):
+    rows = [{"page": i, "lead": k, "position": j, "species": ("dog", "cat")[i % 2], "confidence": 1.0, "mv": v.tolist()} for i in range(n) for j, (k, v) in enumerate(synth.six(("dog", "cat")[i % 2], seed=i)[0].items())]
+    return spark.createDataFrame(rows, "page long, lead string, position int, species string, confidence double, mv array<double>")
+
+
 def test_pages(spark):
-    s = bridge.synthetic_signals(spark, 4)
+    s = pages(spark, 4)
     b = bridge.page_beats(s).collect()
-    assert {r.page for r in b} == {0, 1, 2, 3} and all(r.issue is None and r.n_leads == 6 for r in b)
+    assert {r.page for r in b} == {0, 1, 2, 3} and all(r.issue is None and r.n_leads == 6 and r.lead_ms["II"] == r.t_ii_ms for r in b)
     bad = s.withColumn("species", bridge.F.lit("horse"))
-    assert {r.issue for r in bridge.page_beats(bad).collect()} == {"page_failed:KeyError"}
+    assert {r.issue for r in bridge.page_beats(bad).collect()} == {"exception:beats:KeyError:'horse'"}
 
 
 @pytest.mark.parametrize("name", sorted(ROWS))
@@ -91,7 +98,7 @@ def test_norms(spark, profile, key, value, r, want):
 def test_sheet_read_back(species, variant):
     ii, truth = synth.signal(species, noise=0.002)
     leads = synth.leads(ii)
-    r = sheet.read(sheet.draw(leads, variant))
+    r = sheet.read(waves.draw(leads, variant))
     assert r["variant"] == variant and r["issues"] == [] and abs(r["px_per_mm"][0] - sheet.VARIANTS[variant][2]) < 0.02
     for k, (mv, _) in r["leads"].items():
         assert np.corrcoef(mv[:2400], leads[k][:2400])[0, 1] > 0.98 and abs(mv.max() - leads[k].max()) < 0.06
@@ -101,7 +108,8 @@ def test_sheet_read_back(species, variant):
 
 
 def test_sheets(spark):
-    s = bridge.synthetic_sheets(spark, 2)
+    drawn = [waves.draw(synth.leads(synth.signal(x, noise=0.002)[0]), v) for x, v in (("dog", "A"), ("cat", "B"))]
+    s = spark.createDataFrame([(i, "dog", d.shape[1], d.shape[0], bytearray(d.tobytes())) for i, d in enumerate(drawn)], "page long, species string, width int, height int, gray binary")
     rows = bridge.read_sheets(s.union(s.selectExpr("page + 10", "species", "width", "height", "substring(gray, 1, 5)"))).collect()
     assert len(rows) == 14 and {tuple(r.issues) for r in rows if r.page >= 10} == {("exception:ValueError",)}
 
@@ -173,17 +181,3 @@ def test_glyphs():
     found = glyphs.components(dots)
     assert len(found) == 3 and glyphs.glyphs(found) == [(2, 1, 2, 7, 8), (7, 1, 2, 7, 14)]
     assert len(glyphs.dissimilar([shapes["1"], shapes["1"] * 0.5, shapes["2"]])) == 2
-
-
-def test_sheets_of_a_case(spark):
-    rng = np.random.default_rng(6)
-    a, b = ((rng.random((8, 20)) < 0.4) for _ in range(2))
-    sheet_ = lambda digest, date, crop, start: {"digest": digest, "date": date, "crop": crop, "start_s": start, "end_s": None if start is None else start + 5}
-    s = [sheet_("x", "1.1", a, 10.0), sheet_("y", "1.1", a, 4.9), sheet_("x", "1.1", a, 10.0), sheet_("z", "2.1", b, 0.0), sheet_(None, "2.1", None, 5.2), sheet_("w", "1.1", a, 11.0), sheet_(None, "9.9", None, None)]
-    originals, groups, repeated, issues = order.arrange(s)
-    assert originals == {2: 0} and groups == [[1, 0, 5], [3, 4], [6]] and repeated == {5: 0}
-    assert issues == ["multiple_animals", "duplicate:2", "overlap:5", "animal_unverified:4", "animal_unverified:6"]
-    assert order.arrange([sheet_("p", "1.1", a, None), sheet_("q", "1.1", a, 3.0)])[1:] == ([[0, 1]], {}, ["order_unknown"]) and order.arrange([]) == ({}, [], {}, [])
-    rows = [(1, 100 + i, i, x["digest"], x["date"], 20, None if x["crop"] is None else bytearray(np.where(x["crop"], 0, 255).astype(np.uint8).tobytes()), x["start_s"], x["end_s"]) for i, x in enumerate(s)]
-    got = {r.page: r for r in order.ordered(spark.createDataFrame(rows, "case_id long, page long, upload int, digest string, date string, width int, crop binary, start_s double, end_s double")).collect()}
-    assert got[102].original == 100 and {p for p, r in got.items() if r.counted} == {100, 101} and got[103].group_no == 1 and got[104].place == 1
