@@ -17,8 +17,10 @@ from pulseframe.llm.text import BASE, codes, mix, word_hashes
 
 #: Samples in a fingerprint; each is kept as 16 bits, four hexadecimal digits.
 SLOTS = 64
-#: Texts that are sampled at once.
-CHUNK = 96
+#: Texts that are sampled at once, and their characters: fewer texts if they are long, one at least.
+CHUNK, CHUNK_CHARS = 96, 1_000_000
+#: Terms whose samples are drawn at once.
+TERMS = 4096
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,21 +69,44 @@ def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """One row of SLOTS 16-bit samples a text."""
+    """One row of SLOTS 16-bit samples a text. Terms are sampled TERMS at a time; each text keeps what has arrived first so far, so memory does not grow with its vocabulary but for the terms themselves."""
     owner, h, weight = terms(texts)
     # terms that several texts share with one weight are sampled once
-    kinds, which = np.unique(mix(h) ^ mix(weight.astype(np.uint64)), return_inverse=True)
-    some = np.zeros(len(kinds), np.int64)
-    some[which] = np.arange(len(h))
-    arrival, level = sample(h[some], weight[some])
-    at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    drawn, slots = np.empty((len(texts), SLOTS), np.int64), np.arange(SLOTS)
-    for i in range(len(texts)):
-        w = which[at[i] : at[i + 1]]
-        drawn[i] = w[arrival[w].argmin(0)]
-    # 16 bits that stand for (term, level) of the drawn
-    t = level[drawn, slots].astype(np.int64).astype(np.uint64)
-    return (mix(h[some][drawn] + t * BASE + slots.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    _, some, which = np.unique(mix(h) ^ mix(weight.astype(np.uint64)), return_index=True, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    slots = np.arange(SLOTS)
+    first, drawn = np.full((len(texts), SLOTS), np.inf, np.float32), np.zeros((len(texts), SLOTS), np.uint64)
+    for a in range(0, len(some), TERMS):
+        mine = some[a : a + TERMS]
+        arrival, level = sample(h[mine], weight[mine])
+        # what stands for (term, level)
+        sign = h[mine][:, None] + level.astype(np.int64).astype(np.uint64) * BASE + slots.astype(np.uint64)
+        i, j = np.searchsorted(which, (a, a + TERMS))
+        texts_here, kinds = owner[i:j], which[i:j] - a
+        by_text = np.argsort(texts_here, kind="stable")
+        texts_here, kinds = texts_here[by_text], kinds[by_text]
+        at = np.flatnonzero(np.append(True, np.diff(texts_here) > 0))
+        for k, (b, e) in enumerate(zip(at, np.append(at[1:], len(kinds)), strict=True)):
+            t, ks = texts_here[at[k]], kinds[b:e]
+            best = ks[arrival[ks].argmin(0)]
+            soon = arrival[best, slots]
+            sooner = soon < first[t]
+            first[t] = np.where(sooner, soon, first[t])
+            drawn[t] = np.where(sooner, sign[best, slots], drawn[t])
+    return (mix(drawn) >> np.uint64(48)).astype(np.uint16)
+
+
+def portions(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """texts in order, in lists of at most so many characters, or of one text."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > most:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    yield part
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,7 +177,7 @@ def fingerprint_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_
         for i in pairs:
             m = len(texts[i]) // 3
             edits.append(texts[i][: len(texts[i]) - m] + texts[i + 1][:m])
-        f = fingerprints(texts + edits)
+        f = np.concatenate([fingerprints(part) for part in portions(texts + edits)])
         a, e, b = f[pairs], f[len(texts) :], f[[i + 1 for i in pairs]]
         hexed = lambda x: pa.array([row.astype(">u2").tobytes().hex() for row in x])
         sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edits]
@@ -163,12 +188,17 @@ def fingerprint_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
+        held = 0
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if waiting and held + len(row[1]) > CHUNK_CHARS and len(waiting) > 1:
+                    yield from work(waiting)
+                    waiting, held = waiting[-1:], len(waiting[-1][1])
                 waiting.append(row)
+                held += len(row[1])
                 if len(waiting) > CHUNK:
                     yield from work(waiting)
-                    waiting = waiting[-1:]
+                    waiting, held = waiting[-1:], len(row[1])
         yield from work(waiting)
 
     return d.select("doc_id", "text", "range", "extra").mapInArrow(run, schema)

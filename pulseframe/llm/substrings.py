@@ -61,7 +61,7 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int
             begins = inside & ~np.append(False, inside[:-1])[: len(cp)]
             begins[at[:-1][np.diff(at) > 0]] = inside[at[:-1][np.diff(at) > 0]]
             so_far = np.append(0, np.cumsum(begins))
-            words = (so_far[ends] - so_far[starts]).astype(np.int16)
+            words = (so_far[ends] - so_far[starts]).astype(np.int32)
             if part is not None:
                 mine = d[:, 1] % PARTS == part
                 d, starts, ends, own, words = d[mine], starts[mine], ends[mine], own[mine], words[mine]
@@ -69,7 +69,7 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array((d[:, 1] >> 32).astype(np.int32)), pa.array(ids, pa.int64()), pa.array((starts - at[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(words)], ["hi", "lo", "doc_id", "start", "length", "words"])
 
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text <> ''")
-    return d.mapInArrow(split, "hi long, lo int, doc_id long, start int, length int, words short")
+    return d.mapInArrow(split, "hi long, lo int, doc_id long, start int, length int, words int")
 
 
 def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, long: int = LONG) -> DataFrame:

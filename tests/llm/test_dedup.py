@@ -205,3 +205,9 @@ def test_repeats_against_chunks_written_out(spark):
                 run = []
     got = [(g.doc_id, g.span_start, g.span_end, g.n_chunks, g.n_words, g.first_doc_id, g.removed_chars) for g in substrings.repeats(frame(spark, data)).collect()]
     assert sorted(got) == sorted(want) and len(want) >= 20
+
+
+def test_passages_of_one_word(spark):
+    """A chunk may have more words than 16 bits count."""
+    got = substrings.repeats(spark.createDataFrame([(i, "ab " * 40_000) for i in (1, 2)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_words, r.span_start, r.span_end) for r in got] == [(1, 40_000, 0, 120_000), (2, 40_000, 0, 120_000)]

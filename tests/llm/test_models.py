@@ -174,3 +174,24 @@ def test_lm_in_many_packs(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "PART", 1500)
     many = sorted(map(tuple, lmscore.score(d.repartition(5), target).collect()))
     assert len(one) == len(many) == 250 and np.allclose(np.array(one), np.array(many))
+
+
+def test_fingerprints_of_very_long_texts():
+    """600,000 different words: the same samples as in slices, in bounded memory."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from pulseframe.llm import fingerprints as f
+long = " ".join(f"word{i}" for i in range(600_000))
+a = f.fingerprints([long])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+f.TERMS = 7
+short = ["a b c d e f g h i j k l m", "a b c x y z " * 9, "", "m l k"]
+few = f.fingerprints(short)
+f.TERMS = 4096
+assert (few == f.fingerprints(short)).all() and [len(x) for x in f.portions(["aa", "b", "cccc", "", "d"], 3)] == [2, 1, 2]
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 1000
