@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from pulseframe.kernels import tracing
+
 #: Sheet variants by name: height, frame (x0, y0, x1, y1), px a mm, first baseline and step (mm).
 VARIANTS = {"A": (905, (45, 45, 1189, 814), 4.305, 20.0, 30.0), "B": (883, (47, 47, 1187, 789), 4.41, 18.4, 28.5)}
 WIDTH, MM_S, MM_MV, HZ = 1280, 50.0, 10.0, 500.0
@@ -107,6 +109,11 @@ def runs(column: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 2)
 
 
+def bridged(column: np.ndarray, found: np.ndarray) -> list[list[tuple[float, float]]]:
+    """For each run of a column the white stretches inside it."""
+    return [[(top + a, top + b) for a, b in _stretches(~column[int(top) : int(bottom) + 1])] for top, bottom in found.tolist()]
+
+
 def paths(columns: list[np.ndarray], anchors: np.ndarray, step: float) -> np.ndarray:
     """For each anchor the cheapest way through the columns' runs, one run or none (-1) a column: distance to the anchor (steeper beyond one step), white
     gap to the last run, a price for skipping and for coming back. All anchors go through a column together; a skip remembers where it left."""
@@ -179,28 +186,6 @@ def path_pair(columns: list[np.ndarray], anchors: tuple[float, float], step: flo
     return out[0], out[1]
 
 
-def heights(columns: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One point a column: a short run's middle; a long run's end where it sticks out beyond both neighbours, else its middle."""
-    x = np.flatnonzero(chosen >= 0)
-    r = np.array([columns[i][chosen[i]] for i in x]).reshape(-1, 2)
-    mid = r.mean(1)
-    if len(x) > 2:
-        prev, nxt = np.roll(r, 1, 0), np.roll(r, -1, 0)
-        prev[0], nxt[-1] = r[0], r[-1]
-        tall = r[:, 1] - r[:, 0] > 3
-        up = tall & (r[:, 0] < np.minimum(prev[:, 0], nxt[:, 0]) - 1)
-        down = tall & (r[:, 1] > np.maximum(prev[:, 1], nxt[:, 1]) + 1)
-        mid = np.where(up & ~down, r[:, 0], np.where(down & ~up, r[:, 1], mid))
-    return x.astype(float), mid
-
-
-def baseline(y: np.ndarray) -> float:
-    """The most frequent height (lowest on ties), refined by the mean within one pixel."""
-    k, c = np.unique(np.round(y), return_counts=True)
-    m = k[c.argmax()]
-    return float(y[np.abs(y - m) <= 1].mean())
-
-
 def vote(height: int, box: tuple[int, int, int, int] | None) -> tuple[str, bool]:
     """The variant that the heights of the sheet and of its frame speak for, each if it is within TOLERANCE, and whether they differ; without any vote the one nearest in height."""
     from pulseframe.kernels.layout import decide
@@ -215,7 +200,7 @@ def vote(height: int, box: tuple[int, int, int, int] | None) -> tuple[str, bool]
 
 
 def read(img: np.ndarray) -> dict:
-    """frame, px_per_mm, variant, issues, confidence, and leads: name to (mv, confidence). A sheet without frame or grid falls back to the variant nearest in height."""
+    """frame, px_per_mm, variant, issues, confidence, leads: name to (mv, confidence); bad: name to stretches that are no signal (first and last sample, kind); and traces. A sheet without frame or grid falls back to the variant nearest in height."""
     issues: list[str] = []
     box = frame(img)
     variant, ambiguous = vote(img.shape[0], box)
@@ -233,22 +218,24 @@ def read(img: np.ndarray) -> dict:
         spacing = [px, px]
     mask = ink(img, box)
     columns = [runs(mask[:, i]) for i in range(mask.shape[1])]
-    leads = {}
-    anchors = [(first + step * i) * spacing[1] + default[1] - y0 for i in range(len(LEADS))]
-    ways = paths(columns, np.array(anchors), step * spacing[1])
+    breaks = [bridged(mask[:, i], r) for i, r in enumerate(columns)]
+    anchors = np.array([(first + step * i) * spacing[1] + default[1] - y0 for i in range(len(LEADS))])
+    ways = paths(columns, anchors, step * spacing[1])
     for i in range(len(LEADS) - 1):
         if ((ways[i] >= 0) & (ways[i] == ways[i + 1])).mean() >= MEET:
             issues.append(f"leads_meet:{LEADS[i]}:{LEADS[i + 1]}")
             ways[i], ways[i + 1] = path_pair(columns, (anchors[i], anchors[i + 1]), step * spacing[1])
-    for lead, way in zip(LEADS, ways, strict=True):
-        x, y = heights(columns, way)
-        if len(x) < 10:
+    dark = np.where(mask, 255.0 - img[y0 : y1 + 1, x0 : x1 + 1], 0.0)
+    traces = tracing.trace(columns, breaks, ways, anchors, mask, dark, MM_S * spacing[0])
+    ends = [(t.x[0], t.x[-1]) for t in traces if len(t.x)]
+    left, right = (min(e[0] for e in ends), max(e[1] for e in ends)) if ends else (0.0, 0.0)  # all leads have one axis of time
+    leads, bad = {}, {}
+    for lead, t in zip(LEADS, traces, strict=True):
+        if len(t.x) < 10:
             issues.append(f"lead_empty:{lead}")
-            leads[lead] = (np.zeros(0), 0.0)
+            leads[lead], bad[lead] = (np.zeros(0), 0.0), []
             continue
-        base = baseline(y)
-        samples = np.arange(0, int((x[-1] - x[0]) / (MM_S * spacing[0] / HZ)) + 1) * (MM_S * spacing[0] / HZ) + x[0]
-        cover = len(x) / len(columns)
-        leads[lead] = ((base - np.interp(samples, x, y)) / (MM_MV * spacing[1]), 1.0 if cover >= 0.98 else cover)
+        mv, bad[lead] = tracing.digitize(t, np.ceil(left), right, MM_S * spacing[0] / HZ, 1 / (MM_MV * spacing[1]), (0, len(mask) - 1))
+        leads[lead] = (mv, t.confidence)
     confidence = float(np.mean([c for _, c in leads.values()])) * (0.5 if "no_frame" in issues else 1.0)
-    return {"frame": box, "px_per_mm": tuple(spacing), "variant": variant, "issues": issues, "confidence": confidence, "leads": leads}
+    return {"frame": box, "px_per_mm": tuple(spacing), "variant": variant, "issues": issues, "confidence": confidence, "leads": leads, "bad": bad, "traces": dict(zip(LEADS, traces, strict=True))}
