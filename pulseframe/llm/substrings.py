@@ -43,7 +43,7 @@ def cuts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int | None = None) -> DataFrame:
-    """One row a chunk, of all or of the part of PARTS that its digest falls into: digest (two numbers), doc_id, start, length, words (that begin in it)."""
+    """One row a chunk, of all or of the part of PARTS that its length and three of its characters put it in (equal chunks in the same): digest (two numbers), doc_id, start, length, words (that begin in it)."""
     small_batches(df.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +54,10 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int
             cp, at = codes(b.column(1).to_pylist())
             ends = cuts(cp, at)
             starts = np.append(0, ends[:-1])[: len(ends)]
+            if part is not None:  # by length, first, middle and last character, so that only this part's chunks are hashed
+                look = (cp[i].astype(np.uint64) << np.uint64(21 * k) for k, i in enumerate((starts, (starts + ends) // 2, ends - 1)))
+                mine = mix(sum(look, (ends - starts).astype(np.uint64) * BASE)) % np.uint64(PARTS) == part
+                starts, ends = starts[mine], ends[mine]
             raw = memoryview(cp.tobytes())
             d = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
             own = np.searchsorted(at, starts, "right") - 1
@@ -62,9 +66,6 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int
             begins[at[:-1][np.diff(at) > 0]] = inside[at[:-1][np.diff(at) > 0]]
             so_far = np.append(0, np.cumsum(begins))
             words = (so_far[ends] - so_far[starts]).astype(np.int32)
-            if part is not None:
-                mine = d[:, 1] % PARTS == part
-                d, starts, ends, own, words = d[mine], starts[mine], ends[mine], own[mine], words[mine]
             ids = b.column(0).to_numpy()[own]
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array((d[:, 1] >> 32).astype(np.int32)), pa.array(ids, pa.int64()), pa.array((starts - at[own]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(words)], ["hi", "lo", "doc_id", "start", "length", "words"])
 
