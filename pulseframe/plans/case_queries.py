@@ -222,11 +222,11 @@ def case_values(spark, sf):
 
 @query("""SELECT k.case_id, k.key, CASE WHEN k.key = 'qtc' AND k.case_id % 2 = 1 THEN 'species_not_applicable' WHEN g.n IS NOT NULL THEN CASE WHEN 2 * g.m > g.n THEN g.reason END WHEN k.case_id % 5 = 4 THEN 'lead_ii_unreliable' WHEN k.key IN ('pDuration', 'pAmplitude', 'pq') THEN 'p_not_found' WHEN k.key IN ('qt', 'qtc', 't') THEN 't_not_found' ELSE 'low_confidence' END AS reason
 FROM (SELECT DISTINCT label AS case_id, unnest(['pDuration', 'pAmplitude', 'pq', 'q', 'qrs', 'r', 's', 'qt', 'qtc', 't', 'st']) AS key FROM embeddings) k
-LEFT JOIN (SELECT case_id, key, count(*) AS n, count(reason) AS m, first(reason ORDER BY beat) FILTER (reason IS NOT NULL) AS reason FROM v WHERE beat % 15 = 0 AND case_id % 5 <> 4 GROUP BY ALL) g USING (case_id, key)""", BEATS)
+LEFT JOIN (SELECT case_id, key, count(*) AS n, count(reason) AS m, first(reason ORDER BY beat) FILTER (reason IS NOT NULL) AS reason FROM v WHERE case_id % 5 <> 4 GROUP BY ALL) g USING (case_id, key)""", BEATS)
 def measured_reasons(spark, sf):
     b = _measured_beats(spark, sf)
     cases = b.select("case_id").distinct().select("case_id", F.when(F.col("case_id") % 2 == 1, "cat").otherwise("dog").alias("species"), F.when(F.col("case_id") % 5 == 4, 0).otherwise(3).alias("n_selected"), F.lit("lead_ii_unreliable").alias("empty_reason"))
-    return measure.measured(cases, measure.sampled(b).filter("beat % 15 = 0 AND case_id % 5 <> 4")).select("case_id", "key", "reason")
+    return measure.measured(cases, measure.sampled(b).filter("case_id % 5 <> 4")).select("case_id", "key", "reason")
 
 
 ORDER = """WITH RECURSIVE s AS (SELECT doc_id // 8 AS case_id, doc_id AS page, md5(text) AS digest, CASE WHEN doc_id % 5 <> 0 THEN lang END AS date, CASE WHEN doc_id % 6 <> 0 THEN concat_ws('|', source, lang) END AS head, (n_chars / 50)::DOUBLE AS a, (n_chars / 50 + 5)::DOUBLE AS b FROM documents),
