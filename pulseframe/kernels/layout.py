@@ -64,8 +64,8 @@ def crosses(gray: np.ndarray, dark: int) -> np.ndarray:
     return (across >= ARM_SHARE) & (down >= ARM_SHARE) & (d > 0)
 
 
-def plus_marks(gray: np.ndarray, phase_x: float, phase_y: float, px_mm: float, dark: int = CORE) -> tuple[float | None, list[tuple[int, float]]]:
-    """Pixels a second and the columns (number of the five-millimetre line, x) of plus marks, which stand on every tenth line, in every other five-millimetre row.
+def plus_lattice(gray: np.ndarray, phase_x: float, phase_y: float, px_mm: float, dark: int = CORE) -> tuple[float | None, list[tuple[int, float]], list[int]]:
+    """Pixels a second, the columns (number of the five-millimetre line, x) and the rows (y) of plus marks, which stand on every tenth line, in every other five-millimetre row.
 
     Both parities of rows are tried and the better one counts; of the lines' residues modulo ten, the one with the most hits; the second is the slope of x over them."""
     step = 5 * px_mm
@@ -75,6 +75,7 @@ def plus_marks(gray: np.ndarray, phase_x: float, phase_y: float, px_mm: float, d
     for k in (-1, 0, 1):  # one row off counts
         near |= np.roll(hit, k, 0)
     best: list[tuple[int, float, int]] = []
+    stand: list[int] = []
     for parity in (0, 1):
         ys = np.round(rows[parity::2]).astype(int)
         ys = ys[(ys >= ARM) & (ys < gray.shape[0] - ARM)]
@@ -88,15 +89,20 @@ def plus_marks(gray: np.ndarray, phase_x: float, phase_y: float, px_mm: float, d
                 w = 255.0 - gray[np.ix_(ys, range(max(0, x - ARM), min(gray.shape[1], x + ARM + 1)))].astype(float)
                 found.append((round(line), float((w.sum(0) * np.arange(max(0, x - ARM), max(0, x - ARM) + w.shape[1])).sum() / max(1e-9, w.sum())), int(score[x])))
         if sum(f[2] for f in found) > sum(f[2] for f in best):
-            best = found
+            best, stand = found, ys.tolist()
     if not best:
-        return None, []
+        return None, [], []
     weight = np.bincount([f[0] % 10 for f in best], [f[2] for f in best], 10)
     chosen = [(n, x) for n, x, _ in best if n % 10 == int(weight.argmax())]
     if len(chosen) < 2:
-        return None, chosen
+        return None, chosen, stand
     k, x = np.array([n // 10 for n, _ in chosen], float), np.array([x for _, x in chosen])
-    return float(((k - k.mean()) * (x - x.mean())).sum() / ((k - k.mean()) ** 2).sum()), chosen
+    return float(((k - k.mean()) * (x - x.mean())).sum() / ((k - k.mean()) ** 2).sum()), chosen, stand
+
+
+def plus_marks(gray: np.ndarray, phase_x: float, phase_y: float, px_mm: float, dark: int = CORE) -> tuple[float | None, list[tuple[int, float]]]:
+    """Pixels a second and the columns of plus marks."""
+    return plus_lattice(gray, phase_x, phase_y, px_mm, dark)[:2]
 
 
 def decide(votes: dict[str, str]) -> tuple[str | None, float, bool]:

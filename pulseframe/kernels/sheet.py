@@ -200,7 +200,9 @@ def vote(height: int, box: tuple[int, int, int, int] | None) -> tuple[str, bool]
 
 
 def read(img: np.ndarray) -> dict:
-    """frame, px_per_mm, variant, issues, confidence, leads: name to (mv, confidence); bad: name to stretches that are no signal (first and last sample, kind); and traces. A sheet without frame or grid falls back to the variant nearest in height."""
+    """frame, px_per_mm, variant, issues, confidence, leads: name to (mv, confidence); bad: name to stretches that are no signal (first and last sample, kind); traces; grid: its two axes (x, y); px_per_second, by the plus marks where there are some; and marks, their centres. A sheet without frame or grid falls back to the variant nearest in height."""
+    from pulseframe.kernels import marks
+
     issues: list[str] = []
     box = frame(img)
     variant, ambiguous = vote(img.shape[0], box)
@@ -213,10 +215,19 @@ def read(img: np.ndarray) -> dict:
     x0, y0, x1, y1 = box
     grid = (img >= GRID[0]) & (img <= GRID[1])
     spacing = [period(grid[y0:y1, x0:x1].sum(axis).astype(float)) for axis in (0, 1)]
+    faint = np.where(grid, 255.0 - img, 0.0)[y0 : y1 + 1, x0 : x1 + 1]
+    lines = None
     if None in spacing or abs(spacing[0] / px - 1) > 0.02 or abs(spacing[1] / px - 1) > 0.02:
         issues.append("no_grid" if None in spacing else "grid_off_profile")
         spacing = [px, px]
+    else:
+        lines = tuple(marks.axis(faint.sum(i), spacing[i]) for i in (0, 1))
     mask = ink(img, box)
+    crop = img[y0 : y1 + 1, x0 : x1 + 1]
+    second, places = marks.lattice(crop, *lines, CORE) if lines else (None, [])
+    if second is None or abs(second / (MM_S * spacing[0]) - 1) > TOLERANCE:
+        second, places = MM_S * spacing[0], []
+    mask, found = marks.erase(mask, crop < CORE, places)
     columns = [runs(mask[:, i]) for i in range(mask.shape[1])]
     breaks = [bridged(mask[:, i], r) for i, r in enumerate(columns)]
     anchors = np.array([(first + step * i) * spacing[1] + default[1] - y0 for i in range(len(LEADS))])
@@ -225,8 +236,8 @@ def read(img: np.ndarray) -> dict:
         if ((ways[i] >= 0) & (ways[i] == ways[i + 1])).mean() >= MEET:
             issues.append(f"leads_meet:{LEADS[i]}:{LEADS[i + 1]}")
             ways[i], ways[i + 1] = path_pair(columns, (anchors[i], anchors[i + 1]), step * spacing[1])
-    dark = np.where(mask, 255.0 - img[y0 : y1 + 1, x0 : x1 + 1], 0.0)
-    traces = tracing.trace(columns, breaks, ways, anchors, mask, dark, MM_S * spacing[0])
+    dark = np.where(mask, 255.0 - crop, 0.0)
+    traces = tracing.trace(columns, breaks, ways, anchors, mask, dark, second)
     ends = [(t.x[0], t.x[-1]) for t in traces if len(t.x)]
     left, right = (min(e[0] for e in ends), max(e[1] for e in ends)) if ends else (0.0, 0.0)  # all leads have one axis of time
     leads, bad = {}, {}
@@ -238,4 +249,4 @@ def read(img: np.ndarray) -> dict:
         mv, bad[lead] = tracing.digitize(t, np.ceil(left), right, MM_S * spacing[0] / HZ, 1 / (MM_MV * spacing[1]), (0, len(mask) - 1))
         leads[lead] = (mv, t.confidence)
     confidence = float(np.mean([c for _, c in leads.values()])) * (0.5 if "no_frame" in issues else 1.0)
-    return {"frame": box, "px_per_mm": tuple(spacing), "variant": variant, "issues": issues, "confidence": confidence, "leads": leads, "bad": bad, "traces": dict(zip(LEADS, traces, strict=True))}
+    return {"frame": box, "px_per_mm": tuple(spacing), "variant": variant, "issues": issues, "confidence": confidence, "leads": leads, "bad": bad, "traces": dict(zip(LEADS, traces, strict=True)), "grid": lines, "px_per_second": second, "marks": found}

@@ -481,7 +481,7 @@ def page_measurements(spark, sf):
 def trace_sheets(spark, sf):
     """Drawn sheets of all suppliers read back: samples, confidence and extremes a lead."""
     r = bridge.read_sheets(waves.images(spark, sf))
-    return r.select("page", "lead", "variant", F.round("px_per_mm", 3).alias("px_per_mm"), F.size("mv").alias("n"), r6("confidence"), F.round(F.array_max("mv"), 3).alias("top"), F.array_join("issues", ",").alias("issues"))
+    return r.select("page", "lead", "variant", F.round("px_per_mm", 3).alias("px_per_mm"), F.size("mv").alias("n"), r6("confidence"), F.round(F.array_max("mv"), 3).alias("top"), F.array_join("issues", ",").alias("issues"), F.round("px_per_second", 2).alias("px_per_second"), "n_marks")
 
 
 @query()

@@ -113,8 +113,8 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unionByName(copies)
 
 
-def draw(signals: dict[str, np.ndarray], variant: str = "A", grid: bool = True) -> np.ndarray:
-    """Signals as a sheet's image: frame, millimetre grid, six polylines."""
+def draw(signals: dict[str, np.ndarray], variant: str = "A", grid: bool = True, marks: bool = False) -> np.ndarray:
+    """Signals as a sheet's image: frame, millimetre grid, six polylines; with marks, bolder lines every five millimetres, and plus marks on every tenth of them in every other row."""
     height, (x0, y0, x1, y1), px, first, step = sheet.VARIANTS[variant]
     img = np.full((height, sheet.WIDTH), 255, np.uint8)
     if grid:
@@ -122,6 +122,12 @@ def draw(signals: dict[str, np.ndarray], variant: str = "A", grid: bool = True)
             img[y0 : y1 + 1, int(round(x0 + k * px))] = 210
         for k in range(int((y1 - y0) / px) + 1):
             img[int(round(y0 + k * px)), x0 : x1 + 1] = 210
+    if marks:
+        across, down = (np.round(o + np.arange(int((e - o) / px / 5) + 1) * 5 * px).astype(int) for o, e in ((x0, x1), (y0, y1)))
+        img[y0 : y1 + 1, across] = img[down, x0 : x1 + 1] = 185
+        for x in across[3::10]:
+            for y in down[2:-1:2]:
+                img[y, x - 2 : x + 3] = img[y - 2 : y + 3, x] = 60
     for i, lead in enumerate(sheet.LEADS):
         base = y0 + (first + step * i) * px
         x = x0 + 3 + np.arange(len(signals[lead])) / sheet.HZ * sheet.MM_S * px
@@ -137,11 +143,11 @@ def draw(signals: dict[str, np.ndarray], variant: str = "A", grid: bool = True)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sheets of sheet_beats as images: page, species, width, height, gray; every other one in variant B."""
+    """The sheets of sheet_beats as images: page, species, width, height, gray; every other one in variant B, every third one with plus marks."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        img = draw({r["lead"]: np.array(r["mv"]) for r in rows}, "AB"[rows[0]["page"] % 2])
+        img = draw({r["lead"]: np.array(r["mv"]) for r in rows}, "AB"[rows[0]["page"] % 2], marks=rows[0]["page"] % 3 == 0)
         return pa.table({"page": [rows[0]["page"]], "species": [rows[0]["species"]], "width": pa.array([img.shape[1]], pa.int32()), "height": pa.array([img.shape[0]], pa.int32()), "gray": pa.array([img.tobytes()], pa.binary())})
 
     return signals(sheet_beats(spark, sf_dir)).groupBy("page").applyInArrow(run, "page long, species string, width int, height int, gray binary")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tests import synthetic as synth
 
-from pulseframe.kernels import sheet, tracing
+from pulseframe.kernels import marks, sheet, tracing
 from pulseframe.sources import waves
 
 PX = sheet.VARIANTS["A"][2]
@@ -146,3 +146,67 @@ def test_claims_on_extremes():
     runs = [{0: np.array([10.0, 12]), 1: np.array([12.0, 60]), 2: np.array([10.0, 12])}, {0: np.array([40.0, 42]), 1: np.array([12.0, 60]), 2: np.array([40.0, 42])}]
     one, two = tracing.claims(runs, np.array([False, True, False]), (0, 1))
     assert one == {1: (False, True)} and two == {1: (False, False)}
+
+
+@pytest.mark.parametrize("variant", ["A", "B"])
+def test_grid_phase_of_drawn_sheets(variant):
+    px = sheet.VARIANTS[variant][2]
+    for drawn in (False, True):
+        r = sheet.read(waves.draw(synth.six("dog", noise=0.0)[0], variant, marks=drawn))
+        for axis, origin, start in zip(r["grid"], r["frame"][:2], sheet.VARIANTS[variant][1][:2], strict=True):
+            off = (axis.first + origin - start) % px
+            assert min(off, px - off) <= 0.25 and axis.contrast > 1.5
+            assert (axis.bold is not None) == drawn  # lines that are all alike don't say which are the fifth ones
+            if drawn:
+                off = (axis.bold + origin - start) % (5 * px)
+                assert min(off, 5 * px - off) <= 0.25
+        assert abs(r["px_per_second"] / (50 * px) - 1) <= 0.001
+
+
+@pytest.mark.parametrize(("species", "variant"), [("dog", "A"), ("cat", "B")])
+def test_marks_leave_traces_alone(species, variant):
+    leads = synth.six(species, noise=0.0)[0]
+    plain, marked = (sheet.read(waves.draw(leads, variant, marks=m)) for m in (False, True))
+    assert plain["marks"] == [] and len(marked["marks"]) >= 50 and marked["issues"] == []
+    for k in sheet.LEADS:
+        a, b = plain["traces"][k], marked["traces"][k]
+        assert b.explained >= 0.999 and b.reasons == [] and marked["bad"][k] == []
+        x = np.arange(max(a.x[0], b.x[0]), min(a.x[-1], b.x[-1]) + 1)
+        assert np.abs(np.interp(x, a.x, a.y) - np.interp(x, b.x, b.y)).max() <= 1
+        one, two = plain["leads"][k][0], marked["leads"][k][0]
+        assert len(one) == len(two) and np.abs(one - two).max() <= 0.03
+
+
+def test_erasing_a_mark():
+    """Hung on nothing, a mark goes with its soft edge; on a curve its arms go and the curve stays; what is no mark stays."""
+    cross = np.zeros((31, 31), bool)
+    cross[15, 13:18] = cross[13:18, 15] = True
+
+    def left(curve, soft=None, place=(15.4, 14.0)):
+        mask = cross | curve | (soft if soft is not None else False)
+        out, found = marks.erase(mask, cross | curve, [place])
+        assert found == [(15, 15)]
+        return out
+
+    none = np.zeros_like(cross)
+    edge = none.copy()
+    edge[16, 17] = edge[12, 15] = True
+    assert not left(none, edge).any()
+    for thick in (1, 2):
+        across = none.copy()
+        across[15 : 15 + thick] = True
+        assert (left(across) == across).all()
+        assert (left(across.T.copy()) == across.T).all()
+    assert (left(across | across.T) == (across | across.T)).all()
+    below = none.copy()
+    below[18:20] = True  # an arm's end touches the curve
+    assert (left(below)[18:20] == below[18:20]).all() and not left(below)[13:17].any()
+    steep = none.copy()
+    steep[5:25, 14:16] = True
+    out, found = marks.erase(steep, steep, [(15.0, 15.0)])
+    assert (out == steep).all() and found == []
+    assert marks.erase(none, none, [(15.0, 15.0), (-3.0, 200.0)])[1] == []
+    assert marks.erase(cross, cross, [(22.0, 15.0)])[1] == []  # too far off
+    corner = none.copy()
+    corner[0, :3] = corner[:3, 0] = True
+    assert (marks.erase(corner, corner, [(0.0, 0.0)])[0] == corner).all()
