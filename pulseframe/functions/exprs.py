@@ -12,6 +12,12 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * k + 0.5) / k
 
 
+def mean_of_cents(cents: Column, n: Column) -> Column:
+    """The mean of n amounts whose sum is given in cents, to one decimal, halves away from zero. In whole numbers, so that neither the order of the amounts nor a half decides; null without amounts."""
+    x, d = F.abs(cents) + 5 * n, F.nullif(10 * n, F.lit(0))
+    return F.signum(cents) * ((x - x % d) / d) / 10
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
