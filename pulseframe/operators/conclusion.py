@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pulseframe.functions.exprs import fill, half_up, significant
 from pulseframe.operators import norms
@@ -117,24 +118,25 @@ def direction(key: Column, verdict: Column, side_: Column) -> Column:
     return F.coalesce(*[lookup(P.DIRECTIONS, c) for c in own], verdict)
 
 
-def parameter_rows(measured: DataFrame, spark: SparkSession) -> DataFrame:
-    """case_id, key, label, value, norm, verdict, note, side and text_value (with the share of R), for keys of any kind but the rate's. A cat has no qtc row."""
+def parameter_rows(measured: DataFrame, spark: SparkSession, keep: tuple[str, ...] = ()) -> DataFrame:
+    """case_id, key, label, value, norm, verdict, note, side and text_value (with the share of R), for keys of any kind but the rate's, and the columns of `keep` as they came. A cat has no qtc row.
+
+    A case's R comes by a window over its rows, not by a join: planned sizes don't count the rows of an exploded case, so a join would be broadcast. What only the norm says is worded in the norm table."""
     m = measured.filter(~((F.col("key") == "qtc") & (F.col("species") == "cat"))).withColumn("profile", norms.profile_of(F.col("species"), F.col("size")))
-    r = m.filter((F.col("key") == "r") & available(F.col("value"), F.col("confidence"))).select("case_id", F.col("value").alias("r"))
-    m = norms.classify(m.join(r, "case_id", "left"), spark, keep=True)
-    # each step is a column of its own, and a local sort parts the steps: code for all of them at once would be too large to compile
+    ok = available(F.col("value"), F.col("confidence"))
+    m = m.withColumn("r", F.max(F.when((F.col("key") == "r") & ok, F.col("value"))).over(W.partitionBy("case_id"))).withColumn("_ok", ok)
+    m = norms.classify(m, spark, keep=True, table=range_text(norms.norms(spark)).drop("border", "text"))
     signed, unit = F.col("key").isin(*SIGNED), F.col("unit")
-    m = m.withColumn("_ok", available(F.col("value"), F.col("confidence"))).withColumn("_round", for_unit(F.col("value"), unit))
-    m = m.withColumn("_norm", F.when(F.col("rule").isNull(), P.TABLE["no_norm"]).otherwise(with_unit(core_range(F.col("low"), F.col("high"), F.col("rule"), signed), unit)))
+    m = m.withColumn("_norm", F.when(F.col("rule").isNull(), P.TABLE["no_norm"]).otherwise(with_unit(F.col("core"), unit)))
     m = m.withColumn("_side", F.when(F.col("rule").isNull(), "inside").otherwise(side(F.col("value"), F.col("low"), F.col("high"), F.col("rule"), F.col("r"))))
-    m = m.sortWithinPartitions("case_id").withColumn("_shown", with_unit(num(F.col("_round"), signed), unit))
+    m = m.withColumn("_shown", with_unit(num(for_unit(F.col("value"), unit), signed), unit))
     m = m.withColumn("_pct", F.when((F.col("rule") == "abs_fraction") & (F.col("r") > 0), fill(F.lit(P.TABLE["share"]), {"pct": half_up(F.abs("value") / F.col("r") * 100).cast("long")})))
     unsure = F.when(F.col("reason").isNotNull(), reason_text(F.col("reason"))).otherwise(fill(F.lit(P.TABLE["confidence"]), {"confidence": num(half_up(F.coalesce("confidence", F.lit(0.0)), 2))}))
     ok = F.col("_ok")
     return m.select(
         "case_id", "key", lookup(P.LABELS, F.col("key"), F.col("key")).alias("label"), F.when(ok, F.col("_shown")).otherwise(P.TABLE["unreliable"]).alias("value"), F.col("_norm").alias("norm"),
         F.when(ok, F.col("verdict")).otherwise("n/a").alias("verdict"), F.when(ok, F.coalesce("_pct", F.lit(""))).otherwise(unsure).alias("note"), F.when(ok, F.col("_side")).otherwise("inside").alias("side"),
-        F.when(ok, F.when(F.col("_pct").isNotNull(), F.concat("_shown", F.lit(" ("), "_pct", F.lit(")"))).otherwise(F.col("_shown"))).otherwise("").alias("text_value"),
+        F.when(ok, F.when(F.col("_pct").isNotNull(), F.concat("_shown", F.lit(" ("), "_pct", F.lit(")"))).otherwise(F.col("_shown"))).otherwise("").alias("text_value"), *keep,
     )
 
 

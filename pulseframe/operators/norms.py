@@ -31,9 +31,10 @@ def verdict(value: Column, low: Column, high: Column, border_low: Column, border
     return F.when(value.isNull() | rule.isNull(), "n/a").otherwise(F.coalesce(worst, F.when(off, F.lit("border")).otherwise("norm")))
 
 
-def classify(measured: DataFrame, spark: SparkSession, keep: bool = False) -> DataFrame:
-    """measured (profile, key, value, r) with verdict, and with keep=True the norm's bounds; keys without a norm are n/a. The norm table is a constant of a few rows, so it is broadcast."""
-    n = F.broadcast(norms(spark).drop("unit"))
+def classify(measured: DataFrame, spark: SparkSession, keep: bool = False, table: DataFrame | None = None) -> DataFrame:
+    """measured (profile, key, value, r) with verdict, and with keep=True the norm's bounds (and other columns of `table`, norms with more columns); keys without a norm are n/a. The norm
+    table is a constant of a few rows, so it is broadcast."""
+    n = F.broadcast((norms(spark) if table is None else table).drop("unit"))
     m = measured.join(n, ["profile", "key"], "left")
     v = verdict(F.col("value"), F.col("low"), F.col("high"), F.col("border_low"), F.col("border_high"), F.col("rule"), F.col("r"))
     m = m.withColumn("verdict", v)

@@ -179,8 +179,8 @@ SHOWN = ROWS + """, sh AS (SELECT rows.case_id, rows.key, rows.no, rows.label, r
 
 
 def _shown_rows(spark, sf):
-    m = _measured(spark, sf).select("case_id", "key", "no", F.col("value").alias("m_value"), F.col("reason").alias("m_reason"), F.when(F.col("no") % 2 == 0, "all_leads").alias("m_source"))
-    return views.result_rows(conclusion.parameter_rows(_measured(spark, sf), spark).join(m, ["case_id", "key"]))
+    m = _measured(spark, sf).select("*", F.col("value").alias("m_value"), F.col("reason").alias("m_reason"), F.when(F.col("no") % 2 == 0, "all_leads").alias("m_source"))
+    return views.result_rows(conclusion.parameter_rows(m, spark, ("m_value", "m_reason", "m_source")))
 
 
 @query(SHOWN + " SELECT case_id, key, label, value, norm, verdict, tone, note FROM sh")
