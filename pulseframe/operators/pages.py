@@ -68,9 +68,13 @@ def choose_calibration(pages: DataFrame) -> DataFrame:
 
 def order_mismatch(labels: DataFrame, leads: DataFrame) -> DataFrame:
     """page and mismatch: some label (page, lead, y) is nearest to another lead's baseline (page, lead, position, baseline_y), the first on ties."""
-    j = labels.select("page", F.col("lead").alias("label"), "y").join(leads, "page")
-    n = j.groupBy("page", "label", "y").agg(F.min_by("lead", F.struct(F.abs(F.col("baseline_y") - F.col("y")), "position")).alias("nearest"))
-    return n.groupBy("page").agg(F.max(F.col("nearest") != F.col("label")).alias("mismatch"))
+    return mismatch_of_pages(labels.groupBy("page").agg(F.collect_list(F.struct("lead", "y")).alias("labels")).join(leads.groupBy("page").agg(F.collect_list(F.struct("lead", "position", "baseline_y")).alias("leads")), "page"))
+
+
+def mismatch_of_pages(pages: DataFrame) -> DataFrame:
+    """order_mismatch for pages with their labels (array of lead, y) and leads (array of lead, position, baseline_y), a few each: a row a page, where pairs would be a row each."""
+    nearest = lambda y: F.array_min(F.transform("leads", lambda l: F.struct(F.abs(l["baseline_y"] - y).alias("d"), l["position"].alias("position"), l["lead"].alias("lead"))))["lead"]
+    return pages.select("page", F.exists("labels", lambda x: nearest(x["y"]) != x["lead"]).alias("mismatch"))
 
 
 def header_unanchored(crop_w: Column, crop_h: Column, zone_w: Column) -> Column:
