@@ -30,3 +30,10 @@ def test_equal_stretches(spark, tmp_path):
     rows = spark.range(300_000).selectExpr("id AS event_id", "id % 5 AS user_id", "element_at(array('click', 'error', 'purchase'), cast(1 + hash(id DIV 15000, id % 7) % 2 + 1 AS int)) AS event_type")
     got, want = _both(spark, "expanded_stretches", "events", rows, tmp_path)
     assert got == want and sum(r[4] for r in got) == 300_000
+
+
+def test_plans(spark):
+    """Sheets are drawn once; rows of exploded cases, and leads of pages, meet by aggregates and windows, as their planned size is too small."""
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("sheet_to_measurements") and "Join" not in plan("lead_order_mismatch")
+    assert all(plan(name).count("Join LeftOuter") == 1 and plan(name).count("Join ") == 1 for name in ("conclusion_rows", "result_rows", "results_tsv", "deviations"))
