@@ -37,3 +37,14 @@ def test_plans(spark):
     plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan("sheet_to_measurements") and "Join" not in plan("lead_order_mismatch")
     assert all(plan(name).count("Join LeftOuter") == 1 and plan(name).count("Join ") == 1 for name in ("conclusion_rows", "result_rows", "results_tsv", "deviations"))
+
+
+def test_samples_stay_in_their_task(spark):
+    """Drawn samples and images are not shuffled: one pass a page from its beats on, in several tasks a core."""
+    from pyspark.sql import functions as F
+
+    for name in ("detect_beats", "delineate_beats", "page_measurements", "sheet_to_measurements", "trace_sheets"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("InArrow") == 1 and "gray" not in plan and (name == "trace_sheets" or "mv" not in plan), name
+    tasks = QUERIES["trace_sheets"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > spark.sparkContext.defaultParallelism / 2
