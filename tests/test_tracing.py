@@ -210,3 +210,16 @@ def test_erasing_a_mark():
     corner = none.copy()
     corner[0, :3] = corner[:3, 0] = True
     assert (marks.erase(corner, corner, [(0.0, 0.0)])[0] == corner).all()
+
+
+def test_lines_at_once():
+    """All columns' runs and gaps at once are those of each column; labels join a chain, whatever its order."""
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        mask = rng.random((40, 60)) < share
+        columns, breaks = sheet.column_runs(mask)
+        each = [sheet.runs(c) for c in mask.T]
+        assert all((a == b).all() and a.shape == b.shape for a, b in zip(columns, each, strict=True))
+        assert breaks == [sheet.bridged(c, r) for c, r in zip(mask.T, each, strict=True)]
+    chain = rng.permutation(2000)
+    assert (tracing.components(2000, chain[:-1], chain[1:]) == 0).all()
