@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.common import cut, digits, prefix_sums, small_batches
 
-#: Entries of a worker's cache of words; a full cache is emptied, so its memory is bounded.
+#: Entries of a worker's cache of words, in two halves: when the younger is full it becomes the older, whose words are forgotten but for those that a later batch used. Memory is bounded.
 CACHE = 200_000
+#: Marks after a word that are tokens of their own.
+MARKS = tuple(b".,;:!?"[i : i + 1] for i in range(6))
 #: Words that are encoded at once.
 JOINED = 500
 #: Steps that branch-and-bound may take after its first descent.
@@ -33,6 +35,7 @@ def encoder(path: str):
 
     kept = sys.modules.setdefault("_pulseframe_words", types.ModuleType("_pulseframe_words"))
     cache: dict[bytes, bytes] = kept.__dict__.setdefault(path, {})
+    older: dict[bytes, bytes] = kept.__dict__.setdefault(path + "/older", {})
     tok = kept.__dict__.setdefault(path + "/tokenizer", None) or Tokenizer.from_file(path)
     kept.__dict__[path + "/tokenizer"] = tok
     vocabulary = tok.get_vocab(with_added_tokens=True)
@@ -41,20 +44,20 @@ def encoder(path: str):
 
     def learn(words: set[bytes]) -> None:
         # a mark after a letter or digit is a token of its own: a word is encoded once for all marks after it
-        ends = {w: w[:-1] for w in words if w[-1:] in b".,;:!?" and w[-2:-1].isalnum()}
+        ends = {w: w[:-1] for w in words if w.endswith(MARKS) and w[-2:-1].isalnum()}
         plain = [w for w in {*(words - ends.keys()), *ends.values(), *(w[-1:] for w in ends)} if w not in cache]
         # a word of letters gives one token that ends a word, its last: many such words are encoded at once and told apart
-        runs = [w for w in plain if w.decode().isalpha()]
+        runs = [w for w, t in zip(plain, b" ".join(plain).decode().split(" "), strict=True) if t.isalpha()] if plain else []
+        rest = set(plain)
         for at in range(0, len(runs), JOINED):
             some = runs[at : at + JOINED]
             ids = np.array(tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(ends_word[ids]) + 1
             if len(stops) == len(some):
-                packed, last = ids.tobytes(), 0
-                for w, stop in zip(some, (4 * stops).tolist(), strict=True):
-                    cache[w] = packed[last:stop]
-                    last = stop
-        rest = [w for w in plain if w not in cache]
+                packed, stops = ids.tobytes(), (4 * stops).tolist()
+                cache.update(zip(some, [packed[i:j] for i, j in zip([0, *stops], stops)], strict=True))
+                rest.difference_update(some)
+        rest = list(rest)
         for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, base in ends.items():
@@ -66,9 +69,14 @@ def encoder(path: str):
             b = (t or "").encode("utf-8", "replace")
             # the tokenizer ignores case; only its special tokens' marks do not
             split.append((b if b"<|" in b else b.lower()).split())
-        if len(cache) > CACHE:
+        if len(cache) > CACHE // 2:
+            older.clear()
+            older.update(cache)
             cache.clear()
         if new := set().union(*split).difference(cache):
+            if known := new.intersection(older):
+                cache.update(zip(known, map(older.__getitem__, known), strict=True))
+                new -= known
             learn(new)
         get = cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]

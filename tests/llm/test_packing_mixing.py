@@ -234,3 +234,21 @@ def test_pipeline(spark, tmp_path):
             s = s.sort_values("offset")
             assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 4096
         assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 4096)
+
+
+def test_words_in_use_stay_in_the_cache(monkeypatch):
+    """A full cache forgets the words that later batches did not use, holds no more than its bound and a batch, and changes no ids."""
+    import sys
+
+    path = tokenizer("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE", 200)
+    encode, taught = packing.encoder(path), 0
+    halves = [sys.modules["_pulseframe_words"].__dict__[k] for k in (path, path + "/older")]
+    for h in halves:
+        h.clear()
+    want = encode(["the common word"])
+    for i in range(40):
+        taught += b"common" not in halves[0] and b"common" not in halves[1]
+        assert encode([f"the common word {' '.join(f'x{i}y{j}' for j in range(30))}", "the common word"])[1:] == want
+        assert sum(map(len, halves)) <= packing.CACHE + 2 * 40
+    assert taught == 0
