@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulseframe.llm.common import SPACES, cut, numbered
+from pulseframe.llm.common import SPACES, cut
 
 #: Runs at the leaves of the merge tree, and how many of them meet in one merge.
 RUNS, FAN_IN = 256, 4
@@ -45,8 +45,8 @@ def merge(runs: DataFrame) -> DataFrame:
     return first.filter("_place = 1").drop("_place")
 
 
-def _outcome(d: DataFrame) -> DataFrame:
-    """d with the row number that stays (best_no), its doc_id (keep_id) and the group's size."""
+def _merged(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves (one entry a run and digest), and the root: one entry a digest, the row that stays with the group's size."""
     at = ["run", *KEY]
     # a run holds one entry a digest, sorted; its rows come from few tasks, so most meet before they are exchanged
     leaves = d.groupBy(*at).agg(F.min(F.struct(*ORDER)).alias("best"), F.count(F.lit(1)).alias("size"))
@@ -54,6 +54,13 @@ def _outcome(d: DataFrame) -> DataFrame:
     merged, width = leaves, RUNS
     while width > 1:
         merged, width = merge(merged), -(-width // FAN_IN)
+    return leaves, merged
+
+
+def _outcome(d: DataFrame) -> DataFrame:
+    """d with the row number that stays (best_no), its doc_id (keep_id) and the group's size."""
+    at = ["run", *KEY]
+    leaves, merged = _merged(d)
     down = leaves.select(*at).join(merged.select(*KEY, F.col("doc_id").alias("keep_id"), F.col("row_no").alias("best_no"), F.col("size").alias("group_size")), KEY)
     return d.join(down, at)
 
@@ -78,10 +85,14 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 
 def drop_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """df without the rows that exact_dedup drops, but for ties: of rows that share doc_id and length, the one with the smallest hash of all columns stays, so
-    the outcome does not depend on how the rows are dealt; of wholly equal rows, one stays."""
-    rows = numbered(df)
-    t = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
-    d = _digests(rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), t.alias("text"), "tie", "row_no"))
-    kept = _outcome(d).filter("row_no = best_no").select("row_no")
-    return rows.join(kept.hint("merge"), "row_no", "left_semi").select("row.*")
+    """df without the rows that exact_dedup drops, but for ties: of rows that share doc_id and length, the one with the smallest hash of all columns (maps apart) stays, so
+    the outcome does not depend on how the rows are dealt; of wholly equal rows, one stays.
+
+    Texts are shuffled once and never written: the rows that stay are known by two hashes of all their columns, 128 bits."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.simpleString()]
+    tie, second = F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain, *[c.isNull() for c in plain])
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    merged = _merged(_digests(df.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text"), tie.alias("tie"), second.alias("row_no"))))[1]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), tie.alias("tie"), second.alias("row_no"))
+    kept = rows.join(merged.select("tie", "row_no").hint("merge"), ["tie", "row_no"], "left_semi")
+    return kept.withColumn("_copy", F.row_number().over(W.partitionBy("tie", "row_no").orderBy("tie"))).filter("_copy = 1").select("row.*")

@@ -160,15 +160,24 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             ss = [sizes[i:j].tolist() for i, j in zip(per_doc[:-1], per_doc[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ws, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32()))], ["label", "key", "words", "sizes"])
 
-    sample = learning_rows(d, known, rows, chars, 2)
-    sample = sample.mapInArrow(parts, "label int, key long, words array<int>, sizes array<int>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
-    if not sample.num_rows:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        sample = pa.Table.from_batches(got).sort_by([("key", "ascending"), ("label", "ascending")])
+        (words, w_at), (sizes, s_at) = flat_lists(sample["words"]), flat_lists(sample["sizes"])
+        docs = [(words[a:b], sizes[c:d].astype(np.int64)) for (a, b), (c, d) in zip(itertools.pairwise(w_at.tolist()), itertools.pairwise(s_at.tolist()), strict=True)]
+        y = np.array(sample["label"].to_pylist(), np.int64)
+        if len(set(y.tolist())) == 2:
+            w, bias = fit(docs, y)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    sample = learning_rows(d, known, rows, chars, 2).mapInArrow(parts, "label int, key long, words array<int>, sizes array<int>")
+    # the sample is bounded: one task learns from it, and the driver gets the weights alone
+    model = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    if model is None:
         return spark.sparkContext.broadcast(np.zeros(1 << BITS, np.float32)), -np.inf
-    (words, w_at), (sizes, s_at) = flat_lists(sample["words"]), flat_lists(sample["sizes"])
-    docs = [(words[a:b], sizes[c:d].astype(np.int64)) for (a, b), (c, d) in zip(itertools.pairwise(w_at.tolist()), itertools.pairwise(s_at.tolist()), strict=True)]
-    y = np.array(sample["label"].to_pylist(), np.int64)
-    w, bias = fit(docs, y) if len(set(y.tolist())) == 2 else (np.zeros(1 << BITS, np.float32), -np.inf)
-    return spark.sparkContext.broadcast(w), bias
+    return spark.sparkContext.broadcast(np.frombuffer(model["weights"], np.float32)), model["bias"]
 
 
 def score(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = ROWS, chars: int = CHARS) -> DataFrame:

@@ -1,10 +1,12 @@
 import itertools
+import os
 import random
 import re
 
 import numpy as np
 
 from pulseframe.functions.graph import components
+from pulseframe.functions.shared import shared_dir
 from pulseframe.llm import exact, njoin, substrings
 from tests.llm.helpers import frame, rows, words
 
@@ -211,3 +213,17 @@ def test_passages_of_one_word(spark):
     """A chunk may have more words than 16 bits count."""
     got = substrings.repeats(spark.createDataFrame([(i, "ab " * 40_000) for i in (1, 2)], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_words, r.span_start, r.span_end) for r in got] == [(1, 40_000, 0, 120_000), (2, 40_000, 0, 120_000)]
+
+
+def test_drop_copies_writes_no_texts(spark):
+    """Of wholly equal rows one stays, of copies the smallest doc_id; what is written between is ids and digests."""
+    rng = random.Random(6)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(8000)) for _ in range(40)]
+    data = [(i, texts[i % 40], None if i % 3 else "en", "en" if i % 3 else None, "x", "y", "z") for i in range(100)]
+    data += [data[7]] * 3 + [(None, texts[3], "en", "a", "x", "y", "z")] * 2 + [(200 + i, t, "en", "a", "x", "y", "z") for i, t in enumerate([None, "", " "])]
+    top = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    got = sorted(tuple(r) for r in exact.drop_copies(frame(spark, data).repartition(5)).collect())
+    assert got == sorted([*data[:40], (202, " ", "en", "a", "x", "y", "z")])
+    new = [os.path.join(d, f) for x in set(os.listdir(top)) - before for d, _, fs in os.walk(os.path.join(top, x)) for f in fs]
+    assert new and sum(map(os.path.getsize, new)) < sum(len(t.encode()) for t in texts) / 2

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -195,3 +196,11 @@ assert (few == f.fingerprints(short)).all() and [len(x) for x in f.portions(["aa
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     assert int(out.stdout) < 1000
+
+
+def test_toxicity_learns_in_a_task(spark, monkeypatch):
+    """The driver gets weights, not the texts to learn from."""
+    monkeypatch.setattr(toxicity, "fit", lambda docs, y: (np.full(1 << toxicity.BITS, len(docs), np.float32), float(os.getpid())))
+    d = spark.createDataFrame([(i, f"text number {i}") for i in range(60) if not held(i)], "doc_id long, text string")
+    w, pid = toxicity.train(d, d.selectExpr("doc_id", "int(doc_id % 2) AS toxic"))
+    assert pid != os.getpid() and (w.value == d.count()).all()
