@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,13 @@ from pyspark.sql import functions as F
 from pulseframe.llm.common import cut, digits, prefix_sums, small_batches
 
 #: Entries of a worker's cache of words, in two halves: when the younger is full it becomes the older, whose words are forgotten but for those that a later batch used. Memory is bounded.
-CACHE = 200_000
+CACHE = 400_000
 #: Marks after a word that are tokens of their own.
 MARKS = tuple(b".,;:!?"[i : i + 1] for i in range(6))
 #: Words that are encoded at once.
 JOINED = 500
+#: Words with a letter from this on go through the whole tokenizer: below (Latin, Greek, Cyrillic), Python and the tokenizer agree on what letters are.
+BEYOND = "\u0530"
 #: Steps that branch-and-bound may take after its first descent.
 STEPS = 8_000
 
@@ -29,35 +33,44 @@ STEPS = 8_000
 def encoder(path: str):
     """A function from text to its ids as little-endian 32-bit bytes, equal to Tokenizer.encode's without special tokens.
 
-    No token crosses ASCII white space, so texts are encoded word by word, and words are remembered by the worker."""
+    No token crosses ASCII white space, so texts are encoded word by word, and words are remembered by the worker. What the tokenizer does before its merges (NFC, lower case, splits
+    by kind of character) changes nothing in lower-case words of letters, so those go to its merges alone."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the tokenizer's own only take memory
-    from tokenizers import Tokenizer
-
-    kept = sys.modules.setdefault("_pulseframe_words", types.ModuleType("_pulseframe_words"))
-    cache: dict[bytes, bytes] = kept.__dict__.setdefault(path, {})
-    older: dict[bytes, bytes] = kept.__dict__.setdefault(path + "/older", {})
-    tok = kept.__dict__.setdefault(path + "/tokenizer", None) or Tokenizer.from_file(path)
-    kept.__dict__[path + "/tokenizer"] = tok
-    vocabulary = tok.get_vocab(with_added_tokens=True)
-    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    kept = sys.modules.setdefault("_pulseframe_words", types.ModuleType("_pulseframe_words")).__dict__
+    cache: dict[bytes, bytes] = kept.setdefault(path, {})
+    older: dict[bytes, bytes] = kept.setdefault(path + "/older", {})
+    if path + "/tokenizer" not in kept:
+        tok = Tokenizer.from_file(path)
+        merges = Tokenizer(tok.model)
+        merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = tok.get_vocab(with_added_tokens=True)
+        ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        kept[path + "/tokenizer"] = tok, merges, ends_word
+    tok, merges, ends_word = kept[path + "/tokenizer"]
 
     def learn(words: set[bytes]) -> None:
         # a mark after a letter or digit is a token of its own: a word is encoded once for all marks after it
         ends = {w: w[:-1] for w in words if w.endswith(MARKS) and w[-2:-1].isalnum()}
         plain = [w for w in {*(words - ends.keys()), *ends.values(), *(w[-1:] for w in ends)} if w not in cache]
         # a word of letters gives one token that ends a word, its last: many such words are encoded at once and told apart
-        runs = [w for w, t in zip(plain, b" ".join(plain).decode().split(" "), strict=True) if t.isalpha()] if plain else []
-        rest = set(plain)
-        for at in range(0, len(runs), JOINED):
-            some = runs[at : at + JOINED]
-            ids = np.array(tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(ends_word[ids]) + 1
-            if len(stops) == len(some):
-                packed, stops = ids.tobytes(), (4 * stops).tolist()
-                cache.update(zip(some, [packed[i:j] for i, j in zip([0, *stops], stops)], strict=True))
-                rest.difference_update(some)
-        rest = list(rest)
+        read = b" ".join(plain).decode().split(" ") if plain else []
+        letters = list(map(str.isalpha, read))
+        easy = [a and (t.isascii() and t.islower() or max(t) < BEYOND and t == t.lower() and is_normalized("NFC", t)) for a, t in zip(letters, read, strict=True)]
+        rest = [w for w, a in zip(plain, letters, strict=True) if not a]
+        for by, which in ((merges, easy), (tok, list(map(operator.gt, letters, easy)))):
+            runs, said = list(itertools.compress(plain, which)), list(itertools.compress(read, which))
+            for at in range(0, len(runs), JOINED):
+                some = runs[at : at + JOINED]
+                ids = np.array(by.encode_batch_fast([" ".join(said[at : at + JOINED])], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(ends_word[ids]) + 1
+                if len(stops) == len(some):
+                    packed, stops = ids.tobytes(), (4 * stops).tolist()
+                    cache.update(zip(some, [packed[i:j] for i, j in zip([0, *stops], stops)], strict=True))
+                else:
+                    rest += some
         for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, base in ends.items():
@@ -74,9 +87,9 @@ def encoder(path: str):
             older.update(cache)
             cache.clear()
         if new := set().union(*split).difference(cache):
-            if known := new.intersection(older):
+            if known := [w for w in new if w in older]:
                 cache.update(zip(known, map(older.__getitem__, known), strict=True))
-                new -= known
+                new.difference_update(known)
             learn(new)
         get = cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import duckdb
@@ -252,3 +253,24 @@ def test_words_in_use_stay_in_the_cache(monkeypatch):
         assert encode([f"the common word {' '.join(f'x{i}y{j}' for j in range(30))}", "the common word"])[1:] == want
         assert sum(map(len, halves)) <= packing.CACHE + 2 * 40
     assert taught == 0
+
+
+def test_plain_words_go_to_the_merges_alone(monkeypatch):
+    """Lower-case words of letters don't go through the whole tokenizer, and get its ids."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefghijzäßéøłžσςцщїѓ") for _ in range(rng.randrange(1, 15))) for _ in range(3000)]
+    odd = ["e\u0301t\xe9", "\u01c6\u01c5", "\u0374a", "\u1e9e", "It's", "\u0130x", "ﬁn", "\u10d0\u1c90", "a\u0345", "\u2126", "x\u02b9"]
+    t = Tokenizer.from_file(PATH)
+    for x in [" ".join(plain), " ".join(odd), "<|x ÉTÉ Abc", *odd]:
+        assert np.frombuffer(packing.encoder(PATH)([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x[:50]
+    kept = sys.modules["_pulseframe_words"].__dict__
+
+    class Whole:
+        def encode_batch_fast(self, words, add_special_tokens):
+            assert not words
+            return []
+
+    for k in (PATH, PATH + "/older"):
+        monkeypatch.setitem(kept, k, {})
+    monkeypatch.setitem(kept, PATH + "/tokenizer", (Whole(), *kept[PATH + "/tokenizer"][1:]))
+    packing.encoder(PATH)([" ".join(plain)])
