@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm.common import small_batches, tasks
-from pulseframe.llm.text import BASE, codes, mix, word_hashes
+from pulseframe.llm.text import BASE, codes, mix, remembered, word_hashes
 
 #: Samples in a fingerprint; each is kept as 16 bits, four hexadecimal digits.
 SLOTS = 64
 #: Texts that are sampled at once, and their characters: fewer texts if they are long, one at least.
 CHUNK, CHUNK_CHARS = 96, 1_000_000
-#: Terms whose samples are drawn at once.
-TERMS = 4096
+#: Terms whose samples are drawn at once, terms of texts that are looked at in one go, and terms whose samples a worker remembers (32 MB).
+TERMS, BLOCK, KNOWN = 512, 16_384, 1 << 16
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +54,8 @@ def _uniform(h: np.ndarray) -> list[np.ndarray]:
     x, y = (mix(h[:, None] ^ s[None, :]) for s in (salt[:SLOTS], salt[SLOTS:]))
     low, some = np.uint64(0xFFFFFF), np.uint64(16)
     parts = [x >> np.uint64(40), (x >> some) & low, y >> np.uint64(40), (y >> some) & low, ((x & np.uint64(0xFFFF)) << np.uint64(8)) | (y & np.uint64(0xFF))]
-    return [(p.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for p in parts]
+    # numbers of 24 bits are the same by way of 32-bit integers, whose casts are quick
+    return [(p.astype(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for p in parts]
 
 
 def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,33 +69,46 @@ def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(-np.log(u[2] * u[3])) - r * (t - b + 1), t
 
 
+def drawn(key: np.ndarray, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each weighted term (key: of term and weight) and slot one number: the smallest of a text's is its sample. From above: what orders arrivals (32 bits), the key (16, for
+    arrivals that are equal), and the sample (16), which stands for (term, level)."""
+    out = np.empty((len(h), SLOTS), np.uint64)
+    for a in range(0, len(h), TERMS):
+        some = slice(a, a + TERMS)
+        arrival, level = sample(h[some], weight[some])
+        sign = h[some][:, None] + level.astype(np.int64).astype(np.uint64) * BASE + np.arange(SLOTS, dtype=np.uint64)
+        bits = arrival.view(np.int32)
+        order = np.where(bits < 0, ~bits, bits ^ np.int32(-(1 << 31))).view(np.uint32).astype(np.uint64)
+        out[some] = order << np.uint64(32) | (key[some] >> np.uint64(48) << np.uint64(16))[:, None] | mix(sign) >> np.uint64(48)
+    return out
+
+
+def known(key: np.ndarray, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """drawn, with what the worker remembers: texts share most of their terms. A term has one place in a table of KNOWN, where it replaces the one before it."""
+    keys, rows = remembered("drawn", lambda: (np.arange(KNOWN, dtype=np.uint64) ^ np.uint64(1), np.zeros((KNOWN, SLOTS), np.uint64)))  # a place never fits its first key
+    at = (key & np.uint64(KNOWN - 1)).astype(np.int64)
+    out, new = rows[at], np.flatnonzero(keys[at] != key)
+    out[new] = drawn(key[new], h[new], weight[new])
+    places, first = np.unique(at[new], return_index=True)
+    keys[places], rows[places] = key[new[first]], out[new[first]]
+    return out
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """One row of SLOTS 16-bit samples a text. Terms are sampled TERMS at a time; each text keeps what has arrived first so far, so memory does not grow with its vocabulary but for the terms themselves."""
+    """One row of SLOTS 16-bit samples a text. Terms are sampled BLOCK at a time; each text keeps what has arrived first so far, so memory does not grow with its vocabulary but for the terms themselves."""
     owner, h, weight = terms(texts)
     # terms that several texts share with one weight are sampled once
-    _, some, which = np.unique(mix(h) ^ mix(weight.astype(np.uint64)), return_index=True, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    owner, which = owner[order], which[order]
-    slots = np.arange(SLOTS)
-    first, drawn = np.full((len(texts), SLOTS), np.inf, np.float32), np.zeros((len(texts), SLOTS), np.uint64)
-    for a in range(0, len(some), TERMS):
-        mine = some[a : a + TERMS]
-        arrival, level = sample(h[mine], weight[mine])
-        # what stands for (term, level)
-        sign = h[mine][:, None] + level.astype(np.int64).astype(np.uint64) * BASE + slots.astype(np.uint64)
-        i, j = np.searchsorted(which, (a, a + TERMS))
-        texts_here, kinds = owner[i:j], which[i:j] - a
-        by_text = np.argsort(texts_here, kind="stable")
-        texts_here, kinds = texts_here[by_text], kinds[by_text]
+    key, some, which = np.unique(mix(h) ^ mix(weight.astype(np.uint64)), return_index=True, return_inverse=True)
+    first = np.full((len(texts), SLOTS), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(some), BLOCK):
+        mine = some[a : a + BLOCK]
+        here = known(key[a : a + BLOCK], h[mine], weight[mine])
+        inside = np.flatnonzero((which >= a) & (which < a + BLOCK))
+        kinds, texts_here = which[inside] - a, owner[inside]
         at = np.flatnonzero(np.append(True, np.diff(texts_here) > 0))
-        for k, (b, e) in enumerate(zip(at, np.append(at[1:], len(kinds)), strict=True)):
-            t, ks = texts_here[at[k]], kinds[b:e]
-            best = ks[arrival[ks].argmin(0)]
-            soon = arrival[best, slots]
-            sooner = soon < first[t]
-            first[t] = np.where(sooner, soon, first[t])
-            drawn[t] = np.where(sooner, sign[best, slots], drawn[t])
-    return (mix(drawn) >> np.uint64(48)).astype(np.uint16)
+        for t, b, e in zip(texts_here[at].tolist(), at.tolist(), [*at[1:].tolist(), len(kinds)], strict=True):
+            np.minimum(first[t], here[kinds[b:e]].min(0), out=first[t])
+    return (first & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def portions(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:

@@ -274,3 +274,17 @@ def test_plain_words_go_to_the_merges_alone(monkeypatch):
         monkeypatch.setitem(kept, k, {})
     monkeypatch.setitem(kept, PATH + "/tokenizer", (Whole(), *kept[PATH + "/tokenizer"][1:]))
     packing.encoder(PATH)([" ".join(plain)])
+
+
+def test_terms_are_sampled_once_a_worker(monkeypatch):
+    rng = random.Random(9)
+    texts = [words(rng, rng.randrange(1, 300), 2000) for _ in range(60)] + ["", "one"]
+    drawn, plain = [], fingerprints.sample
+    monkeypatch.setattr(fingerprints, "sample", lambda h, w: drawn.append(len(h)) or plain(h, w))
+    first = fingerprints.fingerprints(texts)
+    once = sum(drawn)
+    assert (fingerprints.fingerprints(texts) == first).all() and (np.concatenate([fingerprints.fingerprints([t]) for t in texts]) == first).all()
+    assert sum(drawn) - once < once / 2
+    monkeypatch.setattr(fingerprints, "known", fingerprints.drawn)
+    monkeypatch.setattr(fingerprints, "BLOCK", 7)
+    assert (fingerprints.fingerprints(texts) == first).all()
