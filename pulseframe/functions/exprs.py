@@ -58,7 +58,10 @@ def sum_of(xs: Column) -> Column:
 
 def median_of(xs: Column) -> Column:
     """Median of an array (0 if empty): the mean of the two middle values for an even number."""
-    s = F.array_sort(xs)
-    n = F.size(s)
-    low, high = F.get(s, F.floor((n - 1) / F.lit(2)).cast("int")), F.get(s, F.floor(n / F.lit(2)).cast("int"))
-    return F.when(n == 0, 0.0).otherwise((low + high) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        low, high = F.get(s, F.floor((n - 1) / F.lit(2)).cast("int")), F.get(s, F.floor(n / F.lit(2)).cast("int"))
+        return F.when(n == 0, 0.0).otherwise((low + high) / 2)
+
+    return F.transform(F.array(F.array_sort(xs)), middle)[0]  # as an array of one, so that it is sorted once

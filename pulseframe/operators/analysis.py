@@ -11,12 +11,9 @@ from pulseframe.functions.exprs import median_of, sum_of
 from pulseframe.functions.shared import cut
 from pulseframe.kernels import bridge
 from pulseframe.operators import conclusion, findings, measure, order, rhythm, views
-from pulseframe.operators.measure import place, pq_level
+from pulseframe.operators.measure import place
 from pulseframe.plans import constants as C
 
-AREA_LEADS = {"i": "I", "f": "aVF"}
-
-
 @dataclass
 class Case:
     """What analyze finds, a table each; case_id in all. beats: one row a beat with marks, flags and features. report: one row a case, with the text."""
@@ -32,92 +29,57 @@ class Case:
     report: DataFrame
 
 
-def _at(mv: Column, i: Column) -> Column:
-    """The sample at a place, edges repeated."""
-    return F.get(mv, F.greatest(F.lit(0), F.least(F.size(mv) - 1, i)))
-
-
-def _touches(bad: Column, a: Column, b: Column) -> Column:
-    return F.exists(F.coalesce(bad, F.array().cast("array<struct<i0:int,i1:int,kind:string>>")), lambda u: (u["kind"] != "ambiguous") & (u["i0"] <= b) & (u["i1"] >= a))
-
-
-def page_leads(signals: DataFrame) -> DataFrame:
-    """One row a page: the signals that its beats are measured in (ii, i, f: mv, bad, sure), the reference lead and its signal, n_leads and n_reliable. signals: page, lead, position, confidence, mv, bad."""
-    s = signals.withColumn("_c", F.coalesce("confidence", F.lit(1.0))).withColumn("_n", F.size("mv"))
-    s = s.withColumn("_one", F.struct(F.col("mv").cast("array<double>").alias("mv"), F.col("bad").alias("bad"), ((F.col("_c") >= C.RELIABLE) & (F.col("_n") > 0)).alias("sure"), F.col("_c").alias("confidence")))
-    ok = (F.col("_n") > 0) & (F.col("_c") > 0)
-    first = F.struct((F.col("lead") == "II") & (F.col("_c") >= C.RELIABLE), "_c", -F.col("position"))
-    pick = lambda lead: F.first(F.when(F.col("lead") == lead, F.col("_one")), ignorenulls=True)
-    g = s.groupBy("page").agg(
-        pick("II").alias("ii"), *[pick(lead).alias(k) for k, lead in AREA_LEADS.items()], F.max_by(F.when(ok, F.col("lead")), F.when(ok, first)).alias("ref_lead"), F.max_by(F.when(ok, F.col("mv")), F.when(ok, first)).cast("array<double>").alias("ref_mv"),
-        F.max("_n").alias("n_samples"), F.count(F.lit(1)).alias("n_leads"), F.count_if(F.col("_one.sure")).alias("n_reliable"),
-    )
-    return g.withColumn("ii_confidence", F.when(F.size("ii.mv") > 0, F.col("ii.confidence")).otherwise(0.0)).withColumn("leads_reliable", F.coalesce(F.col("i.sure") & F.col("f.sure"), F.lit(False)))
-
-
-def qrs_area(mv: Column, bad: Column, sure: Column, centre_ms: Column, half_ms: Column) -> Column:
-    """The net area (mV ms) of a beat's QRS in a lead over the PQ level; without usable marks, over a window of 2 half_ms around its peak and the median around that. Null in a lead that isn't reliable,
-    without a window, or beside an unreliable stretch."""
-    n = F.size(mv)
-    centre, half = place(centre_ms), place(half_ms)
-    a = F.greatest(F.lit(0), F.when(F.col("usable"), place(F.col("q_on"))).otherwise(centre - half))
-    b = F.least(n - 1, F.when(F.col("usable"), place(F.col("s_off"))).otherwise(centre + half))
-    around = F.slice(mv, F.greatest(F.lit(0), a - 2 * (b - a)) + 1, F.least(n - 1, b + 2 * (b - a)) - F.greatest(F.lit(0), a - 2 * (b - a)) + 1)
-    base = F.when(F.col("usable"), pq_level(mv, a)).otherwise(median_of(around))
-    area = (sum_of(F.slice(mv, a + 1, b - a + 1)) - (b - a + 1) * base) * (1000 / C.HZ)
-    return F.when(F.coalesce(sure, F.lit(False)) & (b > a), F.when(~_touches(bad, a, b), area))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Pearson's correlation of two arrays of the same length, 0 if one doesn't vary."""
     n = F.size(a)
-    am, bm = sum_of(a) / n, sum_of(b) / n
-    s = F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.struct((x - am).alias("x"), (y - bm).alias("y"))), F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")),
+    sums = lambda m: F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.struct((x - m["a"]).alias("x"), (y - m["b"]).alias("y"))), F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")),
         lambda t, p: F.struct((t["xy"] + p["x"] * p["y"]).alias("xy"), (t["xx"] + p["x"] * p["x"]).alias("xx"), (t["yy"] + p["y"] * p["y"]).alias("yy")),
     )
-    return F.transform(F.array(s), lambda t: F.when((t["xx"] > 0) & (t["yy"] > 0), t["xy"] / F.sqrt(t["xx"] * t["yy"])).otherwise(0.0))[0]
-
+    means = F.struct((sum_of(a) / n).alias("a"), (sum_of(b) / n).alias("b"))
+    s = F.transform(F.array(means), sums)  # as an array of one, so that means are taken once and not for each element
+    return F.transform(s, lambda t: F.when((t["xx"] > 0) & (t["yy"] > 0), t["xy"] / F.sqrt(t["xx"] * t["yy"])).otherwise(0.0))[0]
 
-def featured(beats: DataFrame, leads: DataFrame) -> DataFrame:
-    """beats (flagged, with species and lead_ms) with area_i, area_f and rho, the likeness to the median of the page's usual beats in the reference lead (null for fewer than three).
 
-    A beat meets its page's samples by a join on the page; what goes on is a window of them or a number. A page's windows are a few dozen samples a beat."""
+def featured(beats: DataFrame, windows: DataFrame) -> DataFrame:
+    """beats (flagged, with species) with rho, the likeness to the median of the page's usual beats in the reference lead (null for fewer than three). windows: page, beat_id, wide (bridge.read_pages)."""
     half = findings.template_half(beats, F.col("species")).withColumn("half", F.greatest(F.lit(1), place(F.col("half_ms")))).select("page", "half")
-    j = beats.join(leads.select("page", "ref_lead", "ref_mv", *AREA_LEADS), "page").join(half, "page")
-    wide = rhythm.limit(F.col("species"), "sure_wide_s") * 1000
-    areas = {f"area_{k}": qrs_area(F.col(f"{k}.mv"), F.col(f"{k}.bad"), F.col(f"{k}.sure"), F.coalesce(F.col("lead_ms")[lead], F.col("t_ms")), wide) for k, lead in AREA_LEADS.items()}
-    centre = place(F.col("lead_ms")[F.col("ref_lead")])
-    window = F.when(centre.isNotNull(), F.transform(F.sequence(-F.col("half"), F.col("half")), lambda k: _at(F.col("ref_mv"), centre + k)))
-    j = cut(j.withColumns(areas | {"window": window}).drop("ref_lead", "ref_mv", "half", *AREA_LEADS), "features")
+    middle = F.floor(F.size("wide") / F.lit(2)).cast("int")
+    j = beats.join(windows, ["page", "beat_id"]).join(half, "page").withColumn("window", F.when(F.col("wide").isNotNull(), F.slice("wide", middle - F.col("half") + 1, 2 * F.col("half") + 1))).drop("wide", "half")
+    j = cut(j, "features")
     w = j.filter(~F.col("premature") & F.col("window").isNotNull()).groupBy("page").agg(F.collect_list("window").alias("all"))
     w = w.filter(F.size("all") >= C.TEMPLATE_BEATS).withColumn("_k", F.sequence(F.lit(0), F.size(F.col("all")[0]) - 1))
     w = w.select("page", F.transform("_k", lambda k: median_of(F.transform("all", lambda x: F.get(x, k)))).alias("template"))
     return j.join(w, "page", "left").withColumn("rho", F.when(F.col("window").isNotNull() & F.col("template").isNotNull(), likeness(F.col("window"), F.col("template")))).drop("window", "template")
 
 
-def beats_of(pages: DataFrame, sheets: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The case's beats in order, flagged; and the issues of pages whose beats failed. pages: order.offsets'; sheets: with species."""
-    facts = sheets.select("page", "species", "rates", "left_px", (F.col("px_per_mm") * F.col("mm_per_s") / 1000).alias("px_per_ms"), "mv_per_px")
-    given = signals.select("page", "lead", "position", "confidence", "mv", "bad").join(pages.select("page"), "page", "left_semi").join(facts, "page")
-    found = cut(bridge.page_beats(given), "beats")
-    bad = found.filter("issue IS NOT NULL").join(pages.select("case_id", "page"), "page").select("case_id", "page", "issue")
-    leads = page_leads(signals).select("page", "ii_confidence", "leads_reliable")
+def facts(sheets: DataFrame, settings: DataFrame) -> DataFrame:
+    """What finding a page's beats needs of its sheet and case: page, species, rates, left_px, px_per_ms, mv_per_px."""
+    s = sheets.join(settings.select("case_id", "species"), "case_id")
+    return s.select("page", "species", "rates", "left_px", (F.col("px_per_mm") * F.col("mm_per_s") / 1000).alias("px_per_ms"), "mv_per_px")
+
+
+def beats_of(pages: DataFrame, sheets: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The case's beats in order, flagged, with area_i and area_f; and the issues of pages whose beats failed. pages: order.offsets'; sheets: with species; read: bridge.read_pages'."""
+    bad = read.filter("issue IS NOT NULL").select("page", "issue").join(pages.select("case_id", "page"), "page").select("case_id", "page", "issue")
     at = pages.select("case_id", "page", "page_no", "offset_ms").join(sheets.select("page", "species", "mv_per_px", "ms_per_px"), "page")
-    b = found.filter("issue IS NULL").drop("issue").withColumnRenamed("beat_index", "beat_id").join(leads, "page").join(at, "page")
+    found = read.select("page", "ii_confidence", "leads_reliable", F.explode("beats").alias("b")).select("page", "ii_confidence", "leads_reliable", "b.*").drop("wide")
+    b = found.withColumnRenamed("beat_index", "beat_id").join(at, "page")
     b = findings.flagged(b, F.col("species"))
+    areas = {f"area_{k}": F.when(F.col("usable"), F.col(f"area_{k}_marked")).otherwise(F.col(f"area_{k}_around")) for k in bridge.AREA_LEADS}
+    b = b.withColumns(areas).drop(*[f"{a}_{how}" for a in areas for how in ("marked", "around")])
     b = b.withColumn("rr_ii_ms", F.col("t_ii_ms") - F.lag("t_ii_ms").over(rhythm.by_page())).withColumn("at_ms", F.col("offset_ms") + F.col("t_ms"))
     case = rhythm.whole_case().orderBy("page_no", "t_ms", "beat_id")
     return cut(b.withColumn("global_index", (F.row_number().over(case) - 1).cast("long")), "flagged"), bad
 
 
 def values(beats: DataFrame, leads: DataFrame, cases: DataFrame, shifts: DataFrame | None = None) -> DataFrame:
-    """measure.measured of the beats fit for it, with species and size. cases: case_id, species, size; shifts: page, shift_mv of a baseline drawn by hand."""
+    """measure.measured of the beats fit for it, with species and size. leads: page, ii_mv, ii_bad; cases: case_id, species, size; shifts: page, shift_mv of a baseline drawn by hand."""
     fit = findings.measurement_beats(beats)
     fit = fit.withColumn("next_q_on", F.lead("q_on").over(rhythm.by_page()))
     n = fit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_selected"))
     x = fit.withColumnRenamed("global_index", "beat").withColumn("beat_confidence", F.col("confidence"))
-    x = x.join(leads.select("page", F.col("ii.mv").alias("mv"), F.coalesce(F.filter("ii.bad", lambda u: u["kind"] != "ambiguous"), F.array().cast("array<struct<i0:int,i1:int,kind:string>>")).alias("bad")), "page")
+    x = x.join(leads.select("page", F.col("ii_mv").alias("mv"), F.col("ii_bad").alias("bad")), "page")
     x = x.join(shifts.select("page", "shift_mv"), "page", "left") if shifts is not None else x.withColumn("shift_mv", F.lit(0.0))
     samples = measure.sampled(x, F.col("species"))
     why = cases.join(n, "case_id", "left").join(findings.empty_reason(beats).withColumnRenamed("reason", "_why"), "case_id", "left")
@@ -132,21 +94,26 @@ def analyze(sheets: DataFrame, signals: DataFrame, settings: DataFrame, shifts:
     confidence, mv, bad. Copies, repeated stretches and other animals' sheets don't count (other animals do where together is set). Beats are found page by page; flags, findings and values are
     windows and sums over a case. A page whose beats fail gives an issue; a case without sheets, signals or beats gets a text that says so.
 
-    Samples are read three times: for beats, for their features, for their values; what is written between is one row a beat."""
+    All leads' samples are read once, page by page (bridge.read_pages), lead II's once more for values; what is written between is one row a page and one row a beat."""
+    return analyze_pages(sheets, bridge.read_pages(signals.select("page", "lead", "position", "confidence", "mv", "bad").join(facts(sheets, settings), "page")), settings, shifts)
+
+
+def analyze_pages(sheets: DataFrame, read: DataFrame, settings: DataFrame, shifts: DataFrame | None = None) -> Case:
+    """analyze from pages whose samples are read already: bridge.read_pages' rows, made with facts' columns."""
+    read = cut(read, "read")
     case_key = settings.select("case_id", "species", "size", "drugs", "minutes", F.coalesce("together", F.lit(False)).alias("together"))
     s = sheets.join(case_key.select("case_id", "species"), "case_id")
-    n = signals.groupBy("page").agg(F.max(F.size("mv")).alias("n_samples"))
+    n = read.select("page", "n_samples")
     s = cut(order.with_spans(s.drop("n_samples").join(n, "page", "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))), "sheets")
     o = cut(order.ordered(s), "order")
     pages = cut(order.offsets(s, o, case_key.filter("together")), "pages")
-    flagged, failed = beats_of(pages, s, signals)
-    leads = page_leads(signals.join(pages.select("page"), "page", "left_semi"))
-    beats = cut(featured(flagged, leads), "case-beats")
+    flagged, failed = beats_of(pages, s, read)
+    beats = cut(featured(flagged, read.select("page", F.explode("beats").alias("b")).select("page", F.col("b.beat_index").alias("beat_id"), "b.wide")), "case-beats")
     ends = pages.groupBy("case_id").agg(F.max(F.col("offset_ms") + F.col("duration_s") * 1000).alias("end_ms"))
     ect = findings.ectopics(beats, F.col("species"))
     epi = findings.episodes(beats, ect, ends)
     pauses = rhythm.pauses(beats, beats).select("case_id", "page", "beat_id", F.floor(F.col("at_ms") - F.col("rr_ms") + 0.5).cast("double").alias("start_ms"), F.floor(F.col("rr_ms") + 0.5).cast("double").alias("duration_ms"))
-    counted = pages.join(s.select("page", "confidence", "mv_per_px", "ms_per_px"), "page").join(leads.select("page", "n_leads", "n_reliable"), "page", "left").join(o.select("page", "ordered"), "page")
+    counted = pages.join(s.select("page", "confidence", "mv_per_px", "ms_per_px"), "page").join(read.select("page", "n_leads", "n_reliable"), "page", "left").join(o.select("page", "ordered"), "page")
     per = counted.groupBy("case_id").agg(
         F.count(F.lit(1)).cast("int").alias("n_pages"), F.sum("duration_s").alias("seconds"), F.first("covered_ms").alias("covered_ms"), F.max("mv_per_px").alias("mv_per_px"), F.max("ms_per_px").alias("ms_per_px"),
         F.coalesce(F.sum("n_leads"), F.lit(0)).cast("int").alias("n_leads"), F.coalesce(F.sum("n_reliable"), F.lit(0)).cast("int").alias("n_reliable"),
@@ -158,7 +125,7 @@ def analyze(sheets: DataFrame, signals: DataFrame, settings: DataFrame, shifts:
     c = c.withColumn("n_pages", F.coalesce("n_pages", F.lit(0))).withColumn("no_beats_reason", F.when(F.col("n_pages") == 0, "no_pages").otherwise("no_beats"))
     c = c.withColumn("issues", F.concat(F.coalesce("_issues", none), F.when(F.col("together"), none).otherwise(F.coalesce("_other", none)), F.coalesce("_failed", none)))
     c = cut(c.drop("_failed", "_issues"), "cases")
-    m = cut(values(beats, leads, c, shifts), "values")
+    m = cut(values(beats, read, c, shifts), "values")
     hr = findings.heart_rate(beats)
     known = c.select("case_id", "species", "size", "no_beats_reason", "n_pages").join(beats.groupBy("case_id").agg(F.count(F.lit(1)).cast("int").alias("n_beats")), "case_id", "left")
     rates = known.join(hr, "case_id", "left").select(

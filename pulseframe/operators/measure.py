@@ -13,9 +13,8 @@ from pulseframe.operators import rhythm
 from pulseframe.operators.conclusion import lookup
 from pulseframe.plans import constants as C
 
-#: Units by key; the PQ segment before the QRS onset (ms).
+#: Units by key.
 UNITS = {"hrMean": "bpm", "hrMin": "bpm", "hrMax": "bpm", "pDuration": "s", "pAmplitude": "mV", "pq": "s", "q": "mV", "qrs": "s", "r": "mV", "s": "mV", "qt": "s", "qtc": "s", "t": "mV", "st": "mV"}
-PQ_FROM, PQ_TO = 16.0, 4.0
 WAVES = ("pDuration", "pAmplitude", "pq", "q", "qrs", "r", "s", "qt", "qtc", "t", "st")
 
 
@@ -32,7 +31,7 @@ def _clipped(mv: Column, a: Column, b: Column) -> Column:
 
 def pq_level(mv: Column, onset: Column) -> Column:
     """The median of the samples just before a QRS onset (a place); the onset's own sample without any."""
-    before = _clipped(mv, onset - place(F.lit(PQ_FROM)), onset - place(F.lit(PQ_TO)))
+    before = _clipped(mv, onset - place(F.lit(C.PQ_FROM)), onset - place(F.lit(C.PQ_TO)))
     return F.when(F.size(before) > 0, median_of(before)).otherwise(F.get(mv, F.greatest(F.lit(0), onset)))
 
 
@@ -46,7 +45,7 @@ def sampled(beats: DataFrame, species: str | Column = "dog") -> DataFrame:
     mv, n = F.col("mv"), F.size("mv")
     b = beats.withColumn("_q", F.greatest(F.lit(0), place(F.col("q_on")))).withColumn("_s", F.least(n - 1, place(F.col("s_off")))).filter("_s > _q")
     shift = F.coalesce("shift_mv", F.lit(0.0))
-    middle = (PQ_FROM + PQ_TO) / 2 * C.HZ / 1000
+    middle = (C.PQ_FROM + C.PQ_TO) / 2 * C.HZ / 1000
     nq = F.greatest(F.lit(0), place(F.col("next_q_on")))
     b = b.withColumns({
         "_base": pq_level(mv, F.col("_q")) - shift, "_at": F.col("_q") - middle, "_next": F.when(F.col("next_q_on").isNotNull(), pq_level(mv, nq) - shift), "_next_at": nq - middle,

@@ -267,11 +267,11 @@ def case_sheet_order(spark, sf):
 @query()
 def analyzed_cases(spark, sf):
     """Whole cases, from the pages that events draw to the text of the conclusion: every beat and mark comes from the signals, every finding and value from those."""
-    sheets, signals = cut(waves.sheets(spark, sf), "sheets"), cut(waves.signals(waves.page_beats(spark, sf)), "signals")
+    sheets = cut(waves.sheets(spark, sf), "sheets")
     k = F.col("case_id")
     settings = sheets.select("case_id").distinct().select(
         "case_id", F.when(k % 3 == 2, "cat").otherwise("dog").alias("species"), F.when(k % 2 == 0, "small").otherwise("large").alias("size"), F.when(k % 4 == 0, "atenolol").alias("drugs"), F.when(k % 6 == 0, 5.0).alias("minutes"), (k % 7 == 0).alias("together"),
     )
-    r = analysis.analyze(sheets, signals, settings).report
+    r = analysis.analyze_pages(sheets, waves.pages(waves.page_beats(spark, sf), analysis.facts(sheets, settings)), settings).report
     rounded = {"confidence": F.round("confidence", 6), "hr_mean": F.round("hr_mean", 6), "covered_ms": F.round("covered_ms", 3), "issues": F.array_join("issues", ","), "flags": F.array_join("flags", ","), "reasons": F.array_join("reasons", ",")}
     return r.withColumns(rounded)

@@ -1,6 +1,8 @@
 """What only larger tables show: ties, halves, joins that must not be broadcast, signals that must not be shuffled."""
 
 import duckdb
+import numpy as np
+import pytest
 
 from pulseframe.plans.catalog import QUERIES, SQL
 
@@ -48,3 +50,41 @@ def test_samples_stay_in_their_task(spark):
         assert plan.count("InArrow") == 1 and "gray" not in plan and (name == "trace_sheets" or "mv" not in plan), name
     tasks = QUERIES["trace_sheets"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > spark.sparkContext.defaultParallelism / 2
+
+
+def test_samples_of_cases_are_read_once(spark, monkeypatch):
+    """Drawing pages, finding beats and all that needs every lead is one pass: samples of all leads are not written, and only one table comes from a kernel."""
+    from pulseframe.operators import analysis
+    from pulseframe.plans import case_queries
+
+    class Seen(Exception):
+        pass
+
+    plans, write = {}, analysis.cut
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        if name == "features":
+            raise Seen
+        return write(df, name)
+
+    for module in (analysis, case_queries):
+        monkeypatch.setattr(module, "cut", watched)
+    with pytest.raises(Seen):
+        QUERIES["analyzed_cases"](spark, "/root/testdata/sf0.001")
+    assert sum(p.count("InArrow") for p in plans.values()) == 1 and all("mv" not in p.replace("ii_mv", "").replace("mv_per_px", "") for p in plans.values())
+
+
+def test_means_of_likeness_are_taken_once(spark):
+    """Correlation of long windows is linear in their length, and sorts of a median are not repeated."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pulseframe.operators.analysis import likeness
+
+    n = 6000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (k * 37 % 101).cast("double")).alias("a"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (k * 53 % 97 + k % 7).cast("double")).alias("b"))
+    began = time.time()
+    a, b, r = df.select("a", "b", likeness(F.col("a"), F.col("b"))).first()
+    assert time.time() - began < 8 and abs(r - np.corrcoef(a, b)[0, 1]) < 1e-9
