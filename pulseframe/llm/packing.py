@@ -20,8 +20,8 @@ from pulseframe.llm.common import cut, digits, prefix_sums, small_batches
 
 #: Entries of a worker's cache of words, in two halves: when the younger is full it becomes the older, whose words are forgotten but for those that a later batch used. Memory is bounded.
 CACHE = 400_000
-#: Marks after a word that are tokens of their own.
-MARKS = tuple(b".,;:!?"[i : i + 1] for i in range(6))
+#: Marks; those after a word's last letter or digit are read apart from it by the tokenizer, together.
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 #: Words that are encoded at once.
 JOINED = 500
 #: Words with a letter from this on go through the whole tokenizer: below (Latin, Greek, Cyrillic), Python and the tokenizer agree on what letters are.
@@ -51,10 +51,17 @@ def encoder(path: str):
         kept[path + "/tokenizer"] = tok, merges, ends_word
     tok, merges, ends_word = kept[path + "/tokenizer"]
 
+    def apart(w: bytes, base: bytes) -> bool:
+        """True if the tokenizer reads the marks after base apart from it: it ends in a letter or digit, also in lower case, and neither is part of a special token."""
+        if not base or b"<|" in w:
+            return False
+        return base[-1:].isalnum() if base[-1] < 128 else (c := base.decode()[-1]) < BEYOND and c.lower().isalpha()
+
     def learn(words: set[bytes]) -> None:
-        # a mark after a letter or digit is a token of its own: a word is encoded once for all marks after it
-        ends = {w: w[:-1] for w in words if w.endswith(MARKS) and w[-2:-1].isalnum()}
-        plain = [w for w in {*(words - ends.keys()), *ends.values(), *(w[-1:] for w in ends)} if w not in cache]
+        ends = {w: base for w in words if len(base := w.rstrip(MARKS)) < len(w) and apart(w, base)}
+        plain = words.difference(ends)
+        plain.update({*ends.values(), *(w[len(base) :] for w, base in ends.items())}.difference(cache))
+        plain = list(plain)
         # a word of letters gives one token that ends a word, its last: many such words are encoded at once and told apart
         read = b" ".join(plain).decode().split(" ") if plain else []
         letters = list(map(str.isalpha, read))
@@ -74,7 +81,7 @@ def encoder(path: str):
         for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, base in ends.items():
-            cache[w] = cache[base] + cache[w[-1:]]
+            cache[w] = cache[base] + cache[w[len(base) :]]
 
     def encode(texts: list[str | None]) -> list[bytes]:
         split = []

@@ -276,6 +276,30 @@ def test_plain_words_go_to_the_merges_alone(monkeypatch):
     packing.encoder(PATH)([" ".join(plain)])
 
 
+def test_marks_after_a_word_are_read_apart(monkeypatch):
+    """Words with any run of marks behind them get the tokenizer's ids, and only the marks go through the whole tokenizer, once for all words."""
+    rng = random.Random(10)
+    marks = ["".join(rng.choice(packing.MARKS.decode()) for _ in range(rng.randrange(1, 5))) for _ in range(300)] + [".", ",***", "'s", "'", "'re!", "$$$"]
+    bases = ["haes", "ré", "слово", "it's", "x-y", "7", "a1", "\u0130", "x\u0130", "e\u0301", "\u0345", "a\u0345", "\u10d0", "½", "٣", "☃", "a☃", "\x01", "don't", "<|endoftext", "<|startoftext|>", "ÀB", "\u01c5", "\u0374", "", "'", "ﬁ"]
+    t = Tokenizer.from_file(PATH)
+    for base in bases:
+        for x in [base + m for m in marks] + [m + base for m in marks[:60]] + [" ".join(base + m for m in marks)]:
+            assert np.frombuffer(packing.encoder(PATH)([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x[:50]
+    kept = sys.modules["_pulseframe_words"].__dict__
+    seen, (whole, *others) = [], kept[PATH + "/tokenizer"]
+
+    class Whole:
+        def encode_batch_fast(self, words, add_special_tokens):
+            seen.extend(words)
+            return whole.encode_batch_fast(words, add_special_tokens=add_special_tokens)
+
+    for k in (PATH, PATH + "/older"):
+        monkeypatch.setitem(kept, k, {})
+    monkeypatch.setitem(kept, PATH + "/tokenizer", (Whole(), *others))
+    packing.encoder(PATH)([" ".join(b + m for b in ("haes", "ré", "слово") for m in ("!!", ".***", "$$$"))])
+    assert sorted(seen) == ["!!", "$$$", ".***"]
+
+
 def test_terms_are_sampled_once_a_worker(monkeypatch):
     rng = random.Random(9)
     texts = [words(rng, rng.randrange(1, 300), 2000) for _ in range(60)] + ["", "one"]
