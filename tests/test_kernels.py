@@ -72,6 +72,26 @@ def test_pages(spark):
     assert {r.issue for r in bridge.page_beats(bad).collect()} == {"exception:beats:KeyError:'horse'"}
 
 
+def test_a_failed_page_says_so(spark, monkeypatch):
+    """A page or sheet that fails is told from a result in every query, and a lack of memory is no page's issue."""
+    from pulseframe.plans.catalog import QUERIES
+
+    bad = pages(spark, 2).withColumn("species", bridge.F.when(bridge.F.col("page") == 1, "horse").otherwise(bridge.F.col("species")))
+    monkeypatch.setattr(waves, "beats_on_pages", lambda *_: bridge.page_beats(bad))
+    failed = "exception:beats:KeyError:'horse'"
+    assert {(r.page, r.issue) for r in QUERIES["delineate_beats"](spark, "").collect()} == {(0, None), (1, failed)}
+    assert [(r.page, r.n_beats > 0, r.issue) for r in QUERIES["page_measurements"](spark, "").orderBy("page").collect()] == [(0, True, None), (1, False, failed)]
+    sheet_of = bridge.pa.table({"page": [7], "species": ["dog"], "width": [9], "height": [9], "gray": [b"12345"]})
+    assert bridge.beats_of(bridge.signals_of(sheet_of))["issue"][0].as_py().startswith("exception:ValueError")
+
+    def no_memory(*_):
+        raise MemoryError
+
+    monkeypatch.setattr(bridge, "_beats_of_page", no_memory)
+    with pytest.raises(MemoryError):
+        bridge.beats_of(bridge.pa.table({"page": [1], "lead": ["II"], "species": ["dog"], "confidence": [1.0], "mv": [[0.0]]}))
+
+
 @pytest.mark.parametrize("name", sorted(ROWS))
 def test_rhythm_from_rates(spark, name):
     rates, early, pauses = ROWS[name]
