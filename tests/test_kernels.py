@@ -87,11 +87,48 @@ def test_a_failed_page_says_so(spark, monkeypatch):
     def no_memory(*_):
         raise MemoryError
 
-    monkeypatch.setattr(bridge, "_beats_of_page", no_memory)
+    monkeypatch.setattr(bridge, "_beats_together", no_memory)
     with pytest.raises(MemoryError):
         bridge.beats_of(bridge.pa.table({"page": [1], "lead": ["II"], "species": ["dog"], "confidence": [1.0], "mv": [[0.0]]}))
 
 
+def drawn_pages(n):
+    """n pages' beats as page_beats gives them, of one to eight beats each."""
+    rows = [{"case_id": p // 5, "page": p, "page_no": p % 5, "i": i, "at_ms": 320.0 + 490 * i + p % 7, "kind": ("plain", "plain", "wide", "no_p")[(p + i) % 4], "size": 0.8 + i / 20} for p in range(n) for i in range(8 if p % 6 else 1 + p % 8)]
+    return bridge.pa.Table.from_pylist(rows, bridge.pa.schema([("case_id", "int64"), ("page", "int64"), ("page_no", "int32"), ("i", "int32"), ("at_ms", "float64"), ("kind", "string"), ("size", "float64")]))
+
+
+def test_pages_together_are_pages_alone():
+    """Pages that are drawn, filtered and searched together have the beats and marks that each has alone; one that fails takes no other with it."""
+    t = drawn_pages(40)
+    together = [leads for pages in waves.drawn(t) for leads in pages]
+    alone = {p: next(waves.drawn(t.filter(bridge.pa.compute.equal(t["page"], p))))[0] for p in range(40)}
+    assert len(together) == 40 and all(np.allclose(a["mv"], b["mv"], atol=1e-6) for leads in together for a, b in zip(leads, alone[leads[0]["page"]], strict=True))
+    got = {p: [r for r in bridge.beats_table(together).to_pylist() if r["page"] == p] for p in range(40)}
+    for p, leads in alone.items():
+        want = bridge.beats_table([leads]).to_pylist()
+        assert len(got[p]) == len(want)
+        for a, b in zip(got[p], want, strict=True):
+            assert all(a[k] == pytest.approx(b[k], abs=1e-5) if isinstance(b[k], float) else a[k] == b[k] for k in b), (p, a, b)
+    unmarked = bridge.beats_table(together, marks=False).to_pylist()
+    assert [(r["page"], r["t_ms"], r["reasons"]) for r in unmarked] == [(r["page"], r["t_ms"], r["reasons"]) for r in bridge.beats_table(together).to_pylist()] and not any(r["q_on"] for r in unmarked)
+    together[3][0]["bad"] = [{"i0": None, "i1": 4, "kind": "gap"}]
+    failed = bridge.beats_table(together).to_pylist()
+    assert {r["page"] for r in failed if r["issue"]} == {together[3][0]["page"]} and {r["page"] for r in failed if not r["issue"]} == {leads[0]["page"] for i, leads in enumerate(together) if i != 3}
+
+
+def test_pages_are_cheap():
+    """Drawing a page and finding its beats with all marks takes some milliseconds (30 and more, page by page)."""
+    import time
+
+    t = drawn_pages(96)
+    run = lambda: [bridge.beats_table(pages) for pages in waves.drawn(t)]
+    run()
+    began = time.thread_time()
+    run()
+    assert time.thread_time() - began < 96 * 0.02
+
+
 @pytest.mark.parametrize("name", sorted(ROWS))
 def test_rhythm_from_rates(spark, name):
     rates, early, pauses = ROWS[name]
