@@ -238,3 +238,23 @@ def test_glyphs():
     found = glyphs.components(dots)
     assert len(found) == 3 and glyphs.glyphs(found) == [(2, 1, 2, 7, 8), (7, 1, 2, 7, 14)]
     assert len(glyphs.dissimilar([shapes["1"], shapes["1"] * 0.5, shapes["2"]])) == 2
+
+
+def test_areas_of_many_beats():
+    """Areas of all pages at once are those of each stretch by its definition, also at a row's ends, beside unreliable stretches and without samples before."""
+    rng = np.random.default_rng(5)
+    n = np.array([400, 90])
+    x = rng.normal(size=(2, 400))
+    x[1, 90:] = 0
+    bad = [[{"i0": 200, "i1": 210, "kind": "clipped"}, {"i0": 30, "i1": 40, "kind": "ambiguous"}], []]
+    cases = [(r, a, a + w, onset) for r in (0, 1) for a in (-5, 0, 1, 3, 20, 60, 85, 190, 205, 390) for w in (0, 1, 25) for onset in (True, False)]
+    row, a, b, onset = (np.array(v) for v in zip(*cases, strict=True))
+    for (r, a, b, onset), got in zip(cases, bridge.areas(x, n, bad, row, a, b, onset), strict=True):
+        mv, a, b = x[r, : n[r]], max(0, a), min(n[r] - 1, b)
+        if b <= a or (r == 0 and a <= 210 and b >= 200):
+            assert np.isnan(got)
+            continue
+        before = mv[max(0, a - bridge.place(bridge.C.PQ_FROM)) : max(0, a - bridge.place(bridge.C.PQ_TO) + 1)]
+        around = mv[max(0, a - 2 * (b - a)) : b + 2 * (b - a) + 1]
+        base = np.median(around) if not onset else np.median(before) if len(before) else mv[a]
+        assert got == pytest.approx((mv[a : b + 1] - base).sum() * 2, abs=1e-9)
